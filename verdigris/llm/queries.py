@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
-from .common import read
+from . import media, mixing, quality, toxicity
+from .common import held_out, read, written
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    matched = written(toxicity.matches(docs), "op5-matches")
+    learned = toxicity.weights(matched, read(spark, sf_dir, "labels"), ~held_out(5))
+    return toxicity.scored(matched, learned).select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +25,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op7_mixing": op7_mixing}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out(5))
+    return quality.score(docs, trees).select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    "op4_media": op4_media,
+    "op5_toxicity": op5_toxicity,
+    "op7_mixing": op7_mixing,
+    "op10_quality": op10_quality,
+}
 ORACLE = {"op7_mixing": mixing.SQL}
