@@ -15,8 +15,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    matched = written(toxicity.matches(docs), "op5-matches")
-    learned = toxicity.weights(matched, read(spark, sf_dir, "labels"), ~held_out(5))
+    labels = read(spark, sf_dir, "labels")
+    stems = toxicity.induced(docs, labels, ~held_out(5))
+    matched = written(toxicity.matches(docs, stems), "op5-matches")
+    learned = toxicity.weights(matched, labels, ~held_out(5), stems)
     return toxicity.scored(matched, learned).select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -5,6 +5,10 @@ Four small transducers are composed into one machine.  The lexical step turns wo
 and ``TARGET`` marks clauses that address somebody.  What is scored is a matched clause, a pair (lexeme, kind), not a word by itself: "you are a fool",
 "he called her a fool" and "not a fool" are three kinds.
 
+The lexicon has two parts: the words below, and stems induced from labelled rows, prefixes of words whose documents are toxic more often than chance
+allows after correction for the number of prefixes tried (``induced``; it reads at most ``max_rows`` labelled rows, the documented bound, and counts one
+document of each group of near copies).  Corpora in languages that the list doesn't know get their insults in this way.
+
 Weights are learned from labelled rows: the weight of a pair is -log(1 - p), p the share of toxic ones among training documents with a clause
 of that pair, smoothed towards the kind's prior.  Weights add along a document, so its score is 1 - exp(-sum), which neither length nor clean clauses lower.
 
@@ -16,15 +20,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, strings, written
 
 INSULTS = """
 idiot idiots idiotic moron morons moronic imbecile stupid dumb dumbass loser losers scum trash garbage pathetic worthless clown clowns
@@ -48,14 +54,13 @@ BASE = 0.02
 STRENGTH = 4.0
 THRESHOLD = 0.5
 
+#: Lengths of the prefixes that are tried as stems, and the share of toxic documents that a stem needs.
+STEM_LENGTHS = range(4, 9)
+STEM_PRECISION = 0.9
+
 _SYMBOL = dict.fromkeys(TARGETS, "Y") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T") | dict.fromkeys(INSULTS, "I")
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
 _WORD = re.compile(r"[\w'’]+")
-_LEXEME = "|".join(sorted(map(re.escape, INSULTS + THREATS), key=len, reverse=True))
-#: Linear-time prefilter: true for every text in which a lexeme can match.
-_ANY = rf"(?i)({_LEXEME})"
-
-
 class Transducer:
     """Deterministic: step[state][symbol] is (state, output); a symbol that a state doesn't list is copied, and moves to rest[state]."""
 
@@ -99,42 +104,122 @@ GRAMMAR = NEGATION.compose(REPORT, ALPHABET).compose(TARGET, ALPHABET)
 KINDS = {"I": "insult", "i": "insult at target", "T": "threat", "t": "threat at target", "n": "negated", "r": "reported"}
 
 
-def clauses(text: str | None) -> list[str]:
+class Lexicon:
+    """Words and stems -> symbol and lexeme, and a linear-time prefilter that is true for every text with a lexeme."""
+
+    def __init__(self, stems: Iterable[str] = ()) -> None:
+        self.stems = frozenset(stems)
+        self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
+        whole = "|".join(sorted(map(re.escape, INSULTS + THREATS), key=len, reverse=True))
+        begin = "".join(f"|{re.escape(s)}" for s in sorted(self.stems, key=len, reverse=True))
+        self.any = rf"(?i)(?:{whole}{begin})"
+
+    def lexemes(self) -> list[str]:
+        return INSULTS + THREATS + sorted(self.stems)
+
+    def look(self, word: str) -> tuple[str, str]:
+        """(symbol, lexeme): the longest stem that begins the word, if the word itself isn't listed."""
+        if word in _SYMBOL:
+            return _SYMBOL[word], word
+        for n in self.lengths:
+            if word[:n] in self.stems:
+                return "I", word[:n]
+        return "X", word
+
+
+def clauses(text: str | None, lexicon: Lexicon) -> list[str]:
     """'lexeme kind' of every matched clause and lexeme in it, in order; a target that follows counts as well as one before."""
     found = []
     for clause in _CLAUSE.findall(text or ""):
-        words = [w.lower().replace("’", "'") for w in _WORD.findall(clause)]
-        symbols = [_SYMBOL.get(w, "X") for w in words]
+        looked = [lexicon.look(w.lower().replace("’", "'")) for w in _WORD.findall(clause)]
+        symbols = [s for s, _ in looked]
         if "I" not in symbols and "T" not in symbols:
             continue
         outputs, _ = GRAMMAR.run(symbols)
         addressed = "Y" in symbols
-        for w, o in zip(words, outputs, strict=True):
+        for (_, lexeme), o in zip(looked, outputs, strict=True):
             if o in KINDS:
-                found.append(f"{w} {KINDS[o.lower() if addressed and o in 'IT' else o]}")
+                found.append(f"{lexeme} {KINDS[o.lower() if addressed and o in 'IT' else o]}")
     return found
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """docs with their matched clauses in place of the text: the only pass over the texts."""
+def _prefixes(text: str) -> set[str]:
+    words = {w.lower() for w in _WORD.findall(text)}
+    return {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n}
+
+
+def induced(docs: DataFrame, labels: DataFrame, train_rows, max_rows: int = 12_000) -> list[str]:
+    """Stems of toxic words, from at most ``max_rows`` labelled rows, taken by the hash of their id.
+
+    A prefix qualifies when STEM_PRECISION of its documents are toxic and the binomial log-likelihood ratio against the overall share exceeds
+    log(prefixes tried / 0.01).  Of nested ones the shortest counts, lengthened as long as no toxic document is lost.
+    Executors count; the driver receives the prefixes that qualify.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train_rows).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            texts = strings(batch.column(1))
+            key = [min((xxhash.xxh3_64_intdigest(w) for w in t.split()), default=0) - 2**63 for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column(0), pa.array(texts, pa.string())], ["key", "y", "text"])
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, toxic = Counter(), Counter()
+        for batch in it:
+            for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = _prefixes(t)
+                every.update(found)
+                if y:
+                    toxic.update(found)
+        names = list(every)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([every[n] for n in names], pa.int64()), pa.array([toxic[n] for n in names], pa.int64())], ["stem", "n", "toxic"])
+
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(keyed, "key long, y int, text string").dropDuplicates(["key"])
+    counts = written(sample.mapInArrow(counted, "stem string, n long, toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "stems")
+    share = known.agg(F.avg("y")).first()[0]
+    if not share or share >= 1:
+        return []
+    tried = max(2, counts.count())
+    p = F.least(F.col("toxic") / F.col("n"), F.lit(0.999))
+    ratio = F.col("toxic") * F.log(p / share) + (F.col("n") - F.col("toxic")) * F.log((1 - p) / (1 - share))
+    good = counts.where((F.col("toxic") >= STEM_PRECISION * F.col("n")) & (ratio >= math.log(tried / 0.01)))
+    toxic = {r["stem"]: r["toxic"] for r in good.collect()}
+    return shortest(toxic)
+
+
+def shortest(toxic: dict[str, int]) -> list[str]:
+    """Of nested stems the shortest, lengthened while a longer one has as many toxic documents."""
+    stems: list[str] = []
+    for stem in sorted(toxic, key=lambda s: (len(s), s)):
+        if not any(stem.startswith(s) or s.startswith(stem) for s in stems):
+            while longer := next((s for s in toxic if len(s) == len(stem) + 1 and s.startswith(stem) and toxic[s] == toxic[stem]), None):
+                stem = longer
+            stems.append(stem)
+    return sorted(stems)
+
+
+def matches(docs: DataFrame, stems: Iterable[str] = ()) -> DataFrame:
+    """docs with their matched clauses in place of the text: the only pass over all texts."""
     keep = [f for f in docs.schema.fields if f.name not in ("text", "clauses")]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("clauses", T.ArrayType(T.StringType()))])
+    lexicon = Lexicon(stems)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 1024):
             texts = batch.column(len(names))
-            hits = pc.fill_null(pc.match_substring_regex(texts, _ANY), False)
-            found = [clauses(t) if hit else [] for t, hit in zip(texts.to_pylist(), hits.to_pylist(), strict=True)]
+            hits = pc.fill_null(pc.match_substring_regex(texts, lexicon.any), False)
+            found = [clauses(t, lexicon) if hit else [] for t, hit in zip(texts.to_pylist(), hits.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.list_(pa.string()))], [*names, "clauses"])
 
     return docs.select(*names, "text").mapInArrow(run, schema)
 
 
-def weights(matched: DataFrame, labels: DataFrame, train_rows) -> dict[str, float]:
+def weights(matched: DataFrame, labels: DataFrame, train_rows, stems: Iterable[str] = ()) -> dict[str, float]:
     """-log(1 - p) for each 'lexeme kind', and for '' that of documents without a match.
 
-    The counts are grouped on the executors; what reaches the driver has at most a row for each lexeme, kind and label.
+    The counts are grouped on the executors; what reaches the driver has at most a row for each lexeme and kind.
     """
     known = labels.where(F.col("toxic").isNotNull() & train_rows).select("doc_id", F.col("toxic").cast("int").alias("__y"))
     joined = known.join(matched.select("doc_id", "clauses"), "doc_id")
@@ -143,7 +228,7 @@ def weights(matched: DataFrame, labels: DataFrame, train_rows) -> dict[str, floa
     for row in joined.select(pair, "__y").groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("toxic")).collect():
         seen[row["pair"]] = [row["n"], row["toxic"]]
     out = {}
-    for pair, prior in [("", BASE), *[(f"{w} {k}", p) for w in INSULTS + THREATS for k, p in PRIORS.items()]]:
+    for pair, prior in [("", BASE), *[(f"{w} {k}", p) for w in Lexicon(stems).lexemes() for k, p in PRIORS.items()]]:
         n, toxic = seen.get(pair, (0, 0))
         p = (toxic + STRENGTH * prior) / (n + STRENGTH)
         out[pair] = -math.log(1 - min(p, 0.9999))
@@ -151,19 +236,37 @@ def weights(matched: DataFrame, labels: DataFrame, train_rows) -> dict[str, floa
 
 
 def scored(matched: DataFrame, learned: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
-    """matched with score and predicted, by the learned weights as a literal map as large as the lexicon."""
-    table = F.create_map(*[x for k, v in sorted(learned.items()) for x in (F.lit(k), F.lit(float(v)))])
-    total = F.aggregate(F.col("clauses"), F.lit(float(learned[""])), lambda acc, c: acc + F.coalesce(F.element_at(table, c), F.lit(0.0)))
-    score = F.lit(1.0) - F.exp(-total)
-    return matched.drop("score", "predicted").withColumn("score", score).withColumn("predicted", (score >= threshold).cast("int"))
+    """matched with score and predicted, by the learned weights: a broadcast dictionary as large as the lexicon."""
+    keep = [f for f in matched.schema.fields if f.name not in ("score", "predicted")]
+    names = [f.name for f in keep]
+    schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    base = learned[""]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("clauses")
+        for batch in it:
+            score = [1 - math.exp(-math.fsum([base, *[learned.get(c, 0.0) for c in found or ()]])) for found in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], [*names, "score", "predicted"])
+
+    return matched.select(*names).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, train_rows, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the grammar doesn't reject, in the columns of docs."""
-    from .common import written
-
-    slim = written(matches(docs.select("doc_id", "text").withColumn("__key", F.xxhash64("doc_id", "text"))), "toxic-matches")
-    learned = weights(slim, labels, train_rows)
-    rejected = scored(slim.where(F.size("clauses") > 0), learned, threshold).where("predicted = 1").select(F.col("doc_id").alias("__id"), "__key").distinct()
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return keyed.join(rejected, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    """The documents that the grammar doesn't reject, in the columns of docs.
+
+    Weights come from the ids and matched clauses alone; a second pass over the texts drops what they reject, so texts are never shuffled.
+    """
+    stems = induced(docs, labels, train_rows)
+    slim = written(matches(docs.select("doc_id", "text"), stems), "toxic-matches")
+    learned = weights(slim, labels, train_rows, stems)
+    lexicon, base = Lexicon(stems), learned[""]
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 1024):
+            texts = batch.column(at)
+            hits = pc.fill_null(pc.match_substring_regex(texts, lexicon.any), False)
+            keep = [not hit or 1 - math.exp(-math.fsum([base, *[learned.get(c, 0.0) for c in clauses(t.as_py(), lexicon)]])) < threshold for t, hit in zip(texts, hits.to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
