@@ -132,3 +132,59 @@ def crc(data: bytes) -> int:
 
 def nfkc(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
+
+
+#: Rows of ids, 16 bytes each or so in memory, up to which a counted id table is broadcast instead of shuffling texts.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id", bound: int = BROADCAST_IDS) -> DataFrame:
+    """docs whose id is (left_semi) or isn't (left_anti) in a written table of distinct ids.
+
+    The table is counted first: up to ``bound`` rows it is broadcast, so that texts stay where they are; beyond, both sides are shuffled.
+    """
+    if ids.columns != [column]:
+        ids = ids.toDF(column)
+    small = ids.limit(bound + 1).count() <= bound
+    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), column, how)
+
+
+def word_runs(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, text) of every word in texts laid one after the other; words never cross texts."""
+    if not len(body):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    white = (body == 32) | ((body >= 9) & (body <= 13))
+    size = np.diff(at)
+    edge = np.empty(len(body), bool)
+    edge[0] = True
+    edge[1:] = white[:-1]
+    edge[at[:-1][size > 0]] = True
+    first = np.flatnonzero(edge & ~white)
+    edge[-1] = True
+    edge[:-1] = white[1:]
+    edge[at[1:][size > 0] - 1] = True
+    end = np.flatnonzero(edge & ~white) + 1
+    return first, end, np.searchsorted(at, first, "right") - 1
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Finalised 64-bit mix of an array of 64-bit numbers, as a new array."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def hash_runs(body: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, the mixed sum of its mixed (byte, place) pairs."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    length = end - first
+    ends = np.cumsum(length)
+    place = np.arange(int(ends[-1])) - np.repeat(ends - length, length)
+    x = mixed(body[np.repeat(first, length) + place].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return mixed(total[ends] - total[ends - length] + length.astype(np.uint64))

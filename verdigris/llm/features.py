@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import utf8
+from .common import hash_runs, utf8, word_runs
 
 _KIND = np.full(256, 7, np.uint8)  # other ASCII signs
 _KIND[[9, 11, 12, 13, 32]] = 0
@@ -38,19 +38,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
             out[full, 1 + k - (k == 9)] = np.add.reduceat((kind == k).astype(np.int32), starts) / div
     out[:, 0] = np.log1p(size)
     out[full, 16] = np.add.reduceat((body == 33).astype(np.int32), starts) / div
-    # words: runs of bytes that are no ASCII white space
-    white = kind <= 1
-    edge = np.ones(len(body), bool)
-    edge[1:] = white[:-1]
-    edge[at[:-1][full]] = True
-    first = np.flatnonzero(edge & ~white)
+    first, last, doc = word_runs(body, at)
     if len(first):
-        last_edge = np.ones(len(body), bool)
-        last_edge[:-1] = white[1:]
-        last_edge[at[1:][full] - 1] = True
-        last = np.flatnonzero(last_edge & ~white) + 1
         length = last - first
-        doc = np.searchsorted(at, first, "right") - 1
         words = np.bincount(doc, minlength=n)
         some = words > 0
         out[some, 10] = np.log1p(words[some])
@@ -60,7 +50,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         out[some, 15] = np.log1p(longest[some])
         out[some, 17] = np.bincount(doc, length <= 3, n)[some] / words[some]
         out[some, 18] = np.bincount(doc, kind[first] == 3, n)[some] / words[some]
-        key = _hash_runs(body, first, last) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = hash_runs(body, first, last) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(key, kind="stable")
         same = np.ones(len(key), bool)
         same[1:] = key[order][1:] != key[order][:-1]
@@ -79,17 +69,3 @@ def statistics(texts: pa.Array) -> np.ndarray:
     out[full, 14] = np.bincount(pairs, minlength=n)[full] / lengths[full]
     out[full, 19] = np.log1p(lengths[full])
     return out
-
-
-def _hash_runs(body: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, the sum of its mixed (byte, place) pairs."""
-    length = last - first
-    ends = np.cumsum(length)
-    place = np.arange(int(ends[-1])) - np.repeat(ends - length, length)
-    x = body[np.repeat(first, length) + place].astype(np.uint64) + np.uint64(1)
-    x = x * np.uint64(0xBF58476D1CE4E5B9) + place.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
-    return total[ends] - total[ends - length]

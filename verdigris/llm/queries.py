@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, toxicity
+from . import media, mixing, neardup, quality, toxicity
 from .common import held_out, read, written
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,6 +38,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
