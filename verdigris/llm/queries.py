@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, quality, suffix_dedup, toxicity
+from . import bpe, media, mixing, neardup, quality, suffix_dedup, toxicity
 from .common import held_out, read, written
 
 
@@ -36,6 +36,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out(5))
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
 }
 ORACLE = {"op7_mixing": mixing.SQL}
