@@ -57,8 +57,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         .withColumn("full", F.coalesce(F.sum(limit).over(before), F.lit(0).cast("long")))
         .withColumn("open", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0).cast("long")))
         .withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
-        .withColumn("fits", F.col("level") <= limit / F.col("weight"))
-        .withColumn("common", F.min(F.when(F.col("fits"), F.col("level"))).over(all_rows))
+        .withColumn("place", F.row_number().over(filling))
+        .withColumn("fits", F.when(F.col("level") <= limit / F.col("weight"), F.struct("place", "level")))
+        .withColumn("common", F.min("fits").over(all_rows)["level"])
     )
     target = F.when(F.col("common").isNull() | (F.col("common") * F.col("weight") >= limit), limit.cast("double")).otherwise(F.col("common") * F.col("weight"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -119,11 +120,12 @@ WITH d AS (
     CAST(sum(source_size) OVER () AS BIGINT) AS total,
     CAST(coalesce(sum(3 * source_size) OVER p, 0) AS BIGINT) AS filled,
     CAST(sum(weight) OVER () AS BIGINT) - CAST(coalesce(sum(weight) OVER p, 0) AS BIGINT) AS open
+    , row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source IS NULL, source) AS place
   FROM w WINDOW p AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
   SELECT *, CAST(total - filled AS DOUBLE) / open AS level FROM f
 ), c AS (
-  SELECT *, min(CASE WHEN level <= CAST(lim AS DOUBLE) / weight THEN level END) OVER () AS common FROM l
+  SELECT *, (SELECT m.level FROM l AS m WHERE m.level <= CAST(m.lim AS DOUBLE) / m.weight ORDER BY m.place LIMIT 1) AS common FROM l
 ), t AS (
   SELECT source, source_size,
     CASE WHEN common IS NULL OR common * weight >= lim THEN CAST(lim AS DOUBLE) ELSE common * weight END AS target,
