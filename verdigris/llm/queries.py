@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, media, mixing, neardup, quality, suffix_dedup, toxicity
+from . import bpe, fingerprint, media, mixing, neardup, quality, suffix_dedup, token_files, toxicity
 from .common import held_out, read, written
 
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(matched, learned).select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
+    "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
