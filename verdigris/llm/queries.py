@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, media, mixing, neardup, quality, suffix_dedup, token_files, toxicity
+from . import bpe, fingerprint, lm, media, mixing, neardup, quality, suffix_dedup, token_files, toxicity
 from .common import held_out, read, written
 
 
@@ -48,6 +48,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), held_out(10))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out(5))
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_lm": op9_lm,
     "op10_quality": op10_quality,
 }
 ORACLE = {"op7_mixing": mixing.SQL}
