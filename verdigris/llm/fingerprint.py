@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -113,11 +114,11 @@ def settled(docs: DataFrame, found: DataFrame) -> DataFrame:
         return found
 
     @F.pandas_udf("string")
-    def second(texts):  # noqa: ANN001, ANN202
+    def second(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: hashlib.sha256(canonical(t)).hexdigest())
 
     @F.pandas_udf("string")
-    def first(texts):  # noqa: ANN001, ANN202
+    def first(texts: pd.Series) -> pd.Series:
         return texts.map(fingerprint)
 
     longer = docs.select("doc_id", first("text").alias("fingerprint"), second("text").alias("more")).join(bad, "fingerprint", "left_semi").dropDuplicates(["doc_id", "fingerprint"])
