@@ -264,7 +264,8 @@ def counted_windows(rows: DataFrame, length: int) -> DataFrame:
                 w, t, p = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(t, pa.binary()), pa.array(p, pa.int64())], ["window", "tid", "start"])
 
-    each = rows.mapInArrow(run, "window binary, tid binary, start long")
+    # a window with several anchors comes once for each
+    each = rows.mapInArrow(run, "window binary, tid binary, start long").distinct()
     twice = each.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     return each.join(twice, "window", "left_semi").select("tid", "start", (F.col("start") + length).alias("end"))
 
