@@ -20,7 +20,7 @@ from .udf import vectorized
 # Names of public services and public suffixes.
 TWO_PART_SUFFIXES = "co.in gov.in nic.in org.in net.in ac.in edu.in res.in co.uk org.uk gov.uk ac.uk com.au net.au org.au co.nz co.za com.br com.sg com.my com.cn com.hk co.jp co.kr".split()
 SHORTENERS = "bit.ly tinyurl.com t.co goo.gl is.gd cutt.ly rb.gy ow.ly buff.ly tiny.cc shorturl.at rebrand.ly t.ly s.id v.gd bl.ink lnkd.in soo.gd clck.ru da.gd".split()
-BARE_TLDS = "com in org net co io me info biz xyz top online site shop club live app dev link click loan vip win gov edu uk us example".split()
+BARE_TLDS = "com in org net co io me info biz xyz top online site shop club live app dev link click loan vip win gov edu uk us example ly gl gd cc gy at ru id ink ai gg".split()
 UPI_HANDLES = "upi ybl ibl axl okaxis oksbi okhdfcbank okicici paytm apl yapl ptyes ptaxis ptsbi pthdfc sbi icici axisbank hdfcbank kotak barodampay airtel postbank freecharge jio idfcbank indus federal".split()
 REMOTE_APPS = ["anydesk", "teamviewer", "quicksupport", "airdroid", "ammyy", "rustdesk", "supremo"]
 
@@ -49,7 +49,7 @@ ENTITIES = (
 
 _URL = re.compile(r"(?i)(?<![\w@./-])(?:(?P<scheme>https?://)(?P<rest>[^\s<>\"'`]+)|(?P<bare>(?:www\.)?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:" + "|".join(BARE_TLDS) + r")(?![\w-])(?:[/?#][^\s<>\"'`]*)?))")
 _UPI_URI = re.compile(r"(?i)\bupi://[^\s<>\"']+")
-_AT = re.compile(r"(?<![\w.+-])([A-Za-z0-9][A-Za-z0-9._+-]{1,255})@([A-Za-z][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*)(?![\w@])")
+_AT = re.compile(r"(?<![\w.+-])([A-Za-z0-9][A-Za-z0-9._+-]{0,255})@([A-Za-z][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*)(?![\w@])")
 _MOBILE = re.compile(r"(?<![\d+])(?:\+?91[ -]?|0)?([6-9]\d{9}|[6-9]\d{4}[ -]\d{5}|[6-9]\d{2}[ -]\d{3}[ -]\d{4}|[6-9]\d{3}[ -]\d{3}[ -]\d{3})(?!\d)")
 _TOLL = re.compile(r"(?<!\d)1800[ -]?\d{2,3}[ -]?\d{4}(?!\d)")
 _INTERNATIONAL = re.compile(r"(?<![\w+])\+(?!91)\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)")

@@ -71,7 +71,7 @@ def score(messages: DataFrame, outcomes: str = "outcomes", hits: str = "hits", c
     o = F.col("outcomes")
     out = kept.withColumn("__s", lifted(combined(o), o))
     if corroboration:
-        backed = F.exists(hits, lambda h: ~h["supporting"] & (h["weight"] >= 0.3)) | F.exists(o, lambda x: (x["signal"] != "rules") & x["corroborating"] & x["informative"] & (x["score"] >= 30))
+        backed = F.exists(hits, lambda h: ~h["supporting"] & (h["weight"] >= 0.3)) | F.exists(o, lambda x: (x["signal"] != "rules") & x["corroborating"] & ~x["needs_corroboration"] & x["informative"] & (x["score"] >= 30))
         needs = F.exists(o, lambda x: x["needs_corroboration"] & x["informative"] & x["score"].isNotNull())
         rest = F.filter(o, lambda x: ~x["needs_corroboration"])
         out = out.withColumn("__s", F.when(needs & ~backed, F.least("__s", F.greatest(lifted(combined(rest), rest), F.lit(SUSPICIOUS - 1)))).otherwise(F.col("__s")))
