@@ -63,11 +63,8 @@ def test_splits(spark):
 
 
 def collected(spark, stream, mode, name):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
     return spark.sql(f"SELECT * FROM {name}").collect()
 
 
@@ -101,5 +98,5 @@ def test_stream_rate_limit(spark, tmp_path):
 def test_stream_upsert(spark, tmp_path):
     _, stream = hits(spark, tmp_path)
     q = streams.upserted(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["key"])
-    q.awaitTermination()
+    assert q.awaitTermination(180)
     assert {r["key"]: r["report_count"] for r in spark.read.parquet(str(tmp_path / "out/version=0")).collect()} == {"a": 10, "b": 1}

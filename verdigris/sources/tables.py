@@ -25,7 +25,12 @@ def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8, or Windows-1252 where the bytes are not UTF-8: a look at the raw bytes decides."""
     raw = spark.read.format("binaryFile").load(path).select("content")
     broken = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
-    return read_csv(spark, path, encoding="windows-1252" if broken else "UTF-8")
+    if not broken:
+        return read_csv(spark, path)
+    # Spark reads Latin-1, which differs from Windows-1252 in 0x80 to 0x9F alone
+    codes = [(chr(b), bytes([b]).decode("cp1252", "replace")) for b in range(0x80, 0xA0)]
+    df = read_csv(spark, path, encoding="ISO-8859-1")
+    return df.select(*[F.translate(c, "".join(a for a, _ in codes), "".join(b for _, b in codes)).alias(c) for c in df.columns])
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -90,7 +95,7 @@ def as_bool(column: Column) -> Column:
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files with a front matter of flat 'key: value' lines -> slug, title, category, kind, content, sections, content_hash, reason."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "\r\n", "\n").alias("value"), F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("value"), F.col("_metadata.file_name").alias("file"))
     front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     pairs = F.transform(F.filter(F.split(front, "\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(x, "^[^:]*:", ""), "^\\s*[\"']?|[\"']?\\s*$", "")).alias("v")))
     meta = F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
@@ -121,10 +126,10 @@ def age_bucket(registered: Column, today: Column) -> Column:
 
 def is_public_ip(ip: Column) -> Column:
     """Whether a dotted address is none of the private, loopback, link-local, shared, multicast or reserved ones."""
-    part = lambda i: F.split(ip, r"\.")[i].cast("int")
+    part = lambda i: F.get(F.split(ip, r"\."), F.lit(i)).try_cast("int")
     a, b = part(0), part(1)
     hidden = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.between(18, 19)) | (a >= 224)
-    return ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~hidden
+    return ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.coalesce(hidden, F.lit(True))
 
 
 def qr_payload_kind(payload: Column) -> Column:

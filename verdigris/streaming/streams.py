@@ -43,10 +43,10 @@ def first_seen(events: DataFrame, keys: list[str], at: str = "ts", late: str = "
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limited(hits: DataFrame, key: str, limit: int, seconds: int = 60, at: str = "ts") -> DataFrame:
+def rate_limited(hits: DataFrame, key: str, limit: int, seconds: int = 60, at: str = "ts", late: str = "1 minute") -> DataFrame:
     """(key, ts, allowed, retry_after): a moving window for each key, in which denied requests don't count.
 
-    State is the times of the allowed requests of the window, ``limit`` at most, and goes when the window has passed.
+    State is the times of the allowed requests of the window, ``limit`` at most, and goes when the watermark has passed the window.
     """
 
     def run(name: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,11 +64,11 @@ def rate_limited(hits: DataFrame, key: str, limit: int, seconds: int = 60, at: s
             if allowed:
                 times.append(now)
         held.update((times,))
-        held.setTimeoutDuration(seconds * 1000)
+        held.setTimeoutTimestamp(max(int((now + seconds) * 1000), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, at, "allowed", "retry_after"])
 
     kind = hits.schema[key].dataType.simpleString()
-    return hits.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} timestamp, allowed boolean, retry_after double", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.withWatermark(at, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} timestamp, allowed boolean, retry_after double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upserted(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
