@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import batches, strings
 
 #: Words remembered by a worker; beyond, the older half goes.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 _LOW, _NONE = (1 << 32) - 1, 1 << 80
 
 
