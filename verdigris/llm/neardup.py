@@ -1,12 +1,12 @@
 """MinHash near-duplicates with tensored banding.
 
 A document is the set of its word shingles, as 64-bit hashes.  Instead of a minhash collection for each table, two small groups of collections are
-computed, ``GROUPS`` of ``ROWS`` minhashes on either side, and table (i, j) is keyed by collection i of the first side and j of the second: 144 tables
-of four minhashes from 48 minhashes where independent tables would take 576.  A pair of likeness 0.8 shares no table with a probability of about 1e-5.
+computed, ``SIDES``: 12 of two minhashes and 17 of three, and table (i, j) is keyed by collection i of the first side and j of the second: 204 tables
+of five minhashes from 75 minhashes where independent tables would take 1,020.  A pair of likeness 0.8 shares no table with a probability of about 1e-5.
 
 Documents with equal sets form a class, found by the digest of the set, and only one of each class is sketched.  Table rows are sorted by key; runs of up
 to ``SMALL`` emit their pairs, longer runs are linked to their first member, and what differs in component after that is compared by signature in blocks
-(``residual``), so nothing is lost and no run is expanded into all its pairs.  Candidates pass a signature estimate that a true pair fails with a
+(``residual``), the likeliest partners of a member first and all that are left at last, so nothing is lost and no run is expanded into all its pairs.  Candidates pass a signature estimate that a true pair fails with a
 probability below 1e-6, and are then confirmed on the full sets.  Components follow by star contraction.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words than a shingle has its whole sequence as the
@@ -27,11 +27,16 @@ from pyspark.sql import functions as F
 from .common import batches, by_ids, hash_runs, mixed, partitions_for, utf8, word_runs, written
 from .components import components
 
-GROUPS, ROWS = 12, 2
-WIDTH = 2 * GROUPS * ROWS
+#: (collections, minhashes in each) of either side.
+SIDES = ((12, 2), (17, 3))
+FIRST = SIDES[0][0] * SIDES[0][1]
+WIDTH = FIRST + SIDES[1][0] * SIDES[1][1]
+TABLES = SIDES[0][0] * SIDES[1][0]
 SMALL = 8
-#: Matching minhashes of WIDTH below which a pair is no candidate, for a likeness of 0.8: 38.4 are expected, with a deviation of 2.8.
-LEAST_MATCHES = 24
+#: Matching minhashes of WIDTH below which a pair is no candidate, for a likeness of 0.8: 60 are expected, with a deviation of 3.5.
+LEAST_MATCHES = 41
+#: Partners of a member that the first round of ``residual`` tries in each table.
+TRIED = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,24 +92,42 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
+def collections_of(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every collection of either side, from signatures as rows."""
+    halves = []
+    for part, (groups, rows) in zip((sig[:, :FIRST], sig[:, FIRST:]), SIDES, strict=True):
+        part = part.reshape(len(sig), groups, rows).astype(np.uint64)
+        half = part[..., 0]
+        for r in range(1, rows):
+            half = mixed(half * np.uint64(0x9E3779B97F4A7C15) + part[..., r])
+        halves.append(half)
+    return halves[0], halves[1]
+
+
+def key_of(first: np.ndarray, second: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Key of a table from the hashes of its two collections."""
+    return mixed(first * np.uint64(0xD6E8FEB86659FD93) + second + (table.astype(np.uint64) << np.uint64(1))).view(np.int64)
+
+
 def table_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep) for each of the GROUPS * GROUPS tables."""
-    place = np.arange(GROUPS * GROUPS, dtype=np.uint64).reshape(1, GROUPS, GROUPS)
+    """(key, rep) for each of the TABLES tables."""
+    table = np.arange(TABLES).reshape(1, SIDES[0][0], SIDES[1][0])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                sig = np.frombuffer(utf8(part.column(1))[0].tobytes(), np.uint32).reshape(-1, 2, GROUPS, ROWS).astype(np.uint64)
-                half = sig[..., 0]
-                for r in range(1, ROWS):
-                    half = mixed(half * np.uint64(0x9E3779B97F4A7C15) + sig[..., r])
-                keys = mixed(half[:, 0, :, None] * np.uint64(0xD6E8FEB86659FD93) + half[:, 1, None, :] + (place << np.uint64(1))).reshape(len(sig), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), GROUPS * GROUPS))], ["key", "rep"])
+                first, second = collections_of(_signatures(part.column(1)))
+                keys = key_of(first[:, :, None], second[:, None, :], table).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(part.column(0)), TABLES))], ["key", "rep"])
 
     return reps.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(utf8(column)[0].tobytes(), np.uint32).reshape(-1, WIDTH)
+
+
 def runs(keys: DataFrame) -> DataFrame:
     """(a, b, large): candidate pairs a < b of the tables' runs with large false, and with large true (key, member) of every run over SMALL."""
 
@@ -165,7 +188,7 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            s, t = (np.frombuffer(utf8(batch.column(i))[0].tobytes(), np.uint32).reshape(-1, WIDTH) for i in (2, 3))
+            s, t = _signatures(batch.column(2)), _signatures(batch.column(3))
             yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(1) >= LEAST_MATCHES))
 
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
@@ -187,26 +210,63 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), common.alias("common")).where(F.col("common") * 100 >= percent * (F.col("sizes") - F.col("common"))).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
 
-def residual(members: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of long runs that lie in different components and agree in signature; one side lies outside the run leader's component.
+def placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, rep, component) of the members of long runs that hold several components."""
+    with_component = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    active = with_component.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    return with_component.join(active, "key", "left_semi")
+
+
+def linkable(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the ids that can have a link among them: a document's shingles that no other one of them has cannot be in an intersection,
+    so with n shingles and u such ones it needs 100 * (n - u) >= percent * n.
+
+    Counted in the partitions first; a shingle that several documents of a partition have is one row.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 4096, 64 << 20):
+            sets = shingle_sets(batch.column(1), k)
+            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            owner = np.repeat(np.asarray(batch.column(0)), [len(x) for x in sets])
+            values, first, times = np.unique(every, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(owner[first]), pa.array(times)], ["shingle", "rep", "times"])
+
+    texts = by_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids).dropDuplicates(["doc_id"])
+    alone = texts.mapInArrow(run, "shingle long, rep long, times long").groupBy("shingle").agg(F.sum("times").alias("times"), F.max("rep").alias("rep")).where("times = 1")
+    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def residual(rows: DataFrame, reps: DataFrame, tried: int | None) -> DataFrame:
+    """Pairs of long runs that lie in different components and agree in signature; one side lies outside the run's largest component.
 
-    Comes after linking runs to their first members, so few members are left outside.  A run's signatures, 200 bytes a member, are compared in numpy
-    blocks of the sorted stream.
+    With ``tried``, each outside member gives only its so many likeliest partners in a table.  A pair is emitted by the first table that it shares, so
+    once.  Comes after linking runs to their first members, so few members are left outside.  A run's signatures, 300 bytes a member, are
+    compared in numpy blocks of the sorted stream.
     """
-    comp = F.coalesce("component", "rep")
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", comp.alias("component"))
-    active = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rows = placed.join(active, "key", "left_semi").join(reps.select("rep", "signature"), "rep")
+    rows = rows.join(reps.select("rep", "signature"), "rep")
 
-    def pairs_of(r: np.ndarray, c: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(key: int, r: np.ndarray, c: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         names, times = np.unique(c, return_counts=True)
         outside = np.flatnonzero(c != names[times.argmax()])
-        for i in range(0, len(outside), 64):
-            block = outside[i : i + 64]
+        first, second = collections_of(s)
+        for i in range(0, len(outside), 32):
+            block = outside[i : i + 32]
+            xs, ys, ms = [], [], []
             for j in range(0, len(r), 4096):
                 same = (s[block, None, :] == s[None, j : j + 4096, :]).sum(2, dtype=np.uint8)
                 x, y = np.nonzero((same >= LEAST_MATCHES) & (c[block, None] != c[None, j : j + 4096]))
-                yield r[block[x]], r[j + y]
+                ms.append(same[x, y]), xs.append(block[x]), ys.append(y + j)
+            x, y, m = map(np.concatenate, (xs, ys, ms))
+            a, b = (first[x] == first[y]).argmax(1), (second[x] == second[y]).argmax(1)
+            own = key_of(first[x, a], second[x, b], a * SIDES[1][0] + b) == key
+            x, y, m = x[own], y[own], m[own]
+            if tried is not None and len(x):
+                order = np.lexsort((-m.astype(int), x))
+                x, y = x[order], y[order]
+                place = np.arange(len(x)) - np.searchsorted(x, x, "left")
+                x, y = x[place < tried], y[place < tried]
+            yield r[x], r[y]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k0, parts = None, []
@@ -214,13 +274,13 @@ def residual(members: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
         def flush() -> Iterator[pa.RecordBatch]:
             if parts:
                 r, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-                for x, y in pairs_of(r, c, s):
+                for x, y in pairs_of(k0, r, c, s):
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
         for batch in it:
             k = np.asarray(batch.column(0))
-            cols = [np.asarray(batch.column(1)), np.asarray(batch.column(2)), np.frombuffer(utf8(batch.column(3))[0].tobytes(), np.uint32).reshape(-1, WIDTH)]
+            cols = [np.asarray(batch.column(1)), np.asarray(batch.column(2)), _signatures(batch.column(3))]
             cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b > a:
@@ -245,10 +305,21 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     component = written(components(edges), "components")
     members = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("rep")).distinct()
     if not members.isEmpty():
-        more = written(residual(members, reps, component).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            extra = written(confirmed(likely(more, reps, percent / 100), docs, k, percent), "more-links")
-            component = written(components(edges.union(extra)), "components")
+        active = placed(members, component)
+        ids = written(active.select(F.col("rep").alias("doc_id")).distinct(), "run-ids")
+        alone = linkable(docs, ids, k, percent)
+        can = ids.select(F.col("doc_id").alias("rep")).join(alone, "rep", "left").join(reps.select("rep", "n_shingles"), "rep")
+        can = written(can.where((F.col("n_shingles") - F.coalesce("alone", F.lit(0))) * 100 >= percent * F.col("n_shingles")).select("rep"), "linkable")
+        members = written(active.join(can, "rep", "left_semi").select("key", "rep"), "run-members")
+        for tried in (TRIED, None):
+            more = written(residual(placed(members, component), reps, tried).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+            if more.isEmpty():
+                continue
+            links = written(confirmed(more, docs, k, percent), "more-links")
+            pairs = pairs.union(more)
+            if not links.isEmpty():
+                edges = edges.union(links)
+                component = written(components(edges), "components")
     of_class = reps.select("digest", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
