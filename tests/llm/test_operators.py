@@ -188,6 +188,22 @@ def test_toxicity(spark, docs, labels, nothing):
     assert toxicity.Lexicon(["lowei"]).look("loweischaft") == ("I", "lowei")
 
 
+def test_induction_counts_all_but_copies(spark):
+    """Documents that share words, among them the one of least hash, all count; copies of one label count once."""
+    import xxhash
+
+    rng = random.Random(9)
+    shared = [f"common{i}" for i in range(30)]
+    shared.append(min((f"q{i}" for i in range(20_000)), key=xxhash.xxh3_64_intdigest))
+    own = lambda: ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(30)]
+    texts = [" ".join(shared + own() + ["schurke"] * (i < 15)) for i in range(60)]
+    texts += [" ".join([*shared, *own(), "kopiert"])] * 15
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 15 or i >= 60)) for i in range(75)], "doc_id long, toxic int")
+    for frame in (df, df.orderBy(F.desc("doc_id")).repartition(5)):
+        assert toxicity.induced(frame, marks, F.lit(True)) == ["schurke"]
+
+
 def test_token_files(docs, nothing):
     from tokenizers import Tokenizer
 

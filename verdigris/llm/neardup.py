@@ -68,10 +68,10 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """WIDTH minhashes of 32 bits."""
-    out = np.empty(WIDTH, np.uint32)
-    for j in range(WIDTH):
+def signature(shingles: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The first ``width`` minhashes, of 32 bits."""
+    out = np.empty(width, np.uint32)
+    for j in range(width):
         x = (shingles ^ _SEEDS[j]) * _ODD[j]
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x94D049BB133111EB)

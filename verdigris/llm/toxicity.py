@@ -6,8 +6,8 @@ and ``TARGET`` marks clauses that address somebody.  What is scored is a matched
 "he called her a fool" and "not a fool" are three kinds.
 
 The lexicon has two parts: the words below, and stems induced from labelled rows, prefixes of words whose documents are toxic more often than chance
-allows after correction for the number of prefixes tried (``induced``; it reads at most ``max_rows`` labelled rows, the documented bound, and counts one
-document of each group of near copies).  Corpora in languages that the list doesn't know get their insults in this way.
+allows after correction for the number of prefixes tried (``induced``; it reads at most ``max_rows`` labelled rows, the documented bound, and counts texts
+of equal sketch and label once).  Corpora in languages that the list doesn't know get their insults in this way.
 
 Weights are learned from labelled rows: the weight of a pair is -log(1 - p), p the share of toxic ones among training documents with a clause
 of that pair, smoothed towards the kind's prior.  Weights add along a document, so its score is 1 - exp(-sum), which neither length nor clean clauses lower.
@@ -25,12 +25,12 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches, strings, written
+from .neardup import shingle_sets, signature
 
 INSULTS = """
 idiot idiots idiotic moron morons moronic imbecile stupid dumb dumbass loser losers scum trash garbage pathetic worthless clown clowns
@@ -57,6 +57,8 @@ THRESHOLD = 0.5
 #: Lengths of the prefixes that are tried as stems, and the share of toxic documents that a stem needs.
 STEM_LENGTHS = range(4, 9)
 STEM_PRECISION = 0.9
+#: Minhashes of the set of words that must all agree before two documents of one label count as copies: 0.85 of pairs of likeness 0.99 do, 1e-5 of likeness 0.5.
+SKETCH = 16
 
 _SYMBOL = dict.fromkeys(TARGETS, "Y") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T") | dict.fromkeys(INSULTS, "I")
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
@@ -153,6 +155,7 @@ def induced(docs: DataFrame, labels: DataFrame, train_rows, max_rows: int = 12_0
 
     A prefix qualifies when STEM_PRECISION of its documents are toxic and the binomial log-likelihood ratio against the overall share exceeds
     log(prefixes tried / 0.01).  Of nested ones the shortest counts, lengthened as long as no toxic document is lost.
+    Of documents with one label that agree in SKETCH minhashes of their words, the least text counts; different labels never merge.
     Executors count; the driver receives the prefixes that qualify.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train_rows).select("doc_id", F.col("toxic").cast("int").alias("y"))
@@ -161,8 +164,8 @@ def induced(docs: DataFrame, labels: DataFrame, train_rows, max_rows: int = 12_0
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             texts = strings(batch.column(1))
-            key = [min((xxhash.xxh3_64_intdigest(w) for w in t.split()), default=0) - 2**63 for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column(0), pa.array(texts, pa.string())], ["key", "y", "text"])
+            key = [signature(s, SKETCH).tobytes() if len(s) else b"" for s in shingle_sets(pa.array([t.lower() for t in texts], pa.string()), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), batch.column(0), pa.array(texts, pa.string())], ["key", "y", "text"])
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, toxic = Counter(), Counter()
@@ -175,7 +178,7 @@ def induced(docs: DataFrame, labels: DataFrame, train_rows, max_rows: int = 12_0
         names = list(every)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([every[n] for n in names], pa.int64()), pa.array([toxic[n] for n in names], pa.int64())], ["stem", "n", "toxic"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(keyed, "key long, y int, text string").dropDuplicates(["key"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(keyed, "key binary, y int, text string").groupBy("key", "y").agg(F.min("text").alias("text")).select("key", "y", "text")
     counts = written(sample.mapInArrow(counted, "stem string, n long, toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "stems")
     share = known.agg(F.avg("y")).first()[0]
     if not share or share >= 1:
