@@ -316,6 +316,22 @@ def test_lm_is_normalised():
     assert np.allclose(np.exp(first[3] + second[5] - z[3, 5]).sum(), 1, atol=1e-4)
 
 
+def test_lm_learns_rare_words_and_ignores_partitions(spark):
+    """A text of rare words alone has a score that depends on their order, and that neither order nor partitions of the table change."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(1100)]
+    texts = [" ".join(rng.choice(common) for _ in range(600)) for _ in range(10)]
+    texts += [" ".join(f"{rng.randrange(10**9)}{e}" for _ in range(80) for e in ("ung", "tion", "ado")) for _ in range(20)]
+    rare = [f"x{i}{e}" for i in range(20) for e in ("ung", "tion", "ado")]
+    texts += [" ".join(rare), " ".join(sorted(rare, key=lambda w: w[::-1]))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {r["doc_id"]: r["score"] for r in lm.scored(df.coalesce(1), F.col("doc_id") >= 30).collect()}
+    other = {r["doc_id"]: r["score"] for r in lm.scored(df.orderBy(F.desc("doc_id")).repartition(7), F.col("doc_id") >= 30).collect()}
+    assert first[30] > first[31] + 1
+    assert all(math.isclose(first[i], other[i], rel_tol=1e-5) for i in first)
+    assert lm.size_for(10) < lm.size_for(10**7)
+
+
 def test_quality(docs, labels, nothing):
     trees = quality.train(docs, labels, ~held_out(5))
     got = table(quality.score(docs.withColumn("score", F.lit("clash")), trees))

@@ -1,11 +1,14 @@
 """Language-model scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation, beside a unigram base.
 
-Tokens are words and an end for each document.  Their counts in the training documents are gathered for the whole corpus; the ``CLASSES`` - 2 most frequent words,
-'any other word' and the end are the classes of the neural model, which predicts a class from the two before it: the score of class w is
-(r1[a] + r2[b]) . q[w] + bias[w], a and b being the classes before.  Every partition of the corpus trains a copy from one common start on all its training
-documents, their class triples with their numbers, by noise-contrastive estimation; the copies are averaged, weighted by their tokens, in groups of bounded size.
+Tokens are words and an end for each document.  Their counts in the training documents are gathered for the whole corpus.  The classes of the neural model are the
+most frequent words, one each, groups of all other words by the hash of their last letters, seen in training or not, and the end.  There are ``size_for`` of them:
+more as the vocabulary grows, from 2 to 4 times ``CLASSES``, half of them groups; the upper bound is that of three size x size tables in each worker.
+The model predicts a class from the two before it: the score of class w is (r1[a] + r2[b]) . q[w] + bias[w], a and b being the classes before.
+
+Class triples are counted over the whole corpus and dealt by their hash to units, so neither files nor partitions matter.  In each of ``ROUNDS`` rounds every unit trains
+a copy from one common start by noise-contrastive estimation; the copies, averaged by their tokens in groups of bounded size, are the start of the next.
 Batched matrix products over all pairs of contexts then give the logarithms of the normalisers, so token log-probabilities are normalised.
-Words outside the classes share their class's probability by (c + 0.1) / mass, the mass with a place for the unseen.
+Words of a group share its probability by (c + 0.1) / mass, the mass of each with a place for the unseen.
 
 Counts of the ``HEAD`` most frequent words go to the executors (a bounded table); the other words of the documents are counted, joined to the counts by word and
 summed by document.  No limit on words or documents.
@@ -28,9 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, strings, written
+from .common import batches, partitions_for, strings, written
 
 CLASSES = 512
+#: Averaged rounds of training; parts that triples are dealt to, and most triples of a unit.
+ROUNDS = 3
+PARTS = 64
+UNIT = 500_000
+#: Letters at the end of a word, before punctuation, that name its group.
+ENDING = 3
 HEAD = 200_000
 WIDTH = 16
 NOISE = 64
@@ -61,13 +70,14 @@ class Model:
     def arrays(self) -> list[np.ndarray]:
         return [self.first, self.second, self.out, self.bias]
 
-    def normalisers(self) -> np.ndarray:
-        """log of the sum over classes of exp(score), for every pair of contexts; a matrix product for each first context."""
-        z = np.empty((len(self.bias), len(self.bias)), np.float32)
-        for a in range(len(self.bias)):
+    def normalisers(self, firsts: range | None = None) -> np.ndarray:
+        """log of the sum over classes of exp(score), for every pair of contexts or those of some first ones; a matrix product for each first context."""
+        firsts = range(len(self.bias)) if firsts is None else firsts
+        z = np.empty((len(firsts), len(self.bias)), np.float32)
+        for i, a in enumerate(firsts):
             s = (self.first[a] + self.second) @ self.out.T + self.bias
             top = s.max(1)
-            z[a] = top + np.log(np.exp(s - top[:, None]).sum(1))
+            z[i] = top + np.log(np.exp(s - top[:, None]).sum(1))
         return z
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,59 +148,110 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def size_for(vocabulary: int) -> int:
+    """Number of classes: doubled from 2 * CLASSES while its square is below the number of words, up to 4 * CLASSES."""
+    size = 2 * CLASSES
+    while size < 4 * CLASSES and size * size < vocabulary:
+        size *= 2
+    return size
+
+
 class Words:
-    """The head of the vocabulary: class and count of each word; other words are in the class before the last."""
+    """The head of the vocabulary by place, and the class of any word: its own for the most frequent ones, else the group of its ending."""
 
-    def __init__(self, head: list[tuple[bytes, int]]) -> None:
-        self.other, self.end = CLASSES - 2, CLASSES - 1
+    def __init__(self, head: list[tuple[bytes, int]], size: int) -> None:
+        self.size, self.own, self.end = size, size // 2, size - 1
         self.place = {w: i for i, (w, _) in enumerate(head)}
         self.count = np.array([c for _, c in head], np.int64)
+        self.kind = np.array([i if i < self.own else self.group(w) for i, (w, _) in enumerate(head)], np.int64)
+
+    def group(self, word: bytes) -> int:
+        ending = (word.rstrip(b".,;:!?)\"'|") or word)[-ENDING:]
+        return self.own + xxhash.xxh32_intdigest(ending) % (self.end - self.own)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Place in the head, -1 for none."""
         get = self.place.get
         return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
 
-    def classes(self, places: np.ndarray) -> np.ndarray:
-        return np.append(np.where((places >= 0) & (places < self.other), places, self.other), self.end)
+    def classes(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        out = np.append(self.kind[places] if len(self.kind) else places, self.end)
+        for i in np.flatnonzero(places < 0).tolist():
+            out[i] = self.group(words[i])
+        return out
 
 
-def fitted(docs: DataFrame, words: Words, share: np.ndarray) -> Model:
-    """The average of the partitions' models; the driver receives at most 16 partial averages, 100 kB each."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, share))
-    start = Model.start(share)
-    cut = np.cumsum([x.size for x in start.arrays()])[:-1]
+def group_sums(counts: DataFrame, words) -> DataFrame:
+    """(kind, c, n): occurrences and number of the words of each group; at most a row for each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, share = shared.value
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
-        held: list[np.ndarray] = []
-        tokens, key = 0, 0
-
-        def fold() -> None:
-            """Distinct triples and their numbers in place of the triples."""
-            if held:
-                codes, times = np.unique(np.concatenate(held), return_counts=True)
-                seen.append((codes, times))
-                held.clear()
+        known = words.value
+        c, n = np.zeros(known.size, np.int64), np.zeros(known.size, np.int64)
+        for batch in it:
+            kinds = np.fromiter([-1 if 0 <= known.place.get(w, -1) < known.own else known.group(w) for w in batch.column(0).to_pylist()], np.int64, batch.num_rows)
+            np.add.at(c, kinds[kinds >= 0], np.asarray(batch.column(1))[kinds >= 0])
+            n += np.bincount(kinds[kinds >= 0], minlength=known.size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at]), pa.array(n[at])], ["kind", "c", "n"])
+
+    return counts.select("word", "c").mapInArrow(run, "kind long, c long, n long").groupBy("kind").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def triples_of(docs: DataFrame, words) -> DataFrame:
+    """(part, codes, times): the class triples of the corpus with their numbers, in units of at most UNIT that depend on the corpus alone."""
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = words.value, []
+
+        def out() -> pa.RecordBatch:
+            codes, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times.astype(np.int64))], ["code", "n"])
 
+        tokens = 0
         for batch in batches(it, 512):
             for t in batch.column(0).to_pylist():
-                c = words.classes(words.places(words_of(t)))
-                before = np.concatenate([[words.end, words.end], c[:-1]])
-                held.append((before[:-1] * CLASSES + before[1:]) * CLASSES + c)
+                each = words_of(t)
+                c = known.classes(each, known.places(each))
+                before = np.concatenate([[known.end, known.end], c[:-1]])
+                held.append((before[:-1] * known.size + before[1:]) * known.size + c)
                 tokens += len(c)
-                key = key or xxhash.xxh3_64_intdigest((t or "").encode()) % 16 + 1
-            if sum(map(len, held)) > 2_000_000:
-                fold()
-        fold()
-        if tokens:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in seen]), return_inverse=True)
-            times = np.bincount(inverse, np.concatenate([n for _, n in seen]))
-            triples = np.stack([codes // CLASSES**2, codes // CLASSES % CLASSES, codes % CLASSES], axis=1)
-            model = train(Model.start(share), triples, times, share)
-            flat = np.concatenate([x.ravel() for x in model.arrays()]).astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "tokens", "sums"])
+            if tokens > 4_000_000:
+                yield out()
+                tokens = 0
+        yield out()
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, codes, times = None, [], []
+
+        def out() -> pa.RecordBatch:
+            row = [pa.array([part], pa.int32()), pa.array([np.array(codes, np.int64).tobytes()], pa.binary()), pa.array([np.array(times, np.int64).tobytes()], pa.binary())]
+            codes.clear()
+            times.clear()
+            return pa.RecordBatch.from_arrays(row, ["part", "codes", "times"])
+
+        for batch in it:
+            for p, c, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if codes and (p != part or len(codes) == UNIT):
+                    yield out()
+                part = p
+                codes.append(c)
+                times.append(n)
+        if codes:
+            yield out()
+
+    whole = docs.select("text").mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    dealt = whole.select(F.pmod(F.xxhash64("code"), F.lit(PARTS)).cast("int").alias("part"), "code", "n")
+    sorted_ = dealt.repartition(partitions_for(docs.sparkSession, PARTS), "part").sortWithinPartitions("part", F.xxhash64("code", F.lit(1)), "code")
+    return written(sorted_.mapInArrow(packed, "part int, codes binary, times binary"), "lm-triples")
+
+
+def fitted(docs: DataFrame, words, share: np.ndarray) -> Model:
+    """The last round's average of the units' models; the driver receives at most 16 partial averages a round, 800 kB each."""
+    context = docs.sparkSession.sparkContext
+    units = triples_of(docs, words)
+    model, schema = Model.start(share), "part int, tokens long, sums binary"
+    cut = np.cumsum([x.size for x in model.arrays()])[:-1]
 
     def added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of a part's models, one by one from the stream."""
@@ -203,14 +264,40 @@ def fitted(docs: DataFrame, words: Words, share: np.ndarray) -> Model:
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t for t, _ in totals.values()], pa.int64()), pa.array([s.tobytes() for _, s in totals.values()], pa.binary())], ["part", "tokens", "sums"])
 
-    schema = "part int, tokens long, sums binary"
-    trained = docs.select("text").mapInArrow(run, schema)
-    rows = trained.repartition(16, "part").mapInArrow(added, schema).collect()
-    if not rows:
-        return Model(*[np.zeros_like(x) for x in start.arrays()[:3]], start.bias)
-    rows.sort(key=lambda r: r["part"])
-    mean = sum(np.frombuffer(r["sums"], np.float64) for r in rows) / sum(r["tokens"] for r in rows)
-    return Model(*[x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(mean, cut), start.arrays(), strict=True)])
+    for _ in range(ROUNDS):
+        start = context.broadcast((model, share))
+
+        def run(it: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            model, share = start.value
+            size = len(share)
+            for batch in it:
+                for part, codes, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    codes, times = np.frombuffer(codes, np.int64), np.frombuffer(times, np.int64)
+                    tokens = int(times.sum())
+                    one = train(model, np.stack([codes // size**2, codes // size % size, codes % size], axis=1), times, share, epochs=1)
+                    flat = np.concatenate([x.ravel() for x in one.arrays()]).astype(np.float64) * tokens
+                    yield pa.RecordBatch.from_arrays([pa.array([part % 16], pa.int32()), pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "tokens", "sums"])
+
+        rows = units.mapInArrow(run, schema).repartition(16, "part").mapInArrow(added, schema).collect()
+        if not rows:
+            return Model(*[np.zeros_like(x) for x in model.arrays()[:3]], model.bias)
+        rows.sort(key=lambda r: r["part"])
+        mean = sum(np.frombuffer(r["sums"], np.float64) for r in rows) / sum(r["tokens"] for r in rows)
+        model = Model(*[x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(mean, cut), model.arrays(), strict=True)])
+    return model
+
+
+def normalised(spark, model: Model) -> np.ndarray:
+    """The model's normalisers, computed on the executors by ranges of the first context."""
+    shared, size = spark.sparkContext.broadcast(model), len(model.bias)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for a in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([shared.value.normalisers(range(a, a + 1)).tobytes()], pa.binary())], ["a", "z"])
+
+    rows = sorted(spark.range(0, size, 1, 32).mapInArrow(run, "a long, z binary").collect())
+    return np.stack([np.frombuffer(r["z"], np.float32) for r in rows])
 
 
 def scored(docs: DataFrame, held_out) -> DataFrame:
@@ -222,37 +309,42 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     ends = training.count()
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    words = Words(head)
-    in_class = sum(c for _, c in head[: words.other])
-    share = np.full(CLASSES, 0.1)
-    share[: min(len(head), words.other)] += [c for _, c in head[: words.other]]
-    share[words.other] += n - ends - in_class
+    words = Words(head, size_for(v))
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(words)
+    own = [c for _, c in head[: words.own]]
+    share, mass = np.full(words.size, 0.1), np.full(words.size, 0.1)
+    share[: len(own)] += own
+    for r in group_sums(counts, sent).collect():
+        share[r["kind"]] += r["c"]
+        mass[r["kind"]] += r["c"] + 0.1 * r["n"]
     share[words.end] += ends
-    model = fitted(training, words, share / share.sum())
-    mass = n - ends - in_class + 0.1 * (v - (ends > 0) - min(len(head), words.other) + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((words, *model.tables()))  # HEAD words and four CLASSES x CLASSES tables
+    mass[: words.own] = mass[words.end] = 1
+    model = fitted(training, sent, share / share.sum())
+    # HEAD words and three tables of size x size
+    shared = context.broadcast((words, model.first @ model.out.T, model.second @ model.out.T + model.bias, normalised(docs.sparkSession, model), np.log10(mass)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, t1, t2, z = shared.value
+        words, t1, t2, z, log_mass = shared.value
         logs = np.log10(words.count + 0.1)
         for batch in batches(it, 512):
             rows = []
             for t in strings(batch.column(1)):
                 tokens = words_of(t)
                 at = words.places(tokens)
-                c = words.classes(at)
+                c = words.classes(tokens, at)
                 before = np.concatenate([[words.end, words.end], c[:-1]])
                 a, b = before[:-1], before[1:]
                 neural = float((t1[a, c] + t2[b, c] - z[a, b]).astype(np.float64).sum()) / math.log(10)
                 inside = at[at >= 0]
                 tail = Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()])
-                rows.append((xxhash.xxh3_128_digest((t or "").encode()), len(c), len(inside), float(logs[inside].sum()), neural, int((c == words.other).sum()), float(logs[inside[inside >= words.other]].sum()), [{"word": w, "n": k} for w, k in tail.items()]))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
+                rows.append((xxhash.xxh3_128_digest((t or "").encode()), len(c), len(inside), float(logs[inside].sum()), neural, float(log_mass[c].sum()), float(logs[inside[inside >= words.own]].sum()), [{"word": w, "n": k} for w, k in tail.items()]))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "held_out", "tid", "n_tokens", "known", "logs", "neural", "others", "other_logs", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "held_out", "tid", "n_tokens", "known", "logs", "neural", "spread", "other_logs", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, tid binary, n_tokens long, known long, logs double, neural double, others long, other_logs double, tail array<struct<word:binary,n:int>>"), "lm-rows")
+    found = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, tid binary, n_tokens long, known long, logs double, neural double, spread double, other_logs double, tail array<struct<word:binary,n:int>>"), "lm-rows")
     each = found.select("tid", F.explode("tail").alias("t")).select("tid", "t.word", "t.n")
     c = F.coalesce("c", F.lit(0))
     sums = each.join(counts, "word", "left").groupBy("tid").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("tail_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"))
@@ -266,7 +358,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
         (F.col("known") + F.col("tail_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("tail_logs") + F.lit(math.log10(ends + 0.1)) - F.col("n_tokens") * F.lit(math.log10(n + 0.1 * (v + 1)))).alias("base_score"),
-        (F.col("neural") + F.col("other_logs") + F.col("tail_logs") - F.col("others") * F.lit(math.log10(mass))).alias("score"),
+        (F.col("neural") + F.col("other_logs") + F.col("tail_logs") - F.col("spread")).alias("score"),
     )
 
 
