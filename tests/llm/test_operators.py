@@ -138,6 +138,13 @@ def test_near_duplicates(docs, k):
     assert kept == {i for i in sets if find(i) == i}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_shingles_of_a_single_short_text(n):
+    import pyarrow as pa
+
+    assert [len(s) for s in neardup.shingle_sets(pa.array([" ".join("abcde"[:n])]), 5)] == [1]
+
+
 def test_near_duplicates_in_long_runs(spark, monkeypatch):
     """A group whose members are linked to a centre and not to one another, over the size of a run that is expanded."""
     rng = random.Random(3)

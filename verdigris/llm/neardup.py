@@ -53,7 +53,9 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     chained = words.copy()
     for step in range(1, k):
-        chained[:-step or None] = mixed(chained[:-step] * np.uint64(0x9E3779B97F4A7C15) + words[step:]) if len(words) > step else chained
+        if len(words) <= step:
+            break
+        chained[:-step] = mixed(chained[:-step] * np.uint64(0x9E3779B97F4A7C15) + words[step:])
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= k:
