@@ -145,6 +145,18 @@ def test_shingles_of_a_single_short_text(n):
     assert [len(s) for s in neardup.shingle_sets(pa.array([" ".join("abcde"[:n])]), 5)] == [1]
 
 
+def test_groups_that_still_change_are_an_error(spark):
+    from verdigris.llm.components import components
+    from verdigris.operators import similarity
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    assert {r["component"] for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, 1)
+    with pytest.raises(RuntimeError):
+        similarity.groups(chain.toDF("a", "b"), 1)
+
+
 def test_near_duplicates_in_long_runs(spark, monkeypatch):
     """A group whose members are linked to a centre and not to one another, over the size of a run that is expanded."""
     rng = random.Random(3)

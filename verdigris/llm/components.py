@@ -16,7 +16,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component), the smallest node reachable, for every node of edges(u, v); nodes without edges are not listed.
 
     Each step is an aggregation and a join on the node, both with map-side work only proportional to the edges; no neighbourhood is ever collected.
-    The number of steps is logarithmic in the number of nodes; the state after each is written to the shared folder.
+    The number of steps is logarithmic in the number of nodes, and more than ``most`` are an error; the state after each is written to the shared folder.
     """
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     now = written(ends, "edges")
@@ -35,4 +35,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if after == state:
             break
         state = after
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

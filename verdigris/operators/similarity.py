@@ -50,6 +50,8 @@ def groups(edges: DataFrame, most: int = 50) -> DataFrame:
         now = following
         if not changed:
             break
+    else:
+        raise RuntimeError(f"groups still change after {most} rounds")
     return now
 
 
