@@ -311,6 +311,14 @@ def test_bpe(docs, nothing):
     assert bpe.encoded(nothing).count() == 0
 
 
+def test_bpe_decodes_the_ids_it_made(monkeypatch):
+    own, given = bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    plain = bpe.Decoder.next
+    monkeypatch.setattr(bpe.Decoder, "next", lambda self, token: given.append(token) or plain(self, token))
+    n, ids, text = own.encode("Straße of words, of words")
+    assert given == [int(i) for i in ids.split()] and n == len(given) and text == " ".join(own.names[i] for i in given)
+
+
 def test_lm(docs, nothing):
     got = table(lm.scored(docs, held_out(10)))
     counts, data = collections.Counter(), rows()

@@ -149,7 +149,7 @@ class Tokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.blank = regex.compile(r"[\t\n\v\f\r\x85\p{Z}]+")
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.bytes = {c: b for b, c in enumerate(byte_letters())}
 
     def piece(self, text: str) -> list[int]:
@@ -184,10 +184,10 @@ class Tokenizer:
             return text.split()
         return [w for w in self.blank.split(text) if w]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """(number of ids, ids as decimal text, token strings), remembered."""
+    def word(self, word: str) -> tuple[tuple[int, ...], str]:
+        """(ids, ids as decimal text), remembered."""
         ids = self.ids(word)
-        found = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+        found = (tuple(ids), " ".join(map(str, ids)))
         if len(word) <= 64:
             if len(self.known) >= REMEMBERED:
                 for old in list(self.known)[: REMEMBERED // 2]:
@@ -196,11 +196,12 @@ class Tokenizer:
         return found
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids joined by blanks, decoded text)."""
+        """(number of ids, ids joined by blanks, what the decoder makes of those ids)."""
         known, word = self.known, self.word
         found = [known.get(w) or word(w) for w in self.words(text or "")]
         found = [f for f in found if f[0]]
-        return sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+        ids = [i for f in found for i in f[0]]
+        return len(ids), " ".join([f[1] for f in found]), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         machine = Decoder(self)
