@@ -66,31 +66,52 @@ def windows(texts, length):
     return seen
 
 
-@pytest.mark.parametrize("length", [400, 64])
-def test_suffix_dedup(docs, length):
-    got, seen = table(suffix_dedup.judged(docs, length)), windows([r[1] for r in rows()], length)
-    for i, t, *_ in rows():
+def removed(texts, length):
+    """For each text its repeated stretches, by counting all windows."""
+    seen = windows(texts, length)
+    for t in texts:
+        b = (t or "").encode()
+        yield suffix_dedup.union_of([(p, p + length) for p in range(len(b) - length + 1) if seen[b[p : p + length]] > 1])
+
+
+@pytest.mark.parametrize(("lengths", "most"), [((400,), 8192), ((100, 160), 8192), ((100, 160), 1), ((250, 400), 1)])
+def test_suffix_dedup(docs, monkeypatch, lengths, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    got, texts = table(suffix_dedup.judged(docs, lengths)), [r[1] for r in rows()]
+    for (i, t, *_), short, long in zip(rows(), removed(texts, lengths[0]), removed(texts, lengths[-1]), strict=True):
         b = (t or "").encode()
-        spans = suffix_dedup.union_of([(p, p + length) for p in range(len(b) - length + 1) if seen[b[p : p + length]] > 1])
         left, at = b"", 0
-        for a, e in spans:
+        for a, e in long:
             left, at = left + b[at:a], e
         left += b[at:]
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), len(b) - len(left), len(spans), hashlib.sha256(left).hexdigest())
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), len(b) - len(left), len(long), hashlib.sha256(left).hexdigest())
+        assert r["n_passage"] == sum(e - a for a, e in short)
 
 
-def test_suffix_dedup_of_large_anchor_groups(docs, monkeypatch):
-    whole = table(suffix_dedup.judged(docs))
-    monkeypatch.setattr(suffix_dedup, "MOST", 1)
-    counted = table(suffix_dedup.judged(docs))
-    assert {i: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in whole.items()} == {i: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in counted.items()}
+def test_suffix_dedup_over_pieces(spark, monkeypatch):
+    """Texts longer than a piece of anchoring: strings that lie across its border."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 12)
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = [noise(n) for n in (399, 400, 700)]
+    texts = [noise(3800) + shared[0] + noise(3300) + shared[2] + noise(900), noise(7900) + shared[1] + noise(4000), noise(90) + shared[1] + noise(8000) + shared[2], shared[0] + noise(20_000)]
+    got = table(suffix_dedup.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in range(4)] == [sum(b - a for a, b in s) for s in removed(texts, 400)] == [700, 400, 1100, 0]
 
 
-def test_suffix_dedup_stage(docs):
+def test_suffix_dedup_stage(spark, docs):
+    data, texts = rows(), [r[1] for r in rows()]
     out = table(suffix_dedup.without_repeats(docs))
-    assert len(out) == len(rows()) and suffix_dedup.without_repeats(docs).columns == docs.columns
-    assert out[3]["text"] == rows()[3][1] or out[3]["text"] == ""
-    assert out[5]["text"] == rows()[5][1]
+    assert len(out) == len(data) and suffix_dedup.without_repeats(docs).columns == docs.columns
+    for (i, t, *_), spans in zip(data, removed(texts, 400), strict=True):
+        b, left, at = (t or "").encode(), b"", 0
+        for a, e in spans:
+            left, at = left + b[at:a], e
+        assert (out[i]["text"] or "") == (left + b[at:]).decode("utf-8", "ignore")
+    clash = docs.select("doc_id", "text", F.lit(7).alias("left"), F.lit(8).alias("n_removed"), F.lit(9).alias("tid"), F.lit("x").alias("kept_bytes"))
+    again = table(suffix_dedup.without_repeats(clash))
+    assert {i: r["text"] for i, r in again.items()} == {i: r["text"] for i, r in out.items()} and {(r["left"], r["n_removed"], r["tid"], r["kept_bytes"]) for r in again.values()} == {(7, 8, 9, "x")}
 
 
 def test_fingerprints(docs):

@@ -11,7 +11,7 @@ from .common import held_out, read, written
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.judged(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.judged(docs, (suffix_dedup.PASSAGE, suffix_dedup.LENGTH)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
