@@ -26,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that start elsewhere in what is left."""
-    return suffix_dedup.without_repeats(docs)
+    """Documents without the strings of ``PASSAGE`` bytes, some fifty words, that start elsewhere in what is left."""
+    return suffix_dedup.without_repeats(docs, suffix_dedup.PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
