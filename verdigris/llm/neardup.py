@@ -4,10 +4,11 @@ A document is the set of its word shingles, as 64-bit hashes.  Instead of a minh
 computed, ``SIDES``: 12 of two minhashes and 17 of three, and table (i, j) is keyed by collection i of the first side and j of the second: 204 tables
 of five minhashes from 75 minhashes where independent tables would take 1,020.  A pair of likeness 0.8 shares no table with a probability of about 1e-5.
 
-Documents with equal sets form a class, found by the digest of the set, and only one of each class is sketched.  Table rows are sorted by key; runs of up
-to ``SMALL`` emit their pairs, longer runs are linked to their first member, and what differs in component after that is compared by signature in blocks
-(``residual``), the likeliest partners of a member first and all that are left at last, so nothing is lost and no run is expanded into all its pairs.  Candidates pass a signature estimate that a true pair fails with a
-probability below 1e-6, and are then confirmed on the full sets.  Components follow by star contraction.
+Documents with equal sets form a class, found by the digest of the set, and only one of each class is sketched.  Table rows are sorted by key.  At first each member is
+paired with the least and the greatest of its runs' first members only; components of the links so far are then contracted, and only members of runs that still hold several
+components go on: short runs (up to ``SMALL``) with their pairs across components, longer ones compared by signature in blocks (``residual``), the likeliest partners of a
+member first and all that are left at last.  So nothing is lost, and no group is expanded into all its pairs.  Candidates pass a signature estimate that a true pair fails with
+a probability below 1e-6 (a binomial tail), and are then confirmed on the full sets.  Components follow by star contraction.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words than a shingle has its whole sequence as the
 one shingle; rows without an id are no one's copy (component null, kept true); rows that repeat an id are one document, and stay or go together;
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, by_ids, hash_runs, mixed, partitions_for, utf8, word_runs, written
+from .common import batches, by_ids, dropped, hash_runs, mixed, partitions_for, utf8, word_runs, written
 from .components import components
 
 #: (collections, minhashes in each) of either side.
@@ -131,43 +132,31 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def runs(keys: DataFrame) -> DataFrame:
-    """(a, b, large): candidate pairs a < b of the tables' runs with large false, and with large true (key, member) of every run over SMALL."""
+    """(key, rep, leader): the members of every run of two or more, with the run's least member; a row for each member of a run, however long."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_k, rest_r = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        open_key, leader = None, None  # a run over SMALL whose end has not come yet
+        open_key, leader = None, None  # a run that has gone out in part
 
         def emit(k: np.ndarray, r: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal open_key, leader
             if not len(k):
                 return
-            a, b, large = [], [], []
-
-            def add(x: np.ndarray, y: np.ndarray, kind: bool) -> None:
-                a.append(x), b.append(y), large.append(np.full(len(x), kind))
-
-            if open_key is not None and k[0] == open_key:
-                n = int(np.searchsorted(k, open_key, "right"))
-                add(np.full(n, leader), r[:n], False)
-                add(k[:n], r[:n], True)
-                k, r = k[n:], r[n:]
-            if len(k):
+            heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            length = np.diff(np.append(heads, len(k)))
+            first = r[heads]
+            known = open_key is not None and k[0] == open_key
+            if known:
+                first[0] = leader
+            several = length > 1
+            several[0] |= known
+            if len(k) - heads[-1] > 65_536 or (known and len(heads) == 1):
+                open_key, leader = k[-1], first[-1]
+            else:
                 open_key = None
-                heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                length = np.diff(np.append(heads, len(k)))
-                for step in range(1, SMALL):  # pairs of members step places apart
-                    inside = np.repeat(np.where(length <= SMALL, heads + length, 0), length)
-                    first = np.flatnonzero(np.arange(len(k)) + step < inside)
-                    if not len(first):
-                        break
-                    add(r[first], r[first + step], False)
-                for h, n in zip(heads[length > SMALL], length[length > SMALL], strict=True):
-                    add(np.full(n - 1, r[h]), r[h + 1 : h + n], False)
-                    add(k[h : h + n], r[h : h + n], True)
-                    open_key, leader = (k[h], r[h]) if h + n == len(k) else (None, None)
-            if a:
-                rows = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(large).astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(bool))], ["a", "b", "large"])
+            keep = np.repeat(several, length)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(r[keep]), pa.array(np.repeat(first, length)[keep])], ["key", "rep", "leader"])
 
         for batch in it:
             k = np.concatenate([rest_k, np.asarray(batch.column(0))])
@@ -180,7 +169,34 @@ def runs(keys: DataFrame) -> DataFrame:
         yield from emit(rest_k, rest_r)
 
     dealt = keys.repartition(partitions_for(keys.sparkSession), "key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(run, "a long, b long, large boolean")
+    return dealt.mapInArrow(run, "key long, rep long, leader long")
+
+
+def crossing(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of different components inside runs of at most SMALL members, from (key, rep, component)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 3
+
+        def emit(k: np.ndarray, r: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = [], []
+            for step in range(1, SMALL):  # members step places apart
+                at = np.flatnonzero((k[step:] == k[:-step]) & (c[step:] != c[:-step]))
+                a.append(r[at]), b.append(r[at + step])
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        for batch in it:
+            k, r, c = (np.concatenate([old, np.asarray(x)]) for old, x in zip(rest, batch.columns, strict=True))
+            cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0
+            yield from emit(k[:cut], r[:cut], c[:cut])
+            rest = [x[cut:] for x in (k, r, c)]
+        yield from emit(*rest)
+
+    dealt = rows.select("key", "rep", "component").repartition(partitions_for(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
@@ -213,10 +229,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, rep, component) of the members of long runs that hold several components."""
+    """(key, rep, component, n) of the members of runs that hold several components, n members in all."""
     with_component = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    active = with_component.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    return with_component.join(active, "key", "left_semi")
+    active = with_component.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y").select("key", "n")
+    return with_component.join(active, "key")
 
 
 def linkable(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
@@ -239,6 +255,16 @@ def linkable(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame
     return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def with_links(active: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, rep) of those members of mixed runs that can have a link among them."""
+    active = written(active.select("key", "rep"), "long-runs")
+    ids = written(active.select(F.col("rep").alias("doc_id")).distinct(), "run-ids")
+    alone = linkable(docs, ids, k, percent)
+    can = ids.select(F.col("doc_id").alias("rep")).join(alone, "rep", "left").join(reps.select("rep", "n_shingles"), "rep")
+    can = written(can.where((F.col("n_shingles") - F.coalesce("alone", F.lit(0))) * 100 >= percent * F.col("n_shingles")).select("rep"), "linkable")
+    return written(active.join(can, "rep", "left_semi"), "run-members")
+
+
 def residual(rows: DataFrame, reps: DataFrame, tried: int | None) -> DataFrame:
     """Pairs of long runs that lie in different components and agree in signature; one side lies outside the run's largest component.
 
@@ -302,26 +328,34 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     linked = sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "reps")
     found = written(runs(table_keys(reps)), "runs")
-    pairs = written(likely(found.where("!large").select("a", "b").distinct(), reps, percent / 100), "pairs")
+    # first a pair or two for each member: with the least and the greatest of its leaders
+    leaders = found.where("leader != rep").groupBy("rep").agg(F.min("leader").alias("x"), F.max("leader").alias("y"))
+    pairs = written(likely(leaders.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("rep").alias("b")), reps, percent / 100), "pairs")
     edges = written(confirmed(pairs, docs, k, percent), "links")
     component = written(components(edges), "components")
-    members = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("rep")).distinct()
-    if not members.isEmpty():
-        active = placed(members, component)
-        ids = written(active.select(F.col("rep").alias("doc_id")).distinct(), "run-ids")
-        alone = linkable(docs, ids, k, percent)
-        can = ids.select(F.col("doc_id").alias("rep")).join(alone, "rep", "left").join(reps.select("rep", "n_shingles"), "rep")
-        can = written(can.where((F.col("n_shingles") - F.coalesce("alone", F.lit(0))) * 100 >= percent * F.col("n_shingles")).select("rep"), "linkable")
-        members = written(active.join(can, "rep", "left_semi").select("key", "rep"), "run-members")
-        for tried in (TRIED, None):
-            more = written(residual(placed(members, component), reps, tried).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-            if more.isEmpty():
-                continue
-            links = written(confirmed(more, docs, k, percent), "more-links")
-            pairs = pairs.union(more)
-            if not links.isEmpty():
-                edges = edges.union(links)
-                component = written(components(edges), "components")
+    # then only what is still in different components: all pairs of short runs, and blocks of long ones
+    active = written(placed(found, component), "mixed-runs")
+    dropped(found)
+    rounds = [("short", None), ("long", TRIED), ("long", None)]
+    members = None
+    for kind, tried in rounds:
+        if kind == "short":
+            more = likely(crossing(active.where(F.col("n") <= SMALL)).join(pairs, ["a", "b"], "left_anti"), reps, percent / 100)
+        else:
+            if members is None:
+                long = active.where(F.col("n") > SMALL).select("key", "rep")
+                if long.isEmpty():
+                    break
+                members = with_links(placed(long, component), docs, reps, k, percent)
+            more = residual(placed(members, component), reps, tried).join(pairs, ["a", "b"], "left_anti")
+        more = written(more, "more-pairs")
+        if more.isEmpty():
+            continue
+        links = written(confirmed(more, docs, k, percent), "more-links")
+        pairs = pairs.union(more)
+        if not links.isEmpty():
+            edges = edges.union(links)
+            component = written(components(edges), "components")
     of_class = reps.select("digest", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

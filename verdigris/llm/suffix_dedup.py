@@ -11,8 +11,8 @@ Over the contexts of an anchor the search is that of threshold-bounded interval
 anchor are sorted, with the common prefixes of neighbours; then, breadth first, all suffixes are extended backward by a byte at a time: a stable sort by the
 new byte takes the order to the next column, as the last-to-first mapping does, and common prefixes grow by one where neighbours in the new order
 have the same new byte, from the minimum over the range they came from.  After l steps the order is that of the suffixes that start l bytes before the anchor, and neighbours
-with a common prefix of a length or more share the window that starts there.  A suffix whose interval is too short to reach the threshold any more leaves the order, so lone ones
-are not extended; prefixes are bounded by the greatest length; and the expansion stops when no window has the anchor in it any more.
+with a common prefix of a length or more share the window that starts there.  Only intervals that the new byte divides are sorted, and a suffix whose interval is too short to
+reach the threshold any more leaves the order, so lone ones are not extended; prefixes are bounded by the greatest length; and the expansion stops when no window has the anchor in it any more.
 
 An interval with more than ``MOST`` contexts is expanded by grouping instead, so that no task holds it (``expanded``): a range of window starts is an interval by the string that
 all its windows have in common; intervals of one context are dropped, those whose longest string is shared are found whole, all others are cut into four.
@@ -186,10 +186,10 @@ def _padded(column: pa.Array, width: int, right: bool) -> tuple[np.ndarray, np.n
     return out, size
 
 
-def shared_windows(group: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length (context, l) of every window, from l bytes before the anchor on, that another context of the group has too.
+def shared_windows(group: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length (context, low, high): the stretches of windows, from low to high bytes before the anchor on, that another context of the group has too.
 
-    group ascends; contexts are distinct inside a group.
+    group ascends; contexts are distinct inside a group.  A step sorts only the intervals that the new byte divides.
     """
     m, least, most = len(group), lengths[0], lengths[-1]
     reach = np.minimum(n_left, least - GRAM)
@@ -199,32 +199,49 @@ def shared_windows(group: np.ndarray, left: np.ndarray, n_left: np.ndarray, righ
     differs = right[order][1:] != right[order][:-1]
     common = np.where(differs.any(1), differs.argmax(1), right.shape[1])
     common = np.minimum(common, np.minimum(n_right[order][1:], n_right[order][:-1]))
-    lcp = np.full(m + 1, -1, np.int32)  # lcp[i]: of order[i - 1] and order[i]
+    lcp = np.full(m + 1, -1, np.int32)  # lcp[i]: of order[i - 1] and order[i]; -1 where an interval begins
     lcp[1:m] = np.where(group[order][1:] == group[order][:-1], np.minimum(common, most), -1)
-    found: list[tuple[list, list]] = [([], []) for _ in lengths]
+    by_byte = np.ascontiguousarray(left.T)
+    since = [np.full(m, -1, np.int32) for _ in lengths]
+    before = [np.zeros(m, bool) for _ in lengths]
+    found: list[list[np.ndarray]] = [[] for _ in lengths]
     for l in range(least - GRAM + 1):
         if l:
-            at = left.shape[1] - l
-            column = np.where(n_left[order] >= l, left[order, at].astype(np.int64), 256)
-            key = group[order] * 257 + column
-            new = np.argsort(key, kind="stable")
-            sorted_key = key[new]
-            joined = (sorted_key[1:] == sorted_key[:-1]) & (column[new][1:] != 256)
-            # minimum of lcp over (p, q] for neighbours p < q of the old order
-            p, q = new[:-1] + 1, new[1:] + 1
-            ends = np.empty(2 * len(p), np.int64)
-            ends[0::2], ends[1::2] = np.where(joined, p, 0), np.where(joined, q, 1)
-            low = np.minimum.reduceat(lcp, ends)[0::2] if len(p) else lcp[:0]
-            order = order[new]
-            fresh = np.full(len(order) + 1, -1, np.int32)
-            fresh[1:-1] = np.where(joined, np.minimum(low + 1, most), -1)
-            lcp = fresh
-        for length, (cs, ls) in zip(lengths, found, strict=True):
+            column = by_byte[len(by_byte) - l][order].astype(np.int16)
+            column[n_left[order] < l] = 256
+            inner = lcp[1:-1] >= 0
+            divides = inner & (column[1:] != column[:-1])
+            if divides.any():
+                interval = np.concatenate([[0], np.cumsum(~inner)])
+                touched = np.zeros(interval[-1] + 1, bool)
+                touched[interval[1:][divides]] = True
+                at = np.flatnonzero(touched[interval])
+            else:
+                at = np.zeros(0, np.int64)
+            depths = lcp[at]
+            kept = np.flatnonzero(lcp[:-1] >= 0)
+            lcp[kept] = np.where(column[kept] != 256, np.minimum(lcp[kept] + 1, most), -1)
+            if len(at):
+                own, bytes_, place = order[at], column[at], interval[at]
+                depth = np.where(np.concatenate([[False], place[1:] == place[:-1]]), depths, -1)
+                key = place * 512 + bytes_
+                new = np.argsort(key, kind="stable")
+                sorted_key = key[new]
+                joined = (sorted_key[1:] == sorted_key[:-1]) & (bytes_[new][1:] != 256)
+                # minimum of the depths over (p, q] for neighbours p < q of the old order
+                p, q = new[:-1] + 1, new[1:] + 1
+                ends = np.empty(2 * len(p), np.int64)
+                ends[0::2], ends[1::2] = np.where(joined, p, 0), np.where(joined, q, 1)
+                low = np.minimum.reduceat(np.append(depth, -1), ends)[0::2]
+                order[at] = own[new]
+                lcp[at[0]] = -1
+                lcp[at[1:]] = np.where(joined, np.minimum(low + 1, most), -1)
+        for length, opened, was, out in zip(lengths, since, before, found, strict=True):
             equal = lcp >= length
-            if equal.any():
-                c = order[equal[1:] | equal[:-1]]
-                cs.append(c)
-                ls.append(np.full(len(c), l))
+            hit = np.zeros(m, bool)
+            hit[order[equal[1:] | equal[:-1]]] = True
+            out += _turned(hit, was, opened, l)
+            was[:] = hit
         if l % 4 == 0:
             # a suffix stays while its interval can still reach the threshold
             best = np.maximum(lcp[1:], lcp[:-1])
@@ -236,19 +253,20 @@ def shared_windows(group: np.ndarray, left: np.ndarray, n_left: np.ndarray, righ
                 if len(stays) > 1:
                     fresh[1:-1] = np.minimum.reduceat(lcp[: stays[-1] + 1], stays[:-1] + 1)
                 order, lcp = order[stays], fresh
+    for opened, was, out in zip(since, before, found, strict=True):
+        out += _turned(np.zeros(m, bool), was, opened, l + 1)
     none = np.zeros(0, np.int64)
-    return [(np.concatenate(cs), np.concatenate(ls)) if cs else (none, none) for cs, ls in found]
+    return [tuple(np.concatenate(out[i::3]) if out else none for i in range(3)) for out in found]
 
 
-def stretches(c: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, least l, most l) of the runs of consecutive l of each context."""
-    if not len(c):
-        return c, l, l
-    both = np.unique(np.stack([c, l]), axis=1)
-    head = np.concatenate([[True], (np.diff(both[0]) != 0) | (np.diff(both[1]) != 1)])
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], both.shape[1]) - 1
-    return both[0][first], both[1][first], both[1][last]
+def _turned(hit: np.ndarray, was: np.ndarray, opened: np.ndarray, l: int) -> list[np.ndarray]:
+    """(context, low, high) of the stretches that end before step l; those that begin are noted in opened."""
+    turned = np.flatnonzero(hit != was)
+    begins = hit[turned]
+    ends = turned[~begins]
+    out = [ends, opened[ends].astype(np.int64), np.full(len(ends), l - 1)] if len(ends) else []
+    opened[turned[begins]] = l
+    return out
 
 
 FOUND = "anchor long, ctx long, length int, low int, high int"
@@ -263,8 +281,7 @@ def solved(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         group = np.unique(anchor, return_inverse=True)[1]
         left, n_left = _padded(table["left"], lengths[0] - GRAM, False)
         right, n_right = _padded(table["right"], lengths[-1], True)
-        for length, (c, l) in zip(lengths, shared_windows(group, left, n_left, right, n_right, lengths), strict=True):
-            c, low, high = stretches(c, l)
+        for length, (c, low, high) in zip(lengths, shared_windows(group, left, n_left, right, n_right, lengths), strict=True):
             if len(c):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[c]), pa.array(ctx[c]), pa.array(np.full(len(c), length, np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["anchor", "ctx", "length", "low", "high"])
 
