@@ -5,12 +5,12 @@ merge of lower rank that takes its right part, or a part on that part's right ed
 merges in order of rank sums the longest such chain.  ``Stream`` keeps a window of symbols; once it holds more than the lookahead behind
 a token, the token is stable and goes out, so memory stays constant however long a word is.  A word's end flushes the window.
 
-Decoding is the mirror image: ``Decoder`` takes ids one by one and gives their strings, one blank between two, as the tokenizer file asks (it names no decoder);
+Decoding is the mirror image: ``Decoder`` takes ids as they come and gives their strings, one blank between two, as the tokenizer file asks (it names no decoder);
 ``text_of`` is the byte-level state machine that turns token strings into bytes, and bytes into characters as soon as a character is whole.
 
 The normalisation and splitting rules are those of the tokenizer file: NFC, white space to one blank, lower case character by character, contractions, letters,
 single digits, other signs; special tokens are cut out first.  White space always ends a piece, so a text is encoded as its words, and words are remembered in a
-dictionary of bounded size.
+dictionary of bounded size, which ends with the task.  The new words of a batch are merged side by side: a row each, whose whole window is in reach, so it is stable at its end.
 
 Edge cases: null and empty texts have no ids, and decode to the empty string; white space alone likewise; lone special tokens in a text are encoded as such;
 characters that the vocabulary lacks cannot occur, as all 256 bytes are in it; equal rows give equal values; extra columns pass through ``encoded``.
@@ -21,8 +21,9 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,9 +32,12 @@ from pyspark.sql import types as T
 
 from .common import batches, strings
 
-#: Words remembered by a worker; beyond, the older half goes.
-REMEMBERED = 250_000
+#: Words that a task remembers; beyond, it starts anew.
+REMEMBERED = 100_000
+#: Bytes of a piece up to which pieces are merged side by side.
+NARROW = 24
 _LOW, _NONE = (1 << 32) - 1, 1 << 80
+_FAR = (1 << 63) - 1
 
 
 def byte_letters() -> list[str]:
@@ -91,6 +95,12 @@ class Merges:
             most, widest = max(most, need), max(widest, self.width(made))
         return most + widest
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs in ascending order, and what the merge list says of each."""
+        keys = np.array(list(self.rank), np.int64)
+        order = np.argsort(keys)
+        return keys[order], np.array(list(self.rank.values()), np.int64)[order]
+
     def merged(self, ids: list[int]) -> list[int]:
         """All merges applied, lowest rank first and leftmost first."""
         get = self.rank.get
@@ -104,6 +114,88 @@ class Merges:
         return ids
 
 
+class Rows:
+    """All merges of many short pieces at once, a row of symbols each."""
+
+    SLOTS = 20
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+        self.letter, self.last = (np.array([-1 if x is None else x for x in t], np.int64) for t in (merges.letter, merges.last))
+        # two tables of slots: the first key of a slot, and the others of it by another hash
+        keys, values = merges.pairs()
+        self.tables = []
+        factor = 0x9E3779B97F4A7C15
+        while len(keys):
+            slot = self._slot(keys, factor)
+            first = np.unique(slot, return_index=True)[1]
+            key, value = np.full(1 << self.SLOTS, -1, np.int64), np.full(1 << self.SLOTS, _FAR, np.int64)
+            key[slot[first]], value[slot[first]] = keys[first], values[first]
+            self.tables.append((factor, key, value))
+            rest = np.setdiff1d(np.arange(len(keys)), first)
+            keys, values, factor = keys[rest], values[rest], (factor * 0xD1342543DE82EF95 + 1) % (1 << 64) | 1
+
+    def _slot(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """rank << 32 | merged id of each pair, _FAR for none."""
+        keys = (left << 32 | right) & ((1 << 62) - 1)
+        out = np.full(len(keys), _FAR, np.int64)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))
+        for factor, key, value in self.tables:
+            slot = self._slot(keys[todo], factor)
+            hit = key[slot] == keys[todo]
+            out[todo[hit]] = value[slot[hit]]
+            todo = todo[~hit & (key[slot] >= 0)]
+            if not len(todo):
+                break
+        return out
+
+    def merged(self, pieces: list[bytes]) -> list[list[int]]:
+        """Lowest rank first and leftmost first in every row."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(sizes.max(initial=1))
+        body = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.full((len(pieces), width + 1), -1, np.int64)
+        inside = np.arange(width + 1)[None, :] < sizes[:, None]
+        ids[inside] = self.letter[body]
+        ends = np.cumsum(sizes) - 1
+        ids[np.arange(len(pieces)), sizes - 1] = self.last[body[ends]]
+        ranks = self._found(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width)
+        place, columns = np.arange(len(pieces)), np.arange(width + 1)
+        while True:
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(ranks)), at]
+            on = np.flatnonzero(best < _FAR)
+            if not len(on):
+                break
+            if len(on) < len(place) // 2:  # rows that are done go out of the way
+                done = np.flatnonzero(best >= _FAR)
+                if place is not None and len(place) == len(pieces):
+                    whole = ids.copy()
+                whole[place[done]] = ids[done]
+                place, ids, ranks, at, best = place[on], ids[on], ranks[on], at[on], best[on]
+                on = np.arange(len(place))
+            row, col = on, at[on]
+            shift = columns[None, :] + (columns[None, :] > col[:, None])
+            moved = np.take_along_axis(ids[row], np.minimum(shift, width), 1)
+            moved[:, -1] = -1
+            moved[np.arange(len(row)), col] = best[on] & _LOW
+            fresh = np.take_along_axis(ranks[row], np.minimum(shift[:, :-1], width - 1), 1)
+            fresh[:, -1] = _FAR
+            k = np.arange(len(row))
+            fresh[k, col] = self._found(moved[k, col], moved[k, col + 1])
+            back = np.flatnonzero(col > 0)
+            fresh[back, col[back] - 1] = self._found(moved[back, col[back] - 1], moved[back, col[back]])
+            ids[row], ranks[row] = moved, fresh
+        if len(place) < len(pieces):
+            whole[place] = ids
+            ids = whole
+        rows, sizes = ids.tolist(), (ids >= 0).sum(1).tolist()
+        return [r[:n] for r, n in zip(rows, sizes, strict=True)]
+
+
 class Stream:
     """Ids of one piece, its bytes fed in portions of any size."""
 
@@ -149,7 +241,8 @@ class Tokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.blank = regex.compile(r"[\t\n\v\f\r\x85\p{Z}]+")
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.rows = Rows(self.merges)
+        self.known: dict[str, tuple[list[int], str]] = {}
         self.bytes = {c: b for b, c in enumerate(byte_letters())}
 
     def piece(self, text: str) -> list[int]:
@@ -161,22 +254,27 @@ class Tokenizer:
         stream = Stream(self.merges)
         return [*stream.feed(data), *stream.end()]
 
-    def plain(self, text: str) -> list[int]:
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text without special tokens, normalised."""
         if not text.isascii():
             text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
             if max(text) > "\u07ff":
                 # what Unicode has assigned only lately is no letter to the tokenizer's pattern
                 shown = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
-                return [i for m in self.pieces.finditer(shown) for i in self.piece(text[m.start() : m.end()])]
+                return [text[m.start() : m.end()] for m in self.pieces.finditer(shown)]
         else:
             text = text.lower()
-        return [i for p in self.pieces.findall(text) for i in self.piece(p)]
+        return self.pieces.findall(text)
+
+    def parts(self, text: str) -> list[int | str]:
+        """Ids of special tokens, and pieces between them."""
+        if self.cut and "<|" in text:
+            return [p for part in self.cut.split(text) if part for p in ([self.special[part]] if part in self.special else self.split(part))]
+        return self.split(text)
 
     def ids(self, text: str) -> list[int]:
         """Ids of any text, without the dictionary."""
-        if self.cut and "<|" in text:
-            return [i for part in self.cut.split(text) if part for i in ([self.special[part]] if part in self.special else self.plain(part))]
-        return self.plain(text)
+        return [i for p in self.parts(text) for i in ([p] if isinstance(p, int) else self.piece(p))]
 
     def words(self, text: str) -> list[str]:
         """What white space separates; str.split, but for the control characters that only it takes for white space."""
@@ -184,28 +282,37 @@ class Tokenizer:
             return text.split()
         return [w for w in self.blank.split(text) if w]
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """(ids, ids as decimal text), remembered."""
-        ids = self.ids(word)
-        found = (tuple(ids), " ".join(map(str, ids)))
-        if len(word) <= 64:
-            if len(self.known) >= REMEMBERED:
-                for old in list(self.known)[: REMEMBERED // 2]:
-                    del self.known[old]
-            self.known[word] = found
-        return found
-
-    def encode(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids joined by blanks, what the decoder makes of those ids)."""
-        known, word = self.known, self.word
-        found = [known.get(w) or word(w) for w in self.words(text or "")]
-        found = [f for f in found if f[0]]
-        ids = [i for f in found for i in f[0]]
-        return len(ids), " ".join([f[1] for f in found]), self.decode(ids)
+    def learn(self, words: Iterable[str]) -> None:
+        """Put (ids, ids as decimal text) of new words into the dictionary; their short pieces are merged together."""
+        parts = {w: [p if isinstance(p, int) else p.encode() for p in self.parts(w)] for w in words}
+        narrow = list(dict.fromkeys(p for ps in parts.values() for p in ps if not isinstance(p, int) and len(p) <= NARROW))
+        ids: dict[bytes, list[int]] = {}
+        for at in range(0, len(narrow), 16_384):
+            some = sorted(narrow[at : at + 16_384], key=len)
+            for low in range(0, len(some), 2048):
+                ids.update(zip(some[low : low + 2048], self.rows.merged(some[low : low + 2048]), strict=True))
+        for w, ps in parts.items():
+            found = [i for p in ps for i in ([p] if isinstance(p, int) else ids[p] if len(p) <= NARROW else self.piece(p.decode()))]
+            self.known[w] = (found, " ".join(map(str, found)))
+
+    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text (number of ids, ids joined by blanks, what the decoder makes of those ids)."""
+        split = [self.words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = set().union(*split)
+        self.learn(new)
+        known, out = self.known, []
+        for words in split:
+            found = [known[w] for w in words]
+            ids = [i for f in found for i in f[0]]
+            out.append((len(ids), " ".join([f[1] for f in found if f[1]]), self.decode(ids)))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         machine = Decoder(self)
-        return "".join(map(machine.next, ids))
+        return "".join([machine.feed(ids[at : at + 4096]) for at in range(0, len(ids), 4096)])
 
     def text_of(self, tokens: Iterator[str]) -> Iterator[str]:
         """Characters of the text that token strings stand for, each as soon as its bytes are whole; a word end becomes a blank."""
@@ -228,16 +335,23 @@ class Tokenizer:
 
 
 class Decoder:
-    """Gives the text of ids one by one: its only state is whether a blank is due."""
+    """Gives the text of ids, portion by portion: its only state is whether a blank is due."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.names, self.begun = tokenizer.names, False
 
-    def next(self, token: int) -> str:
-        name = self.names.get(token)
-        if name is None:
+    def feed(self, ids: list[int]) -> str:
+        """The text that these ids add; unknown ids add none."""
+        names = self.names
+        try:
+            found = [names[i] for i in ids]
+        except KeyError:
+            found = [names[i] for i in ids if i in names]
+        if not found:
             return ""
-        out = f" {name}" if self.begun else name
+        out = " ".join(found)
+        if self.begun:
+            out = " " + out
         self.begun = True
         return out
 
@@ -269,9 +383,9 @@ def encoded(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(path or tokenizer_file(name))
         for batch in batches(it, 512):
-            found = [tokenizer.encode(t) for t in strings(batch.column(len(names)))]
-            n, ids, text = zip(*found, strict=True)
+            n, ids, text = zip(*tokenizer.encode(strings(batch.column(len(names)))), strict=True)
             sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c], pa.string()) for c in (ids, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int64()), *sha], [*names, *added])
+        tokenizer.known = {}  # workers live on, and other stages need their memory
 
     return docs.select(*names, F.col("text")).mapInArrow(run, schema)

@@ -6,8 +6,8 @@ of five minhashes from 75 minhashes where independent tables would take 1,020.
 
 Documents with equal sets form a class, found by the digest of the set, and only one of each class is sketched.  Table rows are sorted by key.  At first each member is
 paired with the least and the greatest of its runs' first members only; components of the links so far are then contracted, and only members of runs that still hold several
-components go on: short runs (up to ``SMALL``) with their pairs across components, longer ones compared by signature in blocks (``residual``), the likeliest partners of a
-member first and all that are left at last.  So nothing is lost, and no group is expanded into all its pairs.  Candidates pass a signature estimate that a true pair fails with
+components go on: short runs (up to ``SMALL``) with their pairs across components, the members of longer ones by a prefix filter (``remaining``), which is exact and meets
+in the rarest shingles alone.  So nothing is lost, and no group is expanded into all its pairs.  Candidates pass a signature estimate that a true pair fails with
 a probability below 1e-6 (a binomial tail), and are then confirmed on the full sets.  Components follow by star contraction.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words than a shingle has its whole sequence as the
@@ -36,8 +36,6 @@ TABLES = SIDES[0][0] * SIDES[1][0]
 SMALL = 8
 #: Matching minhashes of WIDTH below which a pair is no candidate, for a likeness of 0.8: 60 are expected, with a deviation of 3.5.
 LEAST_MATCHES = 41
-#: Partners of a member that the first round of ``residual`` tries in each table.
-TRIED = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -235,91 +233,40 @@ def placed(members: DataFrame, found: DataFrame) -> DataFrame:
     return with_component.join(active, "key")
 
 
-def linkable(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the ids that can have a link among them: a document's shingles that no other one of them has cannot be in an intersection,
-    so with n shingles and u such ones it needs 100 * (n - u) >= percent * n.
+def prefixes(active: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(shingle, rep, component, n, place): of each document the rarest shingles, so many that any document it has a link with must have one of them among its own.
 
-    Counted in the partitions first; a shingle that several documents of a partition have is one row.
+    Shingles are in one order for all, by the number of active documents that have them; of n shingles the first n - ceil(n * percent / 100) + 1 count, of which those that
+    no other document has are left out.
     """
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, 4096, 64 << 20):
-            sets = shingle_sets(batch.column(1), k)
-            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            owner = np.repeat(np.asarray(batch.column(0)), [len(x) for x in sets])
-            values, first, times = np.unique(every, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(owner[first]), pa.array(times)], ["shingle", "rep", "times"])
-
-    texts = by_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids).dropDuplicates(["doc_id"])
-    alone = texts.mapInArrow(run, "shingle long, rep long, times long").groupBy("shingle").agg(F.sum("times").alias("times"), F.max("rep").alias("rep")).where("times = 1")
-    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-
-
-def with_links(active: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, rep) of those members of mixed runs that can have a link among them."""
-    active = written(active.select("key", "rep"), "long-runs")
     ids = written(active.select(F.col("rep").alias("doc_id")).distinct(), "run-ids")
-    alone = linkable(docs, ids, k, percent)
-    can = ids.select(F.col("doc_id").alias("rep")).join(alone, "rep", "left").join(reps.select("rep", "n_shingles"), "rep")
-    can = written(can.where((F.col("n_shingles") - F.coalesce("alone", F.lit(0))) * 100 >= percent * F.col("n_shingles")).select("rep"), "linkable")
-    return written(active.join(can, "rep", "left_semi"), "run-members")
-
-
-def residual(rows: DataFrame, reps: DataFrame, tried: int | None) -> DataFrame:
-    """Pairs of long runs that lie in different components and agree in signature; one side lies outside the run's largest component.
-
-    With ``tried``, each outside member gives only its so many likeliest partners in a table.  A pair is emitted by the first table that it shares, so
-    once.  Comes after linking runs to their first members, so few members are left outside.  A run's signatures, 300 bytes a member, are
-    compared in numpy blocks of the sorted stream.
-    """
-    rows = rows.join(reps.select("rep", "signature"), "rep")
-
-    def pairs_of(key: int, r: np.ndarray, c: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, times = np.unique(c, return_counts=True)
-        outside = np.flatnonzero(c != names[times.argmax()])
-        first, second = collections_of(s)
-        for i in range(0, len(outside), 32):
-            block = outside[i : i + 32]
-            xs, ys, ms = [], [], []
-            for j in range(0, len(r), 4096):
-                same = (s[block, None, :] == s[None, j : j + 4096, :]).sum(2, dtype=np.uint8)
-                x, y = np.nonzero((same >= LEAST_MATCHES) & (c[block, None] != c[None, j : j + 4096]))
-                ms.append(same[x, y]), xs.append(block[x]), ys.append(y + j)
-            x, y, m = map(np.concatenate, (xs, ys, ms))
-            a, b = (first[x] == first[y]).argmax(1), (second[x] == second[y]).argmax(1)
-            own = key_of(first[x, a], second[x, b], a * SIDES[1][0] + b) == key
-            x, y, m = x[own], y[own], m[own]
-            if tried is not None and len(x):
-                order = np.lexsort((-m.astype(int), x))
-                x, y = x[order], y[order]
-                place = np.arange(len(x)) - np.searchsorted(x, x, "left")
-                x, y = x[place < tried], y[place < tried]
-            yield r[x], r[y]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k0, parts = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if parts:
-                r, c, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-                for x, y in pairs_of(k0, r, c, s):
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        for batch in batches(it):
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), [len(s) for s in sets])), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], ["rep", "shingle"])
 
-        for batch in it:
-            k = np.asarray(batch.column(0))
-            cols = [np.asarray(batch.column(1)), np.asarray(batch.column(2)), _signatures(batch.column(3))]
-            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    if k[a] != k0:
-                        yield from flush()
-                        k0, parts = k[a], []
-                    parts.append([x[a:b] for x in cols])
-        yield from flush()
-
-    dealt = rows.select("key", "rep", "component", "signature").repartition(partitions_for(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    texts = by_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids).dropDuplicates(["doc_id"])
+    each = written(texts.mapInArrow(run, "rep long, shingle long"), "active-shingles")
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(counts, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))  # as long as one document
+    n = F.size("all")
+    first = ordered.select("rep", n.alias("n"), F.posexplode(F.slice("all", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("place", "s"))
+    named = active.select("rep", "component").distinct()
+    return first.where("s.df > 1").select("rep", "n", "place", F.col("s.shingle").alias("shingle")).join(named, "rep")
+
+
+def remaining(active: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of different components among the active documents that can have a link: they share one of their rarest shingles, and
+    what stands behind it in both is enough for the likeness.  Exact, so that nothing is lost to the estimate, whatever the size of a run."""
+    each = written(prefixes(active, docs, k, percent), "prefixes")
+    mixed = each.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
+    each = written(each.join(mixed, "shingle", "left_semi"), "mixed-prefixes")
+    x, y = each.alias("x"), each.alias("y")
+    common = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    fits = common * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fits)
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -336,18 +283,14 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # then only what is still in different components: all pairs of short runs, and blocks of long ones
     active = written(placed(found, component), "mixed-runs")
     dropped(found)
-    rounds = [("short", None), ("long", TRIED), ("long", None)]
-    members = None
-    for kind, tried in rounds:
-        if kind == "short":
+    for short in (True, False):
+        if short:
             more = likely(crossing(active.where(F.col("n") <= SMALL)).join(pairs, ["a", "b"], "left_anti"), reps, percent / 100)
         else:
-            if members is None:
-                long = active.where(F.col("n") > SMALL).select("key", "rep")
-                if long.isEmpty():
-                    break
-                members = with_links(placed(long, component), docs, reps, k, percent)
-            more = residual(placed(members, component), reps, tried).join(pairs, ["a", "b"], "left_anti")
+            long = written(placed(active.where(F.col("n") > SMALL).select("key", "rep"), component).select("rep", "component").distinct(), "long-runs")
+            if long.isEmpty():
+                break
+            more = remaining(long, docs, k, percent).join(pairs, ["a", "b"], "left_anti")
         more = written(more, "more-pairs")
         if more.isEmpty():
             continue
