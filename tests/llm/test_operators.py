@@ -164,7 +164,7 @@ def test_signature_estimate_rarely_fails_a_true_pair():
     assert sum(math.comb(n, m) * p**m * (1 - p) ** (n - m) for m in range(neardup.LEAST_MATCHES)) < 1e-6
     # a pair shares a table if it shares a collection of either side
     shared = [1 - (1 - p**each) ** groups for groups, each in neardup.SIDES]
-    assert 1 - shared[0] * shared[1] < 2e-4
+    assert 1 - shared[0] * shared[1] < 2e-5
 
 
 def test_near_duplicates_in_long_runs_are_settled_by_prefixes(spark, monkeypatch):
@@ -244,6 +244,35 @@ def test_media_sequences(spark):
         media.unpack(b"RIFFxxxxNOPE")
 
 
+def plain_score(text, learned, stems):
+    """The grammar's score without machines: every word of a clause looks at the words before it."""
+    pairs, found = set(), toxicity.Lexicon(stems)
+    for clause in re.split(r"[.!?;\n]+", text or ""):
+        looked = [found.look(w.lower()) for w in re.findall(r"[\w'’]+", clause)]
+        kinds = [k for k, _ in looked]
+        for i, (k, lexeme) in enumerate(looked):
+            run = i - next(j for j in range(i, -2, -1) if j < 0 or kinds[j] != "I") if k == "I" else 1
+            if k not in "IT" or (k == "I" and run % 2 == 0):
+                continue
+            near = kinds[max(0, i - toxicity.REACH) : i]
+            name = "insult" if k == "I" else "intended threat" if "W" in near else "threat"
+            if "N" in near:
+                name = "negated"
+            elif "R" in kinds[:i]:
+                name = "reported"
+            elif "Y" in kinds:
+                name += " at target"
+            pairs.add((lexeme, name))
+    odds = 1.0 - learned_share(learned[""])
+    for lexeme, name in pairs:
+        odds *= 1 - learned_share(toxicity._cost(toxicity.PRIORS[name]) + learned[f"{lexeme} {name}"])
+    return 1 - odds
+
+
+def learned_share(weight):
+    return 1 - math.exp(-weight)
+
+
 def test_toxicity(spark, docs, labels, nothing):
     bad = "You are a worthless idiot."
     df = spark.createDataFrame([(i, f"{r[1] or ''} {bad if i % 9 == 0 else ''}") for i, r in enumerate(rows())], "doc_id long, text string")
@@ -257,6 +286,10 @@ def test_toxicity(spark, docs, labels, nothing):
     assert toxicity.scored(toxicity.matches(nothing), learned).count() == 0 and toxicity.accepted(nothing, labels, ~held_out(5)).count() == 0
     assert toxicity.clauses("He is not an idiot. They said you idiot!", toxicity.Lexicon()) == ["idiot negated", "idiot reported"]
     assert toxicity.clauses("idiots, you", toxicity.Lexicon()) == ["idiots insult at target"]
+    assert toxicity.clauses("he said: you idiot", toxicity.Lexicon()) == ["idiot reported"]
+    assert toxicity.clauses("I will surely kill you. Kill the lights, stupid idiot", toxicity.Lexicon()) == ["kill intended threat at target", "kill threat", "stupid insult"]
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(plain_score(df.where(F.col("doc_id") == i).first()["text"], learned, stems), abs=1e-9)
     assert toxicity.Lexicon(["lowei"]).look("loweischaft") == ("I", "lowei")
 
 

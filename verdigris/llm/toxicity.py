@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Four small transducers are composed into one machine.  The lexical step turns words into symbols: insult, threat, target, negation, report, other.
-``NEGATION`` rewrites an insult or threat that follows a negation by at most ``REACH`` words, ``REPORT`` rewrites those in a clause after a verb of saying,
-and ``TARGET`` marks clauses that address somebody.  What is scored is a matched clause, a pair (lexeme, kind), not a word by itself: "you are a fool",
-"he called her a fool" and "not a fool" are three kinds.
+Five small weighted transducers are composed into one machine.  The lexical step turns words into symbols: insult, threat, intent, target, negation, report, other.
+``INSULT`` lets insulting words through and passes over those that only repeat the one before in the same phrase; ``THREAT`` tells a verb of violence from one that
+follows a word of intent; ``NEGATION`` rewrites an insult or threat that follows a negation by at most ``REACH`` words; ``REPORT`` rewrites those in a clause after a
+verb of saying; ``TARGET`` marks clauses that address somebody.  The weights of the arcs add along a path, and composition adds those of the two arcs that it joins.  What is
+scored is a matched clause, a pair (lexeme, kind), not a word by itself: "you are a fool", "he called her a fool" and "not a fool" are three kinds.
 
 The lexicon has two parts: the words below, and stems induced from labelled rows, prefixes of words whose documents are toxic more often than chance
 allows after correction for the number of prefixes tried (``induced``; it reads at most ``max_rows`` labelled rows, the documented bound, and counts texts
 of equal sketch and label once).  Corpora in languages that the list doesn't know get their insults in this way.
 
 Weights are learned from labelled rows: the weight of a pair is -log(1 - p), p the share of toxic ones among training documents with a clause
-of that pair, smoothed towards the kind's prior.  Weights add along a document, so its score is 1 - exp(-sum), which neither length nor clean clauses lower.
+of that pair, smoothed towards the kind's prior, which is what the arcs of the grammar bear; the lexical arc of a word bears the difference.  Weights add over the distinct
+pairs of a document, so its score is 1 - exp(-sum), which clean clauses don't lower and repetition doesn't raise.
 
 Edge cases: null and empty texts match nothing and get the base score; a document without labels only gets a score; several labels for one id each count;
 without labels the priors decide; equal rows get equal scores; extra columns pass through, and columns named like the added ones are replaced.
@@ -45,10 +47,12 @@ TARGETS = "you your you're youre yourself he him his she her they them their the
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais aucun sin nunca ni".split()
 REPORTS = "said says called calls wrote writes claimed claims told quoted reported sagte nannte schrieb dit appelle écrit dijo llamó escribió".split()
 
-#: How many words after a negation are under it.
+INTENTS = "will gonna shall i'll we'll he'll they'll werde wird werden vais va allons voy vamos".split()
+
+#: How many words after a negation are under it, and after a word of intent belong to it.
 REACH = 3
 #: Share of toxic documents that a kind stands for before any label is seen.
-PRIORS = {"insult": 0.8, "insult at target": 0.9, "threat": 0.1, "threat at target": 0.6, "negated": 0.3, "reported": 0.3}
+PRIORS = {"insult": 0.8, "insult at target": 0.9, "threat": 0.1, "threat at target": 0.6, "intended threat": 0.5, "intended threat at target": 0.8, "negated": 0.3, "reported": 0.3}
 BASE = 0.02
 #: Documents that a prior counts as.
 STRENGTH = 4.0
@@ -60,17 +64,24 @@ STEM_PRECISION = 0.9
 #: Minhashes of the set of words that must all agree before two documents of one label count as copies: 0.85 of pairs of likeness 0.99 do, 1e-5 of likeness 0.5.
 SKETCH = 16
 
-_SYMBOL = dict.fromkeys(TARGETS, "Y") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T") | dict.fromkeys(INSULTS, "I")
-_CLAUSE = re.compile(r"[^.!?;:\n]+")
+_SYMBOL = dict.fromkeys(INTENTS, "W") | dict.fromkeys(TARGETS, "Y") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T") | dict.fromkeys(INSULTS, "I")
+#: A colon doesn't end a clause: what follows "he said:" is reported.
+_CLAUSE = re.compile(r"[^.!?;\n]+")
 _WORD = re.compile(r"[\w'’]+")
+
+
+def _cost(p: float) -> float:
+    return -math.log(1 - p)
+
+
 class Transducer:
-    """Deterministic: step[state][symbol] is (state, output); a symbol that a state doesn't list is copied, and moves to rest[state]."""
+    """Deterministic and weighted: step[state][symbol] is (state, output, weight); a symbol that a state doesn't list is copied for nothing, and moves to rest[state]."""
 
-    def __init__(self, step: dict[int, dict[str, tuple[int, str]]], rest: dict[int, int]) -> None:
+    def __init__(self, step: dict[int, dict[str, tuple[int, str, float]]], rest: dict[int, int]) -> None:
         self.step, self.rest = step, rest
 
-    def arc(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.step.get(state, {}).get(symbol) or (self.rest.get(state, state), symbol)
+    def arc(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.step.get(state, {}).get(symbol) or (self.rest.get(state, state), symbol, 0.0)
 
     def compose(self, other: "Transducer", symbols: Iterable[str]) -> "Transducer":
         """The machine that feeds this one's output to the other, over a given alphabet; only reachable pairs of states are made."""
@@ -78,32 +89,48 @@ class Transducer:
         while todo:
             at = todo.pop()
             for s in symbols:
-                a, mid = self.arc(at[0], s)
-                b, out = other.arc(at[1], mid)
+                a, mid, w = self.arc(at[0], s)
+                b, out, v = other.arc(at[1], mid)
                 if (a, b) not in names:
                     names[a, b] = len(names)
                     todo.append((a, b))
-                step.setdefault(names[at], {})[s] = (names[a, b], out)
+                step.setdefault(names[at], {})[s] = (names[a, b], out, w + v)
         return Transducer(step, {})
 
-    def run(self, symbols: Iterable[str]) -> tuple[list[str], int]:
+    def run(self, symbols: Iterable[str]) -> list[tuple[str, float]]:
+        """(output, weight) of every step."""
         state, out = 0, []
         for s in symbols:
-            state, o = self.arc(state, s)
-            out.append(o)
-        return out, state
+            state, o, w = self.arc(state, s)
+            out.append((o, w))
+        return out
+
+
+def _countdown(opens: str, changes: dict[str, tuple[str, float]], closes: bool) -> Transducer:
+    """Changes symbols that come at most REACH symbols after one of ``opens``; a change ends it if it closes."""
+    step = {0: {o: (1, o, 0.0) for o in opens}}
+    for k in range(1, REACH + 1):
+        step[k] = step[0] | {s: (0 if closes else k, t, w) for s, (t, w) in changes.items()}
+    return Transducer(step, {k: (k + 1) % (REACH + 1) if k else 0 for k in range(REACH + 1)})
+
 
+def _after(opens: str, changes: dict[str, tuple[str, float]], plain: dict[str, tuple[str, float]]) -> Transducer:
+    """Changes symbols after the first of ``opens``, and gives the plain ones their weight before it."""
+    arcs = lambda state, table: {s: (state, t, w) for s, (t, w) in table.items()}
+    return Transducer({0: {opens: (1, opens, 0.0)} | arcs(0, plain), 1: arcs(1, changes)}, {})
 
-#: States count the words since a negation.
-NEGATION = Transducer({k: {"N": (1, "N")} | ({} if k == 0 else {"I": (0, "n"), "T": (0, "n")}) for k in range(REACH + 1)}, {k: (k + 1) % (REACH + 1) if k else 0 for k in range(REACH + 1)})
-#: State 1: after a verb of saying.
-REPORT = Transducer({0: {"R": (1, "R")}, 1: {"I": (1, "r"), "T": (1, "r")}}, {})
-#: State 1: somebody has been addressed.
-TARGET = Transducer({0: {"Y": (1, "Y")}, 1: {"I": (1, "i"), "T": (1, "t")}}, {})
 
-ALPHABET = "XYNRTI"
-GRAMMAR = NEGATION.compose(REPORT, ALPHABET).compose(TARGET, ALPHABET)
-KINDS = {"I": "insult", "i": "insult at target", "T": "threat", "t": "threat at target", "n": "negated", "r": "reported"}
+#: State 1: the word before was an insult, and another one belongs to the same phrase: "stupid idiot" is one insult.
+INSULT = Transducer({0: {"I": (1, "I", 0.0)}, 1: {"I": (1, "X", 0.0)}}, {1: 0})
+THREAT = _countdown("W", {"T": ("V", 0.0)}, True)
+NEGATION = _countdown("N", {s: ("n", _cost(PRIORS["negated"])) for s in "ITV"}, True)
+REPORT = _after("R", {s: ("r", _cost(PRIORS["reported"])) for s in "ITV"}, {})
+_KIND = {"I": "insult", "T": "threat", "V": "intended threat"}
+TARGET = _after("Y", {s: (s.lower(), _cost(PRIORS[f"{k} at target"])) for s, k in _KIND.items()}, {s: (s, _cost(PRIORS[k])) for s, k in _KIND.items()})
+
+ALPHABET = "XYNRWTI"
+GRAMMAR = INSULT.compose(THREAT, ALPHABET).compose(NEGATION, ALPHABET).compose(REPORT, ALPHABET).compose(TARGET, ALPHABET)
+KINDS = _KIND | {s.lower(): f"{k} at target" for s, k in _KIND.items()} | {"n": "negated", "r": "reported"}
 
 
 class Lexicon:
@@ -137,14 +164,26 @@ def clauses(text: str | None, lexicon: Lexicon) -> list[str]:
         symbols = [s for s, _ in looked]
         if "I" not in symbols and "T" not in symbols:
             continue
-        outputs, _ = GRAMMAR.run(symbols)
         addressed = "Y" in symbols
-        for (_, lexeme), o in zip(looked, outputs, strict=True):
+        for (_, lexeme), (o, _) in zip(looked, GRAMMAR.run(symbols), strict=True):
             if o in KINDS:
-                found.append(f"{lexeme} {KINDS[o.lower() if addressed and o in 'IT' else o]}")
+                found.append(f"{lexeme} {KINDS[o.lower() if addressed and o in _KIND else o]}")
     return found
 
 
+def arc_weights() -> dict[str, float]:
+    """Weight of each kind on the arcs of the composed grammar."""
+    return {KINDS[o]: w for arcs in GRAMMAR.step.values() for _, o, w in arcs.values() if o in KINDS}
+
+
+def total(pairs: Iterable[str], learned: dict[str, float]) -> float:
+    """1 - exp(-sum) of the path's arcs over the distinct pairs: the grammar's weight, and the lexical arc's, which is what was learned beyond it."""
+    return 1 - math.exp(-math.fsum([learned[""], *[GRAMMAR_WEIGHTS[c.split(" ", 1)[1]] + learned.get(c, 0.0) for c in set(pairs)]]))
+
+
+GRAMMAR_WEIGHTS = arc_weights()
+
+
 def _prefixes(text: str) -> set[str]:
     words = {w.lower() for w in _WORD.findall(text)}
     return {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n}
@@ -220,7 +259,7 @@ def matches(docs: DataFrame, stems: Iterable[str] = ()) -> DataFrame:
 
 
 def weights(matched: DataFrame, labels: DataFrame, train_rows, stems: Iterable[str] = ()) -> dict[str, float]:
-    """-log(1 - p) for each 'lexeme kind', and for '' that of documents without a match.
+    """For each 'lexeme kind' the weight of its lexical arc: -log(1 - p) less what the grammar's arc bears; for '' that of documents without a match.
 
     The counts are grouped on the executors; what reaches the driver has at most a row for each lexeme and kind.
     """
@@ -234,7 +273,7 @@ def weights(matched: DataFrame, labels: DataFrame, train_rows, stems: Iterable[s
     for pair, prior in [("", BASE), *[(f"{w} {k}", p) for w in Lexicon(stems).lexemes() for k, p in PRIORS.items()]]:
         n, toxic = seen.get(pair, (0, 0))
         p = (toxic + STRENGTH * prior) / (n + STRENGTH)
-        out[pair] = -math.log(1 - min(p, 0.9999))
+        out[pair] = _cost(min(p, 0.9999)) - (GRAMMAR_WEIGHTS[pair.split(" ", 1)[1]] if pair else 0.0)
     return out
 
 
@@ -243,12 +282,11 @@ def scored(matched: DataFrame, learned: dict[str, float], threshold: float = THR
     keep = [f for f in matched.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    base = learned[""]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("clauses")
         for batch in it:
-            score = [1 - math.exp(-math.fsum([base, *[learned.get(c, 0.0) for c in found or ()]])) for found in batch.column(at).to_pylist()]
+            score = [total(found or (), learned) for found in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], [*names, "score", "predicted"])
 
     return matched.select(*names).mapInArrow(run, schema)
@@ -262,14 +300,14 @@ def accepted(docs: DataFrame, labels: DataFrame, train_rows, threshold: float =
     stems = induced(docs, labels, train_rows)
     slim = written(matches(docs.select("doc_id", "text"), stems), "toxic-matches")
     learned = weights(slim, labels, train_rows, stems)
-    lexicon, base = Lexicon(stems), learned[""]
+    lexicon = Lexicon(stems)
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 1024):
             texts = batch.column(at)
             hits = pc.fill_null(pc.match_substring_regex(texts, lexicon.any), False)
-            keep = [not hit or 1 - math.exp(-math.fsum([base, *[learned.get(c, 0.0) for c in clauses(t.as_py(), lexicon)]])) < threshold for t, hit in zip(texts, hits.to_pylist(), strict=True)]
+            keep = [not hit or total(clauses(t.as_py(), lexicon), learned) < threshold for t, hit in zip(texts, hits.to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
