@@ -319,6 +319,22 @@ def test_token_files(docs, nothing):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_files.round_trip(nothing).count() == 0
+    files = token_files.written(token_files.coded(docs), "files").withColumn("file", F.col("_metadata.file_name"))
+    order = [(r["file"], r["bucket"], r["block"]) for r in files.collect()]
+    assert [b for _, b, _ in sorted(order)] == sorted(b for _, b, _ in order)  # files hold ranges of documents in order
+    words = ["of", "\ue000", "a\ue000b", "<|endoftext|>", "naïve", "12!!", "₟", "x" * 700]
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for word, ids in zip(words, [library.encode(w, add_special_tokens=False).ids for w in words], strict=True):
+        assert encoder.ids([word])[0].tolist() == ids
+
+
+def test_range_coder_compresses_text():
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids = np.concatenate(encoder.ids([r[1] for r in rows()[:52]]))
+    blocks = [ids[i : i + range_coder.BLOCK] for i in range(0, len(ids), range_coder.BLOCK)]
+    coded = range_coder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(coded), strict=True))
+    assert sum(map(len, coded)) < 0.8 * 2 * len(ids)  # plain 16-bit ids
 
 
 def test_range_coder():
@@ -453,6 +469,29 @@ def test_lm_learns_rare_words_and_ignores_partitions(spark):
     assert lm.size_for(10) < lm.size_for(10**7)
 
 
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    """Texts of a grammar in which a word decides the next: the model knows that, the base can't."""
+    rng = random.Random(6)
+    follows = {i: [rng.randrange(80) for _ in range(3)] for i in range(80)}
+
+    def text():
+        at, out = rng.randrange(80), []
+        for _ in range(120):
+            at = rng.choice(follows[at])
+            out.append(f"word{at}")
+        return " ".join(out)
+
+    got = lm.scored(spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string"), held_out(10)).where("held_out").collect()
+    assert len(got) > 5 and sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)
+
+
+def test_lm_head_is_bounded_by_a_threshold(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1000 // (i + 1) + 1) for i in range(400)], "word binary, c long")
+    head = lm.most_frequent(counts, 50)
+    assert 0 < len(head) <= 50 and head[0] == (b"w0", 1001) and min(c for _, c in head) > 1000 // (len(head) + 1)
+    assert lm.most_frequent(counts.limit(0), 50) == []
+
+
 def test_quality(docs, labels, nothing):
     trees = quality.train(docs, labels, ~held_out(5))
     got = table(quality.score(docs.withColumn("score", F.lit("clash")), trees))

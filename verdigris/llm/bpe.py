@@ -117,7 +117,7 @@ class Merges:
 class Rows:
     """All merges of many short pieces at once, a row of symbols each."""
 
-    SLOTS = 20
+    SLOTS = 18
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges

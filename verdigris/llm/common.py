@@ -26,9 +26,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='verdigris-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -178,10 +180,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose hashes are computed at a time: each takes some 50 bytes of temporary arrays.
+AT_ONCE = 1 << 19
+
+
 def hash_runs(body: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, the mixed sum of its mixed (byte, place) pairs."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each run of bytes, the mixed sum of its mixed (byte, place) pairs; runs of AT_ONCE bytes together at a time, or one longer run."""
+    out = np.zeros(len(first), np.uint64)
+    upto = np.cumsum(end - first)
+    low = 0
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + AT_ONCE, "right")))
+        out[low:high] = _hashed(body, first[low:high], end[low:high])
+        low = high
+    return out
+
+
+def _hashed(body: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     length = end - first
     ends = np.cumsum(length)
     place = np.arange(int(ends[-1])) - np.repeat(ends - length, length)

@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import batches, partitions_for, strings, written
 
-CLASSES = 512
+CLASSES = 384
 #: Averaged rounds of training; parts that triples are dealt to, and most triples of a unit.
-ROUNDS = 3
+ROUNDS = 2
 PARTS = 64
-UNIT = 500_000
+UNIT = 250_000
 #: Letters at the end of a word, before punctuation, that name its group.
 ENDING = 3
-HEAD = 200_000
+HEAD = 100_000
 WIDTH = 16
 NOISE = 64
 SEED = 17
@@ -140,7 +140,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches(it, 512):
             for t in batch.column(0).to_pylist():
                 counts.update(words_of(t))
-            if len(counts) > 500_000:
+            if len(counts) > 150_000:
                 yield out()
                 counts = Counter()
         yield out()
@@ -216,7 +216,7 @@ def triples_of(docs: DataFrame, words) -> DataFrame:
                 before = np.concatenate([[known.end, known.end], c[:-1]])
                 held.append((before[:-1] * known.size + before[1:]) * known.size + c)
                 tokens += len(c)
-            if tokens > 4_000_000:
+            if tokens > 1_000_000:
                 yield out()
                 tokens = 0
         yield out()
@@ -247,7 +247,7 @@ def triples_of(docs: DataFrame, words) -> DataFrame:
 
 
 def fitted(docs: DataFrame, words, share: np.ndarray) -> Model:
-    """The last round's average of the units' models; the driver receives at most 16 partial averages a round, 800 kB each."""
+    """The last round's average of the units' models; the driver receives at most 16 partial averages a round, 600 kB each."""
     context = docs.sparkSession.sparkContext
     units = triples_of(docs, words)
     model, schema = Model.start(share), "part int, tokens long, sums binary"
@@ -300,6 +300,21 @@ def normalised(spark, model: Model) -> np.ndarray:
     return np.stack([np.frombuffer(r["z"], np.float32) for r in rows])
 
 
+def most_frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
+    """Words and counts, most frequent first, of all words that occur so often that at most ``most`` do: a threshold from a histogram of counts,
+    a row for each sixteenth of an octave, so that no task sends more than its share of them."""
+    step = F.floor(F.log2("c") * 16)
+    left, least = most, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["c"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def scored(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
@@ -308,10 +323,10 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = training.count()
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    head = most_frequent(counts)
     words = Words(head, size_for(v))
     context = docs.sparkSession.sparkContext
-    sent = context.broadcast(words)
+    sent = context.broadcast(words)  # HEAD words at most
     own = [c for _, c in head[: words.own]]
     share, mass = np.full(words.size, 0.1), np.full(words.size, 0.1)
     share[: len(own)] += own
@@ -321,6 +336,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     share[words.end] += ends
     mass[: words.own] = mass[words.end] = 1
     model = fitted(training, sent, share / share.sum())
+    sent.unpersist()
     # HEAD words and three tables of size x size
     shared = context.broadcast((words, model.first @ model.out.T, model.second @ model.out.T + model.bias, normalised(docs.sparkSession, model), np.log10(mass)))
 
