@@ -15,7 +15,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(("token", "hides"), [("sh4re", True), ("0tp", False), ("0ffer", True), ("n0", True), ("10k", False), ("4th", False), ("b2b", False), ("p1n", True), ("A1B2C3", False), ("pass", False), ("55a", False)])
 def test_leet(token, hides):
-    assert X.is_leet(token) is hides
+    assert X.hides_letters(token) is hides
 
 
 def test_fold_keeps_positions_and_protected_spans():
@@ -45,7 +45,7 @@ def test_entities():
     assert [u["url"] for u in e["urls"]] == ["http://bit.ly/x", "http://a.co.in/app.apk"]
     assert [u["registered_domain"] for u in e["urls"]] == ["bit.ly", "a.co.in"] and e["urls"][0]["is_shortener"] and e["urls"][1]["is_apk"]
     assert [u["value"] for u in e["upi_ids"]] == ["ab12@ybl", "x@okaxis"] and e["upi_uris"][0]["am"] == 12.5 and e["upi_uris"][0]["pn"] == "A B"
-    assert [p["number"] for p in e["phones"]] == ["9876543210"] and [a["value"] for a in e["amounts"]] == [4999.0, 500000.0] and e["emails"] == ["me@x.com"]
+    assert [p["number"] for p in e["phones"]] == ["+919876543210"] and [a["value"] for a in e["amounts"]] == [4999.0, 500000.0] and e["emails"] == ["me@x.com"]
     assert E.extract(None)["urls"] == [] and E.extract("done.In time")["urls"] == []
 
 
@@ -57,7 +57,7 @@ def test_anonymize_is_consistent():
 
 
 def test_normalized_entities(spark):
-    cases = [("upi", " Ab1@YBL ", "ab1@ybl"), ("phone", "+91 98765-43210", "9876543210"), ("domain", "https://www.X.com/a", "x.com"), ("url", "nope", None)]
+    cases = [("upi", " Ab1@YBL ", "ab1@ybl"), ("phone", "+91 98765-43210", "+919876543210"), ("domain", "https://www.X.com/a", "x.com"), ("url", "nope", None)]
     rows = spark.createDataFrame(cases, "kind string, value string, wanted string")
     for r in rows.select("wanted", E.normalized_entity(F.col("kind"), F.col("value")).alias("got")).collect():
         assert r["got"] == r["wanted"]

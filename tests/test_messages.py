@@ -35,9 +35,9 @@ def run(spark, name, folder):
 
 def test_entities(spark, folder):
     found = {r[0]: r[1:5] for r in run(spark, "entities_full", folder)}
-    filled = {2: (["http://sbi-kyc.xyz/x"], [], [], []), 5: ([], [], ["9876543210"], []), 6: ([], ["ravi99@ybl"], [], [2000.0]), 7: (["http://wa.me/919876543210"], [], [], [500.0]), 8: ([], [], ["9876543210"], []), 10: ([], ["x1@okaxis"], [], []), 1: ([], [], [], [5000.0])}
+    filled = {2: (["http://sbi-kyc.xyz/x"], [], [], []), 5: ([], [], ["+919876543210"], []), 6: ([], ["ravi99@ybl"], [], [2000.0]), 7: (["http://wa.me/919876543210"], [], [], [500.0]), 8: ([], [], ["+919876543210"], []), 10: ([], ["x1@okaxis"], [], []), 1: ([], [], [], [5000.0])}
     assert found == {i: filled.get(i, ([], [], [], [])) for i in range(1, 13)}
-    assert sorted(run(spark, "entity_keys", folder)) == [(2, "domain", "sbi-kyc.xyz"), (2, "url", "http://sbi-kyc.xyz/x"), (5, "phone", "9876543210"), (6, "upi", "ravi99@ybl"), (7, "domain", "wa.me"), (7, "url", "http://wa.me/919876543210"), (8, "phone", "9876543210"), (10, "upi", "x1@okaxis")]
+    assert sorted(run(spark, "entity_keys", folder)) == [(2, "domain", "sbi-kyc.xyz"), (2, "url", "http://sbi-kyc.xyz/x"), (5, "phone", "+919876543210"), (6, "upi", "ravi99@ybl"), (7, "domain", "wa.me"), (7, "url", "http://wa.me/919876543210"), (8, "phone", "+919876543210"), (10, "upi", "x1@okaxis")]
     spans = run(spark, "entity_spans", folder)
     texts, columns = dict(MESSAGES), catalogue.QUERIES["entity_spans"](spark, folder).columns
     at = [columns.index(c) for c in ("doc_id", "start", "end")]

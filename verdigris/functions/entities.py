@@ -9,12 +9,14 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from urllib.parse import parse_qsl, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import cleaned, fold, merged_spans
 from .udf import vectorized
 
 # Names of public services and public suffixes.
@@ -36,7 +38,7 @@ SENSITIVE = {
 }
 _PAN = re.compile(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b")
 
-LISTS = ("emails", "sensitive_info", "remote_access_apps", "apk_links", "apk_files")
+LISTS = ("emails", "sensitive_info", "remote_access_apps", "apk_links", "apk_files", "rule_texts", "evasions")
 ENTITIES = (
     "struct<normalized_text:string,"
     "urls:array<struct<raw:string,url:string,host:string,registered_domain:string,is_shortener:boolean,is_ip:boolean,is_apk:boolean>>,"
@@ -44,8 +46,9 @@ ENTITIES = (
     "upi_uris:array<struct<raw:string,pa:string,pn:string,am:double,tn:string,cu:string,mc:string>>,"
     "phones:array<struct<raw:string,number:string,kind:string>>,"
     "amounts:array<struct<raw:string,value:double,currency:string>>,"
-    f"{','.join(f'{n}:array<string>' for n in LISTS)}>"
+    f"{','.join(f'{n}:array<string>' for n in LISTS)},largest_amount:double>"
 )
+COLUMNS = ["normalized_text", "urls", "upi_ids", "upi_uris", "phones", "amounts", *LISTS, "largest_amount"]
 
 _URL = re.compile(r"(?i)(?<![\w@./-])(?:(?P<scheme>https?://)(?P<rest>[^\s<>\"'`]+)|(?P<bare>(?:www\.)?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:" + "|".join(BARE_TLDS) + r")(?![\w-])(?:[/?#][^\s<>\"'`]*)?))")
 _UPI_URI = re.compile(r"(?i)\bupi://[^\s<>\"']+")
@@ -53,10 +56,21 @@ _AT = re.compile(r"(?<![\w.+-])([A-Za-z0-9][A-Za-z0-9._+-]{0,255})@([A-Za-z][A-Z
 _MOBILE = re.compile(r"(?<![\d+])(?:\+?91[ -]?|0)?([6-9]\d{9}|[6-9]\d{4}[ -]\d{5}|[6-9]\d{2}[ -]\d{3}[ -]\d{4}|[6-9]\d{3}[ -]\d{3}[ -]\d{3})(?!\d)")
 _TOLL = re.compile(r"(?<!\d)1800[ -]?\d{2,3}[ -]?\d{4}(?!\d)")
 _INTERNATIONAL = re.compile(r"(?<![\w+])\+(?!91)\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{3,4}(?!\d)")
-_ID_WORD = re.compile(r"(?i)(account|a/c|order|ref(erence)?|txn|transaction|utr|consumer|aadhaar|card|policy|invoice|rs\.?|inr|₹)[^\d]{0,14}$")
-_AMOUNT = re.compile(r"(?i)(?:(?P<before>₹|\brs\.?|\binr\b|\$|\busd\b|€|\beur\b)\s*(?P<a>\d[\d,]*(?:\.\d+)?)\s*(?P<m1>k|lakhs?|lacs?|crores?|cr|l)?\b)|(?:(?<![\w.])(?P<b>\d[\d,]*(?:\.\d+)?)\s*(?P<m2>k|lakhs?|lacs?|crores?|cr)?\s*(?P<after>rupees?|rs\b|inr\b|/-|dollars?))|(?:(?<![\w.])(?P<c>\d[\d,]*(?:\.\d+)?)\s*(?P<m3>lakhs?|lacs?|crores?)\b)")
-_SCALE = {"k": 1e3, "l": 1e5, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "cr": 1e7, "crore": 1e7, "crores": 1e7}
+_ID_WORD = re.compile(r"(?i)(account|a/c|order|\bid\b|ref(erence)?|txn|transaction|utr|consumer|aadhaar|card|policy|invoice|rs\.?|inr|₹)[^\d]{0,14}$")
+# Words of scale and currency, in both scripts; a nukta may be a character of its own.
+_SCALES = {"k": 1e3, "thousand": 1e3, "hazaar": 1e3, "hazar": 1e3, "हज़ार": 1e3, "हज़ार": 1e3, "हजार": 1e3, "l": 1e5, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "लाख": 1e5, "cr": 1e7, "crore": 1e7, "crores": 1e7, "करोड़": 1e7, "करोड़": 1e7}
+_SCALE = {unicodedata.normalize("NFKC", k): v for k, v in _SCALES.items()}
+_ALONE = [w for w in _SCALE if w not in ("l", "thousand", "hazaar", "hazar") and not w.startswith("हज")]
 _CURRENCY = {"$": "USD", "usd": "USD", "dollar": "USD", "dollars": "USD", "€": "EUR", "eur": "EUR"}
+_either = lambda words: "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+_END = r"(?![A-Za-z0-9\u0900-\u097f])"
+_NUM = r"\d[\d,]*(?:\.\d+)?"
+_AMOUNT = re.compile(
+    rf"(?i)(?:(?P<before>₹|(?<![a-z])(?:rs\.?|inr|usd|eur)|\$|€|रु(?:पये|पए)?\.?)\s*(?P<a>{_NUM})(?:\s*(?P<m1>{_either(_SCALE)}){_END})?)"
+    rf"|(?<![\w.])(?P<b>{_NUM})\s*(?P<m2>{_either(_SCALE)})?\s*(?P<after>/-|(?:rupees?|rupaye|rupay|rupiya|rupya|rs|inr|dollars?|रुपये|रुपए|रुपया|रु){_END})"
+    rf"|(?<![\w.])(?P<c>{_NUM})(?:\s*(?P<m3>{_either([w for w in _ALONE if w != 'k'])})|(?P<m4>k)){_END}"
+)
+_LETTER_O = re.compile(r"(?i)(?:₹|(?<![a-z])(?:rs\.?|inr))\s*(\d[\do,]*)")
 _APK = re.compile(r"(?i)\b[\w.-]+\.apk\b")
 
 
@@ -119,15 +133,20 @@ def upi_uri(raw: str) -> dict:
 
 
 def phones_in(text: str) -> list[tuple[int, int, dict]]:
-    found = []
+    """In order of place; numbers as +91 and ten digits, toll-free ones as they are."""
+    found: list[tuple[int, int, dict]] = []
     for pattern, kind in ((_TOLL, "toll_free"), (_INTERNATIONAL, "international"), (_MOBILE, "mobile")):
         for m in pattern.finditer(text):
-            if _ID_WORD.search(text[max(0, m.start() - 30) : m.start()]) or any(a < m.end() and m.start() < b for a, b, _ in found):
+            if _ID_WORD.search(text[max(0, m.start() - 30) : m.start()]):
                 continue
             digits = re.sub(r"\D", "", m[0])
-            number = digits[-10:] if kind == "mobile" else digits if kind == "toll_free" else f"+{digits}"
+            number = f"+91{digits[-10:]}" if kind == "mobile" else digits if kind == "toll_free" else f"+{digits}"
             found.append((m.start(), m.end(), {"raw": m[0], "number": number, "kind": kind}))
-    return sorted(found, key=lambda x: x[:2])
+    kept: list[tuple[int, int, dict]] = []
+    for x in sorted(found, key=lambda x: x[0]):  # stable: of two at one place the kind that is tried first
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+    return kept
 
 
 def amounts_in(text: str) -> list[tuple[int, int, dict]]:
@@ -137,7 +156,7 @@ def amounts_in(text: str) -> list[tuple[int, int, dict]]:
             value = float((m["a"] or m["b"] or m["c"]).replace(",", ""))
         except ValueError:
             continue
-        scale = (m["m1"] or m["m2"] or m["m3"] or "").lower()
+        scale = (m["m1"] or m["m2"] or m["m3"] or m["m4"] or "").lower()
         sign = (m["before"] or m["after"] or "").lower()
         found.append((m.start(), m.end(), {"raw": m[0].strip(), "value": value * _SCALE.get(scale, 1.0), "currency": _CURRENCY.get(sign, "INR")}))
     return found
@@ -148,60 +167,93 @@ def sensitive_in(text: str) -> list[str]:
     return [k for k, p in SENSITIVE.items() if re.search(p, low) or (k == "pan" and _PAN.search(text))]
 
 
+def outside(spans: list[tuple], held: list[tuple]) -> list[tuple]:
+    """Of spans in ascending order those that overlap none of ``held``: one pass over both."""
+    busy, at, out = merged_spans([(x[0], x[1]) for x in held]), 0, []
+    for x in spans:
+        while at < len(busy) and busy[at][1] <= x[0]:
+            at += 1
+        if at == len(busy) or busy[at][0] >= x[1]:
+            out.append(x)
+    return out
+
+
+def blanked(text: str, spans: list[tuple]) -> str:
+    parts, at = [], 0
+    for a, b in merged_spans([(x[0], x[1]) for x in spans]):
+        parts += [text[at:a], " " * (b - a)]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
+def largest_amount(text: str, amounts: list[dict]) -> float:
+    """The greatest amount, the letter O behind a currency read as zero."""
+    zeroed = [float(m[1].lower().replace("o", "0").replace(",", "")) for m in _LETTER_O.finditer(text) if "o" in m[1].lower()]
+    return max([a["value"] for a in amounts] + zeroed, default=0.0)
+
+
 def extract(text: str | None) -> dict:
-    """All entities of a message in their order."""
-    text = text or ""
-    uris = [(m.start(), m.end(), upi_uri(_trimmed(m[0]))) for m in _UPI_URI.finditer(text)]
-    free = lambda spans: lambda x: not any(a < x[1] and x[0] < b for a, b, *_ in spans)
-    links = list(filter(free(uris), urls_in(text)))
-    taken = [*uris, *links]
-    ids, emails = [], []
-    for m in _AT.finditer(text):
+    """All entities of a message in their order, its folded texts and the tokens that hid something; everything is read from the clean text."""
+    text = cleaned(text)
+    uris = [(m.start(), m.end(), upi_uri(_trimmed(m[0]))) for m in _UPI_URI.finditer(text)] if "upi://" in text.lower() else []
+    links = outside(urls_in(text), uris) if "." in text else []
+    marks = list(_AT.finditer(text)) if "@" in text else []
+    ids, emails, named = [], [], []
+    for m in (x[2] for x in outside([(m.start(), m.end(), m) for m in marks], [*uris, *links])):
         local, handle = m[1], m[2].lower()
-        if any(a < m.end() and m.start() < b for a, b, *_ in taken):
-            continue
         if "." in handle:
             emails.append(m[0])
-        elif handle in UPI_HANDLES:
-            ids.append({"value": f"{local}@{handle}".lower(), "handle": handle, "confidence": "high"})
-        elif m[2].islower() and not local.isalpha():
-            ids.append({"value": f"{local}@{handle}".lower(), "handle": handle, "confidence": "low"})
+        elif handle in UPI_HANDLES or (m[2].islower() and not local.isalpha()):
+            ids.append({"value": f"{local}@{handle}".lower(), "handle": handle, "confidence": "high" if handle in UPI_HANDLES else "low"})
+        else:
+            continue
+        named.append(m.span())
     for _, _, u in uris:
         if u["pa"] and "@" in u["pa"]:
             handle = u["pa"].rsplit("@", 1)[1].lower()
             ids.append({"value": u["pa"].lower(), "handle": handle, "confidence": "high" if handle in UPI_HANDLES else "low"})
-    blank = list(text)
-    for a, b, *_ in taken:
-        blank[a:b] = " " * (b - a)
-    rest = "".join(blank)
-    files = list({f.lower(): f for f in reversed(_APK.findall(rest))}.values())[::-1]
+    rest = blanked(text, [*uris, *links])
+    bare = blanked(rest, [m.span() for m in marks])
+    has_digits = any(c.isdigit() for c in rest)
+    phones, amounts = (phones_in(bare), amounts_in(rest)) if has_digits else ([], [])
+    protected = [*uris, *links, *named, *phones, *amounts]
+    first, second, evasions = fold(text, [(x[0], x[1]) for x in protected])
+    low = text.lower()
     return {
-        "normalized_text": text.lower(),
+        "normalized_text": low,
         "urls": _unique([u for _, _, u in links], "url"),
         "upi_ids": _unique(ids, "value"),
         "upi_uris": _unique([u for _, _, u in uris], "raw"),
-        "phones": _unique([p for _, _, p in phones_in(rest)], "number"),
-        "amounts": _unique([a for _, _, a in amounts_in(rest)], "value"),
+        "phones": _unique([p for _, _, p in phones], "number"),
+        "amounts": _unique([a for _, _, a in amounts], "value"),
         "emails": list(dict.fromkeys(emails)),
         "sensitive_info": sensitive_in(text),
-        "remote_access_apps": [a for a in REMOTE_APPS if a in text.lower().replace(" ", "")],
+        "remote_access_apps": [a for a in REMOTE_APPS if a in low.replace(" ", "")],
         "apk_links": list(dict.fromkeys(u["url"] for _, _, u in links if u["is_apk"])),
-        "apk_files": files,
+        "apk_files": list({f.lower(): f for f in reversed(_APK.findall(rest))}.values())[::-1],
+        "rule_texts": list(dict.fromkeys([first, second])),
+        "evasions": evasions,
+        "largest_amount": largest_amount(rest, [a for _, _, a in amounts]),
     }
 
 
 @vectorized(ENTITIES)
 def entities(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract(t) for t in texts], columns=["normalized_text", "urls", "upi_ids", "upi_uris", "phones", "amounts", *LISTS])
+    return pd.DataFrame([extract(t) for t in texts], columns=COLUMNS)
 
 
 def spans(text: str | None) -> list[dict]:
     """start, end, kind of every entity; of overlapping ones the first in order of kinds holds its characters."""
     text, held = text or "", []
-    kinds = [("upi_uri", [(m.start(), m.end()) for m in _UPI_URI.finditer(text)]), ("url", [x[:2] for x in urls_in(text)]), ("address", [m.span() for m in _AT.finditer(text)]), ("phone", [x[:2] for x in phones_in(text)]), ("amount", [x[:2] for x in amounts_in(text)])]
-    for kind, found in kinds:
-        held += [{"start": a, "end": b, "kind": kind} for a, b in found if not any(h["start"] < b and a < h["end"] for h in held)]
-    return sorted(held, key=lambda h: h["start"])
+    for kind, found in (
+        ("upi_uri", [(m.start(), m.end()) for m in _UPI_URI.finditer(text)]),
+        ("url", [x[:2] for x in urls_in(text)]),
+        ("address", [m.span() for m in _AT.finditer(text)]),
+        ("phone", [x[:2] for x in phones_in(text)]),
+        ("amount", [x[:2] for x in amounts_in(text)]),
+    ):
+        held += [(a, b, kind) for a, b in outside(found, held)]
+    return [{"start": a, "end": b, "kind": k} for a, b, k in sorted(held)]
 
 
 @vectorized("array<struct<start:int,end:int,kind:string>>")
@@ -245,7 +297,7 @@ def normalized_entity(kind: Column, value: Column) -> Column:
     low = F.lower(F.trim(value))
     digits = F.regexp_replace(value, r"\D", "")
     host = F.regexp_replace(F.regexp_replace(low, r"^https?://", ""), r"[/?#:].*$", "")
-    phone = F.when(F.length(digits).between(10, 13), F.when(F.length(digits) == 10, digits).when(digits.rlike("^91[6-9]"), F.right(digits, F.lit(10))).otherwise(F.concat(F.lit("+"), digits)))
+    phone = F.when(F.length(digits).between(10, 13), F.when(digits.rlike("^1800"), digits).when(F.length(digits) == 10, F.concat(F.lit("+91"), digits)).when(digits.rlike("^0[6-9]"), F.concat(F.lit("+91"), F.right(digits, F.lit(10)))).otherwise(F.concat(F.lit("+"), digits)))
     domain = F.when(host.rlike(r"^([a-z0-9-]+\.)+[a-z]{2,}$"), F.regexp_replace(host, r"^www\.", ""))
     return F.when(kind == "upi", F.when(low.rlike(r"^[a-z0-9._-]+@[a-z][a-z0-9]*$"), low)).when(kind == "phone", phone).when(kind == "url", F.when(low.rlike(r"^https?://\S+\.\S+"), F.trim(value))).when(kind == "domain", domain)
 

@@ -15,46 +15,49 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 # Phrase patterns, in lower case, in Java's dialect without flags that differ between engines.
+# Devanagari words stand without \b, which knows ASCII alone.
 P = {
-    "pin": r"\b(upi )?m?pin\b",
-    "receive": r"\b(receive|get|credit|collect|claim|accept)\w*\b",
-    "scan": r"\bscan\w*\b",
-    "qr": r"\bqr( ?code)?\b",
-    "bait": r"\b(cashback|refund|reward|prize|bonus|gift|win|won)\w*\b",
-    "not": r"\b(not|never|don'?t|do not|no need|without|nahi|mat)\b",
-    "prize": r"\b(won|winner|lottery|lucky draw|prize|jackpot|kbc)\b",
+    "pin": r"\b(upi )?m?pin\b|पिन",
+    "receive": r"\b(receive|get|credit|collect|claim|accept|milega|paane)\w*\b|प्राप्त|पाने",
+    "scan": r"\bscan\w*\b|स्कैन",
+    "qr": r"\bqr( ?code)?\b|क्यूआर",
+    "bait": r"\b(cashback|refund|reward|prize|bonus|gift|win|won|receive|advance)\w*\b|aa jay?en?ge|इनाम|कैशबैक|रिफंड|प्राप्त",
+    "not": r"\b(not|never|don'?t|do not|no need|without|nahi|mat|asks? you)\b|नहीं|(^|[^\p{L}\p{M}])न([^\p{L}\p{M}]|$)|कभी",
+    "prize": r"\b(won|winner|lottery|lucky draw|prize|jackpot|kbc)\b|इनाम|लॉटरी",
     "collect": r"\b(collect|payment|money) request\b|\bapprove (the )?request\b",
-    "mistake": r"\b(by mistake|mistakenly|accidentally|wrong(ly)? (number|account|sent|transferred)|galti se)\b",
-    "return": r"\b(return|send (it )?back|refund|wapas|transfer back)\w*\b",
-    "money": r"\b(money|amount|payment|rupees|rs|paise|paisa|cash)\b|₹",
-    "credit": r"\b(credited|deposited|received|approved|sanctioned)\b",
+    "mistake": r"\b(by mistake|mistakenly|accidentally|wrong(ly)? (number|account|sent|transferred)|galti se)\b|गलती से",
+    "return": r"\b(return|refund|wapas|transfer back)\w*\b|\bsend (\w+ ){0,3}back\b|वापस",
+    "money": r"\b(money|amount|payment|rupees|rs|paise|paisa|cash)\b|₹|रुपये|पैसे",
+    "credit": r"\b(credited|deposited|received|approved|sanctioned|added)\b|जमा",
     "cash_out": r"\b(withdraw|claim|redeem|transfer|cash ?out|collect)\w*\b",
     "deposit_first": r"\bdeposit (first|now)\b",
-    "blocked": r"\b(account|card|kyc|sim|wallet|upi|number|service)s?\b.{0,40}\b(block|suspend|deactivat|expir|frozen|freez|clos|disconnect)\w*|\bkyc\b.{0,30}\b(pending|update|incomplete|verif)\w*",
+    "blocked": r"\b(account|card|kyc|sim|wallet|upi|number|service)s?\b((?!points|offer).){0,40}\b(block|suspend|deactivat|expir|frozen|freez|clos|disconnect)\w*|\bkyc\b.{0,30}\b(pending|incomplete|unverif)\w*|(खाता|कार्ड|केवाईसी).{0,40}(ब्लॉक|बंद|निलंबित)",
     "requested": r"\bas (you )?requested\b",
-    "action": r"\b(update|verify|confirm|complete|link|reactivate|unblock|validate|click)\w*\b",
-    "noun": r"\b(kyc|account|pan|aadhaar|card|details|identity|wallet|profile)\b",
-    "power": r"\b(electricity|power|bijli|light bill|connection)\b",
-    "cut": r"\b(disconnect|cut off|cut|stopped|band)\w*\b",
-    "fee": r"\b(fee|charge|tax|deposit|customs|duty|processing)s?\b",
-    "pay": r"\b(pay|paid|send|transfer)\w*\b",
-    "release": r"\b(release|clear|deliver|receive|loan|parcel|refund|prize|disburse)\w*\b",
-    "urgent": r"\b(urgent(ly)?|immediately|act now|last (chance|warning)|final (notice|warning)|turant|within \d+ (hours?|minutes?|hrs?))\b",
-    "time": r"\b(today|tonight|now|24 hours?|aaj|abhi)\b",
-    "consequence": r"\b(block|suspend|disconnect|arrest|legal action|fine|penalt|lose|expire)\w*\b",
-    "earn": r"\b(earn|income|salary|kamao|kamaye)\w*\b",
-    "per_task": r"\b(per (task|like|review|day|video)|daily|each (task|like|review))\b",
-    "part_time": r"\b(part[ -]?time|work from home|online job|home[ -]?based)\b",
+    "action": r"\b(update|verify|confirm|complete|link|reactivate|unblock|validate|click|restore|re-?activate|regain)\w*\b|अपडेट|सत्यापित",
+    "noun": r"\b(kyc|account|pan|aadhaar|card|details|identity|wallet|profile|access)\b|खाता|आधार|पैन",
+    "power": r"\b(electricity|power|bijli|light bill)\b|बिजली",
+    "cut": r"\bdisconnect\w*\b|\b(will|shall) be (cut|stopped|switched off)\b|\bkat ja|\bkaat d|\bband (ho|kar)|काट|कट जा|बंद",
+    "fee": r"\b(fees?|charges?|tax|deposit|customs|duty|processing|redelivery)\b|शुल्क",
+    "pay": r"\b(pay|paid|send|transfer)\w*\b|भुगतान",
+    "release": r"\b(release|clear|deliver|receive|loan|parcel|refund|prize|disburse)\w*\b|पार्सल",
+    "urgent": r"\b(urgent(ly)?|immediately|act now|last (chance|warning)|final (notice|warning)|turant|within \d+ (hours?|minutes?|hrs?)|\d+ (hours?|minutes?|hrs?) only)\b|तुरंत",
+    "time": r"\b(today|tonight|now|24 hours?|aaj|abhi)\b|आज|अभी",
+    "consequence": r"\b(block|suspend|disconnect|arrest|legal action|court action|fine|penalt|lose|expire|kat ja)\w*\b|ब्लॉक|बंद",
+    "earn": r"\b(earn|income|salary|kamao|kamaye|kamaen)\w*\b|कमाए|कमाएं",
+    "per_task": r"\b(per (task|like|review|day|video)|daily|each (task|like|review)|roz|by liking|like karke)\b|रोज",
+    "part_time": r"\b(part[ -]?time|work from home|online job|home[ -]?based|ghar baithe)\b|घर बैठे",
     "messaging": r"^(wa\.me|t\.me|telegram\.me|chat\.whatsapp\.com|whatsapp\.com)$",
-    "job": r"\b(job|hiring|vacancy|work|salary|recruit|earn)\w*\b",
-    "prepaid": r"\b(prepaid|merchant|recharge) task\b|\b(pay|deposit|recharge)\b.{0,30}\bto (unlock|start|continue)\b.{0,20}\btasks?\b",
-    "task": r"\btasks?\b",
-    "commission": r"\bcommission\b",
-    "care": r"\b(customer care|helpline|help ?desk|support (number|team)|toll ?free)\b",
-    "credential": r"\b(otp|cvv|pin|password|passcode|one[ -]?time password)\b",
-    "share": r"\b(share|send|tell|give|provide|enter|forward|reply with|batao|bhejo)\w*\b",
-    "identity": r"\b(aadhaa?r|pan card|pan number|passport|driving licen[cs]e|voter id)\b",
-    "manipulate": r"\b(ignore (all |the )?(previous|above|prior) instructions|you are now|system prompt|mark (this|it) as safe|do not flag)\b",
+    "job": r"\b(job|hiring|vacancy|work|salary|recruit|earn)\w*\b|नौकरी",
+    "prepaid": r"\b(prepaid|merchant|recharge) task\b|\b(pay|deposit|recharge)\b.{0,30}\bto (unlock|start|continue)\b.{0,20}\btasks?\b|\bunlock\b.{0,30}\btasks?\b",
+    "task": r"\btasks?\b|टास्क",
+    "commission": r"\bcommission\b|कमीशन",
+    "care": r"\b(customer (care|service)|helpline|help ?desk|support (number|team)|toll ?free)\b|कस्टमर केयर|हेल्पलाइन",
+    "officer": r"\b(electricity|power|bijli) (officer|adhikari|department)\b|अधिकारी",
+    "credential": r"\b(otp|cvv|pin|password|passcode|one[ -]?time password)\b|ओटीपी|पासवर्ड",
+    "share": r"\b(share|send|tell|give|provide|enter|forward|reply with|batao|bata d|bhejo)\w*\b|बताए|शेयर|भेजें",
+    "identity": r"\b(aadhaa?r|pan card|pan number|passport|driving licen[cs]e|voter id)\b|आधार|पैन कार्ड",
+    "challan": r"\b(e-?challan|traffic fine|parcel|package)\b.{0,60}\b(pending|unpaid|held|on hold)\b",
+    "manipulate": r"\b(ignore|disregard|forget|override|bypass)( (all|any|the|your|my|these|previous|above|prior|earlier|system))+ (instructions?|rules|prompts?|guidelines)\b|\byou are now (in|a|an) (\w+ )?(mode|model|assistant|ai)\b|\bsystem prompt\b|\b(mark|classify|label|rate|flag|treat) (this|it|isko)( \w+)? as (not a scam|not scam|safe|genuine|legit\w*)\b|\bsafe mark kar|\bdo not flag\b|निर्देश.{0,12}(भूल|अनदेखा)|सुरक्षित (बताओ|बताएं|मानो)",
 }
 
 RISKY_TLDS = "xyz top click link loan work gq tk ml cf ga icu buzz cam rest monster vip win online site shop club live".split()
@@ -63,9 +66,13 @@ BRANDS = {
     "paytm": ["paytm.com"], "phonepe": ["phonepe.com"], "gpay": ["google.com"], "sbi": ["sbi.co.in", "onlinesbi.sbi"], "hdfc": ["hdfcbank.com"], "icici": ["icicibank.com"], "axisbank": ["axisbank.com"],
     "amazon": ["amazon.in", "amazon.com"], "flipkart": ["flipkart.com"], "google": ["google.com", "google.co.in"], "whatsapp": ["whatsapp.com"], "netflix": ["netflix.com"], "paypal": ["paypal.com"],
     "microsoft": ["microsoft.com"], "apple": ["apple.com"], "facebook": ["facebook.com"], "instagram": ["instagram.com"], "airtel": ["airtel.in"], "irctc": ["irctc.co.in"], "npci": ["npci.org.in"],
+    "parivahan": ["parivahan.gov.in"], "indiapost": ["indiapost.gov.in"], "uidai": ["uidai.gov.in"], "yono": ["sbi.co.in"], "jio": ["jio.com"], "bsnl": ["bsnl.co.in"], "epfo": ["epfindia.gov.in"],
+    "licindia": ["licindia.in"], "kotak": ["kotak.com"], "canarabank": ["canarabank.com"], "bajajfinserv": ["bajajfinserv.in"], "fedex": ["fedex.com"],
 }
 OFFICIAL = sorted({d for ds in BRANDS.values() for d in ds})
 OFFICIAL_SUFFIXES = ["gov.in", "nic.in", "bank.in"]
+#: Fixed: short domains with digits that are well known.
+KNOWN_DIGIT_DOMAINS = ["1mg.com", "zee5.com", "a23.games", "a23.com"]
 WEAK_ONLY = ["short_url", "throwaway_domain", "filter_evasion"]
 WEAK_CAP = 20
 GENERIC = "generic"
@@ -88,21 +95,23 @@ def phrase(text: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def near(clauses: Column, groups: list[str], window: int = 2, unless: str | None = None) -> Column:
-    """The first run of ``window`` clauses in which every group has a match.
+def near(clauses: Column, groups: list[str], window: int = 2, unless: str | None = None, phrases: dict[str, str] | None = None) -> Column:
+    """The first run of ``window`` clauses in which every group has a match; groups are names of ``phrases``, by default of the rules' own.
 
     With ``unless``, the first of its clauses that matches the first group must not match that phrase.  Later runs are still tried.
     """
 
+    table = P if phrases is None else phrases
+
     def run(c: Column, i: Column) -> Column:
         part = F.slice(clauses, i + 1, window)
         chunk = F.array_join(part, " . ")
         good = F.lit(True)
         for g in groups:
-            good = good & chunk.rlike(P[g])
+            good = good & chunk.rlike(table[g])
         if unless:
-            anchor = F.get(F.filter(part, lambda x: x.rlike(P[groups[0]])), F.lit(0))
-            good = good & ~F.coalesce(anchor.rlike(P[unless]), F.lit(False))
+            anchor = F.get(F.filter(part, lambda x: x.rlike(table[groups[0]])), F.lit(0))
+            good = good & ~F.coalesce(anchor.rlike(table[unless]), F.lit(False))
         return F.when(good, chunk)
 
     return F.get(F.filter(F.transform(clauses, run), lambda x: x.isNotNull()), F.lit(0))
@@ -117,7 +126,7 @@ def any_url(e: Column, good: Callable[[Column], Column]) -> Column:
 
 
 def largest(e: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(e["amounts"], lambda a: a["value"])), F.lit(0.0))
+    return F.coalesce(e["largest_amount"], F.lit(0.0))
 
 
 def contact_route(e: Column) -> Column:
@@ -155,7 +164,7 @@ def lookalike_brand(host: Column, domain: Column) -> Column:
 
 def throwaway(domain: Column) -> Column:
     name = F.substring_index(domain, ".", 1)
-    return name.rlike("^[a-z0-9]{3,5}$") & name.rlike("[a-z]") & name.rlike("[0-9]")
+    return name.rlike("^[a-z0-9]{3,5}$") & name.rlike("[a-z]") & name.rlike("[0-9]") & ~domain.isin(KNOWN_DIGIT_DOMAINS)
 
 
 @dataclass(frozen=True)
@@ -191,7 +200,7 @@ RULES: list[Rule] = [
     Rule("money_back_request", "sent_by_mistake", 0.20, lambda t, c, e, v: _if(~t.rlike(P["mistake"]), near(c, ["return", "money"])), True),
     Rule("fake_credit_alert", "phishing_link", 0.75, lambda t, c, e, v: _if((F.size(e["urls"]) > 0) & ~all_official(e) & t.rlike(P["cash_out"]) & (largest(e) >= 1000) & ~t.rlike(P["deposit_first"]), phrase(t, "credit"))),
     Rule("short_url", "phishing_link", 0.45, lambda t, c, e, v: any_url(e, lambda u: u["is_shortener"])),
-    Rule("tracking_suffix_link", "phishing_link", 0.30, lambda t, c, e, v: any_url(e, lambda u: u["url"].rlike(r"/[^/?#]*![A-Za-z0-9]+") & ~is_official(u["registered_domain"]))),
+    Rule("tracking_suffix_link", "phishing_link", 0.30, lambda t, c, e, v: any_url(e, lambda u: u["url"].rlike(r"//[^/]+/(?:[^?#]*/)?[^/?#!]+![A-Za-z0-9]+") & ~is_official(u["registered_domain"]))),
     Rule("throwaway_domain", "phishing_link", 0.25, lambda t, c, e, v: any_url(e, lambda u: throwaway(u["registered_domain"]) & ~u["is_shortener"])),
     Rule("lookalike_domain", "phishing_link", 0.60, lambda t, c, e, v: F.get(F.filter(F.arrays_zip(e["urls"], F.col("url_brands")), lambda z: z["url_brands"].isNotNull()), F.lit(0))["urls"]["raw"]),
     Rule("suspicious_tld", "phishing_link", 0.30, lambda t, c, e, v: any_url(e, lambda u: F.substring_index(u["host"], ".", -1).isin(RISKY_TLDS))),
@@ -207,7 +216,7 @@ RULES: list[Rule] = [
     Rule("task_commission", "task_job", 0.50, lambda t, c, e, v: near(c, ["task", "commission"])),
     Rule("remote_access_app", "fake_customer_care", 0.65, lambda t, c, e, v: F.get(e["remote_access_apps"], F.lit(0))),
     Rule("apk_link", "fake_customer_care", 0.80, lambda t, c, e, v: F.coalesce(F.get(e["apk_links"], F.lit(0)), F.get(e["apk_files"], F.lit(0)))),
-    Rule("helpline_personal_mobile", "fake_customer_care", 0.40, lambda t, c, e, v: _if(t.rlike(P["care"]), mobile(e))),
+    Rule("helpline_personal_mobile", "fake_customer_care", 0.40, lambda t, c, e, v: _if(t.rlike(P["care"]) | t.rlike(P["officer"]), mobile(e))),
     Rule("credential_request", GENERIC, 0.85, lambda t, c, e, v: one_clause(c, ["share", "credential"], "not")),
     Rule("id_document_request", GENERIC, 0.35, lambda t, c, e, v: one_clause(c, ["share", "identity"], "not")),
     Rule("filter_evasion", GENERIC, 0.15, lambda t, c, e, v: F.get(v, F.lit(0)), True),
@@ -231,24 +240,47 @@ def saturating(weights: Column) -> Column:
     return F.bround(100 * (1 - F.aggregate(weights, F.lit(1.0), lambda a, w: a * (1 - w)))).cast("int")
 
 
+def rule_clauses(text: Column) -> Column:
+    """Clauses of a folded text; a dot of an abbreviation or inside a link or number ends none.  Characters keep their places."""
+    return X.clauses(dotless(text))
+
+
+def dotless(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?<=\b(?:rs|no|dr|mr|mrs|ms|ref))\.|\.(?=[^\s])", "·")
+
+
+def unfolded(evidence: Column, folded: Column, original: Column) -> Column:
+    """Evidence in the message's own spelling: its pieces are looked up in the folded text, whose characters have the places of the original."""
+    shown = dotless(folded)
+
+    def piece(p: Column) -> Column:
+        at = F.coalesce(F.nullif(F.call_function("locate", p, folded), F.lit(0)), F.call_function("locate", p, shown))
+        return F.when(at > 0, F.substring(original, at, F.length(p))).otherwise(p)
+
+    return F.array_join(F.transform(F.split(evidence, r" \. "), piece), " … ")
+
+
 def evaluate(messages: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
-    """messages with hits, rules_score and rules_type.
+    """messages with hits, rules_score and rules_type, from the entities of the text, which hold its folded forms.
 
-    Every rule sees the folded text; the second folding only adds rules that the first one missed.
+    Every rule sees the first folding; the second, where a message has one, only adds rules that the first one missed.
     """
-    folded = messages.withColumn("__fold", X.folded_texts(F.coalesce(text, F.lit(""))))
-    e, v = F.col(entities), F.col("__fold.evasions")
+    e = F.col(entities)
+    v = e["evasions"]
     brands = F.transform(e["urls"], lambda u: lookalike_brand(u["host"], u["registered_domain"]))
-    parts = folded.select("*", X.clauses(F.col("__fold.first")).alias("__c1"), X.clauses(F.col("__fold.second")).alias("__c2"), brands.alias("url_brands"))
-    differs = F.col("__fold.first") != F.col("__fold.second")
+    folded = messages.withColumns({"__one": e["rule_texts"][0], "__two": F.get(e["rule_texts"], F.lit(1)), "url_brands": brands})
+    parts = folded.withColumns({"__c1": rule_clauses(F.col("__one")), "__c2": rule_clauses(F.col("__two"))})
     evidence, hits = {}, []
     for i, rule in enumerate(RULES):
-        first = rule.evidence(F.col("__fold.first"), F.col("__c1"), e, v)
-        evidence[f"__r{i}"] = F.coalesce(first, F.when(differs, rule.evidence(F.col("__fold.second"), F.col("__c2"), e, v))) if rule.id in TEXT_RULES else first
-        weight = rule.weight_of(F.col("__fold.first"), e) if rule.weight_of else F.lit(rule.weight)
+        first = rule.evidence(F.col("__one"), F.col("__c1"), e, v)
+        if rule.id in TEXT_RULES:
+            again = F.when(F.col("__two").isNotNull(), rule.evidence(F.col("__two"), F.col("__c2"), e, v))
+            first = F.coalesce(unfolded(first, F.col("__one"), e["normalized_text"]), unfolded(again, F.col("__two"), e["normalized_text"]))
+        evidence[f"__r{i}"] = first
+        weight = rule.weight_of(F.col("__one"), e) if rule.weight_of else F.lit(rule.weight)
         hits.append(F.when(F.col(f"__r{i}").isNotNull(), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.type).alias("scam_type"), weight.alias("weight"), X.snippet(F.col(f"__r{i}")).alias("evidence"), F.lit(rule.supporting).alias("supporting"), F.lit(i).alias("place"))))
     # evidence first, each a column of its own, so that what is built on it doesn't repeat its expression
-    found = parts.withColumns(evidence).withColumn("hits", kept_apart(F.filter(F.array(*hits), lambda h: h.isNotNull()))).drop("__fold", "__c1", "__c2", *evidence)
+    found = parts.withColumns(evidence).withColumn("hits", kept_apart(F.filter(F.array(*hits), lambda h: h.isNotNull()))).drop("__one", "__two", "__c1", "__c2", *evidence)
     ordered = F.array_sort("hits", lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).otherwise(a["place"] - b["place"]))
     found = found.withColumn("hits", ordered)
     raw = saturating(F.transform("hits", lambda h: h["weight"]))

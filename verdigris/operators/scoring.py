@@ -110,7 +110,10 @@ def upi_signal(e: Column) -> tuple[Column, Column, Column]:
 
 
 def url_signal(e: Column) -> tuple[Column, Column, Column]:
-    """(score, informative, floor) from the links alone: lookalikes, risky top-level domains, short links; all official is evidence of safety."""
+    """(score, informative, floor) from the links alone: lookalikes and risky top-level domains; all official is evidence of safety.
+
+    Of a short link nothing is known before it is followed, so it is no evidence here; that it is short is a rule of its own.
+    """
     looks = F.exists("url_brands", lambda b: b.isNotNull())
     scores = F.transform(F.slice(F.arrays_zip(e["urls"], F.col("url_brands")), 1, 5), lambda z: link_score(z["urls"], z["url_brands"]))
     best = F.array_max(scores)
@@ -118,7 +121,7 @@ def url_signal(e: Column) -> tuple[Column, Column, Column]:
 
 
 def link_score(u: Column, brand: Column) -> Column:
-    return R.saturating(F.filter(F.array(F.when(brand.isNotNull(), 0.7), F.when(F.substring_index(u["host"], ".", -1).isin(R.RISKY_TLDS), 0.25), F.when(u["is_shortener"], 0.3)), lambda w: w.isNotNull()))
+    return R.saturating(F.filter(F.array(F.when(brand.isNotNull(), 0.7), F.when(F.substring_index(u["host"], ".", -1).isin(R.RISKY_TLDS), 0.25)), lambda w: w.isNotNull()))
 
 
 def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,10 @@ def groups(edges: DataFrame, most: int = 50) -> DataFrame:
     spark = edges.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/verdigris-checkpoints-{context.applicationId}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='verdigris-')}")
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("id", "other").distinct().checkpoint()
     now = both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")).checkpoint()
     for _ in range(most):
@@ -80,10 +85,14 @@ def one_per_id(rows: DataFrame, id_column: str = "text_id", label: str = "label"
 
 
 def greedy_dropped(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Ids dropped by the ordered rule over pairs (a, b): the later one goes unless it has the better authority; a pair with a dropped side is skipped.
+    """Ids dropped by the ordered rule over pairs (a, b): the later one goes unless it has the better authority; a pair with a dropped side is skipped,
+    and, where rows have a label, one of different labels too.
 
     Order-dependent, so it runs inside each component of the pairs, which are independent of one another.
     """
+    if "label" in rows.columns:
+        of = lambda c: rows.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(F.col("label_a").eqNullSafe(F.col("label_b"))).select("a", "b")
     component = groups(pairs).withColumnRenamed("id", "a")
     rank = rows.select("id", authority().alias("rank"))
     full = pairs.join(component, "a").join(rank.toDF("a", "rank_a"), "a").join(rank.toDF("b", "rank_b"), "b")

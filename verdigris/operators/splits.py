@@ -63,8 +63,8 @@ def sample_weights(rows: DataFrame, group: str = "group_id", label: str = "label
 
 
 def fingerprint(rows: DataFrame, key: str = "text_id") -> DataFrame:
-    """sha256 of the sorted ids, one a line: for frozen sets, which are small by design."""
-    return rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(key)), "\n").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    """First 16 hex digits of sha256 of the sorted ids, one a line: for frozen sets, which are small by design."""
+    return rows.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(key)), "\n").cast("binary"), 256), 1, 16).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
 
 def splits(rows: DataFrame, frozen: DataFrame, key: str = "text_id", group: str = "group_id", source: str = "source") -> DataFrame:

@@ -152,9 +152,8 @@ w AS (SELECT conv_id, turn, list_filter(list_transform(range(1, len(c) + 1), lam
 SELECT conv_id, turn, h[1] AS evidence FROM w WHERE len(h) > 0""")
 def clause_window_hits(spark, sf_dir):
     """First run of two clauses in which both phrase groups match."""
-    rules.P.setdefault("articles", r"(^|[^\p{L}])(the|la|die|de)($|[^\p{L}])")
-    rules.P.setdefault("links", r"(^|[^\p{L}])(of|et|und|que)($|[^\p{L}])")
-    found = read(spark, sf_dir, "conversations").select("conv_id", "turn", rules.near(X.clauses(F.lower("text")), ["articles", "links"]).alias("evidence"))
+    phrases = {"articles": r"(^|[^\p{L}])(the|la|die|de)($|[^\p{L}])", "links": r"(^|[^\p{L}])(of|et|und|que)($|[^\p{L}])"}
+    found = read(spark, sf_dir, "conversations").select("conv_id", "turn", rules.near(X.clauses(F.lower("text")), ["articles", "links"], phrases=phrases).alias("evidence"))
     return found.where("evidence IS NOT NULL")
 
 
