@@ -132,6 +132,15 @@ def test_fingerprint_collisions_are_settled(docs, monkeypatch):
     assert fingerprint.collisions(docs, found).count() == 0  # buckets are judged by the canonical bytes themselves
 
 
+def test_forced_fingerprint_collisions_are_settled(docs):
+    """With one hex digit most buckets hold different texts: their fingerprints are lengthened until equal ones are equal texts."""
+    got, data = table(fingerprint.fingerprints(docs, digits=1)), rows()
+    same = collections.defaultdict(set)
+    for i, t, *_ in data:
+        same[got[i]["fingerprint"]].add(fingerprint.canonical(t))
+    assert all(len(texts) == 1 for texts in same.values()) and len(same) == len({fingerprint.canonical(r[1]) for r in data})
+
+
 def shingles(t, k):
     w = WORD.findall((t or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
     return set(zip(*[w[i:] for i in range(k)], strict=False)) if len(w) >= k else {tuple(w)} if w else set()
@@ -469,6 +478,30 @@ def test_lm_learns_rare_words_and_ignores_partitions(spark):
     assert lm.size_for(10) < lm.size_for(10**7)
 
 
+def test_quality_trees_against_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, len(quality.NAMES))).astype(np.float32)
+    y = ((x[:, 2] > 0.2) ^ (x[:, 5] > 0)).astype(float)
+    trees = quality.fit(x, y, trees=12)
+    binned = quality.bins(x, trees.cuts)
+    for row, score in list(zip(binned, trees.scores(x), strict=True))[:100]:
+        total = trees.base
+        for feature, limit, left, value in zip(trees.feature, trees.limit, trees.left, trees.value, strict=True):
+            node = 0
+            while left[node]:
+                node = left[node] + (row[feature[node]] > limit[node])
+            total += value[node]
+        assert math.isclose(score, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+    assert ((trees.scores(x) > 0.5) == y).mean() > 0.9
+
+
+def test_mixing_keeps_columns_of_the_same_names(docs):
+    clash = docs.withColumns({"size": F.lit(7), "target": F.lit(8), "copies": F.lit(9), "taken": F.lit(10), "source_size": F.lit(11)})
+    out = mixing.mix_rows(clash)
+    assert out.columns == clash.columns and {tuple(r) for r in out.select("size", "target", "copies", "taken", "source_size").collect()} == {(7, 8, 9, 10, 11)}
+    assert sorted(r[0] for r in out.select("doc_id").collect()) == sorted(r[0] for r in mixing.mix_rows(docs).select("doc_id").collect())
+
+
 def test_lm_beats_its_base_on_held_out_texts(spark):
     """Texts of a grammar in which a word decides the next: the model knows that, the base can't."""
     rng = random.Random(6)

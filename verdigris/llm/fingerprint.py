@@ -31,8 +31,12 @@ def canonical(text: str | None) -> bytes:
     return " ".join(folded.split()).encode("utf-8", "surrogatepass")
 
 
-def fingerprint(text: str | None) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text))
+#: Hex digits of a fingerprint; fewer make collisions likely, which only tests want.
+DIGITS = 32
+
+
+def fingerprint(text: str | None, digits: int = DIGITS) -> str:
+    return xxhash.xxh3_128_hexdigest(canonical(text))[:digits]
 
 
 def edited(text: str, following: str) -> str:
@@ -62,7 +66,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     return rows.unionByName(guests)
 
 
-def compared(docs: DataFrame) -> DataFrame:
+def compared(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint."""
     parts = partitions_for(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -74,14 +78,14 @@ def compared(docs: DataFrame) -> DataFrame:
 
         def row(now: tuple, text: str, own: str) -> tuple:
             other = edited(now[2], text)
-            return now[1], len(now[2]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), now[3], fingerprint(other), own
+            return now[1], len(now[2]), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), now[3], fingerprint(other, digits), own
 
         for batch in batches(it):
             rows = []
             for bucket, i, text, guest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 if guest and bucket == skip:
                     continue
-                own = fingerprint(text)
+                own = fingerprint(text, digits)
                 if held is not None:
                     rows.append(row(held, text, own))
                 held, skip = (None, bucket) if guest else ((bucket, i, text, own), None)
@@ -93,7 +97,7 @@ def compared(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
 
 
-def collisions(docs: DataFrame, found: DataFrame) -> DataFrame:
+def collisions(docs: DataFrame, found: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Fingerprints whose documents differ in canonical bytes; only buckets of several documents are read again."""
     several = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
     ids = written(found.join(several, "fingerprint", "left_semi").select("doc_id").where("doc_id IS NOT NULL").distinct(), "bucket-ids")
@@ -101,15 +105,15 @@ def collisions(docs: DataFrame, found: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             texts = sorted({canonical(t) for t in batch.column(0).to_pylist()})
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(xxhash.xxh3_128_hexdigest, texts)), pa.string()), pa.array(texts, pa.binary())], ["fingerprint", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(t)[:digits] for t in texts], pa.string()), pa.array(texts, pa.binary())], ["fingerprint", "body"])
 
     bodies = by_ids(docs.select("doc_id", "text"), ids).select("text").mapInArrow(run, "fingerprint string, body binary")
     return bodies.groupBy("fingerprint").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x != y").select("fingerprint")
 
 
-def settled(docs: DataFrame, found: DataFrame) -> DataFrame:
+def settled(docs: DataFrame, found: DataFrame, digits: int = DIGITS) -> DataFrame:
     """found with the fingerprints of colliding buckets lengthened by a second digest, sha256, of the canonical bytes."""
-    bad = written(collisions(docs, found), "collisions")
+    bad = written(collisions(docs, found, digits), "collisions")
     if bad.isEmpty():
         return found
 
@@ -119,16 +123,16 @@ def settled(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def first(texts: pd.Series) -> pd.Series:
-        return texts.map(fingerprint)
+        return texts.map(lambda t: fingerprint(t, digits))
 
     longer = docs.select("doc_id", first("text").alias("fingerprint"), second("text").alias("more")).join(bad, "fingerprint", "left_semi").dropDuplicates(["doc_id", "fingerprint"])
     joined = found.join(longer, ["doc_id", "fingerprint"], "left")
     return joined.withColumn("fingerprint", F.concat("fingerprint", F.coalesce(F.concat(F.lit("-"), "more"), F.lit("")))).select(*found.columns)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     """The full comparison with settled fingerprints and likenesses."""
-    found = written(compared(docs), "fingerprints")
+    found = written(compared(docs, digits), "fingerprints")
     same = lambda c: F.when(F.col("__own") == F.col(c), F.lit(1.0)).otherwise(F.lit(0.0))
-    out = settled(docs, found.withColumn("__own", F.col("fingerprint")))
+    out = settled(docs, found.withColumn("__own", F.col("fingerprint")), digits)
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))

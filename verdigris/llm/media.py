@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, written
 
 RATE = 8000
 UNIT = 64
@@ -215,6 +215,7 @@ def resolved(items: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each document's payload by its page: parsed reference, digest join, features of the samples read back."""
-    found = resolved(documents_as_pages(docs), described(store(docs)))
+    """Each document's payload by its page: the store is written and read back, parsed references meet it by digest, features come from the samples read."""
+    stored = written(store(docs), "media-store", "zstd")
+    found = resolved(documents_as_pages(docs), described(stored))
     return found.select(F.col("id").alias("doc_id"), F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")

@@ -27,6 +27,7 @@ WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 MOST = 3
 SEED = "mix-1"
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -68,8 +69,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, id_column: str = "doc_id") -> DataFrame:
     """docs with size, source_size, target, copies and taken (words taken, repeats counted)."""
-    added = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*[c for c in added if c in docs.columns])
+    docs = docs.drop(*[c for c in ADDED if c in docs.columns])
     slot = F.coalesce(F.pmod(F.col(id_column), F.lit(SLOTS)), F.lit(0)).cast("int")
     # the row's place in its group needs no text: only ids and counts are shuffled, the text joins nothing before it is asked for
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("__slot", slot).withColumn("__class", size_class(F.col("size")))
@@ -101,10 +101,11 @@ def emitted(mixed: DataFrame) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself, in the columns of docs: each row as often as it is taken."""
+    """The mixed corpus itself, in the columns of docs, whatever their names: each row as often as it is taken."""
     columns = docs.columns
-    taken = mix(docs, **options).where(F.col("copies") > 0)
-    return emitted(taken).select(*columns)
+    away = {c: f"__own_{c}" for c in ADDED if c in columns}
+    taken = mix(docs.withColumnsRenamed(away), **options).where(F.col("copies") > 0)
+    return emitted(taken).select(*[F.col(away.get(c, c)).alias(c) for c in columns])
 
 
 #: The same mix in DuckDB's SQL.
