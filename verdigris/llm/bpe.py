@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, strings
+from .common import batches, bounded, strings
 
 #: Words that a task remembers; beyond, it starts anew.
 REMEMBERED = 100_000
@@ -388,4 +388,5 @@ def encoded(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int64()), *sha], [*names, *added])
         tokenizer.known = {}  # workers live on, and other stages need their memory
 
+    bounded(docs.sparkSession)
     return docs.select(*names, F.col("text")).mapInArrow(run, schema)

@@ -20,8 +20,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session sets none (Spark's default is 64 MB): a batch is held several times over, in either process.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """See that Arrow batches of long texts stay small; a session's own setting is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1") in ("1", "1b"):  # the given default comes back where nothing is set
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table by Spark's own reader, so that any store that Spark knows will do."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,6 +55,7 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     the files stay with the shared store.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if compression:
@@ -116,7 +129,7 @@ def partitions_for(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], rows: int = 256, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice with very long texts stays small."""
     for batch in it:
         start = 0
