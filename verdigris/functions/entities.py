@@ -342,3 +342,21 @@ def anonymized(texts: pd.Series) -> pd.Series:
     return texts.map(anonymize)
 
 
+def reportable(e: Column) -> Column:
+    """array<struct<entity_type, value>> that a user can report: payment ids, phones and the host of each link, the whole link for a shortener."""
+    key = lambda kind, value: F.struct(F.lit(kind).alias("entity_type"), value.alias("value"))
+    links = F.transform(e["urls"], lambda u: F.when(u["is_shortener"], key("url", u["url"])).otherwise(key("domain", F.regexp_replace(u["host"], r"^www\.", ""))))
+    return F.array_distinct(F.concat(F.transform(e["upi_ids"], lambda u: key("upi", u["value"])), F.transform(e["phones"], lambda p: key("phone", p["number"])), links))
+
+
+def rejected_url(value: Column, e: Column) -> Column:
+    """Why a request for one link is refused, null if it isn't; ``e`` are the entities of the value."""
+    return F.when((F.size(e["urls"]) != 1) | (F.get(e["urls"], F.lit(0))["raw"] != F.trim(value)), "must be a single URL")
+
+
+def rejected_upi(upi_id: Column, upi_link: Column) -> Column:
+    """Why a request for one payment id or one payment link is refused, null if it isn't."""
+    one = upi_id.isNull() != upi_link.isNull()
+    good_id = normalized_entity(F.lit("upi"), upi_id).isNotNull()
+    good_link = F.trim(upi_link).rlike(r"(?i)^upi://pay\?(?:[^#]*&)?pa=[^&#]+")
+    return F.when(~one, "give exactly one of upi_id or upi_uri").when(upi_id.isNotNull() & ~good_id, "upi_id must look like name@handle").when(upi_link.isNotNull() & ~good_link, "upi_uri must be a upi://pay?pa=... link")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules as R
+from .nearest import pattern_score
 
 OUTCOME = "struct<signal:string,score:double,informative:boolean,floor:int,factor:double,max_disagreement:double,corroborating:boolean,needs_corroboration:boolean,can_decide_scam:boolean,scam_type:string>"
 #: Fixed: weights of the signals and limits of the verdict bands.
@@ -124,9 +125,27 @@ def link_score(u: Column, brand: Column) -> Column:
     return R.saturating(F.filter(F.array(F.when(brand.isNotNull(), 0.7), F.when(F.substring_index(u["host"], ".", -1).isin(R.RISKY_TLDS), 0.25)), lambda w: w.isNotNull()))
 
 
-def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = None) -> DataFrame:
-    """messages with entities, hits, outcomes, risk score, verdict and scam type: the whole offline path, batch or stream."""
+def reputation_signal(known: Column) -> Column:
+    """The outcome from struct(score, floor) as ``state.with_reputation`` gives them; no entry is no evidence."""
+    return outcome("reputation", F.coalesce(known["score"], F.lit(0)), F.coalesce(known["score"] > 0, F.lit(False)), known["floor"])
+
+
+def pattern_signal(near: Column, words: Column, least_similarity: float = 0.35, least_words: int = 12) -> Column:
+    """The outcome from struct(scam, genuine, category): similarities to the nearest patterns; it cannot make a scam alone, and short texts don't count."""
+    margin = near["scam"] - near["genuine"]
+    counts = F.coalesce((words >= least_words) & (margin >= 0.05) & (near["scam"] >= least_similarity), F.lit(False))
+    return outcome("pattern_similarity", F.when(counts, pattern_score(margin)).otherwise(0), counts, can_decide_scam=False, scam_type=F.when(counts, near["category"]))
+
+
+def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = None, reputation: str | None = None, patterns: str | None = None, links: str | None = None, sender: str | None = None) -> DataFrame:
+    """messages with entities, hits, outcomes, risk score, verdict and scam type: the whole offline path, batch or stream.
+
+    Names of columns add what was looked up before: ``classifier`` a probability, ``reputation`` struct(score, floor), ``patterns`` struct(scam, genuine,
+    category), ``links`` struct(score, informative, floor) instead of the links' static check, ``sender`` struct(sender, is_receipt).
+    """
     from ..functions.entities import entities
+    from . import classifier as C
+    from . import senders
 
     found = R.evaluate(messages.withColumn("entities", entities(F.col(text))), text)
     e = F.col("entities")
@@ -134,9 +153,17 @@ def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = N
     found = found.withColumns({f"__{n}_{k}": c for n, cs in signals.items() for k, c in zip(("score", "informative", "floor"), cs, strict=True)})
     of = lambda n: [F.col(f"__{n}_{k}") for k in ("score", "informative", "floor")]
     parts = [outcome("rules", F.col("rules_score"), scam_type=F.col("rules_type")), outcome("upi_check", *of("upi")), outcome("url_intel", *of("url"), scam_type=F.lit("phishing_link"))]
+    if links:
+        parts[-1] = outcome("url_intel", F.when(F.size(e["urls"]) > 0, F.col(links)["score"]), F.coalesce(F.col(links)["informative"], F.lit(False)), F.col(links)["floor"], scam_type=F.when(F.col(links)["score"] > 0, "phishing_link"))
     if classifier:
-        p = F.col(classifier)
-        parts.append(outcome("classifier", F.bround(100 * p, 1), p >= 0.9, needs_corroboration=True))
+        parts.append(C.signal(F.col(classifier), e))
+    if reputation:
+        parts.append(reputation_signal(F.col(reputation)))
+    if patterns:
+        parts.append(pattern_signal(F.col(patterns), F.size(F.split(F.trim(e["normalized_text"]), r"\s+"))))
+    if sender:
+        shown = F.col(sender)
+        parts += [senders.sender_signal(shown["sender"], e["normalized_text"], F.col("hits"), F.array(*parts)), senders.proof_signal(shown["is_receipt"], F.col("hits"))]
     return score(found.withColumn("outcomes", R.kept_apart(F.array(*parts)))).drop(*[c for c in found.columns if c.startswith("__")])
 
 

@@ -83,3 +83,41 @@ def splits(rows: DataFrame, frozen: DataFrame, key: str = "text_id", group: str
     made = placed.where(F.col(source) == "synthetic").join(parents, "parent_id", "left")
     kept = made.where(F.col("parent_id").isNull() | (F.col("__parent") == "train")).withColumn("split", F.lit("train")).drop("__parent")
     return real.unionByName(kept)
+
+
+def test_eligible(label_source: Column, is_synthetic: Column) -> Column:
+    """Only reviewed messages that nobody made up may enter the test split."""
+    return F.coalesce(label_source.isin("manual", "assisted"), F.lit(False)) & ~F.coalesce(is_synthetic, F.lit(False))
+
+
+def parents(rows: DataFrame, priority: str, key: str = "text_id", group: str = "group_id") -> DataFrame:
+    """One row a template group: the least (priority, key).  By aggregation, so a large group is combined before it is moved."""
+    rest = [c for c in rows.columns if c not in (priority, key, group)]
+    own = rows.withColumn("__group", F.coalesce(F.col(group).cast("string"), F.col(key).cast("string")))
+    best = own.groupBy("__group").agg(F.min(F.struct(priority, key, group, *rest)).alias("x"))
+    return best.select(*[F.col(f"x.{c}").alias(c) for c in rows.columns])
+
+
+def by_source(tables: list[DataFrame], key: str = "text_id") -> DataFrame:
+    """The union of tables in order of priority, an id from the first table that has it; ``priority`` is the table's place."""
+    from functools import reduce
+
+    every = reduce(DataFrame.unionByName, [t.withColumn("priority", F.lit(i)) for i, t in enumerate(tables)])
+    rest = [c for c in every.columns if c not in ("priority", key)]
+    first = every.groupBy(key).agg(F.min(F.struct("priority", *rest)).alias("x"))
+    return first.select(key, *[F.col(f"x.{c}").alias(c) for c in rest], "x.priority")
+
+
+def interleaved(positives: DataFrame, negatives: DataFrame, place: str = "place") -> DataFrame:
+    """Tasks in order: a negative after every second positive, then what is left of the negatives.
+
+    Either table has (key, place), places counted from 0.  Positions follow from the places by arithmetic, without sorting the union.
+    """
+    n = positives.agg(F.count(F.lit(1)).alias("__n"))
+    m = negatives.agg(F.count(F.lit(1)).alias("__m"))
+    before = F.least(F.floor(F.col(place) / 2), F.col("__m"))  # no more negatives than there are
+    pos = positives.crossJoin(F.broadcast(m)).withColumn("position", F.col(place) + before).withColumn("kind", F.lit("variation")).drop("__m")
+    neg = negatives.crossJoin(F.broadcast(n))  # one row on the right
+    inside = F.col(place) < F.floor(F.col("__n") / 2)
+    neg = neg.withColumn("position", F.when(inside, 3 * F.col(place) + 2).otherwise(F.col("__n") + F.col(place))).withColumn("kind", F.lit("hard_negative")).drop("__n")
+    return pos.unionByName(neg)
