@@ -5,8 +5,8 @@ most frequent words, one each, groups of all other words by the hash of their la
 more as the vocabulary grows, from 2 to 4 times ``CLASSES``, half of them groups; the upper bound is that of three size x size tables in each worker.
 The model predicts a class from the two before it: the score of class w is (r1[a] + r2[b]) . q[w] + bias[w], a and b being the classes before.
 
-Class triples are counted over the whole corpus and dealt by their hash to units, so neither files nor partitions matter.  In each of ``ROUNDS`` rounds every unit trains
-a copy from one common start by noise-contrastive estimation; the copies, averaged by their tokens in groups of bounded size, are the start of the next.
+Documents, as classes, are dealt by the hash of their id and text to parts, as many as the number of tokens asks, and laid end to end in units of ``UNIT`` tokens, so neither
+files nor partitions matter.  In each of ``ROUNDS`` rounds every unit trains a copy on all its class triples from one common start by noise-contrastive estimation; the copies, averaged by their tokens in groups of bounded size, are the start of the next.
 Batched matrix products over all pairs of contexts then give the logarithms of the normalisers, so token log-probabilities are normalised.
 Words of a group share its probability by (c + 0.1) / mass, the mass of each with a place for the unseen.
 
@@ -20,6 +20,8 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 from .common import batches, partitions_for, strings, written
 
 CLASSES = 384
-#: Averaged rounds of training; parts that triples are dealt to, and most triples of a unit.
+#: Averaged rounds of training; tokens of a unit, units that a part of the documents holds or so, and steps of gradient that a unit takes at least.
 ROUNDS = 2
-PARTS = 64
 UNIT = 250_000
+UNITS = 8
+STEPS = 50
+BATCH = 4096
 #: Letters at the end of a word, before punctuation, that name its group.
 ENDING = 3
 HEAD = 100_000
@@ -71,21 +75,19 @@ class Model:
         return [self.first, self.second, self.out, self.bias]
 
     def normalisers(self, firsts: range | None = None) -> np.ndarray:
-        """log of the sum over classes of exp(score), for every pair of contexts or those of some first ones; a matrix product for each first context."""
-        firsts = range(len(self.bias)) if firsts is None else firsts
-        z = np.empty((len(firsts), len(self.bias)), np.float32)
-        for i, a in enumerate(firsts):
-            s = (self.first[a] + self.second) @ self.out.T + self.bias
-            top = s.max(1)
-            z[i] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        return z
+        """log of the sum over classes of exp(score), for every pair of contexts or those of some first ones: exp of a sum is a product, so one matrix product gives all sums."""
+        first = (self.first if firsts is None else self.first[firsts.start : firsts.stop]).astype(np.float64) @ self.out.T
+        second = self.second.astype(np.float64) @ self.out.T + self.bias
+        top, other = first.max(1, keepdims=True), second.max(1, keepdims=True)
+        z = np.log(np.exp(first - top) @ np.exp(second - other).T)
+        return (z + top + other.T).astype(np.float32)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score parts by (first, class) and (second, class), the bias in the latter, and the normalisers."""
         return self.first @ self.out.T, self.second @ self.out.T + self.bias, self.normalisers()
 
 
-def train(model: Model, triples: np.ndarray, times: np.ndarray, share: np.ndarray, epochs: int = 2, batch: int = 4096, rate: float = 0.1) -> Model:
+def train(model: Model, triples: np.ndarray, times: np.ndarray, share: np.ndarray, epochs: int = 2, batch: int = BATCH, rate: float = 0.1) -> Model:
     """Noise-contrastive estimation over distinct class triples, each counting as often as it occurs; Adagrad.
 
     A batch shares NOISE draws from the class shares, so data and noise terms are two matrix products.
@@ -102,8 +104,11 @@ def train(model: Model, triples: np.ndarray, times: np.ndarray, share: np.ndarra
         x -= rate * g / np.sqrt(total)
 
     def spread(rows: np.ndarray, g: np.ndarray) -> np.ndarray:
+        order = np.argsort(rows, kind="stable")
+        ranked = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         out = np.zeros((len(share), g.shape[1]), np.float32)
-        np.add.at(out, rows, g)
+        out[ranked[first]] = np.add.reduceat(g[order], first, axis=0)
         return out
 
     for _ in range(epochs):
@@ -115,9 +120,14 @@ def train(model: Model, triples: np.ndarray, times: np.ndarray, share: np.ndarra
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), len(share) - 1)
             h = r1[a] + r2[b]
             data = (h * q[w]).sum(1) + bias[w] - log_share[w]
-            other = h @ q[noise].T + bias[noise] - log_share[noise]
+            other = h @ q[noise].T
+            other += bias[noise] - log_share[noise]
             g_data = -heavy / (1 + np.exp(np.clip(data, -30, 30)))
-            g_noise = heavy[:, None] / (1 + np.exp(np.clip(-other, -30, 30)))
+            np.negative(other, out=other)
+            np.clip(other, -30, 30, out=other)
+            np.exp(other, out=other)
+            other += 1
+            g_noise = np.divide(heavy[:, None], other, out=other)
             g_h = g_data[:, None] * q[w] + g_noise @ q[noise]
             g_q = spread(w, g_data[:, None] * h)
             np.add.at(g_q, noise, g_noise.T @ h)
@@ -169,16 +179,29 @@ class Words:
         ending = (word.rstrip(b".,;:!?)\"'|") or word)[-ENDING:]
         return self.own + xxhash.xxh32_intdigest(ending) % (self.end - self.own)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Place in the head, -1 for none."""
-        get = self.place.get
-        return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-
-    def classes(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        out = np.append(self.kind[places] if len(self.kind) else places, self.end)
-        for i in np.flatnonzero(places < 0).tolist():
-            out[i] = self.group(words[i])
-        return out
+    def laid(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Texts end to end: their words, the place in the head of each token (-1 for none, and for ends), the class of each token, and where each text starts."""
+        each = [words_of(t) for t in texts]
+        words = list(itertools.chain.from_iterable(each))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) + 1
+        ends = np.cumsum(sizes) - 1
+        inside = np.ones(len(words) + len(each), bool)
+        inside[ends] = False
+        known = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        kinds = self.kind[known] if len(self.kind) else known.copy()
+        group = functools.cache(self.group)
+        rare = np.flatnonzero(known < 0)
+        kinds[rare] = [group(words[i]) for i in rare.tolist()]
+        places, classes = np.full(len(inside), -1, np.int64), np.full(len(inside), self.end, np.int64)
+        places[inside], classes[inside] = known, kinds
+        return words, places, classes, ends + 1 - sizes
+
+    def before(self, classes: np.ndarray, last: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The class before last and the last one, of each token of texts end to end; before a text there are ends alone.  last: the two tokens before the first."""
+        flat = np.concatenate([last or (self.end, self.end), classes])
+        first, second = flat[:-2].copy(), flat[1:-1]
+        first[second == self.end] = self.end
+        return first, second
 
 
 def group_sums(counts: DataFrame, words) -> DataFrame:
@@ -197,59 +220,55 @@ def group_sums(counts: DataFrame, words) -> DataFrame:
     return counts.select("word", "c").mapInArrow(run, "kind long, c long, n long").groupBy("kind").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def triples_of(docs: DataFrame, words) -> DataFrame:
-    """(part, codes, times): the class triples of the corpus with their numbers, in units of at most UNIT that depend on the corpus alone."""
-
-    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = words.value, []
-
-        def out() -> pa.RecordBatch:
-            codes, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times.astype(np.int64))], ["code", "n"])
+def units_of(docs: DataFrame, words, tokens: int) -> DataFrame:
+    """(part, codes, times): the class triples of units of UNIT tokens with their numbers; units depend on the corpus alone, which has so many tokens."""
 
-        tokens = 0
+    def coded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
         for batch in batches(it, 512):
-            for t in batch.column(0).to_pylist():
-                each = words_of(t)
-                c = known.classes(each, known.places(each))
-                before = np.concatenate([[known.end, known.end], c[:-1]])
-                held.append((before[:-1] * known.size + before[1:]) * known.size + c)
-                tokens += len(c)
-            if tokens > 1_000_000:
-                yield out()
-                tokens = 0
-        yield out()
+            _, _, classes, starts = known.laid(batch.column(1).to_pylist())
+            body = classes.astype("<u2").tobytes()
+            cuts = [*(2 * starts).tolist(), len(body)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([body[a:b] for a, b in itertools.pairwise(cuts)], pa.binary())], ["deal", "classes"])
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, codes, times = None, [], []
+        known, part, held, size = words.value, None, bytearray(), 2 * UNIT
+        last = (known.end, known.end)
 
         def out() -> pa.RecordBatch:
-            row = [pa.array([part], pa.int32()), pa.array([np.array(codes, np.int64).tobytes()], pa.binary()), pa.array([np.array(times, np.int64).tobytes()], pa.binary())]
-            codes.clear()
-            times.clear()
+            nonlocal last
+            classes = np.frombuffer(bytes(held[:size]), "<u2").astype(np.int64)
+            first, second = known.before(classes, last)
+            last = (int(second[-1]), int(classes[-1]))
+            del held[:size]
+            codes, times = np.unique((first * known.size + second) * known.size + classes, return_counts=True)
+            row = [pa.array([part], pa.int32()), pa.array([codes.astype("<u4").tobytes()], pa.binary()), pa.array([times.astype("<u4").tobytes()], pa.binary())]  # a class has at most 4 * CLASSES values: three fit
             return pa.RecordBatch.from_arrays(row, ["part", "codes", "times"])
 
         for batch in it:
-            for p, c, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if codes and (p != part or len(codes) == UNIT):
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part:
+                    if held:
+                        yield out()
+                    part, last = p, (known.end, known.end)
+                held += c
+                while len(held) >= size:
                     yield out()
-                part = p
-                codes.append(c)
-                times.append(n)
-        if codes:
+        if held:
             yield out()
 
-    whole = docs.select("text").mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    dealt = whole.select(F.pmod(F.xxhash64("code"), F.lit(PARTS)).cast("int").alias("part"), "code", "n")
-    sorted_ = dealt.repartition(partitions_for(docs.sparkSession, PARTS), "part").sortWithinPartitions("part", F.xxhash64("code", F.lit(1)), "code")
-    return written(sorted_.mapInArrow(packed, "part int, codes binary, times binary"), "lm-triples")
+    parts = max(1, tokens // (UNITS * UNIT))
+    deal = F.xxhash64("doc_id", "text")
+    each = docs.select(deal.alias("deal"), "text").mapInArrow(coded, "deal long, classes binary")
+    dealt = each.select(F.pmod("deal", F.lit(parts)).cast("int").alias("part"), "classes", F.xxhash64("deal").alias("order"))
+    sorted_ = dealt.repartition(partitions_for(docs.sparkSession, parts), "part").sortWithinPartitions("part", "order", "classes").select("part", "classes")
+    return written(sorted_.mapInArrow(packed, "part int, codes binary, times binary"), "lm-units")
 
 
-def fitted(docs: DataFrame, words, share: np.ndarray) -> Model:
+def fitted(docs: DataFrame, words, share: np.ndarray, tokens: int) -> Model:
     """The last round's average of the units' models; the driver receives at most 16 partial averages a round, 600 kB each."""
     context = docs.sparkSession.sparkContext
-    units = triples_of(docs, words)
+    units = units_of(docs, words, tokens)
     model, schema = Model.start(share), "part int, tokens long, sums binary"
     cut = np.cumsum([x.size for x in model.arrays()])[:-1]
 
@@ -270,13 +289,18 @@ def fitted(docs: DataFrame, words, share: np.ndarray) -> Model:
         def run(it: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             model, share = start.value
             size = len(share)
+            sums: dict[int, list] = {}  # the task's units, added up in groups
             for batch in it:
                 for part, codes, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    codes, times = np.frombuffer(codes, np.int64), np.frombuffer(times, np.int64)
+                    codes, times = np.frombuffer(codes, "<u4").astype(np.int64), np.frombuffer(times, "<u4")
                     tokens = int(times.sum())
-                    one = train(model, np.stack([codes // size**2, codes // size % size, codes % size], axis=1), times, share, epochs=1)
+                    one = train(model, np.stack([codes // size**2, codes // size % size, codes % size], axis=1), times, share, epochs=max(1, round(STEPS / math.ceil(len(codes) / BATCH))))
                     flat = np.concatenate([x.ravel() for x in one.arrays()]).astype(np.float64) * tokens
-                    yield pa.RecordBatch.from_arrays([pa.array([part % 16], pa.int32()), pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "tokens", "sums"])
+                    total = sums.setdefault(part % 16, [0, 0.0])
+                    total[0] += tokens
+                    total[1] = total[1] + flat
+            for group, (tokens, flat) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "tokens", "sums"])
 
         rows = units.mapInArrow(run, schema).repartition(16, "part").mapInArrow(added, schema).collect()
         if not rows:
@@ -294,10 +318,12 @@ def normalised(spark, model: Model) -> np.ndarray:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([shared.value.normalisers(range(a, a + 1)).tobytes()], pa.binary())], ["a", "z"])
+                z = shared.value.normalisers(range(a, min(a + step, size)))
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([z.tobytes()], pa.binary())], ["a", "z"])
 
-    rows = sorted(spark.range(0, size, 1, 32).mapInArrow(run, "a long, z binary").collect())
-    return np.stack([np.frombuffer(r["z"], np.float32) for r in rows])
+    step = max(1, size // 8)
+    rows = sorted(spark.range(0, size, step, 8).mapInArrow(run, "a long, z binary").collect())
+    return np.concatenate([np.frombuffer(r["z"], np.float32).reshape(-1, size) for r in rows])
 
 
 def most_frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
@@ -335,7 +361,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
         mass[r["kind"]] += r["c"] + 0.1 * r["n"]
     share[words.end] += ends
     mass[: words.own] = mass[words.end] = 1
-    model = fitted(training, sent, share / share.sum())
+    model = fitted(training, sent, share / share.sum(), n)
     sent.unpersist()
     # HEAD words and three tables of size x size
     shared = context.broadcast((words, model.first @ model.out.T, model.second @ model.out.T + model.bias, normalised(docs.sparkSession, model), np.log10(mass)))
@@ -344,20 +370,28 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
         words, t1, t2, z, log_mass = shared.value
         logs = np.log10(words.count + 0.1)
         for batch in batches(it, 512):
-            rows = []
-            for t in strings(batch.column(1)):
-                tokens = words_of(t)
-                at = words.places(tokens)
-                c = words.classes(tokens, at)
-                before = np.concatenate([[words.end, words.end], c[:-1]])
-                a, b = before[:-1], before[1:]
-                neural = float((t1[a, c] + t2[b, c] - z[a, b]).astype(np.float64).sum()) / math.log(10)
-                inside = at[at >= 0]
-                tail = Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()])
-                rows.append((xxhash.xxh3_128_digest((t or "").encode()), len(c), len(inside), float(logs[inside].sum()), neural, float(log_mass[c].sum()), float(logs[inside[inside >= words.own]].sum()), [{"word": w, "n": k} for w, k in tail.items()]))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "held_out", "tid", "n_tokens", "known", "logs", "neural", "spread", "other_logs", "tail"])
+            texts = strings(batch.column(1))
+            tokens, at, c, starts = words.laid(texts)
+            a, b = words.before(c)
+            known, rare = at >= 0, np.flatnonzero(at < 0)
+            log = np.zeros(len(c))
+            log[known] = logs[at[known]]
+            added = lambda x: np.add.reduceat(x, starts).tolist()
+            neural = np.add.reduceat((t1[a, c] + t2[b, c] - z[a, b]).astype(np.float64), starts) / math.log(10)
+            text = np.searchsorted(starts, rare, "right") - 1
+            rare, text = rare[c[rare] != words.end], text[c[rare] != words.end]
+            # a text's place among the words is less by the ends before it
+            tail = [tokens[i] for i in (rare - text).tolist()]
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            tails = [Counter(tail[a:b]) for a, b in itertools.pairwise(cuts)]
+            sizes = np.diff(np.append(starts, len(c))).tolist()
+            digests = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+            flat = [pa.array(itertools.chain.from_iterable(tails), pa.binary()), pa.array(itertools.chain.from_iterable(x.values() for x in tails), pa.int32())]
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), pa.StructArray.from_arrays(flat, ["word", "n"]))
+            rows = (digests, sizes, added(known.astype(np.int64)), added(log), neural.tolist(), added(log_mass[c]), added(np.where(at >= words.own, log, 0.0)))
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
+            columns = [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, found], ["doc_id", "held_out", "tid", "n_tokens", "known", "logs", "neural", "spread", "other_logs", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, tid binary, n_tokens long, known long, logs double, neural double, spread double, other_logs double, tail array<struct<word:binary,n:int>>"), "lm-rows")
