@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lm, media, mixing, neardup, quality, suffix_dedup, token_files, toxicity
+from . import bpe, chat, filter_audit, fingerprint, lm, media, mixing, neardup, quality, search, suffix_dedup, token_files, toxicity
 from .common import held_out, read, written
 
 
@@ -58,6 +58,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees).select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"), most=50)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.described(chat.formatted(chat.log_of(conversations.unionByName(chat.planted(spark)))))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -69,5 +83,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_lm": op9_lm,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_chat_formatting": op13_chat_formatting,
 }
-ORACLE = {"op7_mixing": mixing.SQL}
+ORACLE = {"op7_mixing": mixing.SQL, "op11_ranked_search": search.SQL, "op12_filter_audit": filter_audit.SQL, "op13_chat_formatting": chat.SQL}
