@@ -27,9 +27,9 @@ def review_queue(rows: DataFrame, key: str = "text_id", label: str = "label") ->
     return rows.where(uncertain | in_review_sample(F.col(key))).withColumn("reason", F.when(uncertain, "uncertain").otherwise("sample"))
 
 
-def stratified_pick(rows: DataFrame, strata: list[str], fraction: float, key: str = "text_id", least: int = 3) -> DataFrame:
+def stratified_pick(rows: DataFrame, strata: list[str], fraction: float, key: str = "text_id", least: int = 3, salt: str = "pick") -> DataFrame:
     """In each stratum of ``least`` rows or more the first max(1, round(n * fraction)) by hash."""
-    order = F.sha2(F.concat(F.lit("pick:"), F.col(key)).cast("binary"), 256)
+    order = F.sha2(F.concat(F.lit(f"{salt}:"), F.col(key)).cast("binary"), 256)
     ranked = rows.withColumn("__order", order).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*strata))).withColumn("__place", F.row_number().over(Window.partitionBy(*strata).orderBy("__order", key)))
     return ranked.where((F.col("__n") >= least) & (F.col("__place") <= F.greatest(F.lit(1), F.bround(F.col("__n") * fraction)))).drop("__order", "__n", "__place")
 
@@ -62,11 +62,6 @@ def sample_weights(rows: DataFrame, group: str = "group_id", label: str = "label
     return raw.join(F.broadcast(scale), label).withColumn("weight", F.col("__raw") * F.col("__all") / F.col("__classes") / F.col("__total")).drop("__size", "__raw", "__total", "__all", "__classes")
 
 
-def fingerprint(rows: DataFrame, key: str = "text_id") -> DataFrame:
-    """First 16 hex digits of sha256 of the sorted ids, one a line: for frozen sets, which are small by design."""
-    return rows.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(key)), "\n").cast("binary"), 256), 1, 16).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
-
-
 def splits(rows: DataFrame, frozen: DataFrame, key: str = "text_id", group: str = "group_id", source: str = "source") -> DataFrame:
     """Split of each row: frozen ids are the test; their groups and those of collected rows are held out; other groups go by hash; synthetic rows
     train only with a parent in train, or with none."""

@@ -1,3 +1,3 @@
-"""Named queries; both modules register theirs in the catalogue."""
+"""Named queries; the modules register theirs in the catalogue."""
 
-from . import catalogue, evaluation  # noqa: F401
+from . import catalogue, evaluation, preparation  # noqa: F401
