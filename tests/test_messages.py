@@ -48,8 +48,8 @@ def test_entities(spark, folder):
 
 def test_texts(spark, folder):
     masked = {r[0]: r[1:] for r in run(spark, "classifier_text", folder)}
-    assert len(masked) == 12 and masked[10] == ("pay <upi_uri>", 3, 11) and masked[12] == ("", 0, 0)
-    assert masked[6][0] == "i sent <amount> by mistake, please return the money to <address>"
+    assert len(masked) == 12 and masked[10] == ("pay <upi_link>", 3, 11) and masked[12] == ("", 0, 0)
+    assert masked[6][0] == "i sent <amount> by mistake, please return the money to <upi>"
     shown = dict(run(spark, "anonymize", folder))
     assert set(shown) == set(range(1, 13)) and shown[3] == "Lunch at one?" and shown[5][:47] == MESSAGES[4][1][:47] and "98765" not in shown[5]
 

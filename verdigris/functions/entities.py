@@ -20,22 +20,36 @@ from .text import cleaned, fold, merged_spans
 from .udf import vectorized
 
 # Names of public services and public suffixes.
-TWO_PART_SUFFIXES = "co.in gov.in nic.in org.in net.in ac.in edu.in res.in co.uk org.uk gov.uk ac.uk com.au net.au org.au co.nz co.za com.br com.sg com.my com.cn com.hk co.jp co.kr".split()
-SHORTENERS = "bit.ly tinyurl.com t.co goo.gl is.gd cutt.ly rb.gy ow.ly buff.ly tiny.cc shorturl.at rebrand.ly t.ly s.id v.gd bl.ink lnkd.in soo.gd clck.ru da.gd".split()
-BARE_TLDS = "com in org net co io me info biz xyz top online site shop club live app dev link click loan vip win gov edu uk us example ly gl gd cc gy at ru id ink ai gg".split()
-UPI_HANDLES = "upi ybl ibl axl okaxis oksbi okhdfcbank okicici paytm apl yapl ptyes ptaxis ptsbi pthdfc sbi icici axisbank hdfcbank kotak barodampay airtel postbank freecharge jio idfcbank indus federal".split()
+TWO_PART_SUFFIXES = "co.in gov.in org.in net.in bank.in fin.in ac.in edu.in res.in nic.in firm.in gen.in ind.in mil.in co.uk org.uk gov.uk ac.uk com.au net.au org.au co.nz co.za co.jp com.sg com.my com.cn com.br com.pk com.bd com.np".split()
+SHORTENERS = (
+    "bit.ly bitly.ws bit.do tinyurl.com tiny.cc tiny.one cutt.ly cutt.us is.gd v.gd x.gd soo.gd rb.gy t.ly shorturl.at short.gy goo.gl ow.ly buff.ly t.co rebrand.ly bl.ink s.id shorte.st adf.ly ouo.io surl.li t2m.io u.to "
+    "clck.ru qr.ae lnkd.in wa.link urlz.fr shrtco.de gg.gg dub.sh kutt.it shrinke.me"
+).split()
+BARE_TLDS = (
+    "com in org net info biz co io me app ai tv gov edu mobi asia xyz top online site club live life shop store tech website space fun icu buzz cyou vip pw tk ml ga cf gq link click work support services help world today news "
+    "digital cloud loan win bid money bank pro sbs cfd bond lol rest quest page one ly gl gd at cc us uk cn ru id li fr de su ws sh gg do st ink gy to it"
+).split()
+UPI_HANDLES = (
+    "ybl ibl axl okaxis oksbi okhdfcbank okicici okbizaxis paytm pthdfc ptsbi ptyes ptaxis apl yapl rapl waicici wahdfcbank waaxis wasbi upi ikwik mbk freecharge axisb abfspay jupiteraxis fam slc sliceaxis naviaxis superyes "
+    "timecosmos tapicici pingpay pockets airtel jio jiopay postbank ippb yesg kaypay ezeepay sbi icici hdfcbank hdfc axisbank axis kotak kbl fbl federal idfcbank idfcfirst idfc yesbank yesbankltd barodampay boi pnb pnbpay "
+    "unionbank unionbankofindia uboi cnrb canarabank cbin centralbank indianbank indbank iob kvb rbl sib dbs hsbc citi citigold sc aubank bandhan equitas idbi dlb dcb csbpay jkb karb uco ubi psb tjsb mahb indus cmsidfc purz"
+).split()
 REMOTE_APPS = ["anydesk", "teamviewer", "quicksupport", "airdroid", "ammyy", "rustdesk", "supremo"]
 
+_alone = lambda words: f"(?<![\u0900-\u097f])(?:{words})(?![\u0900-\u097f])"
+#: Secrets in the order in which they are sought: what names two of them belongs to the first, as a UPI PIN is no other PIN.
 SENSITIVE = {
-    "otp": r"\b(otp|one[ -]?time (password|code|pin))\b",
-    "pin": r"\b(upi|atm|m)?[ -]?pin\b",
-    "cvv": r"\bcvv2?\b",
-    "password": r"\bpass ?(word|code)\b",
-    "card_number": r"\b(card|debit|credit) (number|no)\b",
-    "account_number": r"\b(account|a/c|acct) (number|no)\b",
-    "aadhaar": r"\baadh?aa?r\b",
-    "pan": r"\bpan (card|number|no)\b",
+    "otp": r"\botps?\b|\bo[. ]{1,2}t[. ]{1,2}p\b|\bone[ -]?time[ -]?pass(?:word|code)s?\b|\bverification code\b|" + _alone("ओ\\.?टी\\.?पी|वन टाइम पास(?:वर्ड|कोड)"),
+    "upi_pin": r"\bupi[ -]?pin\b|" + _alone("यूपीआई[ -]?पिन|upi पिन"),
+    "mpin": r"\bm[ -]?pin\b|" + _alone("एम[ -]?पिन"),
+    "pin": r"\bpin\b(?![ -]?code)|" + _alone("पिन"),
+    "cvv": r"\bcv[vc]2?\b|\bcard verification|" + _alone("सीवीवी"),
+    "password": r"\bpass ?words?\b|\bpasscode\b|\bpwd\b|" + _alone("पासवर्ड"),
+    "aadhaar": r"\ba{1,2}dh?a{1,2}r\b|\buidai\b|" + _alone("आधार"),
+    "pan": r"\bpan ?(?:card|number|no\b|num|details?|kyc)|" + _alone("पैन"),
 }
+_SECRETS = {k: re.compile(unicodedata.normalize("NFKC", p)) for k, p in SENSITIVE.items()}
+_SECRET_ORDER = ["otp", "pin", "upi_pin", "mpin", "cvv", "password", "aadhaar", "pan"]
 _PAN = re.compile(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b")
 
 LISTS = ("emails", "sensitive_info", "remote_access_apps", "apk_links", "apk_files", "rule_texts", "evasions")
@@ -91,8 +105,8 @@ def registered_domain(host: Column) -> Column:
 
 
 def _trimmed(url: str) -> str:
-    """Without punctuation at its end, or closing brackets that the link doesn't open."""
-    while url and (url[-1] in ".,;:!?*_~|'\"" or (url[-1] in ")]}" and url.count(url[-1]) > url.count({")": "(", "]": "[", "}": "{"}[url[-1]]))):
+    """Without punctuation at its end, a danda too, or closing brackets that the link doesn't open."""
+    while url and (url[-1] in ".,;:!?*_~|'\"।॥" or (url[-1] in ")]}" and url.count(url[-1]) > url.count({")": "(", "]": "[", "}": "{"}[url[-1]]))):
         url = url[:-1]
     return url
 
@@ -112,10 +126,14 @@ def urls_in(text: str) -> list[tuple[int, int, dict]]:
             continue
         if not host or "." not in host:
             continue
-        # 'done.In' and 'pay.Me' are a missing blank, not a link
-        if m["bare"] and re.search(r"\.[A-Z][a-z]+$", raw.split("/")[0]) and not raw.lower().startswith("www."):
+        # 'done.In' and 'pay.Me' are a missing blank, not a link; a path or a hyphen tells a link
+        if m["bare"] and re.search(r"\.[A-Z][a-z]+$", raw) and "-" not in raw and not raw.lower().startswith("www."):
             continue
         domain = domain_of(host)
+        # scheme and host don't depend on case, so that keys meet; the path does
+        head, slashes, rest = url.partition("://")
+        cut = re.search("[/?#]|$", rest).start()
+        url = f"{head.lower()}{slashes}{rest[:cut].lower()}{rest[cut:]}"
         found.append((m.start(), m.start() + len(raw), {"raw": raw, "url": url, "host": host, "registered_domain": domain, "is_shortener": domain in SHORTENERS or host in SHORTENERS, "is_ip": bool(re.fullmatch(r"\d+(\.\d+){3}", host)), "is_apk": urlsplit(url).path.lower().endswith(".apk")}))
     return found
 
@@ -129,7 +147,7 @@ def upi_uri(raw: str) -> dict:
         am = float(query["am"].replace(",", "")) if query.get("am") else None
     except ValueError:
         am = None
-    return {"raw": raw, "pa": query.get("pa"), "pn": query.get("pn"), "am": am, "tn": query.get("tn"), "cu": query.get("cu"), "mc": query.get("mc")}
+    return {"raw": raw, "pa": query["pa"].lower() if query.get("pa") else None, "pn": query.get("pn"), "am": am, "tn": query.get("tn"), "cu": query.get("cu"), "mc": query.get("mc")}
 
 
 def phones_in(text: str) -> list[tuple[int, int, dict]]:
@@ -163,8 +181,18 @@ def amounts_in(text: str) -> list[tuple[int, int, dict]]:
 
 
 def sensitive_in(text: str) -> list[str]:
-    low = text.lower()
-    return [k for k, p in SENSITIVE.items() if re.search(p, low) or (k == "pan" and _PAN.search(text))]
+    """Kinds of secrets that a clean text names; what one kind took is blank to those after it."""
+    low, found = text.lower(), set()
+    for kind, pattern in _SECRETS.items():
+        low, n = pattern.subn(" # ", low)
+        found |= {kind} if n else set()
+    if re.search(r"\bPAN\b", text):  # in capitals it is the card
+        found.add("pan")
+    return [k for k in _SECRET_ORDER if k in found]
+
+
+#: A plain word in capitals or with a capital first: before @ it is prose, as in "Offers@Store".
+_PROSE = re.compile(r"[A-Z](?:[a-z]+|[A-Z]+)")
 
 
 def outside(spans: list[tuple], held: list[tuple]) -> list[tuple]:
@@ -202,8 +230,8 @@ def extract(text: str | None) -> dict:
     for m in (x[2] for x in outside([(m.start(), m.end(), m) for m in marks], [*uris, *links])):
         local, handle = m[1], m[2].lower()
         if "." in handle:
-            emails.append(m[0])
-        elif handle in UPI_HANDLES or (m[2].islower() and not local.isalpha()):
+            emails.append(m[0].lower())
+        elif handle in UPI_HANDLES or (m[2].islower() and not _PROSE.fullmatch(local)):
             ids.append({"value": f"{local}@{handle}".lower(), "handle": handle, "confidence": "high" if handle in UPI_HANDLES else "low"})
         else:
             continue
@@ -243,32 +271,53 @@ def entities(texts: pd.Series) -> pd.DataFrame:
 
 
 def spans(text: str | None) -> list[dict]:
-    """start, end, kind of every entity; of overlapping ones the first in order of kinds holds its characters."""
-    text, held = text or "", []
-    for kind, found in (
-        ("upi_uri", [(m.start(), m.end()) for m in _UPI_URI.finditer(text)]),
-        ("url", [x[:2] for x in urls_in(text)]),
-        ("address", [m.span() for m in _AT.finditer(text)]),
-        ("phone", [x[:2] for x in phones_in(text)]),
-        ("amount", [x[:2] for x in amounts_in(text)]),
+    """start, end, kind of every entity in the clean text; of overlapping ones the first in order of kinds holds its characters."""
+    return spans_of(cleaned(text))
+
+
+def spans_of(text: str) -> list[dict]:
+    held: list[tuple] = []
+    named = [(m.start(), m.end(), "email" if "." in m[2] else "upi") for m in _AT.finditer(text) if "." in m[2] or m[2].lower() in UPI_HANDLES or (m[2].islower() and not _PROSE.fullmatch(m[1]))]
+    links = [(a, b, "url", u) for a, b, u in urls_in(text)]
+    for found in (
+        [(m.start(), m.end(), "upi_uri") for m in _UPI_URI.finditer(text)],
+        links,
+        named,
+        [(a, b, "phone_tollfree" if p["kind"] == "toll_free" else "phone") for a, b, p in phones_in(text)],
+        [(a, b, "amount") for a, b, _ in amounts_in(text)],
     ):
-        held += [(a, b, kind) for a, b in outside(found, held)]
-    return [{"start": a, "end": b, "kind": k} for a, b, k in sorted(held)]
+        held += outside(found, held)
+    return [{"start": x[0], "end": x[1], "kind": x[2], **({"url": x[3]} if len(x) > 3 else {})} for x in sorted(held, key=lambda x: x[:2])]
 
 
 @vectorized("array<struct<start:int,end:int,kind:string>>")
 def entity_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(spans)
+    return texts.map(lambda t: [{k: x[k] for k in ("start", "end", "kind")} for x in spans(t)])
+
+
+#: Masks that aren't named like their kind.
+MASKS = {"upi_uri": "upi_link"}
+
+
+def url_token(u: dict) -> str:
+    """The mask of a link, by the riskiest kind that its own text shows."""
+    return "url_ip" if u["is_ip"] else "url_apk" if u["is_apk"] else "url_short" if u["is_shortener"] else "url"
 
 
 def masked(text: str | None) -> str:
-    """Text for the classifier: entities as mask tokens, other numbers as <num>, white space collapsed."""
-    out, at, text = [], 0, text or ""
-    for s in spans(text):
-        out += [text[at : s["start"]], f" <{s['kind']}> "]
+    """Text for the classifier: clean and folded, entities as mask tokens, other numbers as <num>, white space collapsed."""
+    text = cleaned(text)
+    found = spans_of(text)
+    base = fold(text, [(x["start"], x["end"]) for x in found])[0]
+    if len(base) != len(text):  # a lower case that is longer: places of the folded text would be off
+        base = text
+    out, at = [], 0
+    for s in found:
+        out += [base[at : s["start"]], f" <{url_token(s['url']) if 'url' in s else MASKS.get(s['kind'], s['kind'])}> "]
         at = s["end"]
-    whole = "".join([*out, text[at:]]).lower()
-    return re.sub(r"\s+", " ", re.sub(r"(?<![<\w])\d+(?:[.,]\d+)*", " <num> ", whole)).strip()
+    whole = "".join([*out, base[at:]]).lower()
+    whole = re.sub(r"(?<![<\w])\d+(?:[.,:/-]\d+)*", "<num>", whole)
+    return re.sub(r"\s+", " ", re.sub(r"\s+([.,:;!?)])", r"\1", whole)).strip()
 
 
 @vectorized("string")
@@ -324,7 +373,7 @@ def anonymize(text: str | None) -> str:
         return fakes[kind, original]
 
     digits = lambda n, first="": lambda h: (first + str(int(h, 16)))[:n]
-    text = text or ""
+    text = cleaned(text)
     text = _GREETING.sub(lambda m: m[1] + m[2] + fake("name", m[3], lambda h: _NAMES[int(h[:8], 16) % len(_NAMES)]), text)
     text = _ACCOUNT.sub(lambda m: m[1] + fake("account", m[2], digits(len(m[2]))), text)
     text = _CARD.sub(lambda m: fake("card", m[0], digits(16, "4")), text)

@@ -137,11 +137,11 @@ def pattern_signal(near: Column, words: Column, least_similarity: float = 0.35,
     return outcome("pattern_similarity", F.when(counts, pattern_score(margin)).otherwise(0), counts, can_decide_scam=False, scam_type=F.when(counts, near["category"]))
 
 
-def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = None, reputation: str | None = None, patterns: str | None = None, links: str | None = None, sender: str | None = None) -> DataFrame:
+def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = None, reputation: str | None = None, patterns: str | None = None, links: str | None = None, sender: str | None = None, reply: str | None = None) -> DataFrame:
     """messages with entities, hits, outcomes, risk score, verdict and scam type: the whole offline path, batch or stream.
 
     Names of columns add what was looked up before: ``classifier`` a probability, ``reputation`` struct(score, floor), ``patterns`` struct(scam, genuine,
-    category), ``links`` struct(score, informative, floor) instead of the links' static check, ``sender`` struct(sender, is_receipt).
+    category), ``links`` struct(score, informative, floor) instead of the links' static check, ``sender`` struct(sender, is_receipt), ``reply`` a language model's reply, which adds ``assessment`` and ``narrative``.
     """
     from ..functions.entities import entities
     from . import classifier as C
@@ -164,6 +164,13 @@ def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = N
     if sender:
         shown = F.col(sender)
         parts += [senders.sender_signal(shown["sender"], e["normalized_text"], F.col("hits"), F.array(*parts)), senders.proof_signal(shown["is_receipt"], F.col("hits"))]
+    if reply:
+        from . import replies
+
+        found = replies.assessed(found, reply, text, flags=F.transform("hits", lambda h: h["rule_id"]))
+        tried = replies.manipulated(F.col("hits"))
+        parts.append(replies.signal(F.col("assessment"), tried))
+        found = found.withColumn("narrative", replies.narrative(F.col("assessment"), tried))
     return score(found.withColumn("outcomes", R.kept_apart(F.array(*parts)))).drop(*[c for c in found.columns if c.startswith("__")])
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import frozen
+from ..operators import frozen, replies
 from ..sources.journal import Journal, resumed, shared_dir
 from .catalogue import _ID, _TOKENS, _u, identified, query, read
 
@@ -88,3 +88,41 @@ def resumable_copy(spark, sf_dir):
     resumed(journal, orders.where(F.col("o_orderkey") <= F.lit(cut)), "o_orderkey", lambda rows: rows, size)
     resumed(journal, orders, "o_orderkey", lambda rows: rows, size)
     return journal.rows()
+
+
+_HI = "यह संदेश आपसे पैसे माँगता है"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, (length(text) * 7 + turn) % 130 AS risk, len(string_split_regex(trim(text), '\\s+')) AS words, CAST(turn % 7 AS INTEGER) AS items, conv_id % 5 AS k FROM conversations WHERE role = 'assistant'),
+e AS (SELECT *, list_filter([CASE WHEN k = 1 THEN 'scam_type' END, CASE WHEN risk > 100 THEN 'llm_risk' END, CASE WHEN words > 90 THEN 'explanation_en' END, CASE WHEN k = 2 THEN 'explanation_hi' END, CASE WHEN items NOT BETWEEN 3 AND 5 THEN 'advice' END, CASE WHEN k = 3 THEN 'confidence' END], lambda x: x IS NOT NULL) AS wrong FROM t)
+SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN 'not JSON' WHEN len(wrong) > 0 THEN 'schema errors in ' || array_to_string(wrong, ', ') END AS reason, CASE WHEN conv_id % 11 <> 0 AND len(wrong) = 0 THEN CAST(risk AS INTEGER) END AS risk FROM e""")
+def reply_schema(spark, sf_dir):
+    """Replies made of all assistant turns, well and badly formed by rule of their ids: parsed, checked, refused with a reason."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    k = F.col("conv_id") % 5
+    advice = F.transform(F.slice(F.array(*[F.lit(i) for i in range(1, 8)]), F.lit(1), (F.col("turn") % 7).cast("int")), lambda i: F.concat(F.lit("step "), i.cast("string")))
+    made = F.struct(
+        F.when(k == 1, "riddle").otherwise(" QR_code ").alias("scam_type"), ((F.length("text") * 7 + F.col("turn")) % 130).alias("llm_risk"), F.col("text").alias("explanation_en"),
+        F.when(k == 2, "hello").otherwise(_HI).alias("explanation_hi"), advice.alias("advice"), F.when(k == 3, "sure").otherwise("High").alias("confidence"), F.lit(1).alias("more"),
+    )
+    reply = F.when(F.col("conv_id") % 11 == 0, F.concat(F.to_json(made), F.lit("}"))).otherwise(F.to_json(made))
+    found = turns.select("conv_id", "turn", replies.parsed(reply).alias("a"))
+    return found.select("conv_id", "turn", F.col("a.reason").alias("reason"), F.col("a.llm_risk").alias("risk"))
+
+
+_KEYS = "list_distinct(list_concat(list_transform(regexp_extract_all(lower(text), '[a-z0-9._-]+@[a-z0-9.-]+[a-z0-9]'), lambda x: 'email ' || x), list_transform(regexp_extract_all(lower(text), '[0-9]{1,3}(?:\\.[0-9]{1,3}){3}'), lambda x: 'address ' || x)))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_KEYS} AS keys FROM documents), p AS (SELECT doc_id, keys, lag(keys, 1, []) OVER (ORDER BY doc_id) AS before FROM d)
+SELECT doc_id, list_sort(list_filter(keys, lambda k: NOT list_contains(before, k))) AS unknown FROM p WHERE len(list_filter(keys, lambda k: NOT list_contains(before, k))) > 0""")
+def unknown_identifiers(spark, sf_dir):
+    """Documents as replies to the one before: identifiers by kind that the predecessor has not.
+
+    Predecessors meet by a join on ids in order, not in one window: ranges of ids, numbered inside, with the range's last row handed on.
+    """
+    text = F.lower("text")
+    kind = lambda name, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(name).alias("kind"), x.alias("value")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.concat(kind("email", r"[a-z0-9._-]+@[a-z0-9.-]+[a-z0-9]"), kind("address", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"))).alias("keys"))
+    joined = X.with_previous(docs, "doc_id", ["keys"])
+    left = replies.unknown(F.col("keys"), F.coalesce("previous_keys", F.array().cast(docs.schema["keys"].dataType)))
+    return joined.select("doc_id", F.sort_array(F.transform(left, lambda k: F.concat_ws(" ", k["kind"], k["value"]))).alias("unknown")).where(F.size("unknown") > 0)
