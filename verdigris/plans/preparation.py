@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import frozen, replies
 from ..sources.journal import Journal, resumed, shared_dir
+from ..streaming import caches
 from .catalogue import _ID, _TOKENS, _u, identified, query, read
 
 _ROWS = f"""d AS (SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS id, d.source, d.lang, l.toxic, l.doc_id IS NOT NULL AND d.doc_id % 3 <> 2 AS reviewed, {_ID} AS grp, {_TOKENS} AS tokens
@@ -126,3 +127,12 @@ def unknown_identifiers(spark, sf_dir):
     joined = X.with_previous(docs, "doc_id", ["keys"])
     left = replies.unknown(F.col("keys"), F.coalesce("previous_keys", F.array().cast(docs.schema["keys"].dataType)))
     return joined.select("doc_id", F.sort_array(F.transform(left, lambda k: F.concat_ws(" ", k["kind"], k["value"]))).alias("unknown")).where(F.size("unknown") > 0)
+
+
+@query("""WITH e AS (SELECT user_id || '/' || event_type AS key, ts, CAST(event_id AS VARCHAR) AS value FROM events),
+p AS (SELECT *, lag(value) OVER w AS before, lag(ts) OVER w AS was FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, value))
+SELECT key, ts, coalesce(ts < was + INTERVAL 24 HOURS, false) AS hit, CASE WHEN ts < was + INTERVAL 24 HOURS THEN before END AS value FROM p""")
+def cache_read_through(spark, sf_dir):
+    """Every event reads its key's last value, up to 24 hours old, and writes its own: a cache that has room for all."""
+    events = read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", F.col("event_id").cast("string").alias("value"))
+    return caches.cached(events, shards=16, most=1 << 40, ttl=caches.LINK_TTL, read_through=True).select("key", "ts", "hit", "value")
