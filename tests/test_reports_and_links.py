@@ -152,3 +152,22 @@ def test_reports_without_rows(spark):
     none = spark.createDataFrame([], "id int, truth boolean, flagged boolean, score int, label string, label_source string, verdict string")
     assert reports.negative_rates(none).count() == 0 and reports.mistakes(none).count() == 0
     assert reports.sweep(none, [10], {"s": "score"}).first()["recall"] is None
+
+
+def test_grid_chooses_by_macro_f1(spark):
+    from verdigris.operators import splits
+
+    rows = [(i, ("alpha beta common" if i % 3 else "gamma delta common") + (f" noise{i % 7}"), "a" if i % 3 else "b", f"g{i // 2}", i % 5 == 0, "val" if i % 4 == 0 else "train") for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, text string, label string, group_id string, is_indian boolean, part string")
+    weighted = splits.sample_weights(df.where("part = 'train'"), cap=1.0).unionByName(df.where("part = 'val'").withColumn("weight", F.lit(1.0)))
+    m, tried = classifier.selected(weighted, "id", "part", grid=(8.0, 0.01, 1.0, 4.0), patience=2, weight="weight", most={"word": 50}, iterations=30)
+    assert [c for c, _ in tried] == [0.01, 1.0, 4.0, 8.0][: len(tried)] and all(0 <= s <= 1 for _, s in tried) and max(s for _, s in tried) == 1.0
+    first = [s for _, s in tried].index(1.0)
+    assert len(tried) <= first + 3  # two more without a better one end the grid
+    got = classifier.predicted(df.where("part = 'val'"), m)
+    assert got.where("label <> predicted").count() == 0
+    # words of the rows kept back alone are not in the vocabulary
+    only = weighted.withColumn("text", F.when(F.col("part") == "val", F.concat("text", F.lit(" unseen"))).otherwise(F.col("text")))
+    made = classifier.vectors(only, "id", weight="weight", part="part", most={"word": 50})
+    assert "unseen" not in {r["term"] for r in made.found} and made.n == 60 and made.data.count() == 80
+    assert classifier.macro_f1_of({("a", "a"): 3, ("a", "b"): 1, ("b", "b"): 2, ("b", "c"): 2}) == pytest.approx((6 / 7 + 4 / 7 + 0) / 3) and classifier.macro_f1_of({}) == 0

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import frozen, replies
+from ..operators import classifier, frozen, replies, splits
 from ..sources.journal import Journal, resumed, shared_dir
 from ..streaming import caches
 from .catalogue import _ID, _TOKENS, _u, identified, query, read
@@ -136,3 +136,18 @@ def cache_read_through(spark, sf_dir):
     """Every event reads its key's last value, up to 24 hours old, and writes its own: a cache that has room for all."""
     events = read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", F.col("event_id").cast("string").alias("value"))
     return caches.cached(events, shards=16, most=1 << 40, ttl=caches.LINK_TTL, read_through=True).select("key", "ts", "hit", "value")
+
+
+def _grid(spark, sf_dir):
+    """Quality from words, weighted by group, class and a language that counts for more; validated on a hashed fifth."""
+    rows = identified(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"), F.col("text_id").alias("group_id"), (F.col("lang") == "en").alias("is_indian"), F.when(splits.unit_hash(F.col("text_id"), "grid") < 0.2, "val").otherwise("train").alias("part"))
+    weighted = splits.sample_weights(rows.where("part = 'train'")).unionByName(rows.where("part = 'val'").withColumn("weight", F.lit(1.0)))
+    return classifier.selected(weighted, "doc_id", "part", grid=(0.25, 1.0, 4.0), weight="weight", most={"word": 20_000}, iterations=20)
+
+
+@query()
+def classifier_grid(spark, sf_dir):
+    """Each penalty that was tried with its macro-F1 on rows kept back, and the one chosen."""
+    tried = _grid(spark, sf_dir)[1]
+    best = max(tried, key=lambda t: (t[1], -t[0]))[0]
+    return spark.createDataFrame([(c, round(s, 6), c == best) for c, s in tried], "c double, macro_f1 double, chosen boolean")
