@@ -18,11 +18,93 @@ def test_readers(spark, tmp_path):
     assert tables.load_mendeley(spark, str(tmp_path / "old.csv")).select("label", "text", "dataset").first() == ("promo_spam", "café", "mendeley")
     (tmp_path / "x.tsv").write_bytes(b"ham\thello\nspam\t\nspam\tx\ty\n")
     assert [tuple(r) for r in tables.read_tsv(spark, str(tmp_path / "x.tsv")).collect()] == [("ham", "hello"), ("spam", "x\ty")]
+    body = "".join(f"## {x}\ntext\n" for x in tables.SECTIONS)
+    full = "slug: {0}\ntitle: A\ncategory: qr_code\nkind: scam"
+    docs = {
+        "good-one": (full.format("good-one").replace("A", '"A: \\"b\\""  # said') + "\n\n# comment\nsource_url: 'it''s'\nneeds_source_check: no", body, None),
+        "none": (None, "no front matter", "no front matter"),
+        "list": ("- a\n- b", body, "the front matter is no mapping"),
+        "word": ("just words", body, "the front matter is no mapping"),
+        "quote": (full.format("quote") + '\nsource_url: "open', body, 'invalid YAML: source_url: "open'),
+        "nested": (full.format("nested") + "\na: b: c", body, "invalid YAML: a: b: c"),
+        "keys": ("slug: keys\ntitle: ''\nkind: scam", body, "missing keys: title, category"),
+        "name": (full.format("other"), body, "slug other is not the name name"),
+        "kind": (full.format("kind").replace("kind: scam", "kind: odd"), body, "unknown kind"),
+        "type": (full.format("type").replace("qr_code", "generic"), body, "not a type of scam: generic"),
+        "calm": (full.format("calm").replace("kind: scam", "kind: genuine"), body, "a genuine document of another category"),
+        "parts": (full.format("parts"), body.replace("## Red flags", "### Red flags"), "missing sections: Red flags"),
+        "empty": ("slug: empty\ntitle: A\ncategory: genuine\nkind: genuine", " \n", "no content"),
+        "fine": ("slug: fine\r\ntitle: A\r\ncategory: genuine\r\nkind: genuine", "words", None),
+    }
     (tmp_path / "kb").mkdir()
-    (tmp_path / "kb/good-one.md").write_text("---\ntitle: \"A\"\ncategory: c\nkind: scam\n---\n# A\n## First\ntext\n## Second\n")
-    (tmp_path / "kb/bad.md").write_text("no front matter")
-    got = {r["slug"]: r for r in tables.read_patterns(spark, str(tmp_path / "kb")).collect()}
-    assert got["good-one"]["reason"] is None and got["good-one"]["title"] == "A" and got["good-one"]["sections"] == ["First", "Second"] and got["bad"]["reason"] == "no front matter"
+    for name, (front, text, _) in docs.items():
+        (tmp_path / f"kb/{name}.md").write_bytes(("\ufeff" * (name == "fine") + (text if front is None else f"---\n{front}\n---\n{text}")).encode())
+    read = {r["name"]: r for r in tables.read_patterns(spark, str(tmp_path / "kb")).collect()}
+    assert {n: read[n]["reason"] for n in docs} == {n: why for n, (_, _, why) in docs.items()}
+    good = read["good-one"]
+    assert (good["title"], good["source_url"], good["needs_source_check"], good["sections"]) == ('A: "b"', "it's", False, tables.SECTIONS) and read["fine"]["needs_source_check"]
+
+
+def test_records_over_quoted_line_breaks(spark, tmp_path):
+    import csv
+    import random
+
+    from verdigris.sources import records
+
+    rng = random.Random(2)
+    bits = ["a", ",", '"', "\n", " ", "é", "x" * 30, ""]
+    files = {}
+    for f in range(3):
+        rows = [["text", "Label ", "scam_type"]] + [["".join(rng.choices(bits, k=rng.randint(0, 12))), rng.choice(["scam", "genuine", "odd"]), rng.choice(["qr_code", "", "none"])] for _ in range(120)]
+        with open(tmp_path / f"f{f}.csv", "w", newline="", encoding="utf-8-sig") as out:
+            w = csv.writer(out, lineterminator="\r\n" if f == 1 else "\n")
+            for i, row in enumerate(rows):
+                w.writerow(row)
+                if i % 7 == 0:
+                    out.write("\n")
+        with open(tmp_path / f"f{f}.csv", newline="", encoding="utf-8-sig") as back:
+            files[f"f{f}.csv"] = [r for r in csv.reader(back) if r]
+    want = {(name, n): r for name, rows in files.items() for n, r in enumerate(rows, 1) if n > 1}
+    # blocks far smaller than a file: records that lie over their borders
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("700", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = {(r["file"], r["record"]): r["fields"] for r in records.records(spark, f"{tmp_path}/f*.csv").collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+    (tmp_path / "late.csv").write_text("message,label\nx,scam\n")
+    rows, problems = records.collected(spark, [f"{tmp_path}/f0.csv", f"{tmp_path}/late.csv"])
+    found = {(r["file"], r["record"]): r["problem"] for r in problems.collect()}
+    bad = {}
+    for n, (text, label, kind) in enumerate(files["f0.csv"][1:], 2):
+        why = "empty text" if not text.strip(" ") else "unknown label" if label == "odd" else "scam without a known type" if label == "scam" and kind != "qr_code" else "type on a row that is no scam" if label != "scam" and kind else None
+        bad |= {("f0.csv", n): why} if why else {}
+    assert found == {**bad, ("late.csv", None): "missing columns text; the file is skipped"}
+    assert rows.count() == 120 - len(bad) and {r[0] for r in rows.select("label_source").distinct().collect()} == {"manual"}
+
+
+def test_synthetic_and_india_loaders(spark, tmp_path):
+    from verdigris.sources import records
+
+    (tmp_path / "a.csv").write_text('text,label,scam_type,parent_id\n"one\nline",scam,qr_code,p1\n,scam,qr_code,\nodd,strange,,\n')
+    (tmp_path / "b.csv").write_text("label,text,source\ngenuine,One line,second\ngenuine,other,second\n")
+    got = {r["text"]: r for r in records.synthetic(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"]).collect()}
+    assert set(got) == {"one\nline", "other"} and (got["one\nline"]["label"], got["one\nline"]["parent_id"], got["other"]["source"]) == ("scam", "p1", "second") and got["other"]["dataset"] == "synthetic"
+    (tmp_path / "in.csv").write_bytes("Msg,Label\nSee you at nine caf\xe9,ham\nScan the QR code to receive Rs 5000 in your account now,spam\nBig sale 50% off today,spam\n,ham\nx,odd\n".encode("cp1252"))
+    rows = {r["label_source"] + ":" + r["text"][:3]: r for r in records.india(spark, f"{tmp_path}/in.csv").collect()}
+    assert set(rows) == {"dataset:See", "auto:Sca", "auto:Big"} and rows["dataset:See"]["label"] == "genuine" and rows["auto:Big"]["label"] == "promo_spam"
+    assert (rows["auto:Sca"]["label"], rows["auto:Sca"]["auto_label"], rows["dataset:See"]["auto_label"]) == ("scam", "scam", None) and rows["auto:Sca"]["dataset"] == "india"
+    key = rows["auto:Sca"]["text_id"]
+    import datetime
+
+    reviews = spark.createDataFrame([(key, "genuine", "manual", datetime.date(2024, 1, 1))], "text_id string, label string, label_source string, reviewed_at date")
+    again = {r["text_id"]: r for r in records.india(spark, f"{tmp_path}/in.csv", reviews).collect()}
+    assert (again[key]["label"], again[key]["label_source"], again[key]["auto_label"]) == ("genuine", "manual", "scam")
 
 
 def test_lookup_columns(spark):

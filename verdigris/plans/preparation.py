@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import classifier, frozen, replies, splits
+from ..sources import records, tables
 from ..sources.journal import Journal, resumed, shared_dir
 from ..streaming import caches
 from .catalogue import _ID, _TOKENS, _u, identified, query, read
@@ -151,3 +152,53 @@ def classifier_grid(spark, sf_dir):
     tried = _grid(spark, sf_dir)[1]
     best = max(tried, key=lambda t: (t[1], -t[0]))[0]
     return spark.createDataFrame([(c, round(s, 6), c == best) for c, s in tried], "c double, macro_f1 double, chosen boolean")
+
+
+def _csv(spark, sf_dir):
+    """documents as CSV files, whole texts with their line breaks; labels by rule of the ids, some of them wrong."""
+    docs = read(spark, sf_dir, "documents")
+    label = F.when(F.col("doc_id") % 9 == 4, "odd").when(F.col("doc_id") % 2 == 0, "Scam").otherwise("genuine")
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    kind = F.when(F.col("doc_id") % 6 == 0, "qr_code").when(F.col("doc_id") % 5 == 0, "task_job").otherwise("")
+    # the reader takes a return for a line's end, whatever it is to a writer
+    text = F.regexp_replace("text", "\\r\\n?", "\n")
+    tables.write_csv(docs.select("doc_id", text.alias("text"), label.alias("label"), kind.alias("scam_type")), path, ["doc_id", "text", "label", "scam_type"])
+    return path
+
+
+_CSV = """d AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text, CASE WHEN doc_id % 9 = 4 THEN 'odd' WHEN doc_id % 2 = 0 THEN 'scam' ELSE 'genuine' END AS label, CASE WHEN doc_id % 6 = 0 THEN 'qr_code' WHEN doc_id % 5 = 0 THEN 'task_job' ELSE '' END AS kind FROM documents)"""
+
+
+@query(f"WITH {_CSV} SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS digest, label FROM d")
+def csv_records(spark, sf_dir):
+    """Documents written as CSV and read back record by record, in parallel over quoted line breaks."""
+    found = records.records(spark, _csv(spark, sf_dir))
+    return found.select(records.field("doc_id").alias("doc_id"), F.sha2(records.field("text").cast("binary"), 256).alias("digest"), F.lower(records.field("label")).alias("label"))
+
+
+@query(f"""WITH {_CSV}, p AS (SELECT CASE WHEN trim(text, ' ') = '' THEN 'empty text' WHEN label = 'odd' THEN 'unknown label' WHEN label = 'scam' AND kind = '' THEN 'scam without a known type' WHEN label <> 'scam' AND kind <> '' THEN 'type on a row that is no scam' END AS problem FROM d)
+SELECT coalesce(problem, 'none') AS problem, count(*) AS n FROM p GROUP BY 1""")
+def collected_problems(spark, sf_dir):
+    """What a loader of collected messages accepts and why it refuses the rest."""
+    rows, problems = records.collected(spark, _csv(spark, sf_dir))
+    return problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n")).unionByName(rows.agg(F.lit("none").alias("problem"), F.count(F.lit(1)).alias("n")).where("n > 0"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 10 AS k, source = 'src2' AS calm FROM documents)
+SELECT doc_id, CASE WHEN k = 0 THEN 'no front matter' WHEN k = 1 THEN 'the front matter is no mapping' WHEN k = 2 THEN 'invalid YAML: note: "open' WHEN k = 3 THEN 'missing keys: title' WHEN k = 4 THEN 'slug other is not the name doc-' || doc_id
+WHEN k = 5 THEN 'unknown kind' WHEN k = 6 AND NOT calm THEN 'not a type of scam: riddle' WHEN calm AND k <> 7 THEN 'a genuine document of another category' WHEN NOT calm AND k = 8 THEN 'missing sections: What to do, Where to report' END AS reason FROM d""")
+def front_matter_checks(spark, sf_dir):
+    """Documents as Markdown with a front matter, ten ways of being wrong by rule of their ids."""
+    docs = read(spark, sf_dir, "documents")
+    k, calm = F.col("doc_id") % 10, F.col("source") == "src2"
+    line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\n"))
+    category = F.when(calm & (k == 7), "genuine").when(k == 6, "riddle").otherwise("qr_code")
+    front = F.when(k == 1, F.lit("- one\n- two\n")).otherwise(F.concat(
+        line("slug", F.when(k == 4, F.lit("other")).otherwise(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))), F.when(k == 3, F.lit("")).otherwise(F.lit("title: 'It''s a document'  # said\n")),
+        line("category", category), line("kind", F.when(k == 5, "odd").when(calm, "genuine").otherwise("scam")), F.when(k == 2, F.lit('note: "open\n')).otherwise(F.lit("note: \"closed: 'so'\"\n")),
+    ))
+    named = [F.lit(f"## {s}\nwords\n") for s in tables.SECTIONS]
+    body = F.concat(*named[:3], F.when(k == 8, F.lit("")).otherwise(F.concat(*named[3:])), "text")
+    value = F.when(k == 0, body).otherwise(F.concat(F.lit("---\n"), front, F.lit("---\n"), body))
+    found = tables.patterns(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), value.alias("value")))
+    return found.select(F.substring_index("name", "-", -1).cast("long").alias("doc_id"), "reason")

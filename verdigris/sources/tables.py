@@ -35,7 +35,7 @@ def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """The columns in order; booleans as true and false, null as nothing."""
-    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -93,17 +93,71 @@ def as_bool(column: Column) -> Column:
     return F.lower(F.trim(column)).isin("1", "true", "yes", "y")
 
 
+# Fixed: sections that a document on a scam has, and the category of genuine ones.
+SECTIONS = ["How it works", "Red flags", "Example messages", "What to do", "Where to report"]
+GENUINE = "genuine"
+
+# A line of flat YAML: blank or a comment, a pair with a plain or quoted value, an item of a list, or something else.
+_BLANK = r"^\s*(?:#.*)?$"
+_KEY = r"^([A-Za-z_][A-Za-z0-9_-]*)\s*:"
+_PLAIN = r"(?![\"'\[\]{}&*!|>%@`,#-])(?:(?!:\s|\s#).)*"
+_PAIR = _KEY + r"(?:\s*|\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|" + _PLAIN + r"))(?:\s+#.*)?$"
+_ITEM = r"^\s*-(?:\s|$)"
+
+
+def front_matter(value: Column) -> Column:
+    """struct(bare, reason, meta map<string,string>, content) of a document with a front matter of flat pairs; the reason is of the form alone."""
+    text = F.regexp_replace(F.regexp_replace(value, "^\ufeff", ""), "\r\n", "\n")
+    front = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
+    bare = ~text.rlike(r"(?s)\A---\n.*?\n---\n")
+    told = F.filter(F.split(front, "\n"), lambda x: ~x.rlike(_BLANK))
+    pairs, others = F.filter(told, lambda x: x.rlike(_PAIR)), F.filter(told, lambda x: ~x.rlike(_PAIR))
+    raw = lambda x: F.regexp_replace(F.regexp_replace(x, _KEY + r"\s*", ""), r"(?<![\"'])\s+#.*$|(?<=[\"'])\s+#[^\"']*$", "")
+    double = lambda v: F.replace(F.replace(F.regexp_replace(v, r'^\"(.*)\"\s*$', "$1"), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    single = lambda v: F.replace(F.regexp_replace(v, r"^'(.*)'\s*$", "$1"), F.lit("''"), F.lit("'"))
+    value_of = lambda x: F.when(raw(x).startswith('"'), double(raw(x))).when(raw(x).startswith("'"), single(raw(x))).otherwise(F.trim(raw(x)))
+    keys = F.transform(pairs, lambda x: F.regexp_extract(x, _KEY, 1))
+    # of a key given twice the last value holds
+    unique = F.array_distinct(keys)
+    last = F.transform(unique, lambda k: value_of(F.element_at(F.filter(pairs, lambda x: F.regexp_extract(x, _KEY, 1) == k), -1)))
+    reason = (
+        F.when(bare, "no front matter")
+        .when((F.size(pairs) == 0) & (F.forall(others, lambda x: x.rlike(_ITEM)) | ((F.size(others) == 1) & ~F.get(others, F.lit(0)).rlike(r"[\"'\[\]{}:\t]"))), "the front matter is no mapping")
+        .when(F.size(others) > 0, F.concat(F.lit("invalid YAML: "), F.get(others, F.lit(0))))
+    )
+    content = F.regexp_replace(F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", ""), r"^\s+|\s+$", "")
+    return F.struct(bare.alias("bare"), reason.alias("reason"), F.map_from_arrays(unique, last).alias("meta"), content.alias("content"))
+
+
+def patterns(docs: DataFrame, value: str = "value", name: str = "name") -> DataFrame:
+    """docs(name, value) -> name, slug, title, category, kind, source_url, needs_source_check, content, sections, content_hash, reason: why a document can't be used."""
+    from ..operators.rules import kept_apart
+
+    form = docs.select(F.col(name).alias("name"), kept_apart(front_matter(F.col(value))).alias("f"))
+    get = lambda k: F.nullif(F.trim(F.try_element_at(F.col("f.meta"), F.lit(k))), F.lit(""))
+    df = form.select("name", F.col("f.reason").alias("form"), *[get(k).alias(k) for k in ("slug", "title", "category", "kind", "source_url", "needs_source_check")], F.col("f.content").alias("content"))
+    df = df.withColumn("sections", F.regexp_extract_all("content", F.lit(r"(?m)^## +(.+?)[ \t]*$"), F.lit(1)))
+    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("slug", "title", "category", "kind")]))
+    lacking = F.array_except(F.array(*map(F.lit, SECTIONS)), "sections")
+    known = [t for t in TYPES if t != "generic"]
+    reason = (
+        F.when(F.col("form").isNotNull(), F.col("form"))
+        .when(F.size(absent) > 0, F.concat(F.lit("missing keys: "), F.array_join(absent, ", ")))
+        .when(F.col("slug") != F.col("name"), F.concat(F.lit("slug "), F.col("slug"), F.lit(" is not the name "), F.col("name")))
+        .when(~F.col("kind").isin("scam", "genuine"), "unknown kind")
+        .when((F.col("kind") == "scam") & ~F.col("category").isin(known), F.concat(F.lit("not a type of scam: "), F.col("category")))
+        .when((F.col("kind") == "genuine") & (F.col("category") != GENUINE), "a genuine document of another category")
+        .when((F.col("kind") == "scam") & (F.size(lacking) > 0), F.concat(F.lit("missing sections: "), F.array_join(lacking, ", ")))
+        .when(F.col("content") == "", "no content")
+    )
+    checked = F.coalesce(~F.lower("needs_source_check").isin("false", "no", "off"), F.lit(True))
+    return df.select("name", F.coalesce("slug", "name").alias("slug"), "title", "category", "kind", "source_url", checked.alias("needs_source_check"), "content", "sections", F.sha2(F.concat_ws("\n\n", "title", "content"), 256).alias("content_hash"), reason.alias("reason"))
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown files with a front matter of flat 'key: value' lines -> slug, title, category, kind, content, sections, content_hash, reason."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("value"), F.col("_metadata.file_name").alias("file"))
-    front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
-    pairs = F.transform(F.filter(F.split(front, "\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(x, "^[^:]*:", ""), "^\\s*[\"']?|[\"']?\\s*$", "")).alias("v")))
-    meta = F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
-    body = F.trim(F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", ""))
-    df = raw.select(F.regexp_replace("file", r"\.md$", "").alias("slug"), meta.alias("meta"), body.alias("content"), (front == "").alias("bare"))
-    df = df.select("slug", *[F.try_element_at("meta", F.lit(k)).alias(k) for k in ("title", "category", "kind", "source_url")], "content", F.filter(F.regexp_extract_all("content", F.lit(r"(?m)^##\s+(.+)$"), F.lit(1)), lambda s: s != "").alias("sections"), F.sha2("content", 256).alias("content_hash"), "bare")
-    reason = F.when(F.col("bare"), "no front matter").when(F.col("title").isNull(), "no title").when(F.col("category").isNull(), "no category").when(F.col("kind").isNull() | ~F.col("kind").isin("scam", "genuine"), "unknown kind").when(~F.col("slug").rlike("^[a-z0-9-]+$"), "bad slug").when(F.col("content") == "", "no content")
-    return df.withColumn("reason", reason).drop("bare")
+    """``patterns`` of the Markdown files of a folder, by their names."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("name"))
+    return patterns(raw)
 
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
