@@ -171,3 +171,47 @@ def test_grid_chooses_by_macro_f1(spark):
     made = classifier.vectors(only, "id", weight="weight", part="part", most={"word": 50})
     assert "unseen" not in {r["term"] for r in made.found} and made.n == 60 and made.data.count() == 80
     assert classifier.macro_f1_of({("a", "a"): 3, ("a", "b"): 1, ("b", "b"): 2, ("b", "c"): 2}) == pytest.approx((6 / 7 + 4 / 7 + 0) / 3) and classifier.macro_f1_of({}) == 0
+
+
+JOINS = ["g", "./g", "g/", "/g", "//h/p", "?y", "g?y", "#s", "g#s", "g?y#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./g/.", "g/./h", "g/../h", "http://x.y/a/../b", "mailto:a@b"]
+
+
+def test_relative_locations(spark):
+    from urllib.parse import urljoin
+
+    from verdigris.functions import urls
+
+    bases = ["http://a/b/c/d?q=1", "https://a.example", "http://a.example/?x=/y/z"]
+    rows = [(b, r) for b in bases for r in JOINS]
+    got = {(r["b"], r["r"]): r["j"] for r in spark.createDataFrame(rows, "b string, r string").withColumn("j", urls.joined(F.col("b"), F.col("r"))).collect()}
+    for (b, r), j in got.items():
+        want = urljoin(b, r)
+        assert j == want or (r == "" and j == b) or (b == "https://a.example" and r in (".", "./", "..", "../", "../..") and j == "https://a.example/"), (b, r, j, want)
+
+
+def test_chains_stop_at_private_links(spark):
+    from verdigris.operators import state
+
+    hops = [("http://a.in/1", 301, " ../2 "), ("http://a.in/2", 302, "//b.in/x"), ("http://b.in/x", 307, "http://192.168.1.9/"), ("http://192.168.1.9/", 301, "http://c.in/"), ("http://d.in/", 404, None), ("http://d.in/", 404, "http://e.in/"), ("http://f.in/", 300, "http://e.in/"), ("http://h.in/", 301, "http://inner.in/"), ("http://inner.in/", 301, "http://e.in/")]
+    hops += [(f"http://l.in/{i}", 301, f"/{(i + 1) % 3}") for i in range(3)] + [("http://a.in/1", 301, " ../2 ")]
+    table = spark.createDataFrame(hops, "url string, status int, location string")
+    starts = spark.createDataFrame([(u,) for u in ("http://a.in/1", "http://d.in/", "http://f.in/", "http://h.in/", "http://l.in/0", "http://localhost/", "ftp://a.in/", "http://[::1]/", "http://unknown.in/")], "url string")
+    hosts = spark.createDataFrame([("inner.in", False), ("inner.in", False), ("a.in", True)], "host string, public boolean")
+    got = {r["url"]: tuple(r)[1:] for r in state.redirect_chain(starts, table, 5, hosts).collect()}
+    assert got == {
+        "http://a.in/1": ("http://192.168.1.9/", 3, None), "http://d.in/": ("http://d.in/", 0, 404), "http://f.in/": ("http://f.in/", 0, 300), "http://h.in/": ("http://inner.in/", 1, None), "http://l.in/0": ("http://l.in/2", 5, None),
+        "http://localhost/": ("http://localhost/", 0, None), "ftp://a.in/": ("ftp://a.in/", 0, None), "http://[::1]/": ("http://[::1]/", 0, None), "http://unknown.in/": ("http://unknown.in/", 0, None),
+    }
+    twice = table.unionByName(spark.createDataFrame([("http://bit.ly/q", 301, "http://e.in/"), ("http://bit.ly/q", 302, "http://g.in/")], table.schema))
+    links_ = spark.createDataFrame([("http://bit.ly/q",)], "url string")
+    empty = spark.createDataFrame([], "domain string, registered date"), spark.createDataFrame([], "url string, threats array<string>")
+    assert [(r["url"], r["final"]) for r in links.checked(links_, twice, *empty, F.lit("2024-01-01").cast("date")).collect()] == [("http://bit.ly/q", "http://e.in/")]
+
+
+def test_network_file(spark, tmp_path):
+    from verdigris.sources import tables
+
+    (tmp_path / "n.json").write_text('{"domains": {"New.in": {"age_days": 3}, "old.com": {"registered": "1999-05-06"}, "none.io": {"rdap": false}}, "redirects": {"bit.ly/a": "https://new.in/x", "bit.ly/gone": 404}}')
+    domains, redirects = tables.read_network(spark, str(tmp_path / "n.json"), "2024-03-02")
+    assert {(r[0], str(r[1])) for r in domains.collect()} == {("new.in", "2024-02-28"), ("old.com", "1999-05-06")}
+    assert {tuple(r) for r in redirects.collect()} == {(f"{s}://bit.ly/a", 301, "https://new.in/x") for s in ("http", "https")} | {(f"{s}://bit.ly/gone", 404, None) for s in ("http", "https")}

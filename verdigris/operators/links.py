@@ -35,10 +35,8 @@ def checked(links: DataFrame, redirects: DataFrame, domains: DataFrame, blocklis
     hosts = links.select("url").distinct().withColumn("__host", host_of(F.col("url"))).withColumn("__domain", registered_domain(F.col("__host")))
     short = F.col("__domain").isin(list(SHORTENERS)) | F.col("__host").isin(list(SHORTENERS))
     hosts = hosts.withColumn("__short", short)
-    followed = redirect_chain(hosts.where("__short"), redirects).select("url", F.col("final").alias("__end"))
-    ends = hosts.join(followed, "url", "left").withColumn("final", F.coalesce("__end", "url"))
-    status = redirects.groupBy("url").agg(F.min("status").alias("__status")).withColumnRenamed("url", "final")
-    ends = ends.join(status, "final", "left").withColumn("__final_host", host_of(F.col("final")))
+    followed = redirect_chain(hosts.where("__short"), redirects).select("url", F.col("final").alias("__end"), F.col("status").alias("__status"))
+    ends = hosts.join(followed, "url", "left").withColumn("final", F.coalesce("__end", "url")).withColumn("__final_host", host_of(F.col("final")))
     ends = ends.withColumn("__final_domain", registered_domain(F.col("__final_host")))
     ages = domains.groupBy(F.col("domain").alias("__final_domain")).agg(F.min("registered").alias("registered"))
     bad = blocklist.where(F.size("threats") > 0).select("url").distinct()

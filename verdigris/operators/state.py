@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
+
 
 def counters(reports: DataFrame, keys: list[str], at: str) -> DataFrame:
     """report_count, first_seen, last_seen of each key."""
@@ -47,13 +49,34 @@ def rate_windows(hits: DataFrame, key: str, at: str, limit: int, seconds: int =
     return hits.withColumn("in_window", F.count(F.lit(1)).over(window)).withColumn("denied", F.col("in_window") > limit)
 
 
-def redirect_chain(starts: DataFrame, redirects: DataFrame, hops: int = 5) -> DataFrame:
-    """(url, final, hops): follow (url -> location) up to ``hops`` times; stops where there is no redirect."""
-    step = redirects.where("status BETWEEN 300 AND 399 AND location IS NOT NULL").select(F.col("url").alias("__from"), "location")
-    now = starts.select("url").withColumn("final", F.col("url")).withColumn("hops", F.lit(0))
+#: Fixed: statuses that send elsewhere.
+REDIRECTS = [301, 302, 303, 307, 308]
+
+
+def redirect_chain(starts: DataFrame, redirects: DataFrame, hops: int = 5, hosts: DataFrame | None = None) -> DataFrame:
+    """(url, final, hops, status), a row for each row of starts: followed up to ``hops`` times, relative locations resolved.
+
+    A link that is not public is where a chain ends, and it is not asked: ``status`` is null there, as it is after the last hop allowed and where redirects has no row.  Of several
+    rows of a url the least (status, location) holds.  ``hosts(host, public)`` tells names that resolve to private addresses.
+    """
+    known = redirects.groupBy(F.col("url").alias("__from")).agg(F.min(F.struct("status", "location")).alias("__answer"))
+    now = starts.select("url").withColumns({"final": F.col("url"), "hops": F.lit(0), "status": F.lit(None).cast("int"), "__done": F.lit(False)})
+    private = None if hosts is None else hosts.where("NOT public").select(F.col("host").alias("__host")).distinct().withColumn("__private", F.lit(True))
     for _ in range(hops):
-        now = now.join(step, F.col("final") == F.col("__from"), "left").select("url", F.coalesce("location", "final").alias("final"), (F.col("hops") + F.col("location").isNotNull().cast("int")).alias("hops"))
-    return now
+        asked = now.join(known, (F.col("final") == F.col("__from")) & ~F.col("__done") & U.public_http(F.col("final")), "left")
+        answer = F.col("__answer")
+        if private is not None:
+            asked = asked.join(private, U.host(F.col("final")) == F.col("__host"), "left")
+            answer = F.when(F.col("__private").isNull(), answer)
+        moves = F.coalesce(answer["status"].isin(REDIRECTS) & (F.trim(answer["location"]) != ""), F.lit(False))
+        now = asked.select(
+            "url",
+            F.when(moves, U.joined(F.col("final"), answer["location"])).otherwise(F.col("final")).alias("final"),
+            (F.col("hops") + moves.cast("int")).alias("hops"),
+            F.when(F.col("__done"), F.col("status")).when(~moves, answer["status"]).alias("status"),
+            (F.col("__done") | ~moves).alias("__done"),
+        )
+    return now.drop("__done")
 
 
 def with_reputation(entities: DataFrame, reported: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries over the reference's own operators, with DuckDB SQL for those that SQL can express.
 
-Every query runs over its whole tables and whole texts, but for ``redirect_chain``, whose SQL is over six literal rows; ``redirect_chain_pages`` is over a table.
+Every query runs over its whole tables and whole texts.
 """
 
 from __future__ import annotations
@@ -449,18 +449,26 @@ def sync_actions(spark, sf_dir):
     return state.sync_actions(docs.where("doc_id % 10 <> 0"), stored, "doc_id", "c", "m")
 
 
-_HOPS = [("http://a", 301, "http://b"), ("http://b", 302, "http://c"), ("http://c", 200, None), ("http://l", 301, "http://m"), ("http://m", 301, "http://l"), ("http://x", 404, None)]
+_PAGES = "(SELECT url, min(page_id) AS id FROM pages WHERE url IS NOT NULL GROUP BY url)"
 
 
-@query(f"""WITH RECURSIVE r(url, status, location) AS (VALUES {', '.join(f"('{u}', {s}, {'NULL' if loc is None else repr(loc)})" for u, s, loc in _HOPS)}),
-w AS (SELECT url, url AS final, 0 AS hops FROM r UNION ALL SELECT w.url, r.location, w.hops + 1 FROM w JOIN r ON r.url = w.final AND r.status BETWEEN 300 AND 399 AND r.location IS NOT NULL WHERE w.hops < 5)
-SELECT url, arg_max(final, hops) AS final, max(hops) AS hops FROM w GROUP BY url""")
+@query(f"""WITH RECURSIVE p AS {_PAGES}, j AS (SELECT a.id, a.url, regexp_extract(a.url, '^([a-z]+://[^/?#]*)', 1) AS root, b.url AS following FROM p a LEFT JOIN p b ON b.id = a.id + 1),
+r AS (SELECT url, CASE WHEN id % 13 = 11 THEN 200 WHEN id % 13 = 12 THEN 404 WHEN id % 13 = 10 THEN 304 ELSE 302 END AS status,
+  CASE id % 13 WHEN 6 THEN root || '/moved/to?p=' || id WHEN 7 THEN 'http://10.0.0.1/x' WHEN 8 THEN split_part(root, '://', 1) || '://other.example/a/c/../b#top' WHEN 9 THEN '' ELSE following END AS location FROM j UNION ALL SELECT 'http://10.0.0.1/x', 301, 'http://never.example/'),
+w AS (SELECT url, url AS final, 0 AS hops FROM r WHERE url <> 'http://10.0.0.1/x' UNION ALL SELECT w.url, r.location, w.hops + 1 FROM w JOIN r ON r.url = w.final AND r.status IN (301, 302) AND r.location <> '' AND w.final <> 'http://10.0.0.1/x' WHERE w.hops < 5),
+m AS (SELECT url, arg_max(final, hops) AS final, max(hops) AS hops FROM w GROUP BY url)
+SELECT m.url, m.final, m.hops, CASE WHEN m.hops < 5 AND m.final <> 'http://10.0.0.1/x' THEN r.status END AS status FROM m LEFT JOIN r ON r.url = m.final""")
 def redirect_chain(spark, sf_dir):
-    hops = spark.createDataFrame(_HOPS, "url string, status int, location string")
-    return state.redirect_chain(hops, hops)
-
-
-_PAGES = "(SELECT url, min(page_id) AS id FROM pages WHERE url IS NOT NULL GROUP BY url)"
+    """Redirects over all pages by rule of their ids: to the next page, relative, to another host by a path with dots, to a private address, to nowhere."""
+    pages = read(spark, sf_dir, "pages").where("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("id"))
+    k, number = F.col("id") % 13, F.col("id").cast("string")
+    following = pages.select((F.col("id") - 1).alias("id"), F.col("url").alias("following"))
+    to = F.when(k == 6, F.concat(F.lit(" /gone/../moved/./to?p="), number)).when(k == 7, "http://10.0.0.1/x").when(k == 8, "//other.example/a/c/../b#top").when(k == 9, " ").otherwise(F.col("following"))
+    status = F.when(k == 11, 200).when(k == 12, 404).when(k == 10, 304).otherwise(302)
+    hops = pages.join(following, "id", "left").select("url", status.alias("status"), to.alias("location"))
+    # a link given twice is one link, and nothing behind a private address is asked
+    more = spark.createDataFrame([("http://10.0.0.1/x", 301, "http://never.example/")], "url string, status int, location string")
+    return state.redirect_chain(pages, hops.unionByName(hops).unionByName(more))
 
 
 @query(f"""WITH RECURSIVE p AS {_PAGES}, r AS (SELECT a.url, CASE WHEN a.id % 11 < 9 THEN 301 WHEN a.id % 11 = 9 THEN 200 ELSE 404 END AS status, b.url AS location FROM p a LEFT JOIN p b ON b.id = a.id + 1),
@@ -472,7 +480,7 @@ def redirect_chain_pages(spark, sf_dir):
     following = pages.select((F.col("id") - 1).alias("id"), F.col("url").alias("location"))
     status = F.when(F.col("id") % 11 < 9, 301).when(F.col("id") % 11 == 9, 200).otherwise(404)
     hops = pages.join(following, "id", "left").select("url", status.alias("status"), "location")
-    return state.redirect_chain(hops, hops)
+    return state.redirect_chain(hops, hops).drop("status")
 
 
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"

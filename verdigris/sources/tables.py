@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.urls import public_address
 
 #: The unified dataset schema; everything is read as text, as files of unknown quality are.
 DATASET = "text_id string, text string, label string, scam_type string, language string, label_source string, source string, dataset string, is_indian string, group_id string, parent_id string, split string, date_collected string, notes string"
@@ -160,11 +161,19 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     return patterns(raw)
 
 
-def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A JSON file that stands in for the network -> domains(domain, registered date), redirects(url, status, location)."""
-    doc = spark.read.option("multiLine", True).schema("domains map<string,string>, redirects map<string,struct<status:int,location:string>>").json(path)
-    domains = doc.select(F.explode("domains").alias("domain", "registered")).withColumn("registered", F.to_date("registered"))
-    return domains, doc.select(F.explode("redirects").alias("url", "r")).select("url", "r.status", "r.location")
+def read_network(spark: SparkSession, path: str, today: str) -> tuple[DataFrame, DataFrame]:
+    """A JSON file that stands in for the network -> domains(domain, registered date), redirects(url, status, location).
+
+    A domain has an age in days before ``today``, a date, or rdap false, which is no record; a redirect is a link, or the status that the address answers itself.  Addresses
+    have no scheme, and are given both.
+    """
+    doc = spark.read.option("multiLine", True).schema("domains map<string,struct<age_days:int,registered:string,rdap:boolean>>, redirects map<string,string>").json(path)
+    each = doc.select(F.explode("domains").alias("domain", "d"))
+    domains = each.where(F.coalesce("d.rdap", F.lit(True))).select(F.lower("domain").alias("domain"), F.coalesce(F.date_sub(F.lit(today).cast("date"), F.col("d.age_days")), F.to_date("d.registered")).alias("registered")).where("registered IS NOT NULL")
+    status = F.col("to").try_cast("int")
+    hops = doc.select(F.explode("redirects").alias("address", "to")).select("address", F.coalesce(status, F.lit(301)).alias("status"), F.when(status.isNull(), F.col("to")).alias("location"))
+    urls = F.explode(F.array(*[F.concat(F.lit(f"{s}://"), F.col("address")) for s in ("http", "https")]))
+    return domains, hops.select(urls.alias("url"), "status", "location")
 
 
 def registration_date(answers: Column) -> Column:
@@ -179,11 +188,8 @@ def age_bucket(registered: Column, today: Column) -> Column:
 
 
 def is_public_ip(ip: Column) -> Column:
-    """Whether a dotted address is none of the private, loopback, link-local, shared, multicast or reserved ones."""
-    part = lambda i: F.get(F.split(ip, r"\."), F.lit(i)).try_cast("int")
-    a, b = part(0), part(1)
-    hidden = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.between(18, 19)) | (a >= 224)
-    return ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.coalesce(hidden, F.lit(True))
+    """Whether a text is a dotted address and none of the private, loopback, link-local, shared, multicast or reserved ones."""
+    return F.coalesce(public_address(ip), F.lit(False))
 
 
 def qr_payload_kind(payload: Column) -> Column:
