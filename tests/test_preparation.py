@@ -199,3 +199,53 @@ def test_folding_touches_marked_tokens_only():
 
     assert fold("plain words and 500 rupees") == ("plain words and 500 rupees",) * 2 + ([],)
     assert fold("v1sit yOur b@nk at0nce") == ("visit your bank atonce", "vlsit your bank atonce", ["v1sit", "yOur", "b@nk", "at0nce"])
+
+
+def test_lookups_read_their_bucket(spark):
+    from verdigris.operators import lookup
+
+    rows = spark.range(2000).select((F.col("id") * 7).alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    table = lookup.keyed(rows, "k", 8)
+    plan = lambda df: df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    one = lookup.found(table, "k", [700])
+    assert one.collect()[0]["v"] == "v100" and "EqualTo(k,700)" in plan(one)
+    try:  # the plan names the buckets only where it also hands them on as they are
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        assert "SelectedBucketsCount: 1 out of 8" in plan(lookup.found(table, "k", [700]))
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
+    assert sorted(r["v"] for r in lookup.found(table, "k", [0, 7, 8]).collect()) == ["v0", "v1"] and lookup.found(table, "k", [5]).count() == 0
+    # the rest of the plan reads fewer rows than the table has
+    uses = spark.createDataFrame([(i, i * 7 if i % 3 else None, "w") for i in range(3000)], "n long, ref long, v string")
+    asked = lookup.keyed(uses, "ref", 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = lookup.referenced(asked, "ref", table, "k", ["v"], "own_")
+        assert "Exchange" not in plan(joined) and joined.count() == 3000
+        got = {r["n"]: r["own_v"] for r in joined.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: f"v{i}" if i % 3 and i < 2000 else None for i in range(3000)}
+    assert {r["n"] for r in lookup.dangling(asked, "ref", table, "k").collect()} == {i for i in range(2000, 3000) if i % 3}
+
+
+def test_reading_metrics(spark):
+    from verdigris.operators import metrics
+
+    rows = spark.createDataFrame([("abcd", "abcd"), ("abcd", "abXd"), ("", "zz"), (None, None), ("xy", None)], "t string, r string")
+    got = metrics.reading(rows, "t", "r").first()
+    assert (got["n"], got["edits"], got["characters"]) == (5, 5, 10) and got["error_rate"] == 0.5 and got["mean_rate"] == pytest.approx((0 + 0.25 + 1) / 3) and got["exact"] == pytest.approx(2 / 5)
+    assert metrics.reading(rows.where("false"), "t", "r").first()["error_rate"] is None
+    pairs = [([("p", "1"), ("p", "2"), ("u", "a")], [("p", "1"), ("u", "a"), ("u", "b")]), (None, [("p", "9")]), ([("u", "c"), ("u", "c")], [("u", "c")]), ([], [])]
+    found = {r["kind"]: tuple(r)[1:] for r in metrics.identifiers_read(spark.createDataFrame(pairs, "t array<struct<kind:string,value:string>>, r array<struct<kind:string,value:string>>"), "t", "r").collect()}
+    assert found == {"p": (2, 0, 1, 1, 1), "u": (2, 1, 2, 0, 1)}
+
+
+def test_table_function_equals_the_pass(spark):
+    texts = ["Pay Rs 500 to win@okaxis, see bit.ly/x", None, "", "call 9876543210 or write a@b.in, share OTP, get AnyDesk and x.apk", "upi://pay?pa=a@ybl&am=5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    df.createOrReplaceTempView("messages")
+    E.register(spark)
+    got = sorted(map(tuple, spark.sql("SELECT m.id, e.kind, e.value FROM messages m, LATERAL entities(m.text) e").collect()))
+    assert got == sorted(map(tuple, E.entity_rows(df, "id").collect())) and (0, "amount", "500.00 INR") in got and (3, "secret", "otp") in got and len(got) == 10

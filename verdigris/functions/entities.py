@@ -13,7 +13,7 @@ import unicodedata
 from urllib.parse import parse_qsl, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import cleaned, fold, merged_spans
@@ -409,3 +409,29 @@ def rejected_upi(upi_id: Column, upi_link: Column) -> Column:
     good_id = normalized_entity(F.lit("upi"), upi_id).isNotNull()
     good_link = F.trim(upi_link).rlike(r"(?i)^upi://pay\?(?:[^#]*&)?pa=[^&#]+")
     return F.when(~one, "give exactly one of upi_id or upi_uri").when(upi_id.isNotNull() & ~good_id, "upi_id must look like name@handle").when(upi_link.isNotNull() & ~good_link, "upi_uri must be a upi://pay?pa=... link")
+
+
+def named_entities(text: str | None) -> list[tuple[str, str]]:
+    """(kind, value) of all entities of a text, as keys and lists have them, in the order of kinds."""
+    e = extract(text)
+    pairs = [("url", u["url"]) for u in e["urls"]] + [("upi", u["value"]) for u in e["upi_ids"]] + [("upi_uri", u["raw"]) for u in e["upi_uris"]] + [("phone", p["number"]) for p in e["phones"]]
+    pairs += [("amount", f"{a['value']:.2f} {a['currency']}") for a in e["amounts"]]
+    return pairs + [(kind, v) for kind, name in (("email", "emails"), ("secret", "sensitive_info"), ("remote_app", "remote_access_apps"), ("apk", "apk_files")) for v in e[name]]
+
+
+class EntityRows:
+    """entities(text): a table function for SQL, a row for each entity of a text."""
+
+    def eval(self, text: str):  # noqa: ANN201
+        yield from named_entities(text)
+
+
+def register(spark: SparkSession, name: str = "entities") -> None:
+    """Make ``entities(text)`` known to SQL: SELECT ... FROM t, LATERAL entities(t.text)."""
+    spark.udtf.register(name, F.udtf(EntityRows, returnType="kind string, value string", useArrow=True))
+
+
+def entity_rows(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, kind, value): the same rows as the table function, by one pass over Arrow batches."""
+    pairs = F.pandas_udf(lambda s: s.map(lambda t: [{"kind": k, "value": v} for k, v in named_entities(t)]), "array<struct<kind:string,value:string>>")
+    return texts.select(key, F.inline(pairs(text)))

@@ -85,3 +85,28 @@ def temperature(rows: DataFrame, logit: str = "logit", truth: str = "truth", poi
     means = rows.agg(*[F.avg(F.log1p(F.exp(sign * F.col(logit) / t))).alias(f"t{i}") for i, t in enumerate(grid)])
     pairs = F.array(*[F.struct(F.col(f"t{i}").alias("nll"), F.lit(t).alias("temperature")) for i, t in enumerate(grid)])
     return means.select(F.array_min(pairs).alias("x")).select("x.temperature", "x.nll")
+
+
+def reading(rows: DataFrame, truth: str, read: str, by: list[str] | None = None) -> DataFrame:
+    """How well texts were read: edits over characters of all rows together, the mean of the rows' own rates, and the share read exactly.
+
+    A row without a true text has no rate, but what was read into it counts as edits; a row that was not read at all is read as empty.
+    """
+    t, r = F.coalesce(F.col(truth), F.lit("")), F.coalesce(F.col(read), F.lit(""))
+    each = rows.withColumns({"__edits": F.levenshtein(t, r).cast("long"), "__size": F.length(t).cast("long")})
+    return each.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__edits"), F.lit(0)).alias("edits"), F.coalesce(F.sum("__size"), F.lit(0)).alias("characters"), F.try_divide(F.sum("__edits"), F.sum("__size")).alias("error_rate"),
+        F.avg(F.try_divide("__edits", "__size")).alias("mean_rate"), F.avg((t == r).cast("int")).alias("exact"),
+    )
+
+
+def identifiers_read(rows: DataFrame, truth: str, read: str) -> DataFrame:
+    """By kind of identifier, from arrays of struct(kind, value): rows that have the kind on either side, rows whose sets are equal, identifiers kept, lost and invented."""
+    distinct = lambda c: F.array_distinct(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)))
+    t, r = distinct(truth), distinct(read)
+    kinds = F.array_distinct(F.transform(F.concat(t, r), lambda k: k["kind"]))
+    each = rows.select(t.alias("t"), r.alias("r"), F.explode(kinds).alias("kind"))
+    own = lambda c: F.filter(c, lambda k: k["kind"] == F.col("kind"))
+    kept, lost, more = F.size(F.array_intersect(own("t"), own("r"))), F.size(F.array_except(own("t"), own("r"))), F.size(F.array_except(own("r"), own("t")))
+    counted = each.select("kind", kept.alias("kept"), lost.alias("lost"), more.alias("invented"))
+    return counted.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(((F.col("lost") == 0) & (F.col("invented") == 0)).cast("long")).alias("equal"), *[F.sum(c).alias(c) for c in ("kept", "lost", "invented")])

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import entities as E
 from ..functions import text as X
-from ..operators import classifier, frozen, replies, splits
+from ..operators import classifier, frozen, lookup, metrics, replies, splits
 from ..sources import records, tables
 from ..sources.journal import Journal, resumed, shared_dir
 from ..streaming import caches
@@ -202,3 +203,53 @@ def front_matter_checks(spark, sf_dir):
     value = F.when(k == 0, body).otherwise(F.concat(F.lit("---\n"), front, F.lit("---\n"), body))
     found = tables.patterns(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), value.alias("value")))
     return found.select(F.substring_index("name", "-", -1).cast("long").alias("doc_id"), "reason")
+
+
+_READ = "CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, 'e', 'c') WHEN 2 THEN substr(text, 3) ELSE text || ' ' || reverse(text) END"
+
+
+@query(f"""SELECT item_id % 3 AS font, count(*) AS n, CAST(sum(levenshtein(text, r)) AS BIGINT) AS edits, CAST(sum(length(text)) AS BIGINT) AS characters, round(sum(levenshtein(text, r)) / sum(length(text)), 9) AS error_rate,
+round(avg(levenshtein(text, r) / length(text)), 9) AS mean_rate, round(avg(CAST(text = r AS INTEGER)), 9) AS exact FROM (SELECT item_id, text, {_READ} AS r FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM benchmark)) GROUP BY 1""")
+def reading_errors(spark, sf_dir):
+    """Character error rates of benchmark texts that were read with errors by rule of their ids."""
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("text")).withColumn("r", F.expr(_READ)).withColumn("font", F.col("item_id") % 3)
+    found = metrics.reading(rows, "text", "r", ["font"])
+    return found.withColumns({c: F.round(c, 9) for c in ("error_rate", "mean_rate", "exact")})
+
+
+@query("""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS t FROM documents), p AS (SELECT t, CASE doc_id % 3 WHEN 0 THEN t WHEN 1 THEN list_filter(t, lambda x: length(x) <> 2) ELSE list_append(t, 'x' || doc_id) END AS r FROM d),
+k AS (SELECT *, unnest(list_distinct(list_transform(list_concat(t, r), lambda x: CASE WHEN length(x) < 3 THEN 'short' ELSE 'long' END))) AS kind FROM p),
+o AS (SELECT kind, list_filter(t, lambda x: (length(x) < 3) = (kind = 'short')) AS t, list_filter(r, lambda x: (length(x) < 3) = (kind = 'short')) AS r FROM k),
+c AS (SELECT kind, len(list_intersect(t, r)) AS kept, len(t) - len(list_intersect(t, r)) AS lost, len(r) - len(list_intersect(t, r)) AS invented FROM o)
+SELECT kind, count(*) AS n, count(*) FILTER (lost = 0 AND invented = 0) AS equal, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(lost) AS BIGINT) AS lost, CAST(sum(invented) AS BIGINT) AS invented FROM c GROUP BY kind""")
+def reading_identifiers(spark, sf_dir):
+    """Numbers of documents, short and long, against a reading that loses some and invents others."""
+    numbers = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))
+    docs = read(spark, sf_dir, "documents").select("doc_id", numbers.alias("t"))
+    r = F.when(F.col("doc_id") % 3 == 0, F.col("t")).when(F.col("doc_id") % 3 == 1, F.filter("t", lambda x: F.length(x) != 2)).otherwise(F.concat("t", F.array(F.concat(F.lit("x"), F.col("doc_id").cast("string")))))
+    typed = lambda c: F.transform(c, lambda x: F.struct(F.when(F.length(x) < 3, "short").otherwise("long").alias("kind"), x.alias("value")))
+    return metrics.identifiers_read(docs.withColumn("r", r).select(typed(F.col("t")).alias("t"), typed(F.col("r")).alias("r")), "t", "r")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey AS order_o_custkey, o_orderstatus AS order_o_orderstatus FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) ON o_orderkey = l_orderkey")
+def foreign_key_lookup(spark, sf_dir):
+    """Line items with what their order says, some orders being gone: two tables of as many buckets, joined without a shuffle."""
+    orders = lookup.keyed(read(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", 16)
+    items = lookup.keyed(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", 16)
+    return lookup.referenced(items, "l_orderkey", orders, "o_orderkey", ["o_custkey", "o_orderstatus"], "order_")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey = (SELECT max(o_custkey) FROM orders)")
+def point_lookup(spark, sf_dir):
+    """The customer of one key, which the orders name, by a read of one bucket."""
+    key = read(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0]
+    customers = lookup.keyed(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey", 16)
+    return lookup.found(customers, "c_custkey", [key])
+
+
+@query()
+def entities_in_sql(spark, sf_dir):
+    """Entities of all conversations by the table function, in SQL."""
+    E.register(spark)
+    read(spark, sf_dir, "conversations").createOrReplaceTempView("__turns")
+    return spark.sql("SELECT t.conv_id, t.turn, e.kind, e.value FROM __turns t, LATERAL entities(t.text) e")
