@@ -254,27 +254,30 @@ def test_media_sequences(spark):
 
 
 def plain_score(text, learned, stems):
-    """The grammar's score without machines: every word of a clause looks at the words before it."""
+    """The grammar's score without machines: every word of a clause looks at the words before and behind it."""
     pairs, found = set(), toxicity.Lexicon(stems)
     for clause in re.split(r"[.!?;\n]+", text or ""):
-        looked = [found.look(w.lower()) for w in re.findall(r"[\w'’]+", clause)]
+        words = " ".join(re.findall(r"[\w'’]+", clause.lower()))
+        for phrase in toxicity.INSULT_PHRASES + toxicity.THREAT_PHRASES:
+            words = re.sub(rf"(?<!\S){phrase}(?!\S)", phrase.replace(" ", "~"), words)
+        looked = [(found.paths[p], p) if "~" in w else found.look(w) for w in words.split() for p in [w.replace("~", " ")]]
         kinds = [k for k, _ in looked]
         for i, (k, lexeme) in enumerate(looked):
             run = i - next(j for j in range(i, -2, -1) if j < 0 or kinds[j] != "I") if k == "I" else 1
-            if k not in "IT" or (k == "I" and run % 2 == 0):
+            if k not in "IT" or (k == "I" and run > 1):
                 continue
             near = kinds[max(0, i - toxicity.REACH) : i]
-            name = "insult" if k == "I" else "intended threat" if "W" in near else "threat"
+            arcs = ["insult"] if k == "I" else ["threat", "intent"] if "W" in near else ["threat"]
             if "N" in near:
-                name = "negated"
+                arcs.append("negated")
             elif "R" in kinds[:i]:
-                name = "reported"
+                arcs.append("reported")
             elif "Y" in kinds:
-                name += " at target"
-            pairs.add((lexeme, name))
+                arcs.append("target")
+            pairs.add((lexeme, tuple(arcs)))
     odds = 1.0 - learned_share(learned[""])
-    for lexeme, name in pairs:
-        odds *= 1 - learned_share(toxicity._cost(toxicity.PRIORS[name]) + learned[f"{lexeme} {name}"])
+    for lexeme, arcs in pairs:
+        odds *= 1 - learned_share(max(0, sum(learned[f"arc {a}"] for a in arcs)) + learned.get(f"{lexeme} {'+'.join(arcs)}", 0))
     return 1 - odds
 
 
@@ -287,19 +290,28 @@ def test_toxicity(spark, docs, labels, nothing):
     df = spark.createDataFrame([(i, f"{r[1] or ''} {bad if i % 9 == 0 else ''}") for i, r in enumerate(rows())], "doc_id long, text string")
     stems = toxicity.induced(df, labels, ~held_out(5))
     found = toxicity.matches(df.withColumn("clauses", F.lit("clash")), stems)
-    learned = toxicity.weights(found, labels, ~held_out(5), stems)
+    learned = toxicity.weights(found, labels, ~held_out(5))
     got = table(toxicity.scored(found, learned))
     assert all((r["predicted"] == 1) == (i % 9 == 0) for i, r in got.items())
     kept = {r["doc_id"] for r in toxicity.accepted(df, labels, ~held_out(5)).collect()}
     assert kept == {i for i in got if i % 9}
     assert toxicity.scored(toxicity.matches(nothing), learned).count() == 0 and toxicity.accepted(nothing, labels, ~held_out(5)).count() == 0
-    assert toxicity.clauses("He is not an idiot. They said you idiot!", toxicity.Lexicon()) == ["idiot negated", "idiot reported"]
-    assert toxicity.clauses("idiots, you", toxicity.Lexicon()) == ["idiots insult at target"]
-    assert toxicity.clauses("he said: you idiot", toxicity.Lexicon()) == ["idiot reported"]
-    assert toxicity.clauses("I will surely kill you. Kill the lights, stupid idiot", toxicity.Lexicon()) == ["kill intended threat at target", "kill threat", "stupid insult"]
+    said = lambda t: toxicity.clauses(t, toxicity.Lexicon())
+    assert said("He is not an idiot. They said you idiot!") == ["idiot insult+negated", "idiot insult+reported"]
+    assert said("idiots, you") == ["idiots insult+target"] and said("Idiots. You") == ["idiots insult"]
+    assert said("he said: you idiot") == ["idiot insult+reported"]
+    assert said("I will surely kill you. Kill the lights, stupid idiot") == ["kill threat+intent+target", "kill threat", "stupid insult"]
+    assert said("such a piece of  garbage, and we will hunt you down") == ["piece of garbage insult", "hunt you down threat+intent"]
     for i, r in got.items():
         assert r["score"] == pytest.approx(plain_score(df.where(F.col("doc_id") == i).first()["text"], learned, stems), abs=1e-9)
     assert toxicity.Lexicon(["lowei"]).look("loweischaft") == ("I", "lowei")
+    # the path decides: another weight of an arc is another score, for a lexeme that was never seen too
+    for arc, text in (("target", "you moron"), ("negated", "no moron"), ("reported", "she said moron"), ("intent", "we will stab"), ("threat", "stab"), ("insult", "moron")):
+        pairs = said(text)
+        assert abs(toxicity.total(pairs, learned) - toxicity.total(pairs, {**learned, f"arc {arc}": learned[f"arc {arc}"] + 1})) > 1e-3
+    plain = toxicity.total(said("moron"), learned)
+    assert toxicity.total(said("no moron"), learned) < plain < toxicity.total(said("you moron"), learned)
+    assert toxicity.weights(toxicity.matches(nothing), labels, F.lit(True))["arc insult"] == toxicity.ARCS["insult"]
 
 
 def test_induction_counts_all_but_copies(spark):

@@ -31,7 +31,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     stems = toxicity.induced(docs, labels, ~held_out(5))
     matched = written(toxicity.matches(docs, stems), "op5-matches")
-    learned = toxicity.weights(matched, labels, ~held_out(5), stems)
+    learned = toxicity.weights(matched, labels, ~held_out(5))
     return toxicity.scored(matched, learned).select("doc_id", F.coalesce(held_out(5), F.lit(False)).alias("held_out"), "score", "predicted")
 
 

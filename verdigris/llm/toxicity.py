@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small weighted transducers are composed into one machine.  The lexical step turns words into symbols: insult, threat, intent, target, negation, report, other.
-``INSULT`` lets insulting words through and passes over those that only repeat the one before in the same phrase; ``THREAT`` tells a verb of violence from one that
-follows a word of intent; ``NEGATION`` rewrites an insult or threat that follows a negation by at most ``REACH`` words; ``REPORT`` rewrites those in a clause after a
-verb of saying; ``TARGET`` marks clauses that address somebody.  The weights of the arcs add along a path, and composition adds those of the two arcs that it joins.  What is
-scored is a matched clause, a pair (lexeme, kind), not a word by itself: "you are a fool", "he called her a fool" and "not a fool" are three kinds.
+A lexical transducer, a trie of words, reads the words of a clause and writes symbols: insult, threat, intent, target, negation, report, other; its paths are single words, phrases of
+several, and beginnings of words.  Five small weighted transducers are composed into one machine behind it.  ``INSULT`` lets insulting words through and passes over those that only repeat
+the one before in the same phrase; ``THREAT`` tells a verb of violence from one that follows a word of intent; ``NEGATION`` rewrites an insult or threat that follows a negation by at most
+``REACH`` words; ``REPORT`` rewrites those in a clause after a verb of saying; ``TARGET`` marks those in a clause that has addressed somebody, and ``BEHIND``, the same machine run from the
+end of the clause to its beginning, those that are followed by an address.
 
-The lexicon has two parts: the words below, and stems induced from labelled rows, prefixes of words whose documents are toxic more often than chance
-allows after correction for the number of prefixes tried (``induced``; it reads at most ``max_rows`` labelled rows, the documented bound, and counts texts
-of equal sketch and label once).  Corpora in languages that the list doesn't know get their insults in this way.
+Every weighted arc has a name, and what a path weighs is the sum over the names of its arcs, so "you are a fool" (insult, target), "he called her a fool" (insult, reported) and "not a fool"
+(insult, negated) weigh differently: scored is a matched clause, (lexeme, path), not a word by itself.
 
-Weights are learned from labelled rows: the weight of a pair is -log(1 - p), p the share of toxic ones among training documents with a clause
-of that pair, smoothed towards the kind's prior, which is what the arcs of the grammar bear; the lexical arc of a word bears the difference.  Weights add over the distinct
-pairs of a document, so its score is 1 - exp(-sum), which clean clauses don't lower and repetition doesn't raise.
+Weights are learned from labelled rows.  A path's is -log(1 - p), p the share of toxic ones among training documents that have it; the arcs' are the ridge least squares of these over
+all paths, so that a path that was never seen still weighs what its arcs do.  The lexical arc of a word on a path bears what is left: -log(1 - p) of the pair, smoothed towards the path's.
+Weights add over the distinct pairs of a document, so its score is 1 - exp(-sum), which clean clauses don't lower and repetition doesn't raise.
+
+The lexicon has two parts: the words and phrases below, and stems induced from labelled rows, prefixes of words whose documents are toxic more often than chance
+allows after correction for the number of prefixes tried (``induced``; it reads at most ``max_rows`` labelled rows, the documented bound, and counts equal words of one label
+once).  Corpora in languages that the list doesn't know get their insults in this way.
 
 Edge cases: null and empty texts match nothing and get the base score; a document without labels only gets a score; several labels for one id each count;
 without labels the priors decide; equal rows get equal scores; extra columns pass through, and columns named like the added ones are replaced.
@@ -25,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -51,8 +55,11 @@ INTENTS = "will gonna shall i'll we'll he'll they'll werde wird werden vais va a
 
 #: How many words after a negation are under it, and after a word of intent belong to it.
 REACH = 3
-#: Share of toxic documents that a kind stands for before any label is seen.
-PRIORS = {"insult": 0.8, "insult at target": 0.9, "threat": 0.1, "threat at target": 0.6, "intended threat": 0.5, "intended threat at target": 0.8, "negated": 0.3, "reported": 0.3}
+#: Ways of saying it that no single word has.
+INSULT_PHRASES = ["piece of shit", "piece of garbage", "piece of trash", "waste of space", "waste of oxygen", "son of a bitch", "good for nothing", "sack of shit", "fils de pute", "hijo de puta", "hija de puta"]
+THREAT_PHRASES = ["beat up", "cut your throat", "slit your throat", "hunt you down", "make you suffer", "make you pay", "bring dich um", "mach dich fertig", "te casser la gueule", "partir la cara"]
+#: What the arcs weigh before any label is seen: an insult alone stands for a share of toxic documents of 0.8, with a target of 0.9, negated of 0.3.
+ARCS = {"insult": 1.61, "threat": 0.1, "intent": 0.6, "target": 0.7, "negated": -1.25, "reported": -1.25}
 BASE = 0.02
 #: Documents that a prior counts as.
 STRENGTH = 4.0
@@ -74,17 +81,20 @@ def _cost(p: float) -> float:
     return -math.log(1 - p)
 
 
+Names = tuple[str, ...]
+
+
 class Transducer:
-    """Deterministic and weighted: step[state][symbol] is (state, output, weight); a symbol that a state doesn't list is copied for nothing, and moves to rest[state]."""
+    """Deterministic and weighted: step[state][symbol] is (state, output, names of weighted arcs); a symbol that a state doesn't list is copied for nothing, and moves to rest[state]."""
 
-    def __init__(self, step: dict[int, dict[str, tuple[int, str, float]]], rest: dict[int, int]) -> None:
+    def __init__(self, step: dict[int, dict[str, tuple[int, str, Names]]], rest: dict[int, int]) -> None:
         self.step, self.rest = step, rest
 
-    def arc(self, state: int, symbol: str) -> tuple[int, str, float]:
-        return self.step.get(state, {}).get(symbol) or (self.rest.get(state, state), symbol, 0.0)
+    def arc(self, state: int, symbol: str) -> tuple[int, str, Names]:
+        return self.step.get(state, {}).get(symbol) or (self.rest.get(state, state), symbol, ())
 
     def compose(self, other: "Transducer", symbols: Iterable[str]) -> "Transducer":
-        """The machine that feeds this one's output to the other, over a given alphabet; only reachable pairs of states are made."""
+        """The machine that feeds this one's output to the other, over a given alphabet; only reachable pairs of states are made, and a joint arc has the weights of both."""
         names, todo, step = {(0, 0): 0}, [(0, 0)], {}
         while todo:
             at = todo.pop()
@@ -97,8 +107,8 @@ class Transducer:
                 step.setdefault(names[at], {})[s] = (names[a, b], out, w + v)
         return Transducer(step, {})
 
-    def run(self, symbols: Iterable[str]) -> list[tuple[str, float]]:
-        """(output, weight) of every step."""
+    def run(self, symbols: Iterable[str]) -> list[tuple[str, Names]]:
+        """(output, names of the arc's weights) of every step."""
         state, out = 0, []
         for s in symbols:
             state, o, w = self.arc(state, s)
@@ -106,48 +116,55 @@ class Transducer:
         return out
 
 
-def _countdown(opens: str, changes: dict[str, tuple[str, float]], closes: bool) -> Transducer:
-    """Changes symbols that come at most REACH symbols after one of ``opens``; a change ends it if it closes."""
-    step = {0: {o: (1, o, 0.0) for o in opens}}
+def _countdown(opens: str, changes: dict[str, tuple[str, Names]], plain: dict[str, tuple[str, Names]], closes: bool) -> Transducer:
+    """Changes symbols that come at most REACH symbols after one of ``opens``; a change ends it if it closes; elsewhere symbols are as ``plain`` has them."""
+    step = {0: {o: (1, o, ()) for o in opens} | {s: (0, t, w) for s, (t, w) in plain.items()}}
     for k in range(1, REACH + 1):
-        step[k] = step[0] | {s: (0 if closes else k, t, w) for s, (t, w) in changes.items()}
+        step[k] = {o: (1, o, ()) for o in opens} | {s: (0 if closes else k, t, w) for s, (t, w) in changes.items()}
     return Transducer(step, {k: (k + 1) % (REACH + 1) if k else 0 for k in range(REACH + 1)})
 
 
-def _after(opens: str, changes: dict[str, tuple[str, float]], plain: dict[str, tuple[str, float]]) -> Transducer:
-    """Changes symbols after the first of ``opens``, and gives the plain ones their weight before it."""
-    arcs = lambda state, table: {s: (state, t, w) for s, (t, w) in table.items()}
-    return Transducer({0: {opens: (1, opens, 0.0)} | arcs(0, plain), 1: arcs(1, changes)}, {})
+def _after(opens: str, changes: dict[str, tuple[str, Names]]) -> Transducer:
+    """Changes symbols after the first of ``opens``."""
+    return Transducer({0: {opens: (1, opens, ())}, 1: {s: (1, t, w) for s, (t, w) in changes.items()}}, {})
 
 
 #: State 1: the word before was an insult, and another one belongs to the same phrase: "stupid idiot" is one insult.
-INSULT = Transducer({0: {"I": (1, "I", 0.0)}, 1: {"I": (1, "X", 0.0)}}, {1: 0})
-THREAT = _countdown("W", {"T": ("V", 0.0)}, True)
-NEGATION = _countdown("N", {s: ("n", _cost(PRIORS["negated"])) for s in "ITV"}, True)
-REPORT = _after("R", {s: ("r", _cost(PRIORS["reported"])) for s in "ITV"}, {})
-_KIND = {"I": "insult", "T": "threat", "V": "intended threat"}
-TARGET = _after("Y", {s: (s.lower(), _cost(PRIORS[f"{k} at target"])) for s, k in _KIND.items()}, {s: (s, _cost(PRIORS[k])) for s, k in _KIND.items()})
+INSULT = Transducer({0: {"I": (1, "I", ("insult",))}, 1: {"I": (1, "X", ())}}, {1: 0})
+THREAT = _countdown("W", {"T": ("V", ("threat", "intent"))}, {"T": ("T", ("threat",))}, True)
+NEGATION = _countdown("N", {s: ("n", ("negated",)) for s in "ITV"}, {}, True)
+REPORT = _after("R", {s: ("r", ("reported",)) for s in "ITV"})
+TARGET = _after("Y", {s: (s.lower(), ("target",)) for s in "ITV"})
+#: Run over what the others wrote, from the last word to the first.
+BEHIND = TARGET
 
 ALPHABET = "XYNRWTI"
 GRAMMAR = INSULT.compose(THREAT, ALPHABET).compose(NEGATION, ALPHABET).compose(REPORT, ALPHABET).compose(TARGET, ALPHABET)
-KINDS = _KIND | {s.lower(): f"{k} at target" for s, k in _KIND.items()} | {"n": "negated", "r": "reported"}
+MATCHED = set("ITVitvnr")
 
 
 class Lexicon:
-    """Words and stems -> symbol and lexeme, and a linear-time prefilter that is true for every text with a lexeme."""
+    """The lexical transducer: words, phrases and stems -> symbol and lexeme; and a linear-time prefilter that is true for every text with a lexeme."""
 
     def __init__(self, stems: Iterable[str] = ()) -> None:
         self.stems = frozenset(stems)
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
-        whole = "|".join(sorted(map(re.escape, INSULTS + THREATS), key=len, reverse=True))
+        self.paths = dict.fromkeys(INSULT_PHRASES, "I") | dict.fromkeys(THREAT_PHRASES, "T") | _SYMBOL
+        self.trie: dict = {}
+        for phrase, symbol in self.paths.items():
+            at = self.trie
+            for word in phrase.split():
+                at = at.setdefault(word, {})
+            at[""] = (symbol, phrase)
+        whole = "|".join(re.escape(x).replace("\\ ", r"[^\w]+") for x in sorted(INSULTS + THREATS + INSULT_PHRASES + THREAT_PHRASES, key=len, reverse=True))
         begin = "".join(f"|{re.escape(s)}" for s in sorted(self.stems, key=len, reverse=True))
         self.any = rf"(?i)(?:{whole}{begin})"
 
     def lexemes(self) -> list[str]:
-        return INSULTS + THREATS + sorted(self.stems)
+        return INSULTS + THREATS + INSULT_PHRASES + THREAT_PHRASES + sorted(self.stems)
 
     def look(self, word: str) -> tuple[str, str]:
-        """(symbol, lexeme): the longest stem that begins the word, if the word itself isn't listed."""
+        """(symbol, lexeme) of one word: the longest stem that begins it, if the word itself isn't listed."""
         if word in _SYMBOL:
             return _SYMBOL[word], word
         for n in self.lengths:
@@ -155,33 +172,48 @@ class Lexicon:
                 return "I", word[:n]
         return "X", word
 
+    def run(self, words: list[str]) -> list[tuple[str, str]]:
+        """(symbol, lexeme) of each word, or of several at once: the longest path of the trie from each place."""
+        out, i = [], 0
+        while i < len(words):
+            at, best, j = self.trie, None, i
+            while j < len(words) and words[j] in at:
+                at, j = at[words[j]], j + 1
+                if "" in at:
+                    best = (at[""], j)
+            if best:
+                out.append(best[0])
+                i = best[1]
+            else:
+                out.append(self.look(words[i]))
+                i += 1
+        return out
+
 
 def clauses(text: str | None, lexicon: Lexicon) -> list[str]:
-    """'lexeme kind' of every matched clause and lexeme in it, in order; a target that follows counts as well as one before."""
+    """'lexeme path' of every matched clause and lexeme in it, in order; a path is the names of its weighted arcs, joined by +."""
     found = []
     for clause in _CLAUSE.findall(text or ""):
-        looked = [lexicon.look(w.lower().replace("’", "'")) for w in _WORD.findall(clause)]
+        looked = lexicon.run([w.lower().replace("’", "'") for w in _WORD.findall(clause)])
         symbols = [s for s, _ in looked]
         if "I" not in symbols and "T" not in symbols:
             continue
-        addressed = "Y" in symbols
-        for (_, lexeme), (o, _) in zip(looked, GRAMMAR.run(symbols), strict=True):
-            if o in KINDS:
-                found.append(f"{lexeme} {KINDS[o.lower() if addressed and o in _KIND else o]}")
+        steps = GRAMMAR.run(symbols)
+        behind = BEHIND.run([o for o, _ in reversed(steps)])[::-1]
+        for (_, lexeme), (_, names), (o, more) in zip(looked, steps, behind, strict=True):
+            if o in MATCHED:
+                found.append(f"{lexeme} {'+'.join(names + more)}")
     return found
 
 
-def arc_weights() -> dict[str, float]:
-    """Weight of each kind on the arcs of the composed grammar."""
-    return {KINDS[o]: w for arcs in GRAMMAR.step.values() for _, o, w in arcs.values() if o in KINDS}
+def path_weight(path: str, learned: dict[str, float]) -> float:
+    """The sum of a path's arcs; a path never speaks for a text."""
+    return max(0.0, math.fsum(learned[f"arc {name}"] for name in path.split("+")))
 
 
 def total(pairs: Iterable[str], learned: dict[str, float]) -> float:
-    """1 - exp(-sum) of the path's arcs over the distinct pairs: the grammar's weight, and the lexical arc's, which is what was learned beyond it."""
-    return 1 - math.exp(-math.fsum([learned[""], *[GRAMMAR_WEIGHTS[c.split(" ", 1)[1]] + learned.get(c, 0.0) for c in set(pairs)]]))
-
-
-GRAMMAR_WEIGHTS = arc_weights()
+    """1 - exp(-sum) over the distinct pairs: the arcs of the path, and the lexical arc's weight."""
+    return 1 - math.exp(-math.fsum([learned[""], *[path_weight(c.rpartition(" ")[2], learned) + learned.get(c, 0.0) for c in set(pairs)]]))
 
 
 def _prefixes(text: str) -> set[str]:
@@ -258,23 +290,36 @@ def matches(docs: DataFrame, stems: Iterable[str] = ()) -> DataFrame:
     return docs.select(*names, "text").mapInArrow(run, schema)
 
 
-def weights(matched: DataFrame, labels: DataFrame, train_rows, stems: Iterable[str] = ()) -> dict[str, float]:
-    """For each 'lexeme kind' the weight of its lexical arc: -log(1 - p) less what the grammar's arc bears; for '' that of documents without a match.
+def weights(matched: DataFrame, labels: DataFrame, train_rows) -> dict[str, float]:
+    """'arc name' -> its weight, 'lexeme path' -> that of the lexical arc there, '' -> that of documents without a match.
 
-    The counts are grouped on the executors; what reaches the driver has at most a row for each lexeme and kind.
+    The counts are grouped on the executors; what reaches the driver has at most a row for each lexeme and path.
     """
     known = labels.where(F.col("toxic").isNotNull() & train_rows).select("doc_id", F.col("toxic").cast("int").alias("__y"))
     joined = known.join(matched.select("doc_id", "clauses"), "doc_id")
-    pair = F.explode(F.when(F.size("clauses") == 0, F.array(F.lit(""))).otherwise(F.array_distinct("clauses"))).alias("pair")
-    seen: dict[str, list[int]] = {}
-    for row in joined.select(pair, "__y").groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("toxic")).collect():
-        seen[row["pair"]] = [row["n"], row["toxic"]]
-    out = {}
-    for pair, prior in [("", BASE), *[(f"{w} {k}", p) for w in Lexicon(stems).lexemes() for k, p in PRIORS.items()]]:
-        n, toxic = seen.get(pair, (0, 0))
-        p = (toxic + STRENGTH * prior) / (n + STRENGTH)
-        out[pair] = _cost(min(p, 0.9999)) - (GRAMMAR_WEIGHTS[pair.split(" ", 1)[1]] if pair else 0.0)
-    return out
+    paths = F.array_distinct(F.transform("clauses", lambda c: F.concat(F.lit("\t"), F.substring_index(c, " ", -1))))
+    seen_in = F.when(F.size("clauses") == 0, F.array(F.lit(""))).otherwise(F.concat(F.array_distinct("clauses"), paths))
+    counts = {r["pair"]: (r["n"], r["toxic"]) for r in joined.select(F.explode(seen_in).alias("pair"), "__y").groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("toxic")).collect()}
+
+    def smoothed(counted: tuple[int, int], prior: float) -> float:
+        return min((counted[1] + STRENGTH * prior) / (counted[0] + STRENGTH), 0.9999)
+
+    names, before = list(ARCS), np.array(list(ARCS.values()))
+    learned = {f"arc {n}": w for n, w in ARCS.items()}
+    tried = [(k[1:], c) for k, c in sorted(counts.items()) if k.startswith("\t")]
+    if tried:
+        # each path an equation, as heavy as it has documents; the priors are equations of STRENGTH documents
+        rows = np.array([[path.split("+").count(n) for n in names] for path, _ in tried], float)
+        wanted = np.array([_cost(smoothed(c, 1 - math.exp(-path_weight(path, learned)))) for path, c in tried])
+        heavy = np.array([c[0] for _, c in tried], float)
+        left, right = (rows.T * heavy) @ rows + STRENGTH * np.eye(len(names)), (rows.T * heavy) @ wanted + STRENGTH * before
+        learned = {f"arc {n}": float(w) for n, w in zip(names, np.linalg.solve(left, right), strict=True)}
+    learned[""] = _cost(smoothed(counts.get("", (0, 0)), BASE))
+    for pair, c in counts.items():
+        if pair and not pair.startswith("\t"):
+            path = path_weight(pair.rpartition(" ")[2], learned)
+            learned[pair] = _cost(smoothed(c, 1 - math.exp(-path))) - path
+    return learned
 
 
 def scored(matched: DataFrame, learned: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
@@ -299,7 +344,7 @@ def accepted(docs: DataFrame, labels: DataFrame, train_rows, threshold: float =
     """
     stems = induced(docs, labels, train_rows)
     slim = written(matches(docs.select("doc_id", "text"), stems), "toxic-matches")
-    learned = weights(slim, labels, train_rows, stems)
+    learned = weights(slim, labels, train_rows)
     lexicon = Lexicon(stems)
     at = docs.columns.index("text")
 
