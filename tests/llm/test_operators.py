@@ -253,6 +253,54 @@ def test_media_sequences(spark):
         media.unpack(b"RIFFxxxxNOPE")
 
 
+BROKEN = {
+    "<html><head><title>no</title><p>kept": ["kept"],
+    "<head>words before any tag": ["words before any tag"],
+    "<script/>after<p>more": ["after", "more"],
+    "<script>var a='</p>'</script>left": ["left"],
+    "<style>p{}</style><template><p>hidden</p></template>shown": ["shown"],
+    "<figure><img src=x><figcaption>said": [("x", "said")],
+    "<figure><figcaption>alone</figcaption></figure>rest": ["alone", "rest"],
+    "<figure><img src=x><figcaption>one<figure><img src=y><figcaption>two</figcaption></figure>": [("x", "one"), ("y", "two")],
+    "a<noscript><b>b</noscript>c": ["ac"],
+    "<p>a<p>b</p></div></p>c</head>d": ["a", "b", "cd"],
+    "<img src=x alt=q>text<!-- gone --> &lt;b&gt;": [("x", "q"), "text <b>"],
+    "plain": ["plain"],
+    "": [],
+    " \n ": [],
+}
+
+
+@pytest.mark.parametrize("page", BROKEN)
+def test_pages_lose_no_text(page):
+    assert [x["text"] if x["kind"] == "text" else (x["digest"], x["caption"]) for x in media.parse(page)] == BROKEN[page]
+
+
+def test_interleaved_media(spark):
+    a, b = (hashlib.sha256(media.pack(t.encode())).hexdigest() for t in ("one", "two"))
+    ref = lambda d, c: f"<figure><img src='media:sha256:{d}'><figcaption>{c}</figcaption></figure>"
+    pages = [(1, f"first{ref(a, 'A')}then{ref('0' * 64, 'gone')}{ref(b, 'B')}last{ref(a, 'again')}"), (2, None), (2, "only text"), (None, ref(b, "x")), (3, "")] + [(10 + i, ref(a, str(i))) for i in range(40)]
+    stored = media.described(media.store(spark.createDataFrame([("one",), ("two",), ("one",), (None,)], "text string")))
+    df = spark.createDataFrame(pages, "page_id long, html string").withColumns({"digest": F.lit("d"), "items": F.lit(1), "media": F.lit(2)})
+    got = collections.defaultdict(list)
+    for r in media.interleaved(df, stored).collect():
+        got[r["page_id"]].append([x["text"] if x["kind"] == "text" else (x["caption"], x["media"] and x["media"]["payload_bytes"], x["media"] and x["media"]["media_sha256"] == x["digest"]) for x in r["items"]])
+    assert got[1] == [["first", ("A", 64, True), "then", ("gone", None, None), ("B", 64, True), "last", ("again", 64, True)]]
+    assert sorted(map(len, got[2])) == [0, 1] and got[3] == [[]] and got[None] == [[("x", 64, True)]] and all(got[10 + i] == [[(str(i), 64, True)]] for i in range(40))
+    assert media.interleaved(df.where("false"), stored).count() == 0
+
+
+def test_page_sequences_query(spark, tmp_path):
+    from verdigris.llm import queries
+
+    rows = [(i, None if i == 3 else f"http://x/{i}", None if i == 4 else f"<head><title>t</title><body><p>one {i}<p>two<br>three</p>") for i in range(8)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = table(queries.page_sequences(spark, str(tmp_path)), "page_id")
+    for i, _, page in rows:
+        texts = [f"one {i}", "two", "three"] if page else []
+        assert tuple(got[i][c] for c in ("n_items", "texts_sha256", "n_resolved", "caption", "position", "payload_bytes")) == (len(texts) + 2, hashlib.sha256("\n".join(texts).encode()).hexdigest(), 1, str(i), len(texts) + 1, 64)
+
+
 def plain_score(text, learned, stems):
     """The grammar's score without machines: every word of a clause looks at the words before and behind it."""
     pairs, found = set(), toxicity.Lexicon(stems)

@@ -8,7 +8,7 @@ Payloads are 8-bit mono PCM in WAV containers: ``pack`` pads bytes with zeros to
 ``unpack`` reads the samples of the stored form back.
 
 Edge cases: null or empty text is a payload of 64 zero bytes; null HTML gives an empty sequence; a reference without payload in the store keeps its
-place with null features; equal payloads are stored once; repeated rows give repeated rows; extra columns pass through ``sequences`` untouched, and
+place with null features; equal payloads of a batch are stored once, and described once; repeated rows give repeated rows; extra columns pass through ``sequences`` untouched, and
 columns with the name of the added one are replaced; empty tables give empty results.
 """
 
@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,9 @@ from .common import batches, written
 RATE = 8000
 UNIT = 64
 #: Elements whose text is not part of a page's reading order.
-SILENT = {"script", "style", "template", "noscript", "head"}
+SILENT = {"script", "style", "template", "noscript", "title"}
+#: Elements that a head may hold; any other one ends it, whether its end tag is there or not.
+IN_HEAD = {"html", "head", "base", "link", "meta"} | SILENT
 #: Elements that end a run of text.
 BLOCK = {"p", "div", "article", "section", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "br", "nav", "header", "footer", "main", "blockquote", "pre", "body"}
 MEDIA = {"img", "audio", "video", "source", "embed"}
@@ -76,13 +79,14 @@ def feature(samples: bytes) -> str:
 
 
 class _Page(HTMLParser):
-    """Collects (kind, text, digest, caption) in page order."""
+    """Collects (kind, text, digest, caption) in page order; no text of a page is lost but that of silent elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self.run: list[str] = []
-        self.silent = 0
+        self.silent: list[str] = []
+        self.in_head = False
         self.caption: list[str] | None = None
         self.figure: list[list] | None = None
 
@@ -92,9 +96,30 @@ class _Page(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        """The caption goes to the media of its figure, or to the one just before; without any it is text."""
+        if self.caption is None:
+            return
+        text, self.caption = "".join(self.caption).strip(), None
+        if not text:
+            return
+        held = self.figure if self.figure is not None else self.items[-1:]
+        media = [x for x in held if x[0] == "media"]
+        for item in media:
+            item[3] = text
+        if not media:
+            self.items.append(["text", text, None, None])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.in_head and tag not in IN_HEAD:
+            self.in_head = False
+        if tag == "head":
+            self.in_head = True
         if tag in SILENT:
-            self.silent += 1
+            self.silent.append(tag)
+            return
+        if tag in ("figure", "figcaption", "body", "article", "section", "main"):
+            self.end_caption()  # a caption doesn't reach over these
         if tag in BLOCK or tag in MEDIA:
             self.end_run()
         if tag == "figure":
@@ -102,7 +127,7 @@ class _Page(HTMLParser):
         if tag == "figcaption":
             self.end_run()
             self.caption = []
-        if tag in MEDIA:
+        if tag in MEDIA and not self.silent:
             found = dict(attrs)
             src = found.get("src") or found.get("href") or ""
             item = ["media", None, src.removeprefix("media:sha256:"), found.get("alt") or found.get("title")]
@@ -111,27 +136,33 @@ class _Page(HTMLParser):
                 self.figure.append(item)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag not in SILENT:  # one that closes itself holds nothing
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT and self.silent:
-            self.silent -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = "".join(self.caption).strip()
-            for item in self.figure or self.items[-1:]:
-                if item[0] == "media" and text:
-                    item[3] = text
-            self.caption = None
-        elif tag in BLOCK:
+        if tag in SILENT:
+            if tag in self.silent:  # what was left open inside it ends with it
+                del self.silent[self.silent.index(tag) :]
+            return
+        if tag == "head":
+            self.in_head = False
+        if tag in ("figcaption", "figure", "body", "html"):
+            self.end_caption()
+        if tag in BLOCK:
             self.end_run()
         if tag == "figure":
             self.figure = None
 
     def handle_data(self, data: str) -> None:
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.silent:
-            self.run.append(data)
+        if self.silent or (self.in_head and not data.strip()):
+            return
+        self.in_head = False  # text ends a head too
+        (self.run if self.caption is None else self.caption).append(data)
+
+    def finish(self) -> None:
+        self.close()
+        self.end_caption()
+        self.end_run()
 
 
 def parse(page: str | None) -> list[dict]:
@@ -140,8 +171,7 @@ def parse(page: str | None) -> list[dict]:
         return []
     parser = _Page()
     parser.feed(page)
-    parser.close()
-    parser.end_run()
+    parser.finish()
     return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(parser.items)]
 
 
@@ -179,8 +209,17 @@ def documents_as_pages(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.select(id_column, "text").mapInArrow(run, f"id {kind}, digest string, position int, caption string")
 
 
+def digest_of(text: Column) -> Column:
+    """The digest that the store has a text's payload under, as a column."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashlib.sha256(pack((t or "").encode())).hexdigest())
+
+    return F.pandas_udf(run, "string")(F.coalesce(text, F.lit("")))
+
+
 def store(docs: DataFrame) -> DataFrame:
-    """digest, media: the stored form of every text, once each."""
+    """digest, media: the stored form of every text, equal ones of a batch once; readers keep one row a digest, so no payload is shuffled to find copies."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
@@ -214,6 +253,22 @@ def resolved(items: DataFrame, media: DataFrame) -> DataFrame:
     return items.join(media, "digest", "left")
 
 
+def interleaved(pages: DataFrame, media: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
+    """(id, items): each page's sequence in order, every media item with the columns that the store has for its digest, null where it has none.
+
+    Items meet the store by digest and go back to their places by position, so the order of the join doesn't matter; texts stay out of the join.  Pages without items have an empty array.
+    """
+    parsed = written(sequences(pages.select(F.monotonically_increasing_id().alias("page"), F.col(id_column).alias("id"), F.col(html_column).alias("html"))), "page-sequences")
+    columns = [c for c in media.columns if c != "digest"]
+    refs = parsed.select("page", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x")).select("page", F.col("x.position").alias("position"), F.col("x.digest").alias("digest"))
+    # a digest that many pages share is looked up once
+    described_once = media.dropDuplicates(["digest"]).select("digest", F.struct(*columns).alias("media"))
+    known = refs.select("digest").distinct().join(described_once, "digest", "left")
+    found = refs.join(known, "digest", "left").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias("of"))  # a page's items
+    whole = parsed.join(found, "page", "left")
+    return whole.select(F.col("id").alias(id_column), F.transform("items", lambda x: x.withField("media", F.try_element_at("of", x["position"]))).alias("items"))
+
+
 def document_media(docs: DataFrame) -> DataFrame:
     """Each document's payload by its page: the store is written and read back, parsed references meet it by digest, features come from the samples read."""
     stored = written(store(docs), "media-store", "zstd")

@@ -72,6 +72,18 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.described(chat.formatted(chat.log_of(conversations.unionByName(chat.planted(spark)))))
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as sequences: each page, and a figure that refers to the payload of its url; the texts in order, and what the store resolves."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    stored = written(media.store(pages.select(F.col("url").alias("text"))), "page-media", "zstd")
+    figure = F.concat(F.lit("<figure><img src='"), F.sha2(F.lit("").cast("binary"), 256), F.lit("'></figure><figure><img src='media:sha256:"), media.digest_of(F.col("url")), F.lit("'><figcaption>"), F.col("page_id").cast("string"), F.lit("</figcaption></figure>"))
+    found = media.interleaved(pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), figure).alias("html")), media.described(stored))
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    resolved = F.filter("items", lambda x: x["media"]["payload_bytes"].isNotNull())
+    last = F.get(resolved, F.lit(0))
+    return found.select("page_id", F.size("items").alias("n_items"), F.sha2(F.array_join(texts, "\n").cast("binary"), 256).alias("texts_sha256"), F.size(resolved).alias("n_resolved"), last["caption"].alias("caption"), last["position"].alias("position"), last["media"]["payload_bytes"].alias("payload_bytes"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -86,5 +98,6 @@ QUERIES = {
     "op11_ranked_search": op11_ranked_search,
     "op12_filter_audit": op12_filter_audit,
     "op13_chat_formatting": op13_chat_formatting,
+    "page_sequences": page_sequences,
 }
 ORACLE = {"op7_mixing": mixing.SQL, "op11_ranked_search": search.SQL, "op12_filter_audit": filter_audit.SQL, "op13_chat_formatting": chat.SQL}
