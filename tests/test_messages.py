@@ -1,6 +1,7 @@
 """The queries without SQL on twelve messages as tables, with expected values: what they read is what the folder holds."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.plans import catalogue
 
@@ -66,3 +67,63 @@ def test_redirects_over_pages(spark, folder):
     name = lambda i: f"http://p{i}"
     want = {(name(i), name(min(i + 5, 7)), min(5, 7 - i)) for i in range(8)} | {(name(9), name(9), 0), (name(10), name(10), 0)}
     assert set(run(spark, "redirect_chain_pages", folder)) == want
+
+
+PAYMENTS = {
+    "sbi-kyc@ybl": {"upi_id_impersonation"},
+    "paytmqr28@paytm": set(),
+    "phonepe.shop@axl": set(),
+    "refund.helpdesk@newpay": {"upi_id_impersonation", "upi_unknown_handle"},
+    "ravi99@fbpe": set(),
+    "asbirwad1@ybl": set(),
+    "upi://pay?pa=ravi.k@ybl&pn=SBI%20Help&am=10": {"upi_payee_impersonation", "upi_payee_mismatch", "upi_prefilled_amount"},
+    "upi://pay?pa=ravi.k@ybl&pn=Ravi%20Kumar": set(),
+    "upi://pay?pa=ravi.k@ybl&pn=Sunita": {"upi_payee_mismatch"},
+    "upi://pay?pa=ravi.k@ybl&tn=Prize%20for%20winner": {"upi_bait_note"},
+    "no id here": set(),
+}
+
+
+def test_payment_findings(spark):
+    from verdigris.functions import entities as E
+    from verdigris.operators import payments
+
+    df = spark.createDataFrame([(t,) for t in PAYMENTS], "text string").withColumn("e", E.entities("text")).withColumn("f", payments.findings(F.col("e")))
+    score, informative, floor = payments.signal(F.col("e"), F.col("f"))
+    got = {r["text"]: r for r in df.select("text", "f", score.alias("score"), informative.alias("informative"), floor.alias("floor")).collect()}
+    assert {t: {x["code"] for x in r["f"]} for t, r in got.items()} == PAYMENTS
+    assert got["no id here"]["score"] is None and got["paytmqr28@paytm"]["score"] == 0 and not got["paytmqr28@paytm"]["informative"]
+    assert got["sbi-kyc@ybl"]["score"] == 60 and got["sbi-kyc@ybl"]["floor"] is None and got["upi://pay?pa=ravi.k@ybl&pn=SBI%20Help&am=10"]["floor"] == 75
+
+
+def test_explanations_in_two_languages(spark):
+    from verdigris.operators import scoring
+
+    texts = ["Scan the QR code to receive Rs 5000 and enter your UPI PIN. upi://pay?pa=sbi.kyc@ybl&pn=SBI&am=5000&tn=refund", "lunch at one", "Share your OTP and CVV to unblock your account"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r for r in scoring.explained(scoring.analyzed(df)).collect()}
+    scam, safe, secret = got[0], got[1], got[2]
+    assert scam["verdict"] == "scam" and scam["explanation_en"].startswith(f"High risk, {scam['risk_score']} of 100: {scoring.LABELS[scam['scam_type']][0]}") and "अधिक जोखिम" in scam["explanation_hi"] and scoring.LABELS[scam["scam_type"]][1] in scam["explanation_hi"]
+    order = [["high", "medium", "low"].index(f["severity"]) for f in scam["red_flags"]]
+    assert order == sorted(order) and 1 <= len(order) <= 4 and all(f["evidence"] in scam["explanation_en"] for f in scam["red_flags"])
+    for r in (scam, secret):
+        assert len(r["advice_en"]) == len(r["advice_hi"]) <= 4 and (r["advice_en"][-1], r["advice_hi"][-1]) == scoring.REPORT_LINE
+    assert secret["advice_en"][0] == scoring.SECRET_LINE[0] and [tuple(x) for x in zip(safe["advice_en"], safe["advice_hi"])] == scoring.SAFE_ADVICE and safe["explanation_en"] == "Little risk, 0 of 100: no usual pattern of fraud."
+
+
+def test_denied_hits_do_not_count(spark):
+    import datetime as dt
+    import random
+
+    from verdigris.operators import state
+
+    rng, at = random.Random(1), dt.datetime(2024, 1, 1)
+    rows = [(k, at + dt.timedelta(seconds=rng.randint(0, 600)), i) for i, k in enumerate(rng.choices(["a", "b", None], k=300))] + [("a", None, 999)]
+    got = {r["n"]: (r["allowed"], r["retry_after"]) for r in state.rate_limited(spark.createDataFrame(rows, "key string, ts timestamp, n int").repartition(3), "key", "ts", 3, 60, "n").collect()}
+    times = {}
+    for k, t, n in sorted((r for r in rows if r[1]), key=lambda r: r[1:]):
+        held = times[k] = [x for x in times.get(k, []) if x > t - dt.timedelta(seconds=60)]
+        assert got[n] == ((True, 0.0) if len(held) < 3 else (False, (held[0] - t).total_seconds() + 60))
+        if len(held) < 3:
+            held.append(t)
+    assert got[999] == (False, 0.0) and len(got) == 301

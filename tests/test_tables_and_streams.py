@@ -182,3 +182,11 @@ def test_stream_upsert(spark, tmp_path):
     q = streams.upserted(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["key"])
     assert q.awaitTermination(180)
     assert {r["key"]: r["report_count"] for r in spark.read.parquet(str(tmp_path / "out/version=0")).collect()} == {"a": 10, "b": 1}
+
+
+def test_reviews_by_authority(spark):
+    rows = spark.createDataFrame([("a", "scam", "auto"), ("b", "scam", "manual"), ("c", "scam", "dataset"), ("d", "scam", None), ("e", "scam", "assisted")], "text_id string, label string, label_source string")
+    day = lambda n: dt.date(2024, 1, n)
+    reviews = [("a", "genuine", "assisted", day(1)), ("a", "promo_spam", "assisted", day(2)), ("b", "genuine", "assisted", day(3)), ("c", "genuine", "manual", day(1)), ("c", "scam", "assisted", day(9)), ("d", "genuine", "auto", day(1)), ("e", "genuine", "manual", day(1))]
+    got = {r["text_id"]: (r["label"], r["label_source"]) for r in tables.with_reviews(rows, spark.createDataFrame(reviews, "text_id string, label string, label_source string, reviewed_at date")).collect()}
+    assert got == {"a": ("promo_spam", "assisted"), "b": ("scam", "manual"), "c": ("genuine", "manual"), "d": ("genuine", "auto"), "e": ("genuine", "manual")}

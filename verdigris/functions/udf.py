@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,9 @@ def vectorized(kind: str) -> Callable[[Callable], Callable[..., Column]]:
         return applied
 
     return wrap
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """A table just read, dealt over the cores by its keys where its files give it fewer partitions: Python work ahead would else run on a few.  Larger tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, *keys) if table.rdd.getNumPartitions() < cores else table

@@ -24,6 +24,13 @@ def confusion(rows: DataFrame, *keys: str, truth: str = "truth", flagged: str =
     return rows.groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
 
 
+def type_agreement(rows: DataFrame, *keys: str, truth: str = "truth", flagged: str = "flagged", kind: str = "scam_type", guess: str = "predicted_type") -> DataFrame:
+    """tp, agreeing, agreement by keys: of the rows rightly flagged, how many have their type named rightly; null without any."""
+    right = F.col(truth) & F.col(flagged)
+    counted = rows.groupBy(*keys).agg(F.count_if(right).alias("tp"), F.count_if(right & (F.col(kind) == F.col(guess))).alias("agreeing"))
+    return counted.withColumn("agreement", ratio(F.col("agreeing"), F.col("tp")))
+
+
 def rates(counts: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     with_rates = counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "fpr": ratio(fp, fp + tn)})

@@ -270,17 +270,20 @@ def evaluate(messages: DataFrame, text: str = "text", entities: str = "entities"
     brands = F.transform(e["urls"], lambda u: lookalike_brand(u["host"], u["registered_domain"]))
     folded = messages.withColumns({"__one": e["rule_texts"][0], "__two": F.get(e["rule_texts"], F.lit(1)), "url_brands": brands})
     parts = folded.withColumns({"__c1": rule_clauses(F.col("__one")), "__c2": rule_clauses(F.col("__two"))})
-    evidence, hits = {}, []
+    evidence, hits, shown = {}, [], {}
+    original = e["normalized_text"]
     for i, rule in enumerate(RULES):
-        first = rule.evidence(F.col("__one"), F.col("__c1"), e, v)
+        evidence[f"__r{i}"] = rule.evidence(F.col("__one"), F.col("__c1"), e, v)
         if rule.id in TEXT_RULES:
-            again = F.when(F.col("__two").isNotNull(), rule.evidence(F.col("__two"), F.col("__c2"), e, v))
-            first = F.coalesce(unfolded(first, F.col("__one"), e["normalized_text"]), unfolded(again, F.col("__two"), e["normalized_text"]))
-        evidence[f"__r{i}"] = first
+            evidence[f"__s{i}"] = F.when(F.col("__two").isNotNull(), rule.evidence(F.col("__two"), F.col("__c2"), e, v))
+            # places are looked up only for a hit, and only where folding has changed the text
+            plain = F.replace(F.col(f"__r{i}"), F.lit(" . "), F.lit(" … "))
+            first = F.when(F.col("__one") == original, plain).otherwise(unfolded(F.col(f"__r{i}"), F.col("__one"), original))
+            shown[f"__r{i}"] = F.when(F.col(f"__r{i}").isNotNull(), first).otherwise(F.when(F.col(f"__s{i}").isNotNull(), unfolded(F.col(f"__s{i}"), F.col("__two"), original)))
         weight = rule.weight_of(F.col("__one"), e) if rule.weight_of else F.lit(rule.weight)
         hits.append(F.when(F.col(f"__r{i}").isNotNull(), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.type).alias("scam_type"), weight.alias("weight"), X.snippet(F.col(f"__r{i}")).alias("evidence"), F.lit(rule.supporting).alias("supporting"), F.lit(i).alias("place"))))
     # evidence first, each a column of its own, so that what is built on it doesn't repeat its expression
-    found = parts.withColumns(evidence).withColumn("hits", kept_apart(F.filter(F.array(*hits), lambda h: h.isNotNull()))).drop("__one", "__two", "__c1", "__c2", *evidence)
+    found = parts.withColumns(evidence).withColumns(shown).withColumn("hits", kept_apart(F.filter(F.array(*hits), lambda h: h.isNotNull()))).drop("__one", "__two", "__c1", "__c2", *evidence)
     ordered = F.array_sort("hits", lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).otherwise(a["place"] - b["place"]))
     found = found.withColumn("hits", ordered)
     raw = saturating(F.transform("hits", lambda h: h["weight"]))

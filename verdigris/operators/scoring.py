@@ -95,21 +95,6 @@ def breakdown(scored: DataFrame, id_column: str) -> DataFrame:
     return each.select(id_column, F.col("x.signal").alias("signal"), F.coalesce("x.score", F.lit(0.0)).alias("score"), F.when(counts & (F.col("__total") > 0), F.bround(weight(F.col("x")) / F.col("__total"), 4)).otherwise(F.lit(0.0)).alias("weight"), F.when(F.col("x.score").isNull(), "unavailable").when(F.col("x.informative"), "counted").otherwise("uninformative").alias("state"))
 
 
-def upi_signal(e: Column) -> tuple[Column, Column, Column]:
-    """(score, informative, floor) of the payment check; score null where there is nothing to check."""
-    brands = list(R.BRANDS)
-    named = lambda s: F.exists(F.split(F.lower(F.coalesce(s, F.lit(""))), "[^a-z]+"), lambda w: w.isin(brands))
-    local = lambda v: F.substring_index(v, "@", 1)
-    ids = F.flatten(F.transform(e["upi_ids"], lambda u: F.array(F.when(named(F.regexp_replace(local(u["value"]), r"[0-9._-]+", " ")), 0.6), F.when(u["confidence"] == "low", 0.35))))
-    bait = F.exists(e["upi_uris"], lambda u: F.lower(F.coalesce(u["tn"], F.lit(""))).rlike(R.P["bait"]))
-    uris = F.flatten(F.transform(e["upi_uris"], lambda u: F.array(F.when(named(u["pn"]), 0.5), F.when(u["am"] > 0, 0.3), F.when(F.lower(F.coalesce(u["tn"], F.lit(""))).rlike(R.P["bait"]), 0.45))))
-    weights = F.filter(F.concat(ids, uris), lambda w: w.isNotNull())
-    impersonated = F.exists(ids, lambda w: w == 0.6) | F.exists(uris, lambda w: w == 0.5)
-    floor = F.when(F.coalesce(impersonated, F.lit(False)) & (F.exists(e["upi_uris"], lambda u: u["am"] > 0) | bait), 75)
-    checked = R.has_upi(e)
-    return F.when(checked, R.saturating(weights)), F.size(weights) > 0, floor
-
-
 def url_signal(e: Column) -> tuple[Column, Column, Column]:
     """(score, informative, floor) from the links alone: lookalikes and risky top-level domains; all official is evidence of safety.
 
@@ -145,14 +130,15 @@ def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = N
     """
     from ..functions.entities import entities
     from . import classifier as C
-    from . import senders
+    from . import payments, senders
 
     found = R.evaluate(messages.withColumn("entities", entities(F.col(text))), text)
     e = F.col("entities")
-    signals = {"upi": upi_signal(e), "url": url_signal(e)}
+    found = found.withColumn("upi_findings", R.kept_apart(payments.findings(e)))
+    signals = {"upi": payments.signal(e, F.col("upi_findings")), "url": url_signal(e)}
     found = found.withColumns({f"__{n}_{k}": c for n, cs in signals.items() for k, c in zip(("score", "informative", "floor"), cs, strict=True)})
     of = lambda n: [F.col(f"__{n}_{k}") for k in ("score", "informative", "floor")]
-    parts = [outcome("rules", F.col("rules_score"), scam_type=F.col("rules_type")), outcome("upi_check", *of("upi")), outcome("url_intel", *of("url"), scam_type=F.lit("phishing_link"))]
+    parts = [outcome("rules", F.col("rules_score"), scam_type=F.col("rules_type")), outcome("upi_check", *of("upi"), scam_type=F.when(F.exists("upi_findings", lambda f: f["code"].isin(*list(payments.WEIGHTS)[2:])), "qr_code")), outcome("url_intel", *of("url"), scam_type=F.lit("phishing_link"))]
     if links:
         parts[-1] = outcome("url_intel", F.when(F.size(e["urls"]) > 0, F.col(links)["score"]), F.coalesce(F.col(links)["informative"], F.lit(False)), F.col(links)["floor"], scam_type=F.when(F.col(links)["score"] > 0, "phishing_link"))
     if classifier:
@@ -174,23 +160,59 @@ def analyzed(messages: DataFrame, text: str = "text", classifier: str | None = N
     return score(found.withColumn("outcomes", R.kept_apart(F.array(*parts)))).drop(*[c for c in found.columns if c.startswith("__")])
 
 
-#: English and Hindi lines by scam type.
+#: English and Hindi: what a type is called, and what to do about it, in order of weight; the words are our own.
+LABELS = {
+    "upi_receive_money": ("a trick with a promise of money", "पैसे दिलाने के नाम पर ठगी"), "qr_code": ("a trick with a code to scan", "कोड स्कैन कराने वाली ठगी"), "sent_by_mistake": ("a false claim of money sent in error", "गलती से पैसे भेजने का झूठा दावा"),
+    "phishing_link": ("a link that steals data", "डेटा चुराने वाला लिंक"), "task_job": ("a false offer of work", "काम का झूठा प्रस्ताव"), "fake_customer_care": ("a false helpline", "नकली हेल्पलाइन"), "generic": ("fraud", "ठगी"),
+}
+SECRET_LINE = ("Keep codes, PINs and passwords to yourself; no office needs them.", "कोड, पिन और पासवर्ड किसी को न दें; किसी दफ़्तर को इनकी ज़रूरत नहीं।")
 ADVICE = {
-    "upi_receive_money": ("You never need a PIN or a scan to receive money.", "पैसे पाने के लिए पिन या स्कैन कभी नहीं चाहिए।"),
-    "qr_code": ("A code is scanned to pay, not to be paid.", "कोड भुगतान करने के लिए होता है, पाने के लिए नहीं।"),
-    "sent_by_mistake": ("Check your own statement before you return anything.", "कुछ भी लौटाने से पहले अपना खाता देखें।"),
-    "phishing_link": ("Do not open the link; use the official site.", "लिंक न खोलें; आधिकारिक साइट का उपयोग करें।"),
-    "task_job": ("No employer asks you to pay for work.", "कोई नियोक्ता काम के लिए पैसे नहीं माँगता।"),
-    "fake_customer_care": ("Install nothing that a caller sends.", "कॉल करने वाले का भेजा कुछ भी इंस्टॉल न करें।"),
-    "generic": ("Share no code or document.", "कोई कोड या दस्तावेज़ साझा न करें।"),
-}
+    "upi_receive_money": [("You never need a PIN or a scan to receive money.", "पैसे पाने के लिए पिन या स्कैन कभी नहीं चाहिए।"), ("Refuse payment requests of strangers.", "अजनबियों के भुगतान अनुरोध अस्वीकार करें।")],
+    "qr_code": [("A code is scanned to pay, not to be paid.", "कोड भुगतान करने के लिए होता है, पाने के लिए नहीं।"), ("Read the payee's name before you confirm.", "पुष्टि से पहले पाने वाले का नाम पढ़ें।")],
+    "sent_by_mistake": [("Check your own statement before you return anything.", "कुछ भी लौटाने से पहले अपना खाता देखें।"), ("Leave a true error to the two banks.", "सच में गलती हो तो बैंकों को सुलझाने दें।")],
+    "phishing_link": [("Do not open the link; use the official site.", "लिंक न खोलें; आधिकारिक साइट का उपयोग करें।"), ("Offices do not take data or fees by text message.", "दफ़्तर संदेश से डेटा या शुल्क नहीं लेते।"), ("Ask at the number on your card or bill.", "अपने कार्ड या बिल पर छपे नंबर पर पूछें।")],
+    "task_job": [("No employer asks you to pay for work.", "कोई नियोक्ता काम के लिए पैसे नहीं माँगता।"), ("Leave groups that pay for likes.", "लाइक के पैसे देने वाले समूह छोड़ दें।")],
+    "fake_customer_care": [("Install nothing that a caller sends.", "कॉल करने वाले का भेजा कुछ भी इंस्टॉल न करें।"), ("Take helpline numbers from official sites alone.", "हेल्पलाइन नंबर केवल आधिकारिक साइट से लें।"), ("Let nobody see your screen.", "अपनी स्क्रीन किसी को न दिखाएं।")],
+    "generic": [SECRET_LINE],
+}
+SAFE_ADVICE = [("No usual sign of fraud was found; stay attentive.", "ठगी का कोई आम संकेत नहीं मिला; फिर भी ध्यान रखें।"), SECRET_LINE, ("If unsure, ask through the official app.", "संदेह हो तो आधिकारिक ऐप से पूछें।")]
 REPORT_LINE = ("Report it at 1930 or cybercrime.gov.in.", "1930 या cybercrime.gov.in पर शिकायत करें।")
+MOST_LINES = MOST_FLAGS = 4
 
 
 def explained(scored: DataFrame) -> DataFrame:
-    """scored with red_flags (the first four by severity), explanation_en, advice_en and advice_hi."""
-    table = lambda i: F.create_map(*[x for k, v in ADVICE.items() for x in (F.lit(k), F.lit(v[i]))])
-    flags = F.slice(F.transform("hits", lambda h: F.struct(h["rule_id"].alias("code"), severity(h["weight"]).alias("severity"), h["evidence"].alias("evidence"))), 1, 4)
-    lines = lambda i: F.when(F.col("verdict") == "safe", F.array().cast("array<string>")).otherwise(F.array(F.element_at(table(i), F.col("scam_type")), F.lit(REPORT_LINE[i])))
-    said = F.format_string("Risk %d of 100 (%s), from %d signs.", F.col("risk_score").cast("int"), "verdict", F.size("hits"))
-    return scored.withColumns({"red_flags": flags, "explanation_en": said, "advice_en": lines(0), "advice_hi": lines(1)})
+    """scored with red_flags (the first four by severity, of rules and payment findings), explanation_en, explanation_hi, advice_en and advice_hi (four lines at most)."""
+    flag = lambda code, weight_, shown: F.struct(code.alias("code"), severity(weight_).alias("severity"), shown.alias("evidence"))
+    flags = F.transform("hits", lambda h: flag(h["rule_id"], h["weight"], h["evidence"]))
+    if "upi_findings" in scored.columns:
+        # two findings are rules as well, and are not told twice
+        told = F.filter("upi_findings", lambda f: ~f["code"].isin("upi_payee_mismatch", "upi_prefilled_amount"))
+        flags = F.array_distinct(F.concat(flags, F.transform(told, lambda f: flag(f["code"], f["weight"], f["evidence"]))))
+    place = lambda f: F.when(f["severity"] == "high", 0).when(f["severity"] == "medium", 1).otherwise(2)
+    by_severity = F.concat(*[F.filter(flags, lambda f, n=n: place(f) == n) for n in range(3)])
+    first = F.slice(by_severity, 1, MOST_FLAGS)
+    out = scored.withColumn("red_flags", R.kept_apart(first))
+    kind = F.coalesce("scam_type", F.lit("generic"))
+    label = lambda i: F.element_at(F.create_map(*[x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v[i]))]), kind)
+    signs = F.array_join(F.transform("red_flags", lambda f: f["evidence"]), "; ")
+    points = F.col("risk_score").cast("int")
+    some = F.size("red_flags") > 0
+    english = (
+        F.when(F.col("verdict") == "scam", F.format_string("High risk, %d of 100: %s. Signs: %s.", points, label(0), signs))
+        .when(F.col("verdict") == "suspicious", F.format_string("Some risk, %d of 100: it may be %s. Signs: %s. Ask an official source first.", points, label(0), signs))
+        .otherwise(F.concat(F.format_string("Little risk, %d of 100: no usual pattern of fraud.", points), F.when(some, F.concat(F.lit(" Small signs: "), signs, F.lit("."))).otherwise("")))
+    )
+    hindi = (
+        F.when(F.col("verdict") == "scam", F.format_string("अधिक जोखिम, 100 में %d: %s। संकेत: %s।", points, label(1), signs))
+        .when(F.col("verdict") == "suspicious", F.format_string("कुछ जोखिम, 100 में %d: यह %s हो सकता है। संकेत: %s। पहले आधिकारिक स्रोत से पूछें।", points, label(1), signs))
+        .otherwise(F.concat(F.format_string("कम जोखिम, 100 में %d: ठगी का कोई आम ढंग नहीं।", points), F.when(some, F.concat(F.lit(" छोटे संकेत: "), signs, F.lit("।"))).otherwise("")))
+    )
+    asks = F.exists("hits", lambda h: h["rule_id"] == "credential_request")
+
+    def lines(i: int) -> Column:
+        table = F.create_map(*[x for k, v in ADVICE.items() for x in (F.lit(k), F.array(*[F.lit(line[i]) for line in v]))])
+        own = F.element_at(table, kind)
+        led = F.array_distinct(F.when(asks, F.concat(F.array(F.lit(SECRET_LINE[i])), own)).otherwise(own))
+        return F.when(F.col("verdict") == "safe", F.array(*[F.lit(x[i]) for x in SAFE_ADVICE])).otherwise(F.concat(F.slice(led, 1, MOST_LINES - 1), F.array(F.lit(REPORT_LINE[i]))))
+
+    return out.withColumns({"explanation_en": english, "explanation_hi": hindi, "advice_en": lines(0), "advice_hi": lines(1)})

@@ -116,3 +116,14 @@ def interleaved(positives: DataFrame, negatives: DataFrame, place: str = "place"
     inside = F.col(place) < F.floor(F.col("__n") / 2)
     neg = neg.withColumn("position", F.when(inside, 3 * F.col(place) + 2).otherwise(F.col("__n") + F.col(place))).withColumn("kind", F.lit("hard_negative")).drop("__n")
     return pos.unionByName(neg)
+
+
+def certain(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Rows that a split may take: with a label, and a certain one."""
+    return rows.where(F.col(label).isNotNull() & (F.col(label) != "uncertain"))
+
+
+def held_out_subsets(rows: DataFrame, split: str = "split", country: str = "is_indian", dataset: str = "dataset") -> DataFrame:
+    """rows held out, once for each subset that a report has of them: all, by country, by dataset."""
+    names = F.array_compact(F.array(F.lit("all"), F.when(F.col(country), "indian").otherwise("other"), F.concat(F.lit("dataset:"), F.col(dataset))))
+    return rows.where(F.col(split) == "heldout").withColumn("subset", F.explode(names))

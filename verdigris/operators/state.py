@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,36 @@ def rate_windows(hits: DataFrame, key: str, at: str, limit: int, seconds: int =
     return hits.withColumn("in_window", F.count(F.lit(1)).over(window)).withColumn("denied", F.col("in_window") > limit)
 
 
+def rate_limited(hits: DataFrame, key: str, at: str, limit: int, seconds: int = 60, tie: str | None = None) -> DataFrame:
+    """hits with ``allowed`` and ``retry_after`` seconds, by a moving window of each key in which denied hits don't count; equal times are in the order of ``tie``.
+
+    A decision depends on those before it, so rows of a key pass in order through one task, which holds no more than the ``limit`` times of the window.  Rows without time are denied.
+    """
+    import pyarrow as pa
+
+    names = hits.columns
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = hits.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp"))).repartition(parts, key).sortWithinPartitions(key, "__at", *([tie] if tie else []))
+
+    def run(it):  # noqa: ANN001, ANN202
+        now, times = None, deque()
+        for batch in it:
+            out = []
+            for k, t in zip(batch.column(names.index(key)).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                if now != (k,):
+                    now, times = (k,), deque()
+                while t is not None and times and times[0] <= t - seconds * 1_000_000:
+                    times.popleft()
+                allowed = t is not None and len(times) < limit
+                out.append((allowed, 0.0 if allowed or t is None or not times else (times[0] - t) / 1e6 + seconds))
+                if allowed:
+                    times.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([a for a, _ in out], pa.bool_()), pa.array([r for _, r in out], pa.float64())], [*names, "allowed", "retry_after"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema) + ", allowed boolean, retry_after double"
+    return ordered.mapInArrow(run, schema)
+
+
 #: Fixed: statuses that send elsewhere.
 REDIRECTS = [301, 302, 303, 307, 308]
 

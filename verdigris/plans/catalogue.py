@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import text as X
+from ..functions.udf import spread
 from ..operators import metrics, nearest, rules, scoring, similarity, splits, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,11 +197,11 @@ def lookalike_scan(spark, sf_dir):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
 
 
 @query()
@@ -214,7 +215,7 @@ def entities_full(spark, sf_dir):
 def entities_documents(spark, sf_dir):
     """Entity counts by language over all documents."""
     e = F.col("e")
-    found = read(spark, sf_dir, "documents").select("lang", E.entities("text").alias("e"))
+    found = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").select("lang", E.entities("text").alias("e"))
     return found.groupBy("lang").agg(*[F.sum(F.size(e[c])).alias(c) for c in ("urls", "upi_ids", "phones", "amounts", "emails", "sensitive_info")])
 
 
@@ -248,7 +249,7 @@ def score_breakdown(spark, sf_dir):
 @query()
 def score_conversations(spark, sf_dir):
     """Verdicts by role over all turns: the whole path on a table."""
-    said = read(spark, sf_dir, "conversations").select("role", "text")
+    said = spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn").select("role", "text")
     return scoring.analyzed(said).groupBy("role", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("risk_score").alias("highest"))
 
 
@@ -435,6 +436,15 @@ def rate_window(spark, sf_dir):
     return state.rate_windows(read(spark, sf_dir, "events"), "user_id", "ts", 2, 7200).select("event_id", "in_window", "denied")
 
 
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, event_id, n, [ts] AS times, true AS allowed FROM r WHERE n = 1 UNION ALL SELECT user_id, event_id, n, CASE WHEN len(f) < 2 THEN list_append(f, ts) ELSE f END, len(f) < 2
+FROM (SELECT r.*, list_filter(w.times, lambda x: x > r.ts - INTERVAL 7200 SECONDS) AS f FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1))
+SELECT event_id, allowed FROM w""")
+def rate_limited(spark, sf_dir):
+    """A moving window for each user in which denied events don't count."""
+    return state.rate_limited(read(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 2, 7200, "event_id").select("event_id", "allowed")
+
+
 @query("SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type, arg_max(value, {'t': ts, 'e': event_id}) AS value, max(ts) AS ts FROM events GROUP BY user_id")
 def latest_wins_upsert(spark, sf_dir):
     return state.latest(read(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_type", "value", "ts")
@@ -449,6 +459,13 @@ def sync_actions(spark, sf_dir):
     return state.sync_actions(docs.where("doc_id % 10 <> 0"), stored, "doc_id", "c", "m")
 
 
+@query(f"SELECT lang, count(*) FILTER (truth AND flagged) AS tp, count(*) FILTER (truth AND flagged AND source = guess) AS agreeing, round(count(*) FILTER (truth AND flagged AND source = guess) / nullif(count(*) FILTER (truth AND flagged), 0), 6) AS agreement FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'src1' END AS guess FROM {_JOINED}) GROUP BY lang")
+def type_agreement(spark, sf_dir):
+    """Of rows rightly flagged, the share whose type was rightly named."""
+    rows = _scored(spark, sf_dir).withColumn("guess", F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("src1"))
+    return metrics.type_agreement(rows, "lang", kind="source", guess="guess").withColumn("agreement", F.round("agreement", 6))
+
+
 _PAGES = "(SELECT url, min(page_id) AS id FROM pages WHERE url IS NOT NULL GROUP BY url)"
 
 

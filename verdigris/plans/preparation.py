@@ -253,3 +253,13 @@ def entities_in_sql(spark, sf_dir):
     E.register(spark)
     read(spark, sf_dir, "conversations").createOrReplaceTempView("__turns")
     return spark.sql("SELECT t.conv_id, t.turn, e.kind, e.value FROM __turns t, LATERAL entities(t.text) e")
+
+
+@query(f"""WITH h AS (SELECT lang, source FROM (SELECT *, {_u('source || lang || doc_id % 40', 'split')} AS u FROM documents) WHERE u < 0.15 AND doc_id % 7 <> 3), s AS (SELECT unnest(['all', CASE WHEN lang = 'en' THEN 'indian' ELSE 'other' END, 'dataset:' || source]) AS subset FROM h)
+SELECT subset, count(*) AS n FROM s GROUP BY subset""")
+def heldout_subsets(spark, sf_dir):
+    """Held-out rows by subset, without those whose label is uncertain."""
+    docs = read(spark, sf_dir, "documents").withColumn("label", F.when(F.col("doc_id") % 7 == 3, "uncertain").otherwise("genuine"))
+    group = F.concat("source", "lang", (F.col("doc_id") % 40).cast("string"))
+    rows = splits.certain(docs).select(splits.bucket(group).alias("split"), (F.col("lang") == "en").alias("is_indian"), F.col("source").alias("dataset"))
+    return splits.held_out_subsets(rows).groupBy("subset").agg(F.count(F.lit(1)).alias("n"))

@@ -248,9 +248,13 @@ def auto_label(scored: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_reviews(rows: DataFrame, reviews: DataFrame, key: str = "text_id") -> DataFrame:
-    """rows with the reviewed label where there is one; of several reviews the best authority, then the last."""
+    """rows with the reviewed label where there is one; of several reviews the best authority, then the last.
+
+    A label of better authority than the review's stays: what somebody labelled by hand is never replaced by an assisted review.
+    """
     from ..operators.similarity import authority
 
-    best = reviews.withColumn("__rank", authority()).groupBy(key).agg(F.max_by(F.struct(F.col("label").alias("l"), F.col("label_source").alias("s")), F.struct(-F.col("__rank"), F.col("reviewed_at"))).alias("r"))
+    best = reviews.withColumn("__rank", authority()).groupBy(key).agg(F.max_by(F.struct(F.col("label").alias("l"), F.col("label_source").alias("s"), F.col("__rank").alias("rank")), F.struct(-F.col("__rank"), F.col("reviewed_at"))).alias("r"))
     joined = rows.join(best, key, "left")
-    return joined.withColumn("label", F.coalesce("r.l", "label")).withColumn("label_source", F.coalesce("r.s", "label_source")).drop("r")
+    holds = F.col("r").isNotNull() & (F.col("r.rank") <= authority())
+    return joined.withColumns({"label": F.when(holds, F.col("r.l")).otherwise(F.col("label")), "label_source": F.when(holds, F.col("r.s")).otherwise(F.col("label_source"))}).drop("r")
