@@ -611,3 +611,31 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert sorted(str(r["component_id"]) for r in neardup.classes(df, 2).collect()) == ["1", "1", "2", "2", "None"]
     for frame in (fingerprint.fingerprints(df), media.document_media(df), token_files.round_trip(df), mixing.mix(df.withColumn("source", F.lit(None).cast("string"))), bpe.encoded(df), lm.scored(df, held_out(10))):
         assert frame.count() == 5
+
+
+def test_likeness_of_the_tables(docs):
+    assert [neardup.least_matches(p) for p in (75, 80, 90, 100)] == [36, 41, 54, 75]
+    for percent in (50, 74, 101):
+        with pytest.raises(ValueError, match="75 to 100"):
+            neardup.classes(docs, k=2, percent=percent)
+
+
+@pytest.mark.parametrize("percent", [75, 90])
+def test_other_likenesses(spark, percent):
+    rng = random.Random(percent)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(60):
+        words = list(base) if i % 2 else [f"u{i // 4}x{j}" for j in range(60)]
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = f"n{rng.random()}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2, percent=percent).collect()}
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in map(str.split, texts)]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a + 1, 60):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert [got[i] for i in range(60)] == root

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, bounded, strings
+from .common import Remembered, batches, bounded, strings, uncollected
 
-#: Words that a task remembers; beyond, it starts anew.
-REMEMBERED = 100_000
+#: Words in each of the two generations that a task remembers.
+REMEMBERED = 200_000
 #: Bytes of a piece up to which pieces are merged side by side.
 NARROW = 24
 _LOW, _NONE = (1 << 32) - 1, 1 << 80
@@ -242,7 +242,7 @@ class Tokenizer:
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.blank = regex.compile(r"[\t\n\v\f\r\x85\p{Z}]+")
         self.rows = Rows(self.merges)
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known = Remembered(REMEMBERED)  # word -> (ids, ids as decimal text)
         self.bytes = {c: b for b, c in enumerate(byte_letters())}
 
     def piece(self, text: str) -> list[int]:
@@ -298,11 +298,7 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text (number of ids, ids joined by blanks, what the decoder makes of those ids)."""
         split = [self.words(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set().union(*split)
-        self.learn(new)
+        self.learn(self.known.missing(set().union(*split)))
         known, out = self.known, []
         for words in split:
             found = [known[w] for w in words]
@@ -383,10 +379,11 @@ def encoded(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(path or tokenizer_file(name))
         for batch in batches(it, 512):
-            n, ids, text = zip(*tokenizer.encode(strings(batch.column(len(names)))), strict=True)
-            sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c], pa.string()) for c in (ids, text)]
+            with uncollected():
+                n, ids, text = zip(*tokenizer.encode(strings(batch.column(len(names)))), strict=True)
+                sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c], pa.string()) for c in (ids, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int64()), *sha], [*names, *added])
-        tokenizer.known = {}  # workers live on, and other stages need their memory
+        tokenizer.known.forget()  # workers live on, and other stages need their memory
 
     bounded(docs.sparkSession)
     return docs.select(*names, F.col("text")).mapInArrow(run, schema)

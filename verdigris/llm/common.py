@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import tempfile
 import unicodedata
@@ -216,3 +217,39 @@ def _hashed(body: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     x = mixed(body[np.repeat(first, length) + place].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
     return mixed(total[ends] - total[ends - length] + length.astype(np.uint64))
+
+
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles while many small lists without any are made: it would look through the dictionary over and over."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+class Remembered(dict):
+    """What a task has worked out for words, in two generations: when the younger one is full it becomes the older, and what is asked for again comes back, so frequent words stay
+    and rare ones go.  It holds at most twice ``most`` entries, and one batch's."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, words: set) -> set:
+        """The words that neither generation has; all others are in the younger one from here on."""
+        new = words.difference(self)
+        if len(self) + len(new) > self.most and len(self):
+            self.old = dict(self)
+            self.clear()
+            new = words
+        kept = new.intersection(self.old)
+        self.update((w, self.old[w]) for w in kept)
+        return new.difference(kept)
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}

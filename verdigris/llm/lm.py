@@ -39,6 +39,8 @@ CLASSES = 384
 #: Averaged rounds of training; tokens of a unit, units that a part of the documents holds or so, and steps of gradient that a unit takes at least.
 ROUNDS = 2
 UNIT = 250_000
+#: Partitions of the units' shuffle at most.
+MOST_PARTITIONS = 8192
 UNITS = 8
 STEPS = 50
 BATCH = 4096
@@ -261,7 +263,8 @@ def units_of(docs: DataFrame, words, tokens: int) -> DataFrame:
     deal = F.xxhash64("doc_id", "text")
     each = docs.select(deal.alias("deal"), "text").mapInArrow(coded, "deal long, classes binary")
     dealt = each.select(F.pmod("deal", F.lit(parts)).cast("int").alias("part"), "classes", F.xxhash64("deal").alias("order"))
-    sorted_ = dealt.repartition(partitions_for(docs.sparkSession, parts), "part").sortWithinPartitions("part", "order", "classes").select("part", "classes")
+    # a partition may hold several parts, one after the other: beyond a bound more parts are no more partitions
+    sorted_ = dealt.repartition(min(partitions_for(docs.sparkSession, parts), MOST_PARTITIONS), "part").sortWithinPartitions("part", "order", "classes").select("part", "classes")
     return written(sorted_.mapInArrow(packed, "part int, codes binary, times binary"), "lm-units")
 
 

@@ -17,6 +17,7 @@ extra columns are ignored by ``classes`` and kept by ``deduplicated``; an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,16 @@ FIRST = SIDES[0][0] * SIDES[0][1]
 WIDTH = FIRST + SIDES[1][0] * SIDES[1][1]
 TABLES = SIDES[0][0] * SIDES[1][0]
 SMALL = 8
-#: Matching minhashes of WIDTH below which a pair is no candidate, for a likeness of 0.8: 60 are expected, with a deviation of 3.5.
-LEAST_MATCHES = 41
+#: The least likeness in percent that the tables are made for: there they miss one pair in 7,000, at 80 one in 10 million.
+LEAST_PERCENT = 75
+
+
+def least_matches(percent: int) -> int:
+    """Matching minhashes of WIDTH below which a pair is no candidate: 5.5 deviations less than are expected, for a likeness of 0.8 41 instead of 60."""
+    p = percent / 100
+    return max(0, math.ceil(WIDTH * p - 5.5 * math.sqrt(WIDTH * p * (1 - p))))
+
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -197,15 +206,16 @@ def crossing(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
-    """Pairs whose sizes allow the likeness and whose signatures agree in LEAST_MATCHES places."""
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes allow the likeness and whose signatures agree in as many places as it lets expect."""
+    share, least = percent / 100, least_matches(percent)
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             s, t = _signatures(batch.column(2)), _signatures(batch.column(3))
-            yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(1) >= LEAST_MATCHES))
+            yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(1) >= least))
 
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
@@ -270,14 +280,16 @@ def remaining(active: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept."""
+    """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept; ValueError for a likeness under LEAST_PERCENT, which the tables would partly miss."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the tables are made for {LEAST_PERCENT} to 100 percent, not {percent}")
     sketched = written(sketches(docs, k), "sketches")
     linked = sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "reps")
     found = written(runs(table_keys(reps)), "runs")
     # first a pair or two for each member: with the least and the greatest of its leaders
     leaders = found.where("leader != rep").groupBy("rep").agg(F.min("leader").alias("x"), F.max("leader").alias("y"))
-    pairs = written(likely(leaders.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("rep").alias("b")), reps, percent / 100), "pairs")
+    pairs = written(likely(leaders.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("rep").alias("b")), reps, percent), "pairs")
     edges = written(confirmed(pairs, docs, k, percent), "links")
     component = written(components(edges), "components")
     # then only what is still in different components: all pairs of short runs, and blocks of long ones
@@ -285,7 +297,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     dropped(found)
     for short in (True, False):
         if short:
-            more = likely(crossing(active.where(F.col("n") <= SMALL)).join(pairs, ["a", "b"], "left_anti"), reps, percent / 100)
+            more = likely(crossing(active.where(F.col("n") <= SMALL)).join(pairs, ["a", "b"], "left_anti"), reps, percent)
         else:
             long = written(placed(active.where(F.col("n") > SMALL).select("key", "rep"), component).select("rep", "component").distinct(), "long-runs")
             if long.isEmpty():

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .bpe import tokenizer_file
-from .common import batches, bucket_of, id_bounds, partitions_for, strings, written
+from .common import Remembered, batches, bucket_of, id_bounds, partitions_for, strings, uncollected, written
 
 END = 2
-#: Words that a task remembers; beyond, it starts anew.
-REMEMBERED = 200_000
+#: Words in each of the two generations that a task remembers.
+REMEMBERED = 300_000
 #: A private character that hardly any text has.
 MARK = "\ue000"
 SCHEMA = "bucket int, block int, before long, ids int, doc array<long>, ordinal array<long>, doc_ids array<int>, payload binary"
@@ -40,7 +40,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.mark = self.library.encode(MARK, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(REMEMBERED)  # word -> ids, four bytes each
 
     def learn(self, words: list[str]) -> None:
         """Encode new words, many as one text, which is cheaper than a call each: MARK stands between them, and its ids are found again in the result."""
@@ -63,11 +63,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         # str.split also splits at four control characters that are no white space to the tokenizer: such texts go whole
         split = [None if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new = list(set().union(*[w for w in split if w]).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set().union(*[w for w in split if w]))
-        self.learn(new)
+        self.learn(list(self.known.missing(set().union(*[w for w in split if w]))))
         out = []
         for t, words in zip(texts, split, strict=True):
             if words is None:
@@ -137,7 +133,9 @@ def coded(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = N
 
         for batch in batches(it):
             buckets, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for bucket, doc, ids in zip(buckets, doc_ids, encoder.ids(strings(batch.column(2))), strict=True):
+            with uncollected():
+                found = encoder.ids(strings(batch.column(2)))
+            for bucket, doc, ids in zip(buckets, doc_ids, found, strict=True):
                 if bucket != now:
                     yield from flush(True)
                     now, first, before, count, docs, held, size = bucket, 0, 0, 0, [], [], 0
@@ -147,7 +145,7 @@ def coded(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = N
                 if size >= lanes * block:
                     yield from flush(False)
         yield from flush(True)
-        encoder.known = {}  # workers live on, and other stages need their memory
+        encoder.known.forget()  # workers live on, and other stages need their memory
 
     placed = docs.select(bucket_of(id_bounds(docs, 2 * parts)).alias("bucket"), F.col("doc_id").cast("long"), "text")
     # buckets are dealt in order, so that the files hold the documents in ascending order one after the other
