@@ -19,6 +19,7 @@ CONFIDENCES = ["low", "medium", "high"]
 EXPLANATION_WORDS, ADVICE_WORDS, LEAST_ADVICE, MOST_ADVICE, LEAST_DEVANAGARI = 90, 30, 3, 5, 10
 ALLOWED_DOMAINS = ["cybercrime.gov.in"]
 MOST_DISAGREEMENT = 50.0
+FIELDS = ["scam_type", "llm_risk", "explanation_en", "explanation_hi", "advice", "cited_flags", "confidence"]
 
 _LETTER = "[ऀ-ॣ॰-ॿ]"
 _IDENTIFIER = r"(?i)@|://|www\.|\.[a-z]{2,}(?![a-z0-9_])"
@@ -30,53 +31,61 @@ def _kind(v: Column, field: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
 
 
-def _text(v: Column, field: str) -> Column:
-    return F.when(_kind(v, field) == "STRING", F.regexp_replace(F.variant_get(v, f"$.{field}", "string"), r"^\s+|\s+$", ""))
-
-
-def _list(v: Column, field: str) -> Column:
-    """An array of texts, empty ones included; null for anything else."""
-    return F.when(_kind(v, field).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.variant_get(v, f"$.{field}", "array<string>"))
-
-
 def _words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
-def parsed(reply: Column) -> Column:
-    """struct(reason, scam_type, llm_risk, explanation_en, explanation_hi, advice, cited_flags, confidence); with a reason all others are null.
+def parsed(rows: DataFrame, reply: str, into: str = "parsed") -> DataFrame:
+    """rows with struct(reason, scam_type, llm_risk, explanation_en, explanation_hi, advice, cited_flags, confidence); with a reason all others are null.
 
-    The reason names every field in error, in the order of the schema; further fields are ignored, and a missing list of flags is empty.
+    The reason names every field in error, in the order of the schema; further fields are ignored, and a missing list of flags is empty.  The text is parsed once a row: the parse, the
+    values and the reason are columns of their own, so that what is built on them doesn't repeat them.
     """
+    text = F.col(reply)
     # the parser stops where a value ends; inside an array and an object nothing can follow it
-    closed = F.try_parse_json(F.concat(F.lit("["), reply, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"r":'), reply, F.lit("}"))).isNotNull()
-    v = F.when(closed, F.try_parse_json(reply))
-    scam_type, confidence = F.lower(_text(v, "scam_type")), F.lower(_text(v, "confidence"))
-    number = F.when(~_kind(v, "llm_risk").isin("BOOLEAN", "VOID") & ~_kind(v, "llm_risk").startswith("ARRAY") & ~_kind(v, "llm_risk").startswith("OBJECT"), F.variant_get(v, "$.llm_risk", "string").try_cast("double"))
-    risk = F.when(number.between(0, 100) & (number == F.floor(number)), number.cast("int"))
-    short = lambda t: (_words(t) >= 1) & (_words(t) <= EXPLANATION_WORDS)
-    english, hindi = _text(v, "explanation_en"), _text(v, "explanation_hi")
-    advice = F.transform(_list(v, "advice"), lambda a: F.regexp_replace(a, r"^\s+|\s+$", ""))
-    cited = F.when(_kind(v, "cited_flags").isNull(), F.array().cast("array<string>")).otherwise(_list(v, "cited_flags"))
+    closed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}"))).isNotNull()
+    v = F.col("__v")
+    kinds = F.struct(*[_kind(v, n).alias(n) for n in FIELDS])
+    root = F.schema_of_variant(v)
+    whole = rows.withColumn("__v", R.kept_apart(F.when(closed, F.try_parse_json(text)))).withColumn("__k", R.kept_apart(kinds))
+    kind = lambda n: F.col("__k")[n]
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    as_text = lambda n: F.when(kind(n) == "STRING", trimmed(F.variant_get(v, f"$.{n}", "string")))
+    as_list = lambda n: F.when(kind(n).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.variant_get(v, f"$.{n}", "array<string>"))
+    plain = ~kind("llm_risk").isin("BOOLEAN", "VOID") & ~kind("llm_risk").startswith("ARRAY") & ~kind("llm_risk").startswith("OBJECT")
+    read = {
+        "scam_type": F.lower(as_text("scam_type")),
+        "llm_risk": F.when(plain, F.variant_get(v, "$.llm_risk", "string").try_cast("double")),
+        "explanation_en": as_text("explanation_en"),
+        "explanation_hi": as_text("explanation_hi"),
+        "advice": F.transform(as_list("advice"), trimmed),
+        "cited_flags": F.when(kind("cited_flags").isNull(), F.array().cast("array<string>")).otherwise(as_list("cited_flags")),
+        "confidence": F.lower(as_text("confidence")),
+    }
+    whole = whole.withColumn("__read", R.kept_apart(F.struct(*[c.alias(n) for n, c in read.items()])))
+    of = lambda n: F.col("__read")[n]
+    short = lambda t: _words(t).between(1, EXPLANATION_WORDS)
     good = {
-        "scam_type": scam_type.isin(TYPES + OTHER_TYPES),
-        "llm_risk": risk.isNotNull(),
-        "explanation_en": short(english),
-        "explanation_hi": short(hindi) & (F.regexp_count(hindi, F.lit("[ऀ-ॿ]")) >= LEAST_DEVANAGARI),
-        "advice": F.size(advice).between(LEAST_ADVICE, MOST_ADVICE) & F.forall(advice, lambda a: a.isNotNull() & _words(a).between(1, ADVICE_WORDS)),
-        "cited_flags": cited.isNotNull() & F.forall(cited, lambda c: c.isNotNull()),
-        "confidence": confidence.isin(CONFIDENCES),
+        "scam_type": of("scam_type").isin(TYPES + OTHER_TYPES),
+        "llm_risk": of("llm_risk").between(0, 100) & (of("llm_risk") == F.floor(of("llm_risk"))),
+        "explanation_en": short(of("explanation_en")),
+        "explanation_hi": short(of("explanation_hi")) & (F.regexp_count(of("explanation_hi"), F.lit("[ऀ-ॿ]")) >= LEAST_DEVANAGARI),
+        "advice": F.size(of("advice")).between(LEAST_ADVICE, MOST_ADVICE) & F.forall(of("advice"), lambda a: a.isNotNull() & _words(a).between(1, ADVICE_WORDS)),
+        "cited_flags": of("cited_flags").isNotNull() & F.forall(of("cited_flags"), lambda c: c.isNotNull()),
+        "confidence": of("confidence").isin(CONFIDENCES),
     }
     wrong = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in good.items()]))
-    root = F.schema_of_variant(v)
+    whole = whole.withColumn("__wrong", R.kept_apart(wrong))
     reason = (
-        F.when(reply.isNull(), "no reply")
+        F.when(text.isNull(), "no reply")
         .when(v.isNull(), "not JSON")
         .when(~F.coalesce(root.startswith("OBJECT"), F.lit(False)), "schema errors in root")
-        .when(F.size(wrong) > 0, F.concat(F.lit("schema errors in "), F.array_join(wrong, ", ")))
+        .when(F.size("__wrong") > 0, F.concat(F.lit("schema errors in "), F.array_join("__wrong", ", ")))
     )
-    values = {"scam_type": scam_type, "llm_risk": risk, "explanation_en": english, "explanation_hi": hindi, "advice": advice, "cited_flags": F.array_distinct(cited), "confidence": confidence}
-    return F.struct(reason.alias("reason"), *[F.when(reason.isNull(), c).alias(n) for n, c in values.items()])
+    whole = whole.withColumn("__why", R.kept_apart(reason))
+    value = {n: of(n) for n in FIELDS} | {"llm_risk": of("llm_risk").cast("int"), "cited_flags": F.array_distinct(of("cited_flags"))}
+    found = F.struct(F.col("__why").alias("reason"), *[F.when(F.col("__why").isNull(), c).alias(n) for n, c in value.items()])
+    return whole.withColumn(into, R.kept_apart(found)).drop("__v", "__k", "__read", "__wrong", "__why")
 
 
 def contacts(e: Column) -> Column:
@@ -102,7 +111,7 @@ def respelled(text: Column, message: Column) -> Column:
 
 def assessed(messages: DataFrame, reply: str = "reply", text: str = "text", entities_column: str = "entities", flags: Column | None = None) -> DataFrame:
     """messages with ``assessment``: the parsed reply, refused with a reason where it changes or invents an identifier; cited flags only of ``flags``."""
-    ready = messages.withColumn("__a", R.kept_apart(parsed(F.col(reply))))
+    ready = parsed(messages, reply, "__a")
     a = F.col("__a")
     ready = ready.withColumn("__hi", R.kept_apart(entities(a["explanation_hi"]))).withColumn("__en", R.kept_apart(entities(F.concat_ws("\n", a["explanation_en"], F.array_join(a["advice"], "\n")))))
     known, values = contacts(F.col(entities_column)), lambda keys: F.transform(keys, lambda k: k["value"])
@@ -110,10 +119,9 @@ def assessed(messages: DataFrame, reply: str = "reply", text: str = "text", enti
     invented = values(unknown(contacts(F.col("__en")), known))
     reason = F.coalesce(a["reason"], F.when(F.size(altered) > 0, F.concat(F.lit("altered identifiers: "), F.array_join(altered, ", "))), F.when(F.size(invented) > 0, F.concat(F.lit("contact details not in the evidence: "), F.array_join(invented, ", "))))
     out = ready.withColumn("__reason", R.kept_apart(reason))
-    fields = ["scam_type", "llm_risk", "explanation_en", "explanation_hi", "advice", "cited_flags", "confidence"]
     cited = lambda n: a[n] if n != "cited_flags" or flags is None else F.array_intersect(a[n], flags)
     refused = F.col("__reason").isNotNull()
-    return out.withColumn("assessment", F.struct(F.col("__reason").alias("reason"), *[F.when(~refused, cited(n)).alias(n) for n in fields])).drop("__a", "__hi", "__en", "__reason")
+    return out.withColumn("assessment", F.struct(F.col("__reason").alias("reason"), *[F.when(~refused, cited(n)).alias(n) for n in FIELDS])).drop("__a", "__hi", "__en", "__reason")
 
 
 def signal(assessment: Column, manipulated: Column) -> Column:

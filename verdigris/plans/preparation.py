@@ -109,7 +109,7 @@ def reply_schema(spark, sf_dir):
         F.when(k == 2, "hello").otherwise(_HI).alias("explanation_hi"), advice.alias("advice"), F.when(k == 3, "sure").otherwise("High").alias("confidence"), F.lit(1).alias("more"),
     )
     reply = F.when(F.col("conv_id") % 11 == 0, F.concat(F.to_json(made), F.lit("}"))).otherwise(F.to_json(made))
-    found = turns.select("conv_id", "turn", replies.parsed(reply).alias("a"))
+    found = replies.parsed(turns.select("conv_id", "turn", reply.alias("reply")), "reply", "a")
     return found.select("conv_id", "turn", F.col("a.reason").alias("reason"), F.col("a.llm_risk").alias("risk"))
 
 
