@@ -80,3 +80,15 @@ def test_timers_end_entries_that_nobody_reads(spark, tmp_path):
     assert q.awaitTermination(240)
     kept = spark.read.format("statestore").option("stateVarName", "entries").load(f"{tmp_path}/cp").collect()
     assert {r["user_map_key"]["key"] for r in kept if "user_map_key" in r} <= {"b"}
+
+
+@pytest.mark.parametrize("read_through", [False, True])
+def test_a_table_with_room_for_all_needs_no_state(spark, read_through):
+    """The same rows as shards that never fill, and no Python that holds a shard."""
+    df = spark.createDataFrame([*requests(300), ("k1", START, None), ("k1", START, "x"), ("k1", START, "x"), (None, START, "x"), ("k1", None, None)], SCHEMA)
+    columns = ["shard", "key", "ts", "hit", "value", "evicted"]
+    roomy = caches.cached(df, shards=3, most=caches.ROOM_FOR_ALL, ttl=300.0, read_through=read_through)
+    assert "Python" not in roomy._jdf.queryExecution().optimizedPlan().toString() and "TransformWithState" not in roomy._jdf.queryExecution().optimizedPlan().toString()
+    held = caches.cached(df, shards=3, most=10_000, ttl=300.0, read_through=read_through)
+    assert roomy.schema.simpleString() == held.schema.simpleString()
+    assert sorted(map(tuple, roomy.select(*columns).collect()), key=repr) == sorted(map(tuple, held.select(*columns).collect()), key=repr)

@@ -137,7 +137,7 @@ SELECT key, ts, coalesce(ts < was + INTERVAL 24 HOURS, false) AS hit, CASE WHEN
 def cache_read_through(spark, sf_dir):
     """Every event reads its key's last value, up to 24 hours old, and writes its own: a cache that has room for all."""
     events = read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), "ts", F.col("event_id").cast("string").alias("value"))
-    return caches.cached(events, shards=16, most=1 << 40, ttl=caches.LINK_TTL, read_through=True).select("key", "ts", "hit", "value")
+    return caches.cached(events, shards=16, most=caches.ROOM_FOR_ALL, ttl=caches.LINK_TTL, read_through=True).select("key", "ts", "hit", "value")
 
 
 def _grid(spark, sf_dir):

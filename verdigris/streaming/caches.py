@@ -10,7 +10,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Fixed: entries and seconds of the cache of replies; seconds of the cache of links.
 MOST, REPLY_TTL, LINK_TTL = 500, 3600.0, 24 * 3600.0
+#: A number of entries that no shard reaches: nothing ever makes room, so keys don't depend on one another.
+ROOM_FOR_ALL = 1 << 40
 RESULT = "shard int, key string, ts timestamp, hit boolean, value string, evicted int"
 
 
@@ -92,11 +94,27 @@ def cached(requests: DataFrame, shards: int = 64, most: int = MOST, ttl: float =
     """requests (key, ts, value; a null value reads, another writes) -> a row for each read, with what the cache had, and for each write that made others go.
 
     ``read_through``: a request with a value reads first, then writes it.  Rows without key or time are left out.  Works on streams and on tables; a task sorts a shard's rows of one
-    micro-batch, or of the whole table, so a large table should pass as a stream of its files.
+    micro-batch, or of the whole table, so a large table should pass as a stream of its files.  On a table with ``most`` at ROOM_FOR_ALL there is no such sort: see ``_roomy``.
     """
-    configured(requests.sparkSession)
     known = requests.where("key IS NOT NULL AND ts IS NOT NULL").select("key", "ts", "value")
     if known.isStreaming:
         known = known.withWatermark("ts", late)
-    dealt = known.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).groupBy("shard")
-    return dealt.transformWithState(Shard(most, ttl, read_through), RESULT, "Append", "EventTime" if requests.isStreaming else "ProcessingTime")
+    dealt = known.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    if not known.isStreaming and most >= ROOM_FOR_ALL:
+        return _roomy(dealt, ttl, read_through)
+    configured(requests.sparkSession)
+    return dealt.groupBy("shard").transformWithState(Shard(most, ttl, read_through), RESULT, "Append", "EventTime" if requests.isStreaming else "ProcessingTime")
+
+
+def _roomy(requests: DataFrame, ttl: float, read_through: bool) -> DataFrame:
+    """The cache on a table (shard, key, ts, value) where no entry makes room for another: a request finds its key's last write, if that has not expired.
+
+    Keys are dealt over all tasks, not over the shards, and sorted by Spark, so neither time nor memory depends on the number of shards.
+    """
+    order = Window.partitionBy("key").orderBy("ts", F.col("value").isNotNull(), "value")  # as a shard takes them: reads before writes
+    written = F.when(F.col("value").isNotNull(), F.struct("value", "ts"))
+    entry = F.last(written, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("entry", entry)
+    hit = F.coalesce(F.unix_micros("ts") < F.unix_micros(F.col("entry.ts")) + round(ttl * 1e6), F.lit(False))
+    asked = found if read_through else found.where("value IS NULL")
+    return asked.select("shard", "key", "ts", hit.alias("hit"), F.when(hit, F.col("entry.value")).alias("value"), F.lit(0).alias("evicted"))
