@@ -101,3 +101,37 @@ def test_score_keeps_its_three_states(spark):
     assert scoring.score(row.withColumn("outcomes", F.array(*lone)), corroboration=True).first()["risk_score"] == 34
     odd = [o("rules", F.lit(10)), o("llm", F.lit(90), max_disagreement=50.0)]
     assert scoring.score(row.withColumn("outcomes", F.array(*odd))).first()["risk_score"] == 10
+
+
+def test_a_file_of_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    """Several splits, of which one has all rows."""
+    from verdigris.functions.udf import spread
+
+    spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        table = spark.read.parquet(f"{tmp_path}/t")
+        assert table.rdd.getNumPartitions() >= 4
+        assert table.select(F.spark_partition_id()).distinct().count() == 1
+        dealt = spread(table, "id").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(dealt) >= 4 and sum(r["count"] for r in dealt) == 4000 and max(r["count"] for r in dealt) < 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_ngrams_pass_words_and_characters_once(spark):
+    """No word or character is sought by its place, which would go through all before it; runs across astral characters too."""
+    words = [f"w{i}" for i in range(30)]
+    row = spark.createDataFrame([(words, "ab <num> x\U0001F600y")], "w array<string>, t string").select(X.word_ngrams(F.col("w"), 1, 3).alias("w"), X.char_ngrams(F.col("t"), 3, 4).alias("c"))
+    assert "sequence(" not in row._jdf.queryExecution().analyzed().toString()
+    got = row.first()
+    assert got["w"] == [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(31 - n)]
+    assert got["c"] == [" ab", "ab ", " ab ", "<num>", " x\U0001F600", "x\U0001F600y", "\U0001F600y ", " x\U0001F600y", "x\U0001F600y "]
+
+
+def test_secrets_are_found_with_and_without_their_usual_pieces():
+    for text, kinds in (("send o. t .p", ["otp"]), ("one-time passcode", ["otp"]), ("UPI-PIN", ["upi_pin"]), ("m pin", ["mpin"]), ("adhaar", ["aadhaar"]), ("aadaar", ["aadhaar"]), ("CVC2", ["cvv"]), ("pass word", ["password"]), ("PAN", ["pan"]), ("nothing", [])):
+        assert E.sensitive_in(text) == kinds
