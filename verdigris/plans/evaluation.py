@@ -216,7 +216,7 @@ def tfidf_inference(spark, sf_dir):
 @query()
 def classifier_trained(spark, sf_dir):
     """Quality labels learned, from words and pairs of words, on four fifths of the labelled documents; the rest predicted."""
-    labelled = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    labelled = documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = classifier.trained(labelled.where(~held), "doc_id", most={"word": 20_000}, iterations=30)
     return classifier.predicted(labelled.where(held), model).select("doc_id", "label", "predicted", F.round("confidence", 3).alias("confidence"))
