@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities as E
 from ..functions import text as X
+from ..functions.udf import spread
 from ..operators import classifier, frozen, lookup, metrics, replies, splits
 from ..sources import records, tables
 from ..sources.journal import Journal, resumed, shared_dir
@@ -142,7 +143,7 @@ def cache_read_through(spark, sf_dir):
 
 def _grid(spark, sf_dir):
     """Quality from words, weighted by group, class and a language that counts for more; validated on a hashed fifth."""
-    rows = identified(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"), F.col("text_id").alias("group_id"), (F.col("lang") == "en").alias("is_indian"), F.when(splits.unit_hash(F.col("text_id"), "grid") < 0.2, "val").otherwise("train").alias("part"))
+    rows = spread(identified(spark, sf_dir), "doc_id").join(read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"), F.col("text_id").alias("group_id"), (F.col("lang") == "en").alias("is_indian"), F.when(splits.unit_hash(F.col("text_id"), "grid") < 0.2, "val").otherwise("train").alias("part"))
     weighted = splits.sample_weights(rows.where("part = 'train'")).unionByName(rows.where("part = 'val'").withColumn("weight", F.lit(1.0)))
     return classifier.selected(weighted, "doc_id", "part", grid=(0.25, 1.0, 4.0), weight="weight", most={"word": 20_000}, iterations=20)
 
