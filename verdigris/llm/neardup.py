@@ -45,6 +45,10 @@ def least_matches(percent: int) -> int:
     return max(0, math.ceil(WIDTH * p - 5.5 * math.sqrt(WIDTH * p * (1 - p))))
 
 
+#: The same at the likeness of the query.
+LEAST_MATCHES = least_matches(80)
+
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
