@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import entities as E
-from verdigris.operators import classifier, links, reports, scoring, senders, similarity, splits
+from verdigris.operators import blocks, classifier, links, reports, scoring, senders, similarity, splits
+from verdigris.sources import journal
 
 DAY = dt.date(2024, 6, 1)
 
@@ -142,6 +144,24 @@ def test_close_to_any_against_all_pairs(spark):
     assert got == {i for i in range(0, 82, 2) if any(like(set(sets[i]), set(sets[j])) >= 0.6 for j in range(1, 82, 2))}
 
 
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_blocks_lose_no_pair_and_give_few_others(spark, least):
+    """Sets that share many words and aren't close make no pairs; codes that fall together lose none."""
+    rng = random.Random(5)
+    sets = [sorted({f"w{rng.randrange(40 if i % 3 else 400)}" for _ in range(rng.randrange(1, 40))}) for i in range(300)]
+    sets += [[*s[2:], "new"] for s in sets[:40]]
+    like = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]})
+    want = {(i, j) for i in range(340) for j in range(0, 340, 4) if i % 4 and like(i, j) >= least}
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, tokens array<string>")
+    hashed = rows.select(F.when(F.col("id") % 4 == 0, "h").otherwise("c").alias("side"), F.col("id").cast("long").alias("class"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    found = lambda df, most: {(r["a"], r["b"]) for r in blocks.close(journal.written(blocks.packed(df, most), "blocks"), "c", "h", least).collect()}
+    assert found(hashed, 1 << 16) == found(hashed, 0) == want != set()
+    low = F.transform("hashes", lambda h: F.shiftleft(F.shiftright(h, 30), 30) + F.pmod(h, F.lit(150)))  # 150 codes for all words
+    assert found(hashed.withColumn("hashes", low), 0) >= want
+    got = similarity.close_to_any(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), least)
+    assert {r["id"] for r in got.collect()} == {i for i, _ in want}
+
+
 def test_interleaving_and_empty_tables(spark):
     place = lambda n: spark.range(n).select(F.col("id").alias("key"), F.col("id").alias("place"))
     order = lambda a, b: "".join(r["kind"][0] for r in splits.interleaved(place(a), place(b)).orderBy("position").collect())
