@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,22 @@ def test_blocks_lose_no_pair_and_give_few_others(spark, least):
     assert {r["id"] for r in got.collect()} == {i for i, _ in want}
 
 
+def test_near_pairs_against_all_pairs(spark):
+    """Rarest tokens don't depend on which ones are broadcast; pairs are those that share one and are close, long sets and those of common tokens alone among them."""
+    rng = random.Random(7)
+    sets = [sorted({f"w{rng.randrange(30 if i % 5 == 0 else 3000)}" for _ in range(rng.choice([1, 2, 5, 60, 900]))}) for i in range(120)]
+    sets += [sorted({*s[len(s) // 9 :], "new"}) for s in sets[:60]] + [[]]
+    df = Counter(t for s in sets for t in s)
+    rare = [{t for _, t in sorted((df[t], t) for t in s)[:3]} for s in sets]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    for most in (0, 10, 1 << 17):
+        got = similarity.rare_tokens(rows, most=most).collect()
+        assert Counter((r["id"], r["token"]) for r in got) == Counter((i, t) for i, s in enumerate(rare) for t in s)
+    like = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]})
+    want = {(i, j): like(i, j) for i in range(180) for j in range(i + 1, 180) if rare[i] & rare[j] and like(i, j) >= 0.7}
+    assert want and {(r["a"], r["b"]): r["similarity"] for r in similarity.near_pairs(rows, 0.7).collect()} == want
+
+
 def test_interleaving_and_empty_tables(spark):
     place = lambda n: spark.range(n).select(F.col("id").alias("key"), F.col("id").alias("place"))
     order = lambda a, b: "".join(r["kind"][0] for r in splits.interleaved(place(a), place(b)).orderBy("position").collect())
