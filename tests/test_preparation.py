@@ -249,3 +249,12 @@ def test_table_function_equals_the_pass(spark):
     E.register(spark)
     got = sorted(map(tuple, spark.sql("SELECT m.id, e.kind, e.value FROM messages m, LATERAL entities(m.text) e").collect()))
     assert got == sorted(map(tuple, E.entity_rows(df, "id").collect())) and (0, "amount", "500.00 INR") in got and (3, "secret", "otp") in got and len(got) == 10
+
+
+@pytest.mark.parametrize("name", ["frozen_split", "frozen_notes"])
+def test_rows_of_a_split_are_made_once(spark, name):
+    """Ids and tokens are read from the written rows, wherever a split needs them."""
+    from verdigris.plans import preparation
+
+    plan = getattr(preparation, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "regexp" not in plan and "documents.parquet" not in plan

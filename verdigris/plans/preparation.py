@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions.udf import spread
 from ..operators import classifier, frozen, lookup, metrics, replies, splits
 from ..sources import records, tables
-from ..sources.journal import Journal, resumed, shared_dir
+from ..sources.journal import Journal, resumed, shared_dir, written
 from ..streaming import caches
 from .catalogue import _ID, _TOKENS, _u, identified, query, read
 
@@ -33,13 +33,18 @@ def _dataset(spark, sf_dir):
     )
 
 
-def _split(spark, sf_dir):
-    rows = _dataset(spark, sf_dir)
+def _frozen(spark, rows):
     path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
     frozen.freeze(rows.where("source <> 'src1'"), path, "first")
-    again = frozen.freeze(rows, path, "second")  # the table has grown; the manifest stands
+    return frozen.freeze(rows, path, "second")  # the table has grown; the manifest stands
+
+
+def _split(spark, sf_dir):
+    """The rows are written with ids and tokens made once: splits are read from them many times."""
+    rows = written(_dataset(spark, sf_dir).withColumn("tokens", X.tokens(F.lower("text"))).drop("text"), "dataset")
+    again = _frozen(spark, rows)
     real, made_up = rows.where("NOT is_synthetic"), rows.where("is_synthetic")
-    return frozen.placed(real, made_up, again.ids, X.tokens(F.lower("text"))), again
+    return frozen.placed(real, made_up, again.ids, F.col("tokens")), again
 
 
 _PLACED = f"""WITH {_ROWS}, {_DRAWN}, g AS (SELECT DISTINCT grp FROM d WHERE source = 'src2' OR id IN (SELECT id FROM t)),
@@ -69,7 +74,7 @@ def frozen_notes(spark, sf_dir):
 SELECT 1 AS version, 'first' AS created, substr(sha256(string_agg(h, chr(10) ORDER BY k)), 1, 16) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b""")
 def split_manifest(spark, sf_dir):
     """The manifest's only version after two runs, and the fingerprint of its ids."""
-    entry = _split(spark, sf_dir)[1].entry
+    entry = _frozen(spark, _dataset(spark, sf_dir)).entry
     ids = spark.createDataFrame([(entry["version"], entry["created"])], "version int, created string")
     return ids.withColumns({"fingerprint": F.lit(entry["fingerprint"]), "n": F.lit(entry["n"]).cast("long")})
 
