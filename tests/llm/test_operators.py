@@ -15,7 +15,7 @@ pytest.importorskip("verdigris.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from verdigris.llm import bpe, fingerprint, lm, media, mixing, neardup, quality, range_coder, suffix_dedup, token_files, toxicity  # noqa: E402
-from verdigris.llm.common import held_out  # noqa: E402
+from verdigris.llm.common import Remembered, held_out  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -397,6 +397,51 @@ def test_token_files(docs, nothing):
         assert encoder.ids([word])[0].tolist() == ids
 
 
+def test_encoder_agrees_with_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(5)
+    signs = [*"aAbBÉéßÿµºª Kk'sStlLrRvVeE.,;:!?)#$%&*\"<|>1２½²\u00d7\u00f7\u0301\u030cJİıΣςœŒ中\x00\x1c\x85\xa0\n\t", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "'re"]
+    texts = ["", *("".join(rng.choices(signs[: rng.choice([12, 24, len(signs)])], k=rng.randint(0, 24))) for _ in range(6000)), "x" * 700, "that's thats' 's", "'l" + "'l"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for bits, most in ((20, 1 << 19), (9, 256)):  # a table that is renewed over and over too
+        monkeypatch.setattr(token_files.Pieces, "BITS", bits)
+        monkeypatch.setattr(token_files.Pieces, "MOST", most)
+        encoder = token_files.Encoder(path)
+        assert encoder.parted
+        got = [x.tolist() for at in range(0, len(texts), 20) for x in encoder.ids(texts[at : at + 20])]
+        assert got == want
+
+
+def test_encoder_asks_for_a_run_of_letters_once():
+    encoder, asked = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    library = encoder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split())
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.library = Counted()
+    for text in ("Thonre thonre, (THONRE)", "thonre. thonre!"):
+        encoder.ids([text])
+    assert sum("thonre" in w.lower() for w in asked) == 1
+
+
+def test_remembered_words_are_not_walked_through():
+    class Walked(Remembered):
+        def __iter__(self):
+            raise AssertionError("the whole dictionary was read for a few words")
+
+    known = Walked(3)
+    known.update(a=1, b=2)
+    assert known.missing({"a", "c"}) == {"c"}
+    known["c"] = 3
+    assert known.missing({"a", "d", "e"}) == {"d", "e"}  # a new generation; what is asked for comes along
+    assert known["a"] == 1 and "b" in known.old
+
+
 def test_range_coder_compresses_text():
     encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     ids = np.concatenate(encoder.ids([r[1] for r in rows()[:52]]))

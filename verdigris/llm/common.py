@@ -241,13 +241,15 @@ class Remembered(dict):
 
     def missing(self, words: set) -> set:
         """The words that neither generation has; all others are in the younger one from here on."""
-        new = words.difference(self)
+        # word by word: set methods would walk through the whole dictionary, as it is no plain one
+        new = {w for w in words if w not in self}
         if len(self) + len(new) > self.most and len(self):
             self.old = dict(self)
             self.clear()
             new = words
-        kept = new.intersection(self.old)
-        self.update((w, self.old[w]) for w in kept)
+        old = self.old
+        kept = {w: old[w] for w in new if w in old}
+        self.update(kept)
         return new.difference(kept)
 
     def forget(self) -> None:
