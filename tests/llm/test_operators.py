@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -560,6 +561,31 @@ def test_lm(docs, nothing):
     assert lm.scored(nothing, held_out(10)).count() == 0
 
 
+def test_lm_lays_words_out_without_a_lookup_each():
+    rng = random.Random(4)
+    parts = [*"aAbBzéÉ.,;:!?)\"'| \n\t\x0b\x1c\x85中\x00", "the ", "of", "x" * 15, "x" * 16, "x" * 17]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(800)), None]
+    each = [lm.words_of(t) for t in texts]
+    head = [(w, 5) for w in dict.fromkeys([b"a", b"a\x00", b"x" * 15, b"x" * 16, b"x" * 17, b"\xc3\xa9", *[w for ws in each[:300] for w in ws]])]
+    for known in (lm.Words(head, 20), lm.Words(head, 1536), lm.Words([], 768)):
+        (low, first, end), places, classes, starts = known.laid(pa.array(texts, pa.string()))
+        data, want = low.tobytes(), [(known.place.get(w, -1), w) for ws in each for w in [*ws, None]]
+        assert [data[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)] == [w for ws in each for w in ws]
+        assert places.tolist() == [p for p, _ in want]
+        assert classes.tolist() == [known.end if w is None else int(known.kind[p]) if p >= 0 else known.group(w) for p, w in want]
+        assert starts.tolist() == np.cumsum([0, *(len(ws) + 1 for ws in each[:-1])]).tolist()
+
+    class Asked(dict):
+        def get(self, word, *default):
+            assert len(word) > 16 or 0 in word
+            return super().get(word, *default)
+
+    known = lm.Words(head, 1536)
+    known.table  # noqa: B018  made once
+    known.place = Asked(known.place)
+    assert np.array_equal(known.laid(pa.array(texts, pa.string()))[1], lm.Words(head, 1536).laid(pa.array(texts, pa.string()))[1])
+
+
 def test_lm_is_normalised():
     share = np.full(lm.CLASSES, 1 / lm.CLASSES)
     model = lm.Model.start(share)

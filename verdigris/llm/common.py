@@ -219,6 +219,26 @@ def _hashed(body: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed(total[ends] - total[ends - length] + length.astype(np.uint64))
 
 
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def pair_keys(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each run as two numbers; the body has 16 bytes more than the runs.  Runs of up to 16 bytes without a zero have keys of their own."""
+    last = len(body) - 8
+    words = np.ndarray(last + 1, "<u8", body, 0, (1,))  # the eight bytes from any place on
+    return words[first] & _KEEP[np.minimum(size, 8)], words[np.minimum(first + 8, last)] & _KEEP[np.clip(size - 8, 0, 8)]
+
+
+def pair_slots(one: np.ndarray, two: np.ndarray, bits: int) -> np.ndarray:
+    """A number of so many bits from each pair."""
+    h = one * np.uint64(0x9E3779B97F4A7C15)
+    h += two * np.uint64(0xD1342543DE82EF95)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(64 - bits)
+    return h.view(np.int64)
+
+
 @contextlib.contextmanager
 def uncollected() -> Iterator[None]:
     """No search for cycles while many small lists without any are made: it would look through the dictionary over and over."""

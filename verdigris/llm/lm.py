@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, partitions_for, strings, written
+from .common import batches, pair_keys, pair_slots, partitions_for, utf8, word_runs, written
 
 CLASSES = 384
 #: Averaged rounds of training; tokens of a unit, units that a part of the documents holds or so, and steps of gradient that a unit takes at least.
@@ -51,6 +51,10 @@ WIDTH = 16
 NOISE = 64
 SEED = 17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOW = np.frombuffer(_LOWER, np.uint8)
+#: Punctuation that closes a word.
+CLOSING = b".,;:!?)\"'|"
+_CLOSING = np.isin(np.arange(256), list(CLOSING))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,6 +103,7 @@ def train(model: Model, triples: np.ndarray, times: np.ndarray, share: np.ndarra
     sums = [np.full_like(x, 1e-2) for x in (r1, r2, q, bias)]
     log_share = np.log(share * NOISE).astype(np.float32)
     weights = (times / times.mean()).astype(np.float32)
+    columns = [np.ascontiguousarray(x, np.uint16) for x in triples.T]  # numbers of 16 bits are sorted by their digits
     cumulative = np.cumsum(share)
 
     def step(x: np.ndarray, total: np.ndarray, g: np.ndarray) -> None:
@@ -117,7 +122,7 @@ def train(model: Model, triples: np.ndarray, times: np.ndarray, share: np.ndarra
         order = rng.permutation(len(triples))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            a, b, w = triples[rows].T
+            a, b, w = (x[rows] for x in columns)
             heavy = weights[rows] / len(rows)
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), len(share) - 1)
             h = r1[a] + r2[b]
@@ -178,25 +183,97 @@ class Words:
         self.kind = np.array([i if i < self.own else self.group(w) for i, (w, _) in enumerate(head)], np.int64)
 
     def group(self, word: bytes) -> int:
-        ending = (word.rstrip(b".,;:!?)\"'|") or word)[-ENDING:]
+        ending = (word.rstrip(CLOSING) or word)[-ENDING:]
         return self.own + xxhash.xxh32_intdigest(ending) % (self.end - self.own)
 
-    def laid(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Texts end to end: their words, the place in the head of each token (-1 for none, and for ends), the class of each token, and where each text starts."""
-        each = [words_of(t) for t in texts]
-        words = list(itertools.chain.from_iterable(each))
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) + 1
-        ends = np.cumsum(sizes) - 1
-        inside = np.ones(len(words) + len(each), bool)
-        inside[ends] = False
-        known = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+    @functools.cached_property
+    def table(self) -> tuple[int, np.ndarray]:
+        """An open table of the head's words of up to 16 bytes: the two numbers of a word's bytes, and its place + 1.  Made by each worker that asks."""
+        short = [w for w in self.place if len(w) <= 16 and 0 not in w]
+        size = np.fromiter(map(len, short), np.int64, len(short))
+        one, two = pair_keys(np.frombuffer(b"".join(short) + bytes(16), np.uint8), np.cumsum(size) - size, size)
+        place, bits = np.fromiter(map(self.place.get, short), np.uint64, len(short)) + np.uint64(1), max(4, len(short).bit_length() + 1)
+        at, records = pair_slots(one, two, bits) << 2, np.zeros(4 << bits, np.uint64)
+        while len(at):
+            free = records.take(at + 2) == 0
+            records[at[free] + 2] = place[free]
+            won = records.take(at + 2) == place
+            records[at[won]], records[at[won] + 1] = one[won], two[won]
+            at, one, two, place = at[~won] + 4 & len(records) - 1, one[~won], two[~won], place[~won]
+        return bits, records
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "groups")}
+
+    @functools.cached_property
+    def groups(self) -> dict[int, int]:
+        """The group of each ending met so far, by its bytes and their number as one number: there are few in any language, and no more than 100,000 are kept."""
+        return {}
+
+    def places_of(self, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place in the head of each word of the body, -1 for none; the body has 16 bytes more than the words."""
+        size = end - first
+        one, two = pair_keys(low, first, size)
+        bits, r = self.table
+        at = pair_slots(one, two, bits) << 2
+        out = r.take(at + 2).view(np.int64) - 1
+        other = (r.take(at) != one) | (r.take(at + 1) != two)
+        todo = np.flatnonzero(other & (out >= 0))
+        out[other] = -1
+        at, one, two = at[todo], one[todo], two[todo]
+        while len(todo):
+            at = at + 4 & len(r) - 1
+            there = r.take(at + 2).view(np.int64) - 1
+            other = (r.take(at) != one) | (r.take(at + 1) != two)
+            out[todo[~other]] = there[~other]
+            on = np.flatnonzero(other & (there >= 0))
+            todo, at, one, two = todo[on], at[on], one[on], two[on]
+        plain = size > 16
+        if not low[: len(low) - 16].all():  # zeros are only told apart by the whole word
+            zero = np.flatnonzero(low[: len(low) - 16] == 0)
+            plain[np.searchsorted(first, zero, "right") - 1] = True
+        for i in np.flatnonzero(plain).tolist():
+            out[i] = self.place.get(low[first[i] : end[i]].tobytes(), -1)
+        return out
+
+    def groups_of(self, low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``group`` of each word of the body."""
+        last, on = end.copy(), np.arange(len(end))
+        while len(on):
+            on = on[last[on] > first[on]]
+            on = on[_CLOSING[low[last[on] - 1]]]
+            last[on] -= 1
+        last = np.where(last > first, last, end)
+        size = np.minimum(last - first, ENDING)
+        key = size.copy()
+        for k in range(ENDING, 0, -1):
+            key = key << 8 | np.where(k <= size, low[last - k], 0)
+        keys, which = np.unique(key, return_inverse=True)
+        found = self.groups
+        if len(found) > 100_000:
+            found.clear()
+        for k, i in zip(keys.tolist(), np.unique(which, return_index=True)[1].tolist(), strict=True):
+            if k not in found:
+                found[k] = self.group(low[first[i] : end[i]].tobytes())
+        return np.array([found[k] for k in keys.tolist()], np.int64)[which]
+
+    def laid(self, values: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Texts end to end: (their bytes in lower case, where each word starts, where it ends), the place in the head of each token (-1 for none, and for ends), the class of each token, and where each text starts."""
+        body, at = utf8(values)
+        low = np.zeros(len(body) + 16, np.uint8)
+        low[: len(body)] = _LOW.take(body)
+        first, end, text = word_runs(body, at)
+        known = self.places_of(low, first, end)
         kinds = self.kind[known] if len(self.kind) else known.copy()
-        group = functools.cache(self.group)
         rare = np.flatnonzero(known < 0)
-        kinds[rare] = [group(words[i]) for i in rare.tolist()]
+        kinds[rare] = self.groups_of(low, first[rare], end[rare])
+        sizes = np.bincount(text, minlength=len(values)) + 1
+        ends = np.cumsum(sizes) - 1
+        inside = np.ones(len(known) + len(values), bool)
+        inside[ends] = False
         places, classes = np.full(len(inside), -1, np.int64), np.full(len(inside), self.end, np.int64)
         places[inside], classes[inside] = known, kinds
-        return words, places, classes, ends + 1 - sizes
+        return (low, first, end), places, classes, ends + 1 - sizes
 
     def before(self, classes: np.ndarray, last: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The class before last and the last one, of each token of texts end to end; before a text there are ends alone.  last: the two tokens before the first."""
@@ -228,7 +305,7 @@ def units_of(docs: DataFrame, words, tokens: int) -> DataFrame:
     def coded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         for batch in batches(it, 512):
-            _, _, classes, starts = known.laid(batch.column(1).to_pylist())
+            _, _, classes, starts = known.laid(batch.column(1))
             body = classes.astype("<u2").tobytes()
             cuts = [*(2 * starts).tolist(), len(body)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([body[a:b] for a, b in itertools.pairwise(cuts)], pa.binary())], ["deal", "classes"])
@@ -373,8 +450,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
         words, t1, t2, z, log_mass = shared.value
         logs = np.log10(words.count + 0.1)
         for batch in batches(it, 512):
-            texts = strings(batch.column(1))
-            tokens, at, c, starts = words.laid(texts)
+            (low, first, end), at, c, starts = words.laid(batch.column(1))
             a, b = words.before(c)
             known, rare = at >= 0, np.flatnonzero(at < 0)
             log = np.zeros(len(c))
@@ -384,11 +460,14 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
             text = np.searchsorted(starts, rare, "right") - 1
             rare, text = rare[c[rare] != words.end], text[c[rare] != words.end]
             # a text's place among the words is less by the ends before it
-            tail = [tokens[i] for i in (rare - text).tolist()]
-            cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            data, word = low.tobytes(), rare - text
+            tail = [data[a:b] for a, b in zip(first[word].tolist(), end[word].tolist(), strict=True)]
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).tolist()
             tails = [Counter(tail[a:b]) for a, b in itertools.pairwise(cuts)]
             sizes = np.diff(np.append(starts, len(c))).tolist()
-            digests = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+            body, cuts = utf8(batch.column(1))
+            data, cuts = body.tobytes(), cuts.tolist()
+            digests = [xxhash.xxh3_128_digest(data[a:b]) for a, b in itertools.pairwise(cuts)]
             flat = [pa.array(itertools.chain.from_iterable(tails), pa.binary()), pa.array(itertools.chain.from_iterable(x.values() for x in tails), pa.int32())]
             found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), pa.StructArray.from_arrays(flat, ["word", "n"]))
             rows = (digests, sizes, added(known.astype(np.int64)), added(log), neural.tolist(), added(log_mass[c]), added(np.where(at >= words.own, log, 0.0)))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .bpe import tokenizer_file
-from .common import Remembered, batches, bucket_of, id_bounds, partitions_for, strings, uncollected, utf8, written
+from .common import Remembered, batches, bucket_of, id_bounds, pair_keys, pair_slots, partitions_for, strings, uncollected, utf8, written
 
 END = 2
 #: Words in each of the two generations that a task remembers.
@@ -57,19 +57,11 @@ class Pieces:
     def clear(self) -> None:
         self.records, self.pool, self.size, self.count = np.zeros(0, np.uint64), np.zeros(1 << 16, np.uint32), 0, 0
 
-    def _slots(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        h = one * np.uint64(0x9E3779B97F4A7C15)
-        h += two * np.uint64(0xD1342543DE82EF95)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h >>= np.uint64(64 - self.BITS)
-        return h.view(np.int64) << 2
-
     def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """place << 32 | number of ids of each piece, 0 if it is new."""
         if not len(self.records):
             return np.zeros(len(one), np.uint64)
-        at, r = self._slots(one, two), self.records
+        at, r = pair_slots(one, two, self.BITS) << 2, self.records
         ref = r.take(at + 2)
         other = (r.take(at) != one) | (r.take(at + 1) != two)
         r[at[~other] + 3] = 1
@@ -104,7 +96,7 @@ class Pieces:
         return ref
 
     def _insert(self, one: np.ndarray, two: np.ndarray, ref: np.ndarray) -> None:
-        at, r, self.count = self._slots(one, two), self.records, self.count + len(one)
+        at, r, self.count = pair_slots(one, two, self.BITS) << 2, self.records, self.count + len(one)
         while len(at):
             free = r.take(at + 2) == 0
             r[at[free] + 2] = ref[free]
@@ -214,8 +206,7 @@ class Encoder:
             keep = ~odd[np.searchsorted(at, first, "right") - 1]
             first, end = first[keep], end[keep]
         size, data = end - first, low.tobytes()
-        words = np.ndarray(len(body) + 1, "<u8", low, 0, (1,))  # the eight bytes from any place on
-        one, two = words[first] & _KEEP[np.minimum(size, 8)], words[np.minimum(first + 8, len(body))] & _KEEP[np.clip(size - 8, 0, 8)]
+        one, two = pair_keys(low, first, size)
         ref = self.pieces.find(one, two)
         long = size > 16
         ref[long] = 0
@@ -248,7 +239,6 @@ _KIND[[9, 10, 11, 12, 13, 32]], _KIND[65:91], _KIND[97:123], _KIND[48:58] = _SPA
 #: Kinds of the characters from U+0080 on, by their second byte after C2 and C3.
 _KIND_2 = {0xC2: np.full(256, _SIGN, np.uint8), 0xC3: np.full(256, _LETTER, np.uint8)}
 _KIND_2[0xC2][[0x85, 0xA0]], _KIND_2[0xC2][[0xAA, 0xB5, 0xBA]], _KIND_2[0xC2][[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]], _KIND_2[0xC3][[0x97, 0xB7]] = _SPACE, _LETTER, _DIGIT, _SIGN
-_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def cut(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
