@@ -16,7 +16,7 @@ pytest.importorskip("verdigris.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from verdigris.llm import bpe, fingerprint, lm, media, mixing, neardup, quality, range_coder, suffix_dedup, token_files, toxicity  # noqa: E402
-from verdigris.llm.common import Remembered, held_out  # noqa: E402
+from verdigris.llm.common import Remembered, batches, given_back, held_out  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -538,6 +538,29 @@ def test_bpe_decodes_the_ids_it_made(monkeypatch):
     assert given == [int(i) for i in ids.split()] and n == len(given) and text == " ".join(own.names[i] for i in given)
 
 
+def test_bpe_remembers_a_word_as_four_bytes_an_id():
+    own = bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Straße of words, of unheard-of words", "", "<|endoftext|> 12345"]
+    got = own.encode(texts)
+    assert {w: list(np.frombuffer(own.known[w], np.uint32)) for w in own.known} == {w: own.ids(w) for t in texts for w in own.words(t)}
+    assert got == [(len(ids), " ".join(map(str, ids)), own.decode(ids)) for ids in map(own.ids, texts)]
+
+
+def test_what_an_earlier_task_freed_goes_back_before_the_next_one():
+    def held():
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) / 1024
+
+    given_back()
+    before = held()
+    blocks = [bytes(2000) for _ in range(50_000)]
+    last = blocks[::500]  # what stays among the freed keeps the heap from shrinking by itself
+    del blocks
+    assert held() - before > 60
+    assert list(batches(iter([]))) == [] and len(last) == 100
+    assert held() - before < 30
+
+
 def test_bpe_decoder_keeps_its_state_between_portions():
     own = bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     ids, machine = own.ids("Straße of words, of words"), bpe.Decoder(own)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Remembered, batches, bounded, strings, uncollected
+from .common import Remembered, batches, bounded, given_back, strings, uncollected
 
 #: Words in each of the two generations that a task remembers.
 REMEMBERED = 200_000
@@ -242,7 +243,8 @@ class Tokenizer:
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.blank = regex.compile(r"[\t\n\v\f\r\x85\p{Z}]+")
         self.rows = Rows(self.merges)
-        self.known = Remembered(REMEMBERED)  # word -> (ids, ids as decimal text)
+        self.known = Remembered(REMEMBERED)  # word -> ids, four bytes each
+        self.decimal = [str(i) for i in range(max(self.names, default=-1) + 1)]
         self.bytes = {c: b for b, c in enumerate(byte_letters())}
 
     def piece(self, text: str) -> list[int]:
@@ -283,7 +285,7 @@ class Tokenizer:
         return [w for w in self.blank.split(text) if w]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Put (ids, ids as decimal text) of new words into the dictionary; their short pieces are merged together."""
+        """Put the ids of new words into the dictionary; their short pieces are merged together."""
         parts = {w: [p if isinstance(p, int) else p.encode() for p in self.parts(w)] for w in words}
         narrow = list(dict.fromkeys(p for ps in parts.values() for p in ps if not isinstance(p, int) and len(p) <= NARROW))
         ids: dict[bytes, list[int]] = {}
@@ -293,17 +295,16 @@ class Tokenizer:
                 ids.update(zip(some[low : low + 2048], self.rows.merged(some[low : low + 2048]), strict=True))
         for w, ps in parts.items():
             found = [i for p in ps for i in ([p] if isinstance(p, int) else ids[p] if len(p) <= NARROW else self.piece(p.decode()))]
-            self.known[w] = (found, " ".join(map(str, found)))
+            self.known[w] = array("I", found).tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text (number of ids, ids joined by blanks, what the decoder makes of those ids)."""
         split = [self.words(t) for t in texts]
         self.learn(self.known.missing(set().union(*split)))
-        known, out = self.known, []
+        known, decimal, out = self.known, self.decimal, []
         for words in split:
-            found = [known[w] for w in words]
-            ids = [i for f in found for i in f[0]]
-            out.append((len(ids), " ".join([f[1] for f in found if f[1]]), self.decode(ids)))
+            ids = array("I", b"".join([known[w] for w in words])).tolist()
+            out.append((len(ids), " ".join([decimal[i] for i in ids]), self.decode(ids)))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -383,7 +384,8 @@ def encoded(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
                 n, ids, text = zip(*tokenizer.encode(strings(batch.column(len(names)))), strict=True)
                 sha = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in c], pa.string()) for c in (ids, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int64()), *sha], [*names, *added])
-        tokenizer.known.forget()  # workers live on, and other stages need their memory
+        tokenizer.known.forget()
+        given_back()  # workers live on, and other stages need their memory
 
     bounded(docs.sparkSession)
     return docs.select(*names, F.col("text")).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -130,8 +131,19 @@ def partitions_for(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def given_back() -> None:
+    """Return what this process has freed but holds on to: a worker outlives its task, and the next one's need comes on top of the most that an earlier one took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], rows: int = 256, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice with very long texts stays small."""
+    """Cut Arrow batches so that a slice with very long texts stays small; what earlier tasks of the worker have left goes back first."""
+    given_back()
     for batch in it:
         start = 0
         while start < batch.num_rows:
